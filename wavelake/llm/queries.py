@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing
+from . import chat, decontam, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": decontam.op3_decontamination,
     "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontam.OP3_SQL,
     "op7_chat": chat.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
