@@ -125,6 +125,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
     }).drop("__raw", "__found")
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no window of ``items`` occurs in."""
+    rows = contamination(docs.select("doc_id", "text", F.struct("*").alias("row")), items)
+    return rows.where("n_hit = 0").select("row.*")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document of ``documents``: words hit by windows of ``benchmark`` and the items they are from."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

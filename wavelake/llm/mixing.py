@@ -30,6 +30,10 @@ TIME_SLICES = 4096
 KEY_DIGITS = 3
 
 
+def _size() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
     """(source, src, source_size, target): weights times the common level, capped at ``passes`` times the size.
 
@@ -77,9 +81,8 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
     The budget is the sum of all sizes.  Only two bounded facts reach the driver: the budget and
     the last item taken.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = common.materialize(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "mix-sizes")
+    sizes = common.materialize(docs.select("doc_id", "source", _size().alias("size"), key.alias("key")), "mix-sizes")
     targets = common.materialize(source_targets(sizes, weights, passes), "mix-targets")
 
     def item(e: Column) -> Column:
@@ -119,16 +122,14 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Rows are matched by (doc_id, source, size): rows alike in these share their count in shuffled order.
     """
-    times = mix_sizes(docs)
-    ranked = Window.partitionBy("doc_id", "source", "size").orderBy
-    times = times.select("doc_id", "source", "size", "times").withColumn("nth", F.row_number().over(ranked(F.desc("times"))))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.withColumn("__size", size)
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))))
-    t = times.select(*(F.col(c).alias(f"__t_{c}") for c in ("doc_id", "source", "size", "nth", "times"))).where("__t_times > 0")
-    on = F.col("doc_id").eqNullSafe(F.col("__t_doc_id")) & F.col("source").eqNullSafe(F.col("__t_source")) & (F.col("__size") == F.col("__t_size")) & (F.col("__nth") == F.col("__t_nth"))
-    again = F.explode(F.sequence(F.lit(1), F.col("__t_times")))
-    return rows.join(t, on).select(*docs.columns, again.alias("__pass")).drop("__pass")
+    sized = docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    same = Window.partitionBy("doc_id", "source", "size")
+    rows = sized.withColumn("nth", F.row_number().over(same.orderBy("hash")))
+    times = mix_sizes(docs).withColumn("nth", F.row_number().over(same.orderBy(F.desc("times")))).where("times > 0")
+    t = times.select(*(F.col(c).alias(f"t_{c}") for c in ("doc_id", "source", "size", "nth", "times")))
+    on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in ("doc_id", "source", "size", "nth")]
+    again = F.explode(F.sequence(F.lit(1), F.col("t_times"))).alias("pass")
+    return rows.join(t, on).select("row", again).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing
+from . import chat, decontam, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontam.op3_decontamination,
     "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
