@@ -93,12 +93,17 @@ def _matches(raw: Column, found: Column, window: int) -> Column:
         size = F.least(F.lit(window), F.size(a["words"]))
         # compare the item with the document along the alignment, once per word
         from_ = F.greatest(a["at"], F.lit(0))
-        part = F.transform(F.slice(raw, from_ + 1, F.size(a["words"]) + F.least(a["at"], F.lit(0))), common.ascii_lower)
+        part = F.slice(raw, from_ + 1, F.size(a["words"]) + F.least(a["at"], F.lit(0)))
         skip = from_ - a["at"]
-        equal = F.transform(part, lambda x, i: x == F.get(a["words"], i + skip))
-        starts = F.when(F.size(part) >= size, F.sequence(F.lit(0), F.size(part) - size)).otherwise(F.array().cast("array<int>"))
-        good = F.filter(starts, lambda s: F.forall(F.slice(equal, s + 1, size), lambda x: x))
-        return F.transform(good, lambda s: F.struct(a["item"].alias("item"), (from_ + s).alias("start"), size.alias("len")))
+        unequal = F.transform(part, lambda x, i: F.when(common.ascii_lower(x) != F.get(a["words"], i + skip), i))
+
+        def windows(odd: Column) -> Column:
+            n = F.size(odd)
+            starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+            good = F.filter(starts, lambda s: F.forall(F.slice(odd, s + 1, size), lambda x: x.isNull()))
+            return F.transform(good, lambda s: F.struct(a["item"].alias("item"), (from_ + s).alias("start"), size.alias("len")))
+
+        return common.let(unequal, windows)
 
     return F.flatten(F.transform(F.coalesce(found, F.array()), hits))
 

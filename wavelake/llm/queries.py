@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, simhash
+from . import chat, decontam, mixing, rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontam.op3_decontamination,
+    "op6_quality_rules": rules.op6_quality_rules,
     "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
 }
