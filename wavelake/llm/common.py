@@ -64,6 +64,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows with the n least hashes of ``key``: the same at every run, whatever the partitions.
+
+    Only keys are sorted; the cut then filters the scan.  Rows that repeat a key stay together.
+    """
+    h = F.xxhash64(key)
+    cut = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.where(h <= (0 if cut is None else cut))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, licenses, mixing, rules, simhash
+from . import chat, credentials, decontam, licenses, mixing, rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
     "op9_licenses": licenses.op9_licenses,
+    "op10_secrets": credentials.op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
