@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, credentials, decontam, licenses, mixing, rules, simhash
+from . import chat, credentials, decontam, licenses, mixing, rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_warc": warc.op4_warc,
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op7_chat": chat.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
