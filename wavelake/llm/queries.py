@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, credentials, decontam, licenses, mixing, quality_crf, rules, simhash, warc
+from . import chat, credentials, decontam, licenses, mixing, packing, quality_crf, rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_crf.op1_quality,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_warc": warc.op4_warc,
+    "op5_packing": packing.op5_packing,
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
