@@ -68,8 +68,11 @@ def votes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     w = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("words"))
     rolling = F.transform("words", lambda x, i: F.xxhash64(x, F.get("words", i + 1)))
     w = w.select("doc_id", "text_hash", "words", rolling.alias("rolling"))
-    w = w.select("doc_id", "text_hash", "words", F.posexplode("rolling").alias("pos", "hash"))
-    same = (F.get("words", F.col("pos")) == F.col("first")) & (F.get("words", F.col("pos") + 1) == F.col("second"))
+    # the outer form: Spark derives a filter from the inner one and would compute all of this in it, word by word
+    w = w.select("doc_id", "text_hash", "words", F.posexplode_outer("rolling").alias("pos", "hash"))
+    # an equality would become a part of the join key; the hash alone is the key
+    equal = lambda a, b: (a <= b) & (a >= b)
+    same = equal(F.get("words", F.col("pos")), F.col("first")) & equal(F.get("words", F.col("pos") + 1), F.col("second"))
     return w.join(F.broadcast(pairs), "hash").where(same).select("doc_id", "text_hash", "template", "label", "base", "pairs", "at", "pos")
 
 
