@@ -66,14 +66,15 @@ def votes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, template columns, pos): places where a template's pair of words stands."""
     words = F.transform(common.alnum_words(F.col("text")), common.ascii_lower)
     w = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("words"))
-    rolling = F.transform("words", lambda x, i: F.xxhash64(x, F.get("words", i + 1)))
-    w = w.select("doc_id", "text_hash", "words", rolling.alias("rolling"))
+    # each pair carries its own words, so a row that comes out of the explosion is small whatever the text's length
+    pair = lambda x, i: F.struct(F.xxhash64(x, F.get("words", i + 1)).alias("hash"), x.alias("one"), F.get("words", i + 1).alias("two"))
+    w = w.select("doc_id", "text_hash", F.transform("words", pair).alias("rolling"))
     # the outer form: Spark derives a filter from the inner one and would compute all of this in it, word by word
-    w = w.select("doc_id", "text_hash", "words", F.posexplode_outer("rolling").alias("pos", "hash"))
+    w = w.select("doc_id", "text_hash", F.posexplode_outer("rolling").alias("pos", "pair"))
     # an equality would become a part of the join key; the hash alone is the key
-    equal = lambda a, b: (a <= b) & (a >= b)
-    same = equal(F.get("words", F.col("pos")), F.col("first")) & equal(F.get("words", F.col("pos") + 1), F.col("second"))
-    return w.join(F.broadcast(pairs), "hash").where(same).select("doc_id", "text_hash", "template", "label", "base", "pairs", "at", "pos")
+    equal = lambda a, b: (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
+    found = w.select("doc_id", "text_hash", "pos", "pair.*").join(F.broadcast(pairs), "hash").where(equal("one", "first") & equal("two", "second"))
+    return found.select("doc_id", "text_hash", "template", "label", "base", "pairs", "at", "pos")
 
 
 def spans(docs: DataFrame) -> DataFrame:
