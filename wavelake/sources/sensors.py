@@ -76,7 +76,7 @@ def read_sensors(spark: SparkSession, path: str, mode: str = "fast", pattern: st
 
 def probe_sensors(spark: SparkSession, path: str, pattern: str = "*.csv", count_rows: bool = False) -> DataFrame:
     """(path, start_s, rate_hz, n): headers; n counts the data rows, or is 1 where they are not counted."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     rows = F.split("value", "\r?\n")
     head = lambda i: F.get(F.split(F.get(rows, F.lit(i)), ","), F.lit(0)).try_cast("double")
     n = F.size(F.filter(F.slice(rows, 3, 1_000_000_000), lambda x: F.trim(x) != "")) if count_rows else F.lit(1)
