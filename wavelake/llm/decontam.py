@@ -38,7 +38,8 @@ def item_words(items: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
     """The inverted index: (term, doc_id, pos), positions from 0; only of ``terms`` if given."""
-    raw = docs.select("doc_id", F.posexplode(common.alnum_words(F.col("text"))).alias("pos", "raw"))
+    # the outer form: Spark derives a filter from the inner one that would split every text again
+    raw = docs.select("doc_id", F.posexplode_outer(common.alnum_words(F.col("text"))).alias("pos", "raw")).where("raw is not null")
     flat = raw.select(common.ascii_lower(F.col("raw")).alias("term"), "doc_id", "pos")
     return flat if terms is None else flat.join(common.broadcast_if_small(terms), "term")
 
