@@ -117,3 +117,30 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document of ``documents``: places of base phrases, all labels and a score."""
     return scan_licenses(common.table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    rows = []
+    for base, texts in ((True, BASE), (False, NOTICES)):
+        for text, label in texts.items():
+            words = text.split()
+            voting = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False)) if base or not {a, b} <= COMMON]
+            rows += [f"('{a}', '{b}', '{text}', '{label}', {base}, {i}, {len(voting)})" for i, a, b in voting]
+    return rf"""
+WITH t(one, two, template, label, base, place, pairs) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, s - 1 AS pos, w[s] AS one, w[s + 1] AS two FROM d, unnest(range(1, len(w))) u(s)),
+v AS (SELECT doc_id, template, label, base, pairs, place, pos, pos - place AS diagonal FROM p JOIN t USING (one, two)),
+g AS (SELECT doc_id, template, label, base, pairs, diagonal, list(DISTINCT place) AS seen, min(pos) AS s FROM v GROUP BY doc_id, template, label, base, pairs, diagonal),
+f AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {SHIFT}, true) THEN 1 ELSE 0 END AS fresh FROM g WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM f),
+x AS (SELECT doc_id, template, label, base, pairs, island, min(s) AS s, len(list_distinct(flatten(list(seen)))) / CAST(pairs AS DOUBLE) AS cover FROM i GROUP BY doc_id, template, label, base, pairs, island),
+ok AS (SELECT * FROM x WHERE cover >= CASE WHEN base THEN 1.0 ELSE {COVER} END),
+r AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM ok GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
+OP9_SQL = _oracle()

@@ -24,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op6_quality_rules": rules.OP6_SQL,
     "op7_chat": chat.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op9_licenses": licenses.OP9_SQL,
 }

@@ -142,4 +142,40 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document of ``documents``: base measurements, base verdict and final verdict."""
     rows = apply_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.size("rejected_by").cast("long").alias("n_broken"))
+
+
+def _oracle() -> str:
+    cutoffs = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, (_, cs) in RULES.items() for i, c in enumerate(cs))
+    values = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, coalesce({expr.replace('1L', '1')}, 0) AS v FROM b" for rule, (expr, _) in RULES.items())
+    share, rules = RISK / len(RULES), len(RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s : s + {REPEAT_WINDOW - 1}], ' ') AS p FROM d, unnest(range(1, len(w) - {REPEAT_WINDOW - 2})) u(s)),
+rep AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, p) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT x) AS n_repeat_words FROM (SELECT doc_id, unnest(range(s, s + {REPEAT_WINDOW})) AS x FROM rep) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, d.lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks
+  FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
+b AS (SELECT *, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+v AS ({values}),
+c(rule, i, cutoff) AS (VALUES {cutoffs}),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
+held AS (SELECT b.doc_id, b.lang FROM b JOIN good ON b.doc_id = good.doc_id WHERE NOT base_failed),
+sz AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
+k AS (SELECT sz.lang, sz.n, c.rule, c.i, c.cutoff, count(*) FILTER (WHERE v.v > c.cutoff) AS k
+      FROM held JOIN sz ON held.lang IS NOT DISTINCT FROM sz.lang JOIN v ON v.doc_id = held.doc_id JOIN c ON c.rule = v.rule GROUP BY ALL),
+safe AS (SELECT *, k <= n * {share} AND coalesce((SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share}))) FROM unnest(range(k + 1)) q(j)), 0)
+         <= {LEVEL} / ({rules} * (SELECT count(*) FROM sz)) AS ok FROM k),
+run AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY i ROWS UNBOUNDED PRECEDING) AS all_ok FROM safe),
+cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM run WHERE all_ok GROUP BY lang, rule),
+bad AS (SELECT b.doc_id, count(*) AS n_broken FROM b JOIN cut ON b.lang IS NOT DISTINCT FROM cut.lang JOIN v ON v.doc_id = b.doc_id AND v.rule = cut.rule WHERE v.v > cut.cutoff GROUP BY b.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_broken IS NULL AS kept, coalesce(n_broken, 0) AS n_broken
+FROM b LEFT JOIN bad ON b.doc_id = bad.doc_id
+"""
+
+
+OP6_SQL = _oracle()
