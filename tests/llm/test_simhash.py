@@ -110,3 +110,12 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (None, 3), (100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from wavelake.llm import components
+
+    monkeypatch.setattr(components, "HUB", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(i, 100 + i) for i in range(30)] + [(500, 500 + i) for i in range(1, 20)] + [(519, 900), (901, 900)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{n: 0 for n in [*range(60), *range(100, 130)]}, **{n: 500 for n in [*range(500, 520), 900, 901]}}

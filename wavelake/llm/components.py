@@ -13,17 +13,32 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Nodes with more rows than this are joined by broadcast, apart from the others.
+HUB = 256
+
+
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with ``m`` from ``least`` (u, m, n), n the rows of u.
+
+    All rows of a hub would meet in one task of a shuffled join.  There are at most rows / `HUB` hubs;
+    if they are few enough to broadcast, their rows stay where they are.
+    """
+    hubs = common.broadcast_if_small(least.where(F.col("n") > HUB).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    out = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` run from the larger to the smaller node."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    out = _with_least(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -36,7 +51,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = common.materialize(edges.where("a is not null and b is not null").select(a.alias("u"), b.alias("v")).where("u != v").distinct(), "edges")
     state = None
     while True:
-        after = common.materialize(_small_star(_large_star(now)), "edges")
+        large = common.materialize(_large_star(now), "edges")
+        after = common.materialize(_small_star(large), "edges")
+        common.discard(large)
         new = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         common.discard(now)
         now = after

@@ -7,8 +7,6 @@ six digits on both sides.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +17,7 @@ from .functions.scalars import bankers_round, channel_mask, dequantize_int8
 from .operators import audit, dsp, intervals, metrics, ranking, refractory, resample, selection, splits, states, summary, windows
 from .operators.scoring import FeatureScorer
 from .plans import detection, figures, prediction
+from .scratch import scratch
 from .streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -677,28 +676,20 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return online.read_stream(spark, sf, "events.parquet", schema)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='wavelake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/wavelake/{name}-{uuid.uuid4().hex}"
-
-
 REF_STREAM = """WITH RECURSIVE hot AS (SELECT user_id, ts FROM events WHERE value >= 100), nxt AS (SELECT a.user_id, a.ts, min(b.ts) AS nx FROM hot a LEFT JOIN hot b ON a.user_id = b.user_id AND b.ts > a.ts + INTERVAL 15 MINUTE GROUP BY 1, 2),
 al AS (SELECT user_id, min(ts) AS ts FROM hot GROUP BY user_id UNION ALL SELECT al.user_id, nxt.nx FROM al JOIN nxt ON al.user_id = nxt.user_id AND al.ts = nxt.ts WHERE nxt.nx IS NOT NULL) SELECT user_id, ts FROM al"""
 
 
 @query("stream_refractory", REF_STREAM)
 def _(spark, sf):
-    out = online.drain(online.refractory(_stream(spark, sf), "user_id", "ts", "value", 100.0, 900.0), _scratch(spark, "stream"))
+    out = online.drain(online.refractory(_stream(spark, sf), "user_id", "ts", "value", 100.0, 900.0), scratch(spark, "stream"))
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stream_ring_windows", sql("s", "x", """, h AS (SELECT user_id, i + 1 AS seen FROM x WHERE (i + 1) % 8 = 0 AND i + 1 >= 16) SELECT h.user_id, h.seen, CAST(sum(greatest(-128, least(127, round((x.value - 50) / 25.0 / 0.05)))) AS BIGINT) AS q_sum FROM h JOIN x ON x.user_id = h.user_id AND x.i >= h.seen - 16 AND x.i < h.seen GROUP BY 1, 2"""))
 def _(spark, sf):
     s = _stream(spark, sf).withColumn("o", F.unix_micros(F.col("ts").cast("timestamp")))
-    out = online.drain(online.ring_windows(s, "user_id", "o", "value", 16, 8, 50.0, 25.0, 0.05), _scratch(spark, "stream"))
+    out = online.drain(online.ring_windows(s, "user_id", "o", "value", 16, 8, 50.0, 25.0, 0.05), scratch(spark, "stream"))
     return out.select("user_id", "seen", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("q_sum"))
 
 
