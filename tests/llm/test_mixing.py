@@ -80,3 +80,11 @@ def test_mix_repeats_rows(spark):
         times[r.doc_id] += r.times
     assert Counter(r.doc_id for r in out.collect()) == +times
     assert {(r.doc_id, r.text) for r in out.collect()} <= {(r[0], r[1]) for r in rows}
+
+
+def test_edge_slice_is_cut_again_without_change(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = Counter(map(tuple, mixing.mix_sizes(docs).collect()))
+    monkeypatch.setattr(mixing, "TIME_SLICES", 4)
+    monkeypatch.setattr(mixing, "EDGE_ITEMS", 1)
+    assert Counter(map(tuple, mixing.mix_sizes(docs).collect())) == whole

@@ -8,7 +8,8 @@ three passes.
 
 Prefix sums are made in two steps so that a source with most of the rows is spread: sums by
 (source, slice of the shuffle key), running totals over the slices, then running totals inside
-each slice.  The global cut works alike on slices of the virtual time.
+each slice.  The global cut works alike on slices of the virtual time; the slice in which the budget ends
+is cut again until at most `EDGE_ITEMS` queued documents are left in it.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source is a source of its
 own and sorts last; repeated rows queue as separate documents; an empty table gives no rows;
@@ -28,6 +29,10 @@ PASSES = 3
 #: Slices of virtual time from 0 to 1, and hex digits of the shuffle key that make a slice of a source.
 TIME_SLICES = 4096
 KEY_DIGITS = 3
+#: Queued documents that are put in order in one task to find the last one taken.
+EDGE_ITEMS = 1 << 20
+#: Beyond so many slices a double can't tell two virtual times apart.
+FINEST = 1 << 48
 
 
 def _size() -> Column:
@@ -75,6 +80,27 @@ def _queued(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("inside", F.sum("size").over(inside)).join(offsets, ["src", "part"]).withColumn("upto", F.col("offset") + F.col("inside"))
 
 
+def _slot(finish: Column, scale: int) -> Column:
+    """The slice of virtual time at ``scale`` slices a unit; all from 4 on are one, since the budget ends near 1."""
+    return F.least(F.floor(finish * scale), F.lit(4 * scale)).cast("long")
+
+
+def _edge(flat: DataFrame, budget: int) -> tuple[int, int, DataFrame, int] | None:
+    """(scale, slot, its items, words before it) of the slice where the budget ends; None if it covers everything."""
+    start, scale, inside = 0, TIME_SLICES, flat
+    while True:
+        slots = inside.groupBy(_slot(F.col("finish"), scale).alias("slot")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("items"))
+        slots = slots.withColumn("upto", F.lit(start) + F.sum("words").over(Window.orderBy("slot")))
+        edge = slots.where(F.col("upto") > budget).orderBy("slot").first()
+        if edge is None:
+            return None
+        start = edge["upto"] - edge["words"]
+        inside = flat.where(_slot(F.col("finish"), scale) == edge["slot"])
+        if edge["items"] <= EDGE_ITEMS or edge["slot"] == 4 * scale or scale >= FINEST:
+            return scale, edge["slot"], inside, start
+        scale *= TIME_SLICES
+
+
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
     """(doc_id, source, size, source_size, target, times): how often the mix takes each document.
 
@@ -87,32 +113,27 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
 
     def item(e: Column) -> Column:
         finish = (e * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
-        slot = F.least(F.floor(finish * TIME_SLICES), F.lit(4 * TIME_SLICES)).cast("long")
-        return F.struct(slot.alias("slot"), finish.alias("finish"), F.col("key"), F.col("doc_id"), e.alias("pass"))
+        return F.struct(finish.alias("finish"), F.col("key"), F.col("doc_id"), e.alias("pass"))
 
     items = F.when((F.col("size") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), item))
     queue = common.materialize(_queued(sizes, targets).withColumn("items", items), "mix-queue")
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
     flat = queue.select("size", F.explode("items").alias("i")).select("size", "i.*")
-    slots = flat.groupBy("slot").agg(F.sum("size").alias("words"))
-    slots = slots.withColumn("upto", F.sum("words").over(Window.orderBy("slot")))
-    edge = slots.where(F.col("upto") > budget).orderBy("slot").first()
+    edge = _edge(flat, budget)
     if edge is None:
         taken = F.coalesce(F.size("items"), F.lit(0))
     else:
+        scale, at, inside, start = edge
         order = ("finish", "key", "doc_id", "pass")
-        start = edge["upto"] - edge["words"]
-        last = (
-            flat.where(F.col("slot") == edge["slot"])
-            .withColumn("upto", F.lit(start) + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-            .where(F.col("upto") <= budget).orderBy(*(F.desc(c) for c in order)).first()
-        )
+        upto = F.lit(start) + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        last = inside.withColumn("upto", upto).where(F.col("upto") <= budget).orderBy(*(F.desc(c) for c in order)).first()
         within = F.lit(False)
         if last is not None:
             cut = F.struct(*(F.lit(last[c]).cast(t).alias(c) for c, t in (("finish", "double"), ("key", "string"), ("doc_id", dict(flat.dtypes)["doc_id"]), ("pass", "int"))))
         def served(i: Column) -> Column:
             at_edge = within if last is None else F.struct(*(i[c] for c in order)) <= cut
-            return (i["slot"] < edge["slot"]) | ((i["slot"] == edge["slot"]) & at_edge)
+            slot = _slot(i["finish"], scale)
+            return (slot < at) | ((slot == at) & at_edge)
         taken = F.when(F.col("items").isNull(), 0).otherwise(F.size(F.filter("items", served)))
     return queue.select("doc_id", "source", "size", "source_size", "target", taken.alias("times"))
 
