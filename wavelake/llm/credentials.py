@@ -22,8 +22,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -207,7 +209,7 @@ def _sample_runs(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 if m.end(2) - m.start(2) >= 8:
                     lines.append(f"assign\t{m[2]}")
             lines += [f"{kind}\t{text[a:b]}" for a, b, kind in found if kind != "assign"]
-            lines += [f"\t{m[0]}" for m in CANDIDATE.finditer(text or "") if not any(a < m.end() and m.start() < b for a, b, _ in found)]
+            lines += [f"\t{m[0]}" for m in _free(text or "", found)]
             out.append(lines)
         yield pd.Series(out)
 
@@ -238,13 +240,19 @@ _ORDINARY = (
 ).split()
 
 
+def _free(text: str, base: list[tuple[int, int, str]]) -> Iterator[re.Match]:
+    """The candidates that touch no base span; ``base`` is sorted by start."""
+    starts = [a for a, _, _ in base]
+    reach = [0, *accumulate((b for _, b, _ in base), max)]  # furthest end of the first k spans
+    for m in CANDIDATE.finditer(text):
+        if reach[bisect_left(starts, m.end())] <= m.start():
+            yield m
+
+
 def find_spans(text: str, model: Model, cutoff: float = CUTOFF) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans): candidates that touch a base span are left to it."""
     base = base_spans(text)
-    more = []
-    for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and model.score(m[0]) >= cutoff:
-            more.append((m.start(), m.end(), "format"))
+    more = [(m.start(), m.end(), "format") for m in _free(text, base) if model.score(m[0]) >= cutoff]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
