@@ -52,6 +52,14 @@ def test_table(spark, sf):
     check(spark, docs, items)
 
 
+@pytest.mark.parametrize("item", [5, None])
+def test_repeated_item_starting_mid_passage(spark, item):
+    # a document that begins 20 words into the long text of an id whose other text has 12 words
+    long, other = [f"w{i}" for i in range(40)], [f"o{i}" for i in range(12)]
+    docs = [(1, " ".join(long[20:]), ""), (2, " ".join(["x", *other]), ""), (3, " ".join(long[:12]), ""), (4, " ".join(other[:9]), "")]
+    check(spark, docs, [(item, " ".join(long)), (item, " ".join(other)), (6, "w30 of another id")])
+
+
 @pytest.mark.parametrize("docs,items", [([], [(1, PASSAGE)]), ([(1, PASSAGE, "")], [])])
 def test_empty(spark, docs, items):
     check(spark, docs, items)

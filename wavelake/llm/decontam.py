@@ -30,10 +30,14 @@ RAREST = 2
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """(item, words): lower-case words of each test item that has any; equal texts stay apart."""
+    """(copy, item, words): lower-case words of each test item that has any.
+
+    ``copy`` numbers the rows: an item_id may repeat or be null, and its texts stay apart by it.
+    """
     words = F.transform(common.alnum_words(F.col("text")), common.ascii_lower)
     item = F.coalesce(F.col("item_id").cast("string"), F.lit("null"))
-    return items.select(item.alias("item"), words.alias("words")).where(F.size("words") > 0)
+    rows = items.select(item.alias("item"), words.alias("words")).where(F.size("words") > 0)
+    return rows.select(F.monotonically_increasing_id().alias("copy"), "item", "words")
 
 
 def postings(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
@@ -45,33 +49,33 @@ def postings(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
 
 
 def anchors(words: DataFrame, frequency: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(term, item, p, need): for each window its rarest positions with a term that occurs at all.
+    """(term, copy, item, p, need): for each window its rarest positions with a term that occurs at all.
 
-    ``need`` is the number of distinct anchors that every window of the item has at least.  A window
+    ``need`` is the number of distinct anchors that every window of the text has at least.  A window
     with a term that never occurs in the corpus can't match and has no anchors.
     """
     n = F.size("words")
     starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-    w = words.select("item", F.monotonically_increasing_id().alias("copy"), "words", n.alias("n"), F.explode(starts).alias("start"))
-    t = w.select("item", "copy", "n", "start", F.posexplode(F.slice("words", F.col("start") + 1, window)).alias("o", "term"))
+    w = words.select("copy", "item", "words", n.alias("n"), F.explode(starts).alias("start"))
+    t = w.select("copy", "item", "n", "start", F.posexplode(F.slice("words", F.col("start") + 1, window)).alias("o", "term"))
     t = t.join(frequency, "term", "left").withColumn("p", F.col("start") + F.col("o"))
-    of_window = Window.partitionBy("item", "copy", "start")
+    of_window = Window.partitionBy("copy", "start")
     t = (
         t.withColumn("found", F.min(F.coalesce("df", F.lit(0))).over(of_window) > 0).where("found")
         # one position of a repeated term is enough: the first in the window
-        .withColumn("again", F.row_number().over(Window.partitionBy("item", "copy", "start", "term").orderBy("p"))).where("again = 1")
+        .withColumn("again", F.row_number().over(Window.partitionBy("copy", "start", "term").orderBy("p"))).where("again = 1")
         .withColumn("rank", F.row_number().over(of_window.orderBy("df", "term", "p"))).where(F.col("rank") <= rarest)
     )
-    need = t.groupBy("item", "copy", "start").count().groupBy("item").agg(F.min("count").alias("need"))
-    return t.select("term", "item", "p").distinct().join(need, "item")
+    need = t.groupBy("copy", "start").count().groupBy("copy").agg(F.min("count").alias("need"))
+    return t.select("term", "copy", "item", "p").distinct().join(need, "copy")
 
 
 def alignments(index: DataFrame, anchor: DataFrame) -> DataFrame:
-    """(doc_id, item, at): the document word where item word 0 would stand, after intersection."""
+    """(doc_id, copy, at): the document word where word 0 of the item's text would stand, after intersection."""
     votes = index.join(common.broadcast_if_small(anchor), "term")
-    votes = votes.select("doc_id", "item", "need", (F.col("pos") - F.col("p")).alias("at"), "p")
-    got = votes.groupBy("doc_id", "item", "at").agg(F.count_distinct("p").alias("anchors"), F.first("need").alias("need"))
-    return got.where("anchors >= need").select("doc_id", "item", "at")
+    votes = votes.select("doc_id", "copy", "need", (F.col("pos") - F.col("p")).alias("at"), "p")
+    got = votes.groupBy("doc_id", "copy", "at").agg(F.count_distinct("p").alias("anchors"), F.first("need").alias("need"))
+    return got.where("anchors >= need").select("doc_id", "copy", "at")
 
 
 def proximity_matches(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
@@ -81,8 +85,8 @@ def proximity_matches(index: DataFrame, anchor: DataFrame, slop: int) -> DataFra
     with at least the item's need are returned, so an inserted or lost word does not hide a passage.
     """
     votes = index.join(common.broadcast_if_small(anchor), "term")
-    votes = votes.select("doc_id", "item", "need", (F.col("pos") - F.col("p")).alias("at"), "p").distinct()
-    near = Window.partitionBy("doc_id", "item").orderBy("at").rangeBetween(0, slop)
+    votes = votes.select("doc_id", "copy", "item", "need", (F.col("pos") - F.col("p")).alias("at"), "p").distinct()
+    near = Window.partitionBy("doc_id", "copy").orderBy("at").rangeBetween(0, slop)
     seen = votes.withColumn("terms", F.size(F.collect_set("p").over(near))).where("terms >= need")
     return seen.select("doc_id", "item", "at", "terms").distinct()
 
@@ -117,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
     anchor = common.materialize(anchors(words, frequency, window, rarest), "anchors")
     index = common.materialize(postings(docs, anchor.select("term").distinct()), "postings")
     found = alignments(index, anchor)
-    found = found.join(common.broadcast_if_small(words), "item")
+    found = found.join(common.broadcast_if_small(words), "copy")
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "at", "words")).alias("__found"))
     per_doc = per_doc.select(F.col("doc_id").alias("__doc"), "__found")
     rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
