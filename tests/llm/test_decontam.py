@@ -80,3 +80,52 @@ def test_proximity(spark):
     assert {r.doc_id for r in near.collect()} == {1, 2, 3}
     exact = decontam.proximity_matches(index, decontam.anchors(w, freq, rarest=10), slop=0)
     assert {r.doc_id for r in exact.collect()} == {1}
+
+
+def brute_near(text, items):
+    """Stretches of an item's window as it is, without one word, with one inner word changed or one inserted."""
+    w, hit, found = words(text), set(), set()
+    for item, body in items:
+        b = words(body)
+        for s in range(len(b) - 9):
+            v = b[s : s + 10]
+            for at in range(len(w)):
+                for size in (9, 10, 11):
+                    d = w[at : at + size]
+                    if len(d) < size:
+                        continue
+                    changed = size == 10 and d[0] == v[0] and d[-1] == v[-1] and sum(x != y for x, y in zip(d, v, strict=True)) <= 1
+                    lost = size == 9 and any(d == v[:e] + v[e + 1 :] for e in range(10))
+                    inserted = size == 11 and any(d[:e] + d[e + 1 :] == v for e in range(1, 10))
+                    if changed or lost or inserted:
+                        hit.update(range(at, at + size))
+                        found.add("null" if item is None else str(item))
+        if 0 < len(b) < 10 and any(w[at : at + len(b)] == b for at in range(len(w))):
+            found.add("null" if item is None else str(item))
+            hit.update(x for at in range(len(w)) if w[at : at + len(b)] == b for x in range(at, at + len(b)))
+    return len(hit), tuple(sorted(found))
+
+
+def test_proximity_matches_are_verified(spark):
+    p = PASSAGE.split()
+    items = [(1, PASSAGE), (2, "a b a b a b a b a b a a b"), (None, "short one"), (4, " ".join(f"w{i}" for i in range(30)))]
+    bodies = [PASSAGE, " ".join(p[:9]), " ".join(p[:8]), " ".join(p[3:12]), "short new one", "a short one", "a b a b a a b a b a b b a", "a x b x a x b x a x b", "b a b a b a b a", " ".join(reversed(p))]
+    for e in range(10):
+        bodies += [" ".join(["x", *p[:e], "new", *p[e:10], "y"]), " ".join(["x", *p[:e], *p[e + 1 : 10], "y"]), " ".join([*p[:e], "new", *p[e + 1 : 10]])]
+    # an edit in each ten words and an edit in each five
+    for step in (10, 5):
+        bodies += [" ".join("new" if i % step == 4 else f"w{i}" for i in range(30)), " ".join(f"w{i}" for i in range(30) if i % step != 4), " ".join(f"w{i} new" if i % step == 4 else f"w{i}" for i in range(30))]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = common.materialize(decontam.contamination(docs, b), "near").collect()
+    assert {r.doc_id: (r.n_near, tuple(r.near_items)) for r in got} == {i: brute_near(t, items) for i, t in enumerate(bodies)}
+    assert all(r.n_hit <= r.n_near for r in got) and sum(r.n_near > 0 and r.n_hit == 0 for r in got) > 25
+    assert Counter(r.doc_id for r in decontam.without_contaminated(docs, b).collect()) == Counter(r.doc_id for r in got if r.n_near == 0)
+
+
+def test_proximity_with_terms_not_in_the_corpus(spark):
+    # two words of the item occur nowhere: the halves without them still find the place
+    p = PASSAGE.split()
+    docs = spark.createDataFrame([(1, " ".join(["nu" if i == 4 else x for i, x in enumerate(p[:10])]))], "doc_id long, text string")
+    row = decontam.contamination(docs, spark.createDataFrame([(1, " ".join(p[:10]))], "item_id long, text string")).first()
+    assert (row.n_hit, row.n_near, row.near_items) == (0, 10, ["1"])

@@ -3,16 +3,21 @@
 The index holds postings (term, doc_id, pos).  For every test window of `WINDOW` words the
 `RAREST` terms with the fewest postings are its anchors.  Offset-adjusted intersection: a posting
 of an anchor at item position p votes for the alignment ``pos - p`` of (document, item), and an
-alignment survives where enough distinct anchors vote for it.  Survivors are compared word by word
-with the document, which makes the phrase matches exact.  Votes for nearby alignments give
-proximity matches.
+alignment survives where the words beside the anchor agree too.  Survivors are compared word by
+word with the document, which makes the phrase matches exact.
+
+A proximity match is a window that becomes a stretch of the document by one edit: a word inserted,
+lost or changed.  One edit spares one of two anchors, and of the two words on the longer side of
+that anchor one at least stands next to it or one place off, so no such place is lost.  At a place
+found the window is compared along its alignment and the two beside it, which decides exactly.  A
+window with an edge word lost is a match of the others.
 
 What is stored and shuffled: postings of anchor terms only, since no other list is ever read (pass
 ``terms=None`` to `postings` for a whole index), and each text once for the comparison.  The
 vocabulary of the test set is broadcast only after it is counted.
 
 Defined cases: null or empty texts have no words and no matches; an item of fewer words than the
-window is one window; items without words never match; repeated doc_ids are compared row by row,
+window is one window and matches only exactly, as one word is more than a tenth of it; items without words never match; repeated doc_ids are compared row by row,
 so each row gets its own matches; a null item_id is reported as ``null``; empty tables give no
 rows or no matches; extra columns are ignored.
 """
@@ -40,8 +45,19 @@ def item_words(items: DataFrame) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("copy"), "item", "words")
 
 
-def postings(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
-    """The inverted index: (term, doc_id, pos), positions from 0; only of ``terms`` if given."""
+def _beside(words: Column, at: Column) -> Column:
+    """struct<l2, l1, r1, r2>: the words around a position, null beyond the ends."""
+    return F.struct(*(F.get(words, at + d).alias(name) for name, d in (("l2", -2), ("l1", -1), ("r1", 1), ("r2", 2))))
+
+
+def postings(docs: DataFrame, terms: DataFrame | None, beside: bool = False) -> DataFrame:
+    """The inverted index: (term, doc_id, pos), positions from 0; only of ``terms`` if given; with the words beside if asked."""
+    if beside:
+        raw = docs.select("doc_id", common.alnum_words(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode_outer("words").alias("pos", "raw"))
+        flat = raw.where("raw is not null").select(common.ascii_lower(F.col("raw")).alias("term"), "doc_id", "pos", "words")
+        flat = flat if terms is None else flat.join(common.broadcast_if_small(terms), "term")
+        around = _beside(F.col("words"), F.col("pos"))
+        return flat.select("term", "doc_id", "pos", *(common.ascii_lower(around[c]).alias(c) for c in ("l2", "l1", "r1", "r2")))
     # the outer form: Spark derives a filter from the inner one that would split every text again
     raw = docs.select("doc_id", F.posexplode_outer(common.alnum_words(F.col("text"))).alias("pos", "raw")).where("raw is not null")
     flat = raw.select(common.ascii_lower(F.col("raw")).alias("term"), "doc_id", "pos")
@@ -52,16 +68,16 @@ def anchors(words: DataFrame, frequency: DataFrame, window: int = WINDOW, rarest
     """(term, copy, item, p, need): for each window its rarest positions with a term that occurs at all.
 
     ``need`` is the number of distinct anchors that every window of the text has at least.  A window
-    with a term that never occurs in the corpus can't match and has no anchors.
+    with more words that never occur in the corpus than the one an edit explains can't match and has
+    no anchors.
     """
-    n = F.size("words")
-    starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-    w = words.select("copy", "item", "words", n.alias("n"), F.explode(starts).alias("start"))
-    t = w.select("copy", "item", "n", "start", F.posexplode(F.slice("words", F.col("start") + 1, window)).alias("o", "term"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
+    w = words.select("copy", "item", "words", F.explode(starts).alias("start"))
+    t = w.select("copy", "item", "start", F.when(F.size("words") >= window, 1).otherwise(0).alias("edits"), F.posexplode(F.slice("words", F.col("start") + 1, window)).alias("o", "term"))
     t = t.join(frequency, "term", "left").withColumn("p", F.col("start") + F.col("o"))
     of_window = Window.partitionBy("copy", "start")
     t = (
-        t.withColumn("found", F.min(F.coalesce("df", F.lit(0))).over(of_window) > 0).where("found")
+        t.withColumn("absent", F.count_if(F.col("df").isNull()).over(of_window)).where("absent <= edits and df is not null")
         # one position of a repeated term is enough: the first in the window
         .withColumn("again", F.row_number().over(Window.partitionBy("copy", "start", "term").orderBy("p"))).where("again = 1")
         .withColumn("rank", F.row_number().over(of_window.orderBy("df", "term", "p"))).where(F.col("rank") <= rarest)
@@ -70,17 +86,28 @@ def anchors(words: DataFrame, frequency: DataFrame, window: int = WINDOW, rarest
     return t.select("term", "copy", "item", "p").distinct().join(need, "copy")
 
 
-def alignments(index: DataFrame, anchor: DataFrame) -> DataFrame:
-    """(doc_id, copy, at): the document word where word 0 of the item's text would stand, after intersection."""
+def alignments(index: DataFrame, anchor: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, copy, at): the document word where word 0 of the item's text would stand, after intersection.
+
+    A vote stays where one of the two words on a side of the anchor is one of the two there in the item.
+    """
+    around = _beside(F.col("words"), F.col("p"))
+    anchor = anchor.join(common.broadcast_if_small(words.select("copy", "words")), "copy")
+    anchor = anchor.select("term", "copy", "p", (F.size("words") == 1).alias("alone"), *(around[c].alias(f"w_{c}") for c in ("l2", "l1", "r1", "r2")))
     votes = index.join(common.broadcast_if_small(anchor), "term")
-    votes = votes.select("doc_id", "copy", "need", (F.col("pos") - F.col("p")).alias("at"), "p")
-    got = votes.groupBy("doc_id", "copy", "at").agg(F.count_distinct("p").alias("anchors"), F.first("need").alias("need"))
-    return got.where("anchors >= need").select("doc_id", "copy", "at")
+    same = F.lit(False)
+    for a, b in (("r1", "r2"), ("l1", "l2")):
+        for x in (a, b):
+            for y in (a, b):
+                same = same | F.coalesce(F.col(x) == F.col(f"w_{y}"), F.lit(False))
+    return votes.where(F.col("alone") | same).select("doc_id", "copy", (F.col("pos") - F.col("p")).alias("at")).distinct()
 
 
 def proximity_matches(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
     """(doc_id, item, at, terms): places where distinct anchors of an item vote for alignments within ``slop``.
 
+    Votes only, for a whole index and many anchors; `contamination` verifies its proximity matches.
+
     ``terms`` is the number of distinct anchors voting for alignments ``at`` to ``at + slop``; places
     with at least the item's need are returned, so an inserted or lost word does not hide a passage.
     """
@@ -113,32 +140,91 @@ def _matches(raw: Column, found: Column, window: int) -> Column:
     return F.flatten(F.transform(F.coalesce(found, F.array()), hits))
 
 
+def _near_matches(raw: Column, found: Column, window: int) -> Column:
+    """array<struct<item, start, len>>: stretches one edit at most from a window, by the alignments in ``found``."""
+
+    def near(a: Column) -> Column:
+        n = F.lit(window)
+
+        def odd(shift: int) -> Column:
+            # positions of the item whose word differs from the document's, null where it is the same
+            return F.transform(a["words"], lambda x, i: F.when(common.ascii_lower(F.get(raw, a["at"] + shift + i)).eqNullSafe(x), F.lit(None).cast("int")).otherwise(i))
+
+        def of_window(s: Column, odds: Column) -> Column:
+            def ends(name: str) -> tuple[Column, Column]:
+                part = F.slice(odds[name], s + 1, n)
+                return F.coalesce(F.array_min(part) - s, n), F.coalesce(s + n - 1 - F.array_max(part), n)
+
+            def stretches(e: Column) -> Column:
+                head, tail, at = e["head"], e["tail"], a["at"] + s
+                lost_first, lost_last = (head == 0) & (tail == n - 1), (head == n - 1) & (tail == 0)
+                stretch = lambda start, size: F.struct(a["item"].alias("item"), start.cast("int").alias("start"), size.cast("int").alias("len"))
+                return F.array_compact(F.array(
+                    # the same, or one word changed
+                    F.when(lost_first, stretch(at + 1, n - 1)).when(lost_last, stretch(at, n - 1)).when(head + tail >= n - 1, stretch(at, n)),
+                    # a word lost, the longer part before it or after it
+                    F.when(head + e["tail_left"] >= n - 1, stretch(at, n - 1)),
+                    F.when(e["head_right"] + tail >= n - 1, stretch(at + 1, n - 1)),
+                    # a word inserted between two words of the window
+                    F.when((head + e["tail_right"] >= n) & (head > 0) & (e["tail_right"] > 0), stretch(at, n + 1)),
+                    F.when((e["head_left"] + tail >= n) & (e["head_left"] > 0) & (tail > 0), stretch(at - 1, n + 1)),
+                ))
+
+            names = {"": "here", "_left": "left", "_right": "right"}
+            both = [c for suffix, name in names.items() for c in zip(ends(name), ("head" + suffix, "tail" + suffix), strict=True)]
+            return common.let(F.struct(*(c.alias(name) for c, name in both)), stretches)
+
+        def windows(odds: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.size(a["words"]) - n)
+            return F.flatten(F.transform(starts, lambda s: of_window(s, odds)))
+
+        odds = F.struct(odd(0).alias("here"), odd(-1).alias("left"), odd(1).alias("right"))
+        return F.when(F.size(a["words"]) >= n, common.let(odds, windows)).otherwise(F.array().cast("array<struct<item:string,start:int,len:int>>"))
+
+    return F.flatten(F.transform(F.coalesce(found, F.array()), near))
+
+
+def _covered(stretches: str) -> Column:
+    """The number of words in the stretches, each counted once."""
+    at = F.flatten(F.transform(stretches, lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
+    return F.size(F.array_distinct(at)).cast("long")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """All columns of ``docs`` with n_words, hits: array<struct<item, start, len>>, n_hit and items."""
+    """All columns of ``docs`` with n_words and what was found in them.
+
+    Exact matches: hits: array<struct<item, start, len>>, n_hit (words in them) and items.  Proximity
+    matches, which include the exact ones: near, n_near and near_items likewise; they are complete for
+    windows of three words and two anchors at least.
+    """
     words = common.materialize(item_words(items), "items")
     vocabulary = words.select(F.explode("words").alias("term")).distinct()
     frequency = common.materialize(postings(docs, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
     anchor = common.materialize(anchors(words, frequency, window, rarest), "anchors")
-    index = common.materialize(postings(docs, anchor.select("term").distinct()), "postings")
-    found = alignments(index, anchor)
+    index = common.materialize(postings(docs, anchor.select("term").distinct(), beside=True), "postings")
+    found = alignments(index, anchor, words)
     found = found.join(common.broadcast_if_small(words), "copy")
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "at", "words")).alias("__found"))
     per_doc = per_doc.select(F.col("doc_id").alias("__doc"), "__found")
     rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
     rows = rows.withColumn("__raw", common.alnum_words(F.col("text")))
-    rows = rows.withColumn("hits", F.when(F.col("__found").isNull(), F.array().cast("array<struct<item:string,start:int,len:int>>")).otherwise(_matches(F.col("__raw"), F.col("__found"), window)))
-    covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
+    none = F.array().cast("array<struct<item:string,start:int,len:int>>")
+    rows = rows.withColumn("hits", F.when(F.col("__found").isNull(), none).otherwise(_matches(F.col("__raw"), F.col("__found"), window)))
+    near = F.array_distinct(F.concat("hits", _near_matches(F.col("__raw"), F.col("__found"), window)))
+    rows = rows.withColumn("near", F.when(F.col("__found").isNull(), none).otherwise(near))
     return rows.withColumns({
         "n_words": F.size("__raw").cast("long"),
-        "n_hit": F.size(F.array_distinct(covered)).cast("long"),
+        "n_hit": _covered("hits"),
         "items": F.array_sort(F.array_distinct(F.col("hits.item"))),
+        "n_near": _covered("near"),
+        "near_items": F.array_sort(F.array_distinct(F.col("near.item"))),
     }).drop("__raw", "__found")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no window of ``items`` occurs in."""
+    """The rows of ``docs`` that no window of ``items`` occurs in, as it is or with one word inserted, lost or changed."""
     rows = contamination(docs.select("doc_id", "text", F.struct("*").alias("row")), items)
-    return rows.where("n_hit = 0").select("row.*")
+    return rows.where("n_near = 0").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
