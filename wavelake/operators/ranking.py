@@ -8,7 +8,9 @@ no single task sorts everything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
@@ -108,6 +110,11 @@ def budget_thresholds(counts: DataFrame, budgets: tuple[float, ...], hours: floa
     return neg.agg(F.array(*one).alias("b")).select(F.explode("b").alias("b")).select("b.*")
 
 
+def lowest_alarm(row: Row) -> float:
+    """The threshold of a row of `budget_thresholds` for alarms at or above it: the next double where ``strict``."""
+    return math.nextafter(row["threshold"], math.inf) if row["strict"] else row["threshold"]
+
+
 def top_share(df: DataFrame, score: str, label: str, tie: str, shares: tuple[float, ...]) -> DataFrame:
     """(share, k, captured, precision, recall) of the k = max(1, round(n share)) highest scores, ties by ``tie``.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import blend, parse_fraction
 from .metrics import alert_metrics, confusion_metrics, event_metrics
+from .ranking import budget_thresholds, lowest_alarm, roc_auc, score_counts
 from .windows import causal_mean
 
 
@@ -95,17 +96,23 @@ def smoothing_score(detected: Column, sensitivity: Column, recall: Column, balan
     return 200.0 * detected + 40.0 * sensitivity + 20.0 * recall + 5.0 * balanced + F.coalesce(no_nan(auc), F.lit(0.0)) - 0.05 * alarms
 
 
-def smoothing_grid(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, label: str, threshold: float, ks: Sequence[int] = DEFAULT.smoothing_windows) -> DataFrame:
-    """(k, detected_events, event_sensitivity, recall, balanced_accuracy, false_alarms_per_hour, value) per smoothing."""
+def smoothing_grid(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, label: str, budget: float = DEFAULT.alarm_budget_per_hour, ks: Sequence[int] = DEFAULT.smoothing_windows, stride_seconds: float = 5.0) -> DataFrame:
+    """(k, threshold, detected_events, event_sensitivity, recall, balanced_accuracy, false_alarms_per_hour, auc, value) per smoothing.
+
+    Each smoothed score has its own threshold, by `budget_thresholds` at ``budget`` alarms per hour.
+    """
     out = None
+    hours = max(windows.count() * stride_seconds / 3600.0, 1e-9)
     for k in ks:
         smooth = causal_mean(windows, keys, ["window_idx"], score, k, "__s")
+        counts = score_counts(smooth, "__s", label)
+        threshold = lowest_alarm(budget_thresholds(counts, (budget,), hours).first())
         ev = event_metrics(smooth, events, keys, "__s", label, threshold)
-        cm = confusion_metrics(smooth, "__s", label, threshold)
-        row = ev.select("detected_events", "event_sensitivity").join(F.broadcast(cm.select("recall", "balanced_accuracy", "false_alarms_per_hour")), F.lit(True))
-        row = row.withColumn("k", F.lit(int(k)))
+        cm = confusion_metrics(smooth, "__s", label, threshold, stride_seconds)
+        row = ev.select("detected_events", "event_sensitivity").join(F.broadcast(cm.select("threshold", "recall", "balanced_accuracy", "false_alarms_per_hour")), F.lit(True))
+        row = row.join(F.broadcast(roc_auc(counts)), F.lit(True)).withColumn("k", F.lit(int(k)))  # one row each
         out = row if out is None else out.unionByName(row)
-    value = smoothing_score(F.col("detected_events"), F.col("event_sensitivity"), F.col("recall"), F.col("balanced_accuracy"), F.lit(0.0), F.col("false_alarms_per_hour"))
+    value = smoothing_score(F.col("detected_events"), F.col("event_sensitivity"), F.col("recall"), F.col("balanced_accuracy"), F.col("auc"), F.col("false_alarms_per_hour"))
     return out.withColumn("value", value)
 
 

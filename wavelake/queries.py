@@ -328,7 +328,7 @@ def _(spark, sf):
 
 @query("smoothing_grid")
 def _(spark, sf):
-    return selection.smoothing_grid(scored(spark, sf), merged(spark, sf), KEY, "p", "label", HOT, (1, 3, 5))
+    return selection.smoothing_grid(scored(spark, sf), merged(spark, sf), KEY, "p", "label", ks=(1, 3, 5))
 
 
 @query("refractory_grid")
