@@ -27,15 +27,23 @@ def scored_windows(samples: DataFrame, keys: Sequence[str], order: Sequence[str]
         "start_s": F.min_by("t_s", "i"), "end_s": F.max_by("t_s", "i"), "p": F.max(score), "label": windows.window_label()})
 
 
-def budget_report(scored: DataFrame, events: DataFrame, keys: Sequence[str], config: EngineConfig = DEFAULT, stride_seconds: float = 5.0) -> DataFrame:
-    """One row per alarm budget: threshold on the negatives, window metrics and event metrics at it."""
-    n = scored.count()
+def budget_report(val: DataFrame, test: DataFrame, events: DataFrame, keys: Sequence[str], config: EngineConfig = DEFAULT, stride_seconds: float = 5.0, refractory_minutes: float = 0.0) -> DataFrame:
+    """One row per alarm budget: threshold on the negatives of ``val``; window, event and alert metrics of ``test`` at it.
+
+    ``events`` are those of the test sessions.  Alerts keep the refractory time; their columns that event
+    metrics have too start with ``alert_``.
+    """
+    n = val.count()
     hours = max(n * stride_seconds / 3600.0, 1e-9)
-    counts = ranking.score_counts(scored, "p", "label")
-    thresholds = {str(r.budget): r.threshold for r in ranking.budget_thresholds(counts, config.alarm_budgets, hours, config).collect()}
-    cm = metrics.over_thresholds(scored, thresholds, "budget", "p", "label", stride_seconds)
+    counts = ranking.score_counts(val, "p", "label")
+    thresholds = {str(r.budget): ranking.lowest_alarm(r) for r in ranking.budget_thresholds(counts, config.alarm_budgets, hours, config).collect()}
+    cm = metrics.over_thresholds(test, thresholds, "budget", "p", "label", stride_seconds)
+    lock = round(max(refractory_minutes, 0.0) * 60.0 / stride_seconds)
     out = None
     for name, t in thresholds.items():
-        ev = metrics.event_metrics(scored, events, keys, "p", "label", t).select(F.lit(name).alias("budget"), "event_count", "detected_events", "event_sensitivity", "ci95_low", "ci95_high")
-        out = ev if out is None else out.unionByName(ev)
+        ev = metrics.event_metrics(test, events, keys, "p", "label", t).select(F.lit(name).alias("budget"), "event_count", "detected_events", "event_sensitivity", "ci95_low", "ci95_high")
+        al = metrics.alert_metrics(test, events, keys, "p", t, lock, stride_seconds).select(
+            "alerts", "true_alerts", "false_alerts", F.col("detected_events").alias("alert_detected_events"), F.col("event_sensitivity").alias("alert_event_sensitivity"), "false_alerts_per_hour")
+        row = ev.join(F.broadcast(al), F.lit(True))  # one row each
+        out = row if out is None else out.unionByName(row)
     return cm.join(F.broadcast(out), "budget").withColumn("budget", F.col("budget").cast("double"))  # a row per budget

@@ -649,7 +649,10 @@ def _(spark, sf):
 
 @query("budget_report")
 def _(spark, sf):
-    return detection.budget_report(scored(spark, sf), merged(spark, sf), KEY)
+    w, ev = scored(spark, sf), merged(spark, sf)
+    users = splits.patient_split(w.select("user_id", "label"), "user_id", "label")
+    of = lambda rows, part: rows.join(users.where(F.col("split") == part), KEY, "left_semi")
+    return detection.budget_report(of(w, "val"), of(w, "test"), of(ev, "test"), KEY, refractory_minutes=1.0)
 
 
 @query("horizon_report")
