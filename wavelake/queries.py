@@ -676,6 +676,9 @@ def _(spark, sf):
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return online.read_stream(spark, f"{sf}/events.parquet", "*", schema)  # every file that a batch reads
     return online.read_stream(spark, sf, "events.parquet", schema)
 
 
