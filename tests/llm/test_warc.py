@@ -6,6 +6,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from wavelake.llm import common, warc
 
 
@@ -80,3 +81,23 @@ def test_table_rules(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(pages, common.scratch(spark, "warc"))).count() == 0
+
+
+@pytest.mark.parametrize("few,hot", [(100, 100), (0, 100), (0, 3)])
+def test_repeated_payloads_by_every_join(spark, few, hot):
+    rows = [(i, f"u{i}", f"{'x' * 120}{i % 3 if i % 2 else 9}", 1) for i in range(60)] + [(100 + i, None, "short", 1) for i in range(20)] + [(200 + i, "v", f"{i}" * 150, 1) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(4)
+    least = {}
+    for page, _, html, _ in rows:
+        if len(html) >= 100:
+            least[html] = min(page, least.get(html, page))
+    got = sorted((r.page_id, r.url, bytes(r.payload).decode(), r.refers_to) for r in warc.with_revisits(pages, few, hot).collect())
+    assert got == sorted(((p, u, h, least[h] if p > least.get(h, p) else None) for p, u, h, _ in rows), key=lambda r: r[0])
+
+
+def test_archives_are_read_by_a_task_each(spark):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("text "), 50).alias("html")).repartition(4)
+    archives = warc.write_archives(pages, common.scratch(spark, "warc"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and archives.count() == 4
+    back = warc.read_archives(archives)
+    assert back.rdd.getNumPartitions() == 4 and back.count() == 40

@@ -1,13 +1,16 @@
 """Operator 4: WARC archives compressed by Zstandard, one frame per record, and their reader.
 
 Writing.  Payloads are compared by SHA-256; of equal payloads of at least `LEAST_REVISIT` bytes the row
-with the smallest page_id is a ``response`` record and the others ``revisit`` it.  Each task streams its
-rows into archives of bounded size.  An archive begins with a skippable frame that holds a dictionary
-trained on its own first records (themselves compressed), then has one frame per record.
+with the smallest page_id is a ``response`` record and the others ``revisit`` it.  Only digests that
+repeat are joined: by broadcast while they are few, else payloads of at least the bound are shuffled
+once, those of a digest with many rows over several tasks.  Each task streams its rows into archives
+of bounded size.  An archive begins with a skippable frame that holds a dictionary trained on its own
+first records (themselves compressed), then has one frame per record.
 
-Reading.  A task takes whole archives and streams them: it loads the dictionary from the leading
-skippable frame, finds each frame's end from its block headers, decodes it alone, and validates the
-frame's checksum, the record's headers, lengths and digests.  Memory holds a chunk and a record.
+Reading.  Archives are dealt out, one to a task where there are as many tasks, and streamed: the reader
+loads the dictionary from the leading skippable frame, finds each frame's end from its block headers,
+decodes it alone, and validates the frame's checksum, the record's headers, lengths and digests.
+Memory holds a chunk and a record.
 
 Archives are files in the shared folder, opened through ``pyarrow.fs``; a task writes under a name of
 its attempt and renames at the end, so a repeated task replaces its file as a whole.
@@ -38,6 +41,8 @@ from . import common
 LEAST_REVISIT = 100
 #: Bytes of records that an archive's dictionary is trained on, of the dictionary, and of records in an archive.
 SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES = 2 << 20, 64 << 10, 256 << 20
+#: Repeated digests that are broadcast (about a hundred bytes each), and rows of one digest that a task takes.
+FEW_DIGESTS, HOT_ROWS = 100_000, 10_000
 CHUNK = 1 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -203,14 +208,22 @@ def read_archive(stream) -> Iterator[dict]:
         at, place = at + size, place + size
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to).  The payload is shuffled once, by its digest."""
+def with_revisits(pages: DataFrame, few: int = FEW_DIGESTS, hot: int = HOT_ROWS) -> DataFrame:
+    """(page_id, url, payload, digest, refers_to).  At most ``few`` repeated digests are broadcast."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    large = pages.select(F.col("page_id").cast("long"), payload.alias("payload")).where(F.octet_length("payload") >= LEAST_REVISIT)
-    first = large.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
-    return rows.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    large = F.octet_length("payload") >= LEAST_REVISIT
+    first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = common.materialize(first, "digests")
+    refers = F.when(large & (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to")
+    columns = ("page_id", "url", "payload", "digest")
+    if first.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(first.drop("n")), "digest", "left").select(*columns, refers)
+    # a digest of many rows has its own entry for each of several parts, which its rows are dealt to
+    parts = common.broadcast_if_small(first.where(F.col("n") > hot).select("digest", F.ceil(F.col("n") / hot).alias("parts")))
+    dealt = rows.where(large).join(parts, "digest", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))))
+    each = first.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / hot) - 1)).alias("part"))
+    return dealt.join(each, ["digest", "part"], "left").select(*columns, refers).unionByName(rows.where(~large).select(*columns, F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -267,8 +280,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema).select(names)
 
-    # an archive is the unit of work: deal them out one by one
-    return archives.select("path").repartition("path").mapInArrow(read, RECORDS)
+    # an archive is the unit of work: with a number, adaptive execution does not merge the tasks again
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(read, RECORDS)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
