@@ -53,10 +53,27 @@ def test_empty(spark):
 
 
 def test_parts_do_not_change_ids(coder, monkeypatch):
-    text = " ".join(random.Random(1).choices(["alpha,", "be", "gamma.", "\nNew", "12", "isn't", "é"], k=3000))
-    whole = coder.encode(text)
-    monkeypatch.setattr(packing, "PART", 50)
-    assert len(list(coder.parts(text))) > 50 and np.array_equal(coder.encode(text), whole)
+    rng = random.Random(1)
+    bits = ["alpha,", "be", "gamma.", "\nNew", "12", "isn't", "é", " ", "  ", "\n\n", "\t \t", "\u3000", "\x85 ", "\x1c\x1c\x1c\x1c"]
+    monkeypatch.setattr(packing, "LONG_SPACE", 3)
+    for _ in range(300):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 40)))
+        parts = list(coder.parts(text))
+        assert "".join(p for p, _ in parts) == text
+        assert coder.encode(text).tolist() == [*coder.coder.encode(text), coder.eot]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "0123456789", "абвгдежзиклмн", "的一是不了人我在有他", "#$%&"])
+def test_long_runs_are_encoded_whole(coder, alphabet):
+    text = "".join(random.Random(3).choices(alphabet, k=600_000))
+    ids = coder.encode(text)
+    assert ids.tolist() == [*coder.coder.encode(text), coder.eot] and coder.decode(ids[:-1]) == text
+
+
+def test_white_space_longer_than_the_pattern_can_match(coder):
+    text = "a" + " " * 2_000_000 + "b" + "\n" * 1_500_000
+    assert coder.decode(coder.encode(text)[:-1]) == text
+
 
 
 def brute_fit(lengths, size):

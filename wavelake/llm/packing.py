@@ -1,6 +1,6 @@
 """Operator 5: token ids, packed by best-fit decreasing into fixed-length rows and written as binary shards.
 
-Each text becomes byte-pair ids plus an end-of-text id.  Documents longer than a row are split
+Each text becomes byte-pair ids plus an end-of-text id, encoded whole whatever its length.  Documents longer than a row are split
 into full rows and a rest; nothing is cut off.  A task gathers blocks of about `BLOCK` ids, sorts
 their segments by length, and puts each where the least sufficient room is left, found by a
 segment tree over remaining capacities.  A block is one shard of three little-endian files:
@@ -21,12 +21,13 @@ The tokenizer file is read by the driver (`VOCABULARY_BYTES` at most) and sent t
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,14 @@ VOCABULARY, VOCABULARY_BYTES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 16 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Ids of a row, and of a block.
 LENGTH, BLOCK = 2048, 4 << 20
-#: Texts are encoded in parts of at least so many characters, cut where a new piece begins anyway.
-PART, LONGEST_PART = 50_000, 500_000
-_CUT = re.compile(r"(?<=[A-Za-z.,])(?= [A-Za-z])")
+#: Runs of white space from this length on are encoded apart, which the piece pattern's look-ahead could not.
+LONG_SPACE = 100_000
+
+
+@cache
+def _spaces(least: int) -> regex.Pattern:
+    return regex.compile(rf"\p{{White_Space}}{{{least},}}+")
+
 
 MANIFEST = "segment int, n_segments int, n_tokens int, shard string, row int, start int, item int"
 
@@ -54,18 +60,23 @@ class Tokenizer:
         self.eot = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2" if self.eot < 1 << 16 else "<u4")
         self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text in parts that no piece lies across, and whether a part is one piece.
 
-    def parts(self, text: str) -> Iterator[str]:
+        By the pattern a run of white space is one piece, less its last character if a word follows.
+        """
         at = 0
-        while len(text) - at > PART:
-            cut = _CUT.search(text, at + PART, at + LONGEST_PART)
-            to = cut.start() if cut else min(at + LONGEST_PART, len(text))
-            yield text[at:to]
-            at = to
-        yield text[at:]
+        for run in _spaces(LONG_SPACE).finditer(text) if len(text) >= LONG_SPACE else ():
+            end = run.end() - (run.end() < len(text))
+            yield text[at : run.start()], False
+            yield text[run.start() : end], True
+            at = end
+        yield text[at:], False
 
     def encode(self, text: str) -> np.ndarray:
-        ids = [self.coder.encode_to_numpy(p, disallowed_special=()) for p in self.parts(text)]
+        ids = [(self.whole if single else self.coder).encode_to_numpy(p, disallowed_special=()) for p, single in self.parts(text)]
         return np.concatenate([*ids, np.array([self.eot])]).astype(self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -240,6 +251,8 @@ def read_packed(manifest: DataFrame, folder: str, length: int = LENGTH, dtype: s
                     })
 
     shards = manifest.select("shard").distinct()
+    # with a number, adaptive execution does not merge the tasks again
+    shards = shards.repartition(max(1, shards.count()))
     return shards.mapInArrow(run, "shard string, row int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>")
 
 
