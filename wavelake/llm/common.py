@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,22 +39,21 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows`` rows; beyond that Spark shuffles.
-
-    For tables whose rows are narrow: the bound in bytes is ``max_rows`` times a row's width.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only after counting at most ``max_rows`` rows of ``max_bytes`` as text; beyond that Spark shuffles."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))
+    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= max_bytes else df
 
 
-def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows with the n least hashes of ``key``: the same at every run, whatever the partitions.
+def sample_by_hash(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The rows with the n least hashes of ``keys``, n at most: the same at every run, whatever the partitions.
 
-    Only keys are sorted; the cut then filters the scan.  Rows that repeat a key stay together.
+    Only hashes are sorted; the cut then filters the scan.  Of rows equal in ``keys`` one stays.
     """
-    h = F.xxhash64(key)
+    h = F.xxhash64(*keys)
     cut = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return df.where(h <= (0 if cut is None else cut))
+    return df.where(h <= (0 if cut is None else cut)).dropDuplicates([*keys])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

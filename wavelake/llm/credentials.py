@@ -1,15 +1,17 @@
 """Operator 10: find secrets by fixed patterns and by inferred token formats.
 
-Base patterns give spans of three kinds.  The values found that way in a bounded sample, and
+Base patterns give spans of three kinds.  The values found that way in a bounded sample (`SAMPLE_DOCS`
+documents, `SAMPLE_RUNS` distinct values and as many ordinary runs, none over `LONGEST` characters), and
 credentials drawn from published formats, are the labelled credentials: for each format a
 prefix tree of their character classes is merged into a probabilistic automaton by the ALERGIA
 rule (Carrasco and Oncina, 1994): two states are merged if their numbers of endings and of each
 successor could, by the Hoeffding bound, come from one distribution, and if all their successors
 can be merged too.
 
-All other candidates, runs of credential characters, are scored by the likelihood ratio per
-character of the best format against an automaton inferred from ordinary runs of the same sample.
-Candidates over `CUTOFF` are spans of kind ``format``.
+All other candidates are scored whole by the likelihood ratio per character of the best format against
+an automaton inferred from ordinary runs of the same sample.  Candidates are the runs of credential
+characters that base spans leave free, and where a run is none, its parts between slashes, dots, plus
+and equals signs.  Those over `CUTOFF` are spans of kind ``format``.
 
 Defined cases: null text is empty; repeated rows get equal results; a null doc_id is a value like
 any other; an empty table gives no rows; other columns are ignored.  The models are a few kilobytes
@@ -22,10 +24,8 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -40,25 +40,34 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9_-]{16,}")
 
-#: Documents of the sample that formats and ordinary runs are learned from, and runs kept of it.
-SAMPLE_DOCS, SAMPLE_RUNS = 4000, 4000
+#: Least length of a candidate.
+SHORTEST = 16
+#: Bounds of the sample that formats and ordinary runs are learned from: documents, distinct labelled values
+#: and distinct ordinary runs, and the length of a run that is learned from (longer ones are scored all the same).
+SAMPLE_DOCS, SAMPLE_RUNS, LONGEST = 4000, 4000, 256
 #: Merging: Hoeffding level; least visits of a state that a test is made on.
 ALPHA, LEAST = 0.01, 10
 #: Log-likelihood ratio per character from which a candidate is a secret, and the least format score.
 CUTOFF = 0.5
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Published credential formats as (fixed beginning, alphabet, length of the rest).
+_ALL = _DIGITS + _LOWER + _UPPER
+#: Published credential formats as fixed text, alphabet and length of what is drawn, and so on.
 FORMATS = {
-    "version-control token": ("ghp_", _DIGITS + _LOWER + _UPPER, 36),
-    "payment key": ("sk_live_", _DIGITS + _LOWER + _UPPER, 24),
-    "chat token": ("xoxb-", _DIGITS, 24),
-    "map key": ("AIza", _DIGITS + _LOWER + _UPPER + "_-", 35),
-    "package token": ("npm_", _DIGITS + _LOWER + _UPPER, 36),
-    "web token": ("eyJ", _DIGITS + _LOWER + _UPPER + "_-", 60),
+    "version-control token": ("ghp_", _ALL, 36),
+    "fine-grained token": ("github_pat_", _ALL, 22, "_", _ALL, 59),
+    "repository token": ("glpat-", _ALL + "_-", 20),
+    "payment key": ("sk_live_", _ALL, 24),
+    "chat token": ("xoxb-", _DIGITS, 12, "-", _DIGITS, 12, "-", _ALL, 24),
+    "map key": ("AIza", _ALL + "_-", 35),
+    "package token": ("npm_", _ALL, 36),
+    "project key": ("sk-proj-", _ALL + "_-", 48),
+    "mail key": ("SG.", _ALL + "_-", 22, ".", _ALL + "_-", 43),
+    "web token": ("eyJ", _ALL + "_-", 33, ".eyJ", _ALL + "_-", 77, ".", _ALL + "_-", 43),
     "access key": ("AKIA", _DIGITS + _UPPER, 16),
-    "secret key": ("", _DIGITS + _LOWER + _UPPER + "+/", 40),
+    "secret key": ("", _ALL + "+/", 40),
 }
 PER_FORMAT, SEED = 400, 17
 
@@ -183,7 +192,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def exemplars(seed: int = SEED, each: int = PER_FORMAT) -> dict[str, list[str]]:
     """Labelled credentials drawn from the published formats."""
     rng = random.Random(seed)
-    return {name: [start + "".join(rng.choices(alphabet, k=n)) for _ in range(each)] for name, (start, alphabet, n) in FORMATS.items()}
+
+    def draw(parts: tuple) -> str:
+        return "".join(text + "".join(rng.choices(letters, k=n)) for text, letters, n in zip(parts[::3], parts[1::3], parts[2::3], strict=True))
+
+    return {name: [draw(parts) for _ in range(each)] for name, parts in FORMATS.items()}
 
 
 class Model:
@@ -204,34 +217,39 @@ def _sample_runs(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in texts:
         out = []
         for text in series:
-            found, lines = base_spans(text or ""), []
-            for m in ASSIGN.finditer(text or ""):
-                if m.end(2) - m.start(2) >= 8:
-                    lines.append(f"assign\t{m[2]}")
-            lines += [f"{kind}\t{text[a:b]}" for a, b, kind in found if kind != "assign"]
-            lines += [f"\t{m[0]}" for m in _free(text or "", found)]
-            out.append(lines)
+            text = text or ""
+            found = base_spans(text)
+            lines = [("assign", m[2]) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+            lines += [(kind, text[a:b]) for a, b, kind in found if kind != "assign"]
+            lines += [("", text[a:b]) for a, b in _free(text, found)]
+            out.append([f"{kind}\t{run}" for kind, run in lines if len(run) <= LONGEST])
         yield pd.Series(out)
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Infer the automata from at most ``sample_docs`` documents, the least by hash of their id."""
-    chosen = common.sample_by_hash(docs.select("doc_id", "text"), "doc_id", sample_docs)
+    """Infer the automata from at most ``sample_docs`` documents, the least by hash of id and text."""
+    chosen = common.sample_by_hash(docs.select("doc_id", "text"), ["doc_id", "text"], sample_docs)
     lines = F.pandas_udf(_sample_runs, "array<string>")
     runs = chosen.select(F.explode(lines("text")).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    rows = runs.orderBy(F.desc("n"), F.xxhash64("run"), "run").limit(SAMPLE_RUNS).collect()
-    credentials, ordinary = defaultdict(list, exemplars()), []
-    for run, n in rows:
-        kind, _, value = run.partition("\t")
-        if kind:
-            credentials[kind] += [value[:200]] * n
-        else:
-            ordinary += [value[:200]] * n
-    ordinary += ["/".join(w) for w in zip(_ORDINARY, _ORDINARY[3:], strict=False)] + ["_".join(w) for w in zip(_ORDINARY, _ORDINARY[1:], _ORDINARY[5:], strict=False)]
-    ordinary += [w * k for w in "=-._" for k in range(16, 80)]
+    ordinary_run = F.col("run").startswith("\t")
+    credentials, ordinary = defaultdict(list, exemplars()), ordinary_exemplars()
+    for part in (runs.where(~ordinary_run), runs.where(ordinary_run)):
+        for run, n in part.orderBy(F.desc("n"), F.xxhash64("run"), "run").limit(SAMPLE_RUNS).collect():
+            kind, _, value = run.partition("\t")
+            (credentials[kind] if kind else ordinary).extend([value] * n)
     return Model({k: sorted(v) for k, v in credentials.items()}, sorted(ordinary))
 
 
+def ordinary_exemplars() -> list[str]:
+    """Runs that are no credentials whatever the sample: paths, dates, names, constants and rules of marks."""
+    pairs, triples = [*zip(_ORDINARY, _ORDINARY[3:], strict=False)], [*zip(_ORDINARY, _ORDINARY[1:], _ORDINARY[5:], strict=False)]
+    words = ["/".join(w) for w in pairs] + ["_".join(w) for w in triples] + ["-".join(w) for w in pairs] + [".".join(w) for w in pairs] + ["".join(w) for w in pairs]
+    names = ["".join(x.title() for x in w) for w in triples] + ["_".join(w).upper() for w in triples] + ["".join(w).upper() for w in pairs]
+    days = [f"{1990 + i % 40}{mark}{i % 12 + 1:02d}{mark}{i % 28 + 1:02d}" for i in range(84) for mark in "-/"]
+    dated = [x for i, day in enumerate(days) for a, b in [pairs[i % len(pairs)]] for x in (f"/{a}/{b}/{day}/{b}.html", f"{day}-{a}-{b}", f"{a}-{b}-{day}", f"{a}_{i}.{i % 10}.{i % 7}", f"/{a}/{day[:7]}/{b}{i}.html")]
+    return words + names + dated + [w * k for w in "=-._" for k in range(16, 80)]
+
+
 #: Plain words, so that ordinary runs are never without a model.
 _ORDINARY = (
     "information development international documentation configuration implementation application environment management "
@@ -240,19 +258,33 @@ _ORDINARY = (
 ).split()
 
 
-def _free(text: str, base: list[tuple[int, int, str]]) -> Iterator[re.Match]:
-    """The candidates that touch no base span; ``base`` is sorted by start."""
-    starts = [a for a, _, _ in base]
-    reach = [0, *accumulate((b for _, b, _ in base), max)]  # furthest end of the first k spans
+def _free(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the candidate runs that base spans leave; ``base`` is sorted by start."""
+    k, reach = 0, 0  # base spans that begin before the place reached, and their furthest end
     for m in CANDIDATE.finditer(text):
-        if reach[bisect_left(starts, m.end())] <= m.start():
-            yield m
+        at, end = m.span()
+        while at < end:
+            while k < len(base) and base[k][0] <= at:
+                reach = max(reach, base[k][1])
+                k += 1
+            if reach > at:
+                at = min(reach, end)
+                continue
+            to = min(end, base[k][0]) if k < len(base) else end
+            if to - at >= SHORTEST:
+                yield at, to
+            at = to
 
 
 def find_spans(text: str, model: Model, cutoff: float = CUTOFF) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, all spans): candidates that touch a base span are left to it."""
-    base = base_spans(text)
-    more = [(m.start(), m.end(), "format") for m in _free(text, base) if model.score(m[0]) >= cutoff]
+    """(base spans, all spans)."""
+    base, more = base_spans(text), []
+    for a, b in _free(text, base):
+        if model.score(text[a:b]) >= cutoff:
+            more.append((a, b, "format"))
+        else:
+            parts = (m.span() for m in PART.finditer(text, a, b) if m.span() != (a, b))
+            more += [(x, y, "format") for x, y in parts if model.score(text[x:y]) >= cutoff]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -212,10 +212,14 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
-    """Train on the bounded sample of ``labels`` (doc_id, quality) outside the held-out fold."""
+    """Train on the bounded sample of ``labels`` (doc_id, quality) outside the held-out fold.
+
+    At most `SAMPLE_DOCS` ids are drawn and twice as many rows of ``docs`` learned from, so where ids repeat
+    the rows with the greatest feature hashes are not.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
-    sample = F.broadcast(common.sample_by_hash(known, "doc_id", SAMPLE_DOCS))  # at most SAMPLE_DOCS rows
+    sample = F.broadcast(common.sample_by_hash(known, ["doc_id"], SAMPLE_DOCS))  # at most SAMPLE_DOCS rows
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "quality")
     got = rows.mapInArrow(_sample_features, "label int, lines binary").orderBy(F.xxhash64("lines"), "label").limit(2 * SAMPLE_DOCS).collect()
     lines = [np.frombuffer(r.lines, np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for r in got]
