@@ -16,22 +16,23 @@ def brute(text):
 
 
 def notices(text):
-    """Labels of notices: pairs on diagonals, diagonals joined while neighbours are close."""
+    """Labels of notices: 4-grams on diagonals, diagonals joined while neighbours are close."""
     words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = {}
+    for d in range(len(words) - 3):
+        places.setdefault(tuple(words[d : d + 4]), []).append(d)
     out = set()
     for notice, label in licenses.NOTICES.items():
         t = notice.split()
-        pairs = {i: (a, b) for i, (a, b) in enumerate(zip(t, t[1:])) if not {a, b} <= licenses.COMMON}
         by = {}
-        for d in range(len(words) - 1):
-            for i, p in pairs.items():
-                if (words[d], words[d + 1]) == p:
-                    by.setdefault(d - i, set()).add(i)
+        for i in range(len(t) - 3):
+            for d in places.get(tuple(t[i : i + 4]), ()):
+                by.setdefault(d - i, set()).add(i)
         run, last = set(), None
         for d in sorted(by):
             run = run | by[d] if last is not None and d - last <= licenses.SHIFT else by[d]
             last = d
-            if len(run) >= licenses.COVER * len(pairs):
+            if len(run) >= licenses.COVER * (len(t) - 3):
                 out.add(label)
     return out
 
@@ -57,9 +58,16 @@ def test_edge_cases(spark):
     check(spark, [
         (1, None, ""), (2, "", ""), (3, "MIT", ""), (4, "MIT License MIT license, mit-LICENSE cc by-cc By", ""), (4, "other text", ""),
         (5, "Apache\nLicense " * 3000, ""), (5, "Apache\nLicense " * 3000, ""), (None, "the GNU General Public License. GNU General Public", ""),
+        (10, next(t for t, x in licenses.NOTICES.items() if x == "mit-text").replace("merge", "merge and split").replace("contract", ""), ""), (11, "without warranties or conditions of any kind", ""),
         (6, mit.replace("obtaining", "now obtaining"), ""), (7, mit[:40], ""), (8, "énu gnu general public licensé MİT license", ""), (9, "of the and the " * 400, ""),
     ])
 
 
+def test_texts_are_labelled(spark):
+    rows = [(i, f"Some words first. {t.capitalize()}. And some after, as it is.", label) for i, (t, label) in enumerate(licenses.NOTICES.items())]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, words string")).collect()}
+    assert all(label in got[i] for i, _, label in rows)
+
+
 def test_empty(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
