@@ -1,6 +1,7 @@
 """Decontamination against brute force, proximity matches, edge cases."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -70,16 +71,20 @@ def test_long_item(spark):
     check(spark, [(1, f"x {body} y", ""), (2, " ".join(body.split()[500:520]), "")], [(1, body)])
 
 
-def test_proximity(spark):
+def test_repetitive_texts(spark):
+    # a document and an item of one word over and over: one window, one anchor
+    docs = [(1, "a " * 100_000, ""), (2, "b " + "a " * 9 + "b", ""), (3, "a " * 10 + "b", "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, hits string")
+    began = time.time()
+    got = {r.doc_id: (r.n_hit, r.n_near, tuple(r["items"])) for r in decontam.contamination(d, spark.createDataFrame([(1, "a " * 1000)], "item_id long, text string")).collect()}
+    assert got == {1: (100_000, 100_000, ("1",)), 2: (0, 9, ()), 3: (10, 10, ("1",))}
+    assert time.time() - began < 60
+
+
+def test_many_contexts_are_joined_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "CONTEXTS", 1)
     p = PASSAGE.split()
-    docs = spark.createDataFrame([(1, " ".join(p)), (2, " ".join([*p[:6], "new", *p[6:]])), (3, " ".join(x for i, x in enumerate(p) if i != 7)), (4, "alpha nothing"), (5, " ".join(reversed(p)))], "doc_id long, text string")
-    w = decontam.item_words(spark.createDataFrame([(1, PASSAGE)], "item_id long, text string"))
-    index = common.materialize(decontam.postings(docs, None), "whole-index")
-    freq = index.groupBy("term").count().withColumnRenamed("count", "df")
-    near = decontam.proximity_matches(index, decontam.anchors(w, freq, rarest=10), slop=2)
-    assert {r.doc_id for r in near.collect()} == {1, 2, 3}
-    exact = decontam.proximity_matches(index, decontam.anchors(w, freq, rarest=10), slop=0)
-    assert {r.doc_id for r in exact.collect()} == {1}
+    check(spark, [(1, PASSAGE, ""), (2, " ".join(["x", *p[3:]]), ""), (3, " ".join(p[:9]), ""), (4, "short one", "")], [(1, PASSAGE), (2, PASSAGE), (3, "short one")])
 
 
 def brute_near(text, items):

@@ -1,10 +1,13 @@
 """Operator 3: find benchmark passages in the corpus through a positional inverted index.
 
-The index holds postings (term, doc_id, pos).  For every test window of `WINDOW` words the
-`RAREST` terms with the fewest postings are its anchors.  Offset-adjusted intersection: a posting
-of an anchor at item position p votes for the alignment ``pos - p`` of (document, item), and an
-alignment survives where the words beside the anchor agree too.  Survivors are compared word by
-word with the document, which makes the phrase matches exact.
+The index holds postings (term, document, pos).  For every distinct test window of `WINDOW` words the
+`RAREST` terms with the fewest postings are its anchors.  An anchor carries its context: the words of
+the windows that it stands for, in their place around it.  Offset-adjusted intersection: a posting is
+kept in the index where the words beside it are those beside an anchor of its term, as far as one edit
+leaves them, and is stored with the `WINDOW` words on its either side.  Kept postings are compared word
+by word with the context, laid over the document so that the anchor meets the posting, which makes the
+matches exact.  Each comparison covers a window or two, whatever the length of document and item, and
+equal windows of an item have one anchor, so repetitive texts take no more than others.
 
 A proximity match is a window that becomes a stretch of the document by one edit: a word inserted,
 lost or changed.  One edit spares one of two anchors, and of the two words on the longer side of
@@ -12,14 +15,14 @@ that anchor one at least stands next to it or one place off, so no such place is
 found the window is compared along its alignment and the two beside it, which decides exactly.  A
 window with an edge word lost is a match of the others.
 
-What is stored and shuffled: postings of anchor terms only, since no other list is ever read (pass
-``terms=None`` to `postings` for a whole index), and each text once for the comparison.  The
-vocabulary of the test set is broadcast only after it is counted.
+What is stored and shuffled: kept postings, no texts (`postings` gives a whole index).  Vocabulary and
+contexts of the test set are broadcast after a check of rows and bytes; larger ones are shuffled with
+the postings.
 
 Defined cases: null or empty texts have no words and no matches; an item of fewer words than the
-window is one window and matches only exactly, as one word is more than a tenth of it; items without words never match; repeated doc_ids are compared row by row,
-so each row gets its own matches; a null item_id is reported as ``null``; empty tables give no
-rows or no matches; extra columns are ignored.
+window is one window and matches only exactly, as one word is more than a tenth of it; items without
+words never match; rows that share a doc_id but not a text are kept apart; a null item_id is reported
+as ``null``; empty tables give no rows or no matches; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from . import common
 WINDOW = 10
 #: Anchors per window: more prune better, fewer keep the index smaller.
 RAREST = 2
+#: Contexts that are broadcast: rows and bytes.
+CONTEXTS, CONTEXT_BYTES = 500_000, 128 << 20
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -45,200 +50,193 @@ def item_words(items: DataFrame) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("copy"), "item", "words")
 
 
-def _beside(words: Column, at: Column) -> Column:
-    """struct<l2, l1, r1, r2>: the words around a position, null beyond the ends."""
-    return F.struct(*(F.get(words, at + d).alias(name) for name, d in (("l2", -2), ("l1", -1), ("r1", 1), ("r2", 2))))
+def postings(docs: DataFrame) -> DataFrame:
+    """The whole inverted index: (term, doc_id, text_hash, pos), positions from 0, and the document's ``words``, case kept."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), common.alnum_words(F.col("text")).alias("words"))
+    # the outer form: Spark derives a filter from the inner one that would split every text again
+    raw = words.select("*", F.posexplode_outer("words").alias("pos", "raw")).where("raw is not null")
+    return raw.select(common.ascii_lower(F.col("raw")).alias("term"), "doc_id", "text_hash", "pos", "words")
 
 
-def postings(docs: DataFrame, terms: DataFrame | None, beside: bool = False) -> DataFrame:
-    """The inverted index: (term, doc_id, pos), positions from 0; only of ``terms`` if given; with the words beside if asked."""
-    if beside:
-        raw = docs.select("doc_id", common.alnum_words(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode_outer("words").alias("pos", "raw"))
-        flat = raw.where("raw is not null").select(common.ascii_lower(F.col("raw")).alias("term"), "doc_id", "pos", "words")
-        flat = flat if terms is None else flat.join(common.broadcast_if_small(terms), "term")
-        around = _beside(F.col("words"), F.col("pos"))
-        return flat.select("term", "doc_id", "pos", *(common.ascii_lower(around[c]).alias(c) for c in ("l2", "l1", "r1", "r2")))
-    # the outer form: Spark derives a filter from the inner one that would split every text again
-    raw = docs.select("doc_id", F.posexplode_outer(common.alnum_words(F.col("text"))).alias("pos", "raw")).where("raw is not null")
-    flat = raw.select(common.ascii_lower(F.col("raw")).alias("term"), "doc_id", "pos")
-    return flat if terms is None else flat.join(common.broadcast_if_small(terms), "term")
+def frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, df): how many postings each term of ``vocabulary`` has.  Counted before any shuffle."""
+    return postings(docs).select("term").join(common.broadcast_if_small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def anchors(words: DataFrame, frequency: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(term, copy, item, p, need): for each window its rarest positions with a term that occurs at all.
+    """(term, copy, item, p, low, high): for each distinct window of a text its rarest positions with a term that occurs at all.
 
-    ``need`` is the number of distinct anchors that every window of the text has at least.  A window
-    with more words that never occur in the corpus than the one an edit explains can't match and has
-    no anchors.
+    ``low`` to ``high`` are the words of the windows that an anchor stands for.  A window with more words that
+    never occur in the corpus than the one an edit explains can't match and has no anchors.
     """
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
     w = words.select("copy", "item", "words", F.explode(starts).alias("start"))
-    t = w.select("copy", "item", "start", F.when(F.size("words") >= window, 1).otherwise(0).alias("edits"), F.posexplode(F.slice("words", F.col("start") + 1, window)).alias("o", "term"))
+    w = w.groupBy("copy", "item", F.slice("words", F.col("start") + 1, window).alias("held")).agg(F.min("start").alias("start"))
+    t = w.select("copy", "item", "start", F.size("held").alias("n"), F.posexplode("held").alias("o", "term"))
     t = t.join(frequency, "term", "left").withColumn("p", F.col("start") + F.col("o"))
     of_window = Window.partitionBy("copy", "start")
     t = (
-        t.withColumn("absent", F.count_if(F.col("df").isNull()).over(of_window)).where("absent <= edits and df is not null")
+        t.withColumn("absent", F.count_if(F.col("df").isNull()).over(of_window)).where(F.col("absent") <= F.when(F.col("n") == window, 1).otherwise(0)).where("df is not null")
         # one position of a repeated term is enough: the first in the window
         .withColumn("again", F.row_number().over(Window.partitionBy("copy", "start", "term").orderBy("p"))).where("again = 1")
         .withColumn("rank", F.row_number().over(of_window.orderBy("df", "term", "p"))).where(F.col("rank") <= rarest)
     )
-    need = t.groupBy("copy", "start").count().groupBy("copy").agg(F.min("count").alias("need"))
-    return t.select("term", "copy", "item", "p").distinct().join(need, "copy")
+    return t.groupBy("term", "copy", "item", "p").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("n")).alias("high"))
 
 
-def alignments(index: DataFrame, anchor: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, copy, at): the document word where word 0 of the item's text would stand, after intersection.
-
-    A vote stays where one of the two words on a side of the anchor is one of the two there in the item.
-    """
-    around = _beside(F.col("words"), F.col("p"))
-    anchor = anchor.join(common.broadcast_if_small(words.select("copy", "words")), "copy")
-    anchor = anchor.select("term", "copy", "p", (F.size("words") == 1).alias("alone"), *(around[c].alias(f"w_{c}") for c in ("l2", "l1", "r1", "r2")))
-    votes = index.join(common.broadcast_if_small(anchor), "term")
-    same = F.lit(False)
-    for a, b in (("r1", "r2"), ("l1", "l2")):
-        for x in (a, b):
-            for y in (a, b):
-                same = same | F.coalesce(F.col(x) == F.col(f"w_{y}"), F.lit(False))
-    return votes.where(F.col("alone") | same).select("doc_id", "copy", (F.col("pos") - F.col("p")).alias("at")).distinct()
+def contexts(anchor: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct contexts (context, term, held, o), the anchor being word ``o`` of ``held``; and which items have them (context, item)."""
+    w = common.broadcast_if_small(words.select("copy", "words"))
+    rows = anchor.join(w, "copy").select("item", "term", F.slice("words", F.col("low") + 1, F.col("high") - F.col("low")).alias("held"), (F.col("p") - F.col("low")).alias("o"))
+    rows = common.materialize(rows.distinct(), "item-contexts")
+    held = rows.select("term", "held", "o").distinct().select(F.monotonically_increasing_id().alias("context"), "term", "held", "o")
+    held = common.materialize(held, "contexts")
+    return held, common.materialize(rows.join(held, ["term", "held", "o"]).select("context", "item"), "context-items")
 
 
-def proximity_matches(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, item, at, terms): places where distinct anchors of an item vote for alignments within ``slop``.
+def kept_postings(docs: DataFrame, context: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The stored index: (context, doc_id, text_hash, pos, around, held, o) of postings that an anchor's neighbours agree with.
 
-    Votes only, for a whole index and many anchors; `contamination` verifies its proximity matches.
-
-    ``terms`` is the number of distinct anchors voting for alignments ``at`` to ``at + slop``; places
-    with at least the item's need are returned, so an inserted or lost word does not hide a passage.
+    One of the two words on a side of the posting is one of the two there in the context; a context of
+    one word has no neighbours.  ``around``: the words, case kept, from ``window`` before the posting, or the
+    beginning, to ``window`` after it, as far as there are.
     """
-    votes = index.join(common.broadcast_if_small(anchor), "term")
-    votes = votes.select("doc_id", "copy", "item", "need", (F.col("pos") - F.col("p")).alias("at"), "p").distinct()
-    near = Window.partitionBy("doc_id", "copy").orderBy("at").rangeBetween(0, slop)
-    seen = votes.withColumn("terms", F.size(F.collect_set("p").over(near))).where("terms >= need")
-    return seen.select("doc_id", "item", "at", "terms").distinct()
-
-
-def _matches(raw: Column, found: Column, window: int) -> Column:
-    """array<struct<item, start, len>>: maximal exact stretches of the alignments in ``found``."""
-
-    def hits(a: Column) -> Column:
-        size = F.least(F.lit(window), F.size(a["words"]))
-        # compare the item with the document along the alignment, once per word
-        from_ = F.greatest(a["at"], F.lit(0))
-        part = F.slice(raw, from_ + 1, F.size(a["words"]) + F.least(a["at"], F.lit(0)))
-        skip = from_ - a["at"]
-        unequal = F.transform(part, lambda x, i: F.when(common.ascii_lower(x) != F.get(a["words"], i + skip), i))
-
-        def windows(odd: Column) -> Column:
-            n = F.size(odd)
-            starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-            good = F.filter(starts, lambda s: F.forall(F.slice(odd, s + 1, size), lambda x: x.isNull()))
-            return F.transform(good, lambda s: F.struct(a["item"].alias("item"), (from_ + s).alias("start"), size.alias("len")))
-
-        return common.let(unequal, windows)
-
-    return F.flatten(F.transform(F.coalesce(found, F.array()), hits))
-
-
-def _near_matches(raw: Column, found: Column, window: int) -> Column:
-    """array<struct<item, start, len>>: stretches one edit at most from a window, by the alignments in ``found``."""
-
-    def near(a: Column) -> Column:
-        n = F.lit(window)
-
-        def odd(shift: int) -> Column:
-            # positions of the item whose word differs from the document's, null where it is the same
-            return F.transform(a["words"], lambda x, i: F.when(common.ascii_lower(F.get(raw, a["at"] + shift + i)).eqNullSafe(x), F.lit(None).cast("int")).otherwise(i))
-
-        def of_window(s: Column, odds: Column) -> Column:
-            def ends(name: str) -> tuple[Column, Column]:
-                part = F.slice(odds[name], s + 1, n)
-                return F.coalesce(F.array_min(part) - s, n), F.coalesce(s + n - 1 - F.array_max(part), n)
-
-            def stretches(e: Column) -> Column:
-                head, tail, at = e["head"], e["tail"], a["at"] + s
-                lost_first, lost_last = (head == 0) & (tail == n - 1), (head == n - 1) & (tail == 0)
-                stretch = lambda start, size: F.struct(a["item"].alias("item"), start.cast("int").alias("start"), size.cast("int").alias("len"))
-                return F.array_compact(F.array(
-                    # the same, or one word changed
-                    F.when(lost_first, stretch(at + 1, n - 1)).when(lost_last, stretch(at, n - 1)).when(head + tail >= n - 1, stretch(at, n)),
-                    # a word lost, the longer part before it or after it
-                    F.when(head + e["tail_left"] >= n - 1, stretch(at, n - 1)),
-                    F.when(e["head_right"] + tail >= n - 1, stretch(at + 1, n - 1)),
-                    # a word inserted between two words of the window
-                    F.when((head + e["tail_right"] >= n) & (head > 0) & (e["tail_right"] > 0), stretch(at, n + 1)),
-                    F.when((e["head_left"] + tail >= n) & (e["head_left"] > 0) & (tail > 0), stretch(at - 1, n + 1)),
-                ))
-
-            names = {"": "here", "_left": "left", "_right": "right"}
-            both = [c for suffix, name in names.items() for c in zip(ends(name), ("head" + suffix, "tail" + suffix), strict=True)]
-            return common.let(F.struct(*(c.alias(name) for c, name in both)), stretches)
-
-        def windows(odds: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.size(a["words"]) - n)
-            return F.flatten(F.transform(starts, lambda s: of_window(s, odds)))
-
-        odds = F.struct(odd(0).alias("here"), odd(-1).alias("left"), odd(1).alias("right"))
-        return F.when(F.size(a["words"]) >= n, common.let(odds, windows)).otherwise(F.array().cast("array<struct<item:string,start:int,len:int>>"))
-
-    return F.flatten(F.transform(F.coalesce(found, F.array()), near))
-
-
-def _covered(stretches: str) -> Column:
-    """The number of words in the stretches, each counted once."""
-    at = F.flatten(F.transform(stretches, lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
-    return F.size(F.array_distinct(at)).cast("long")
+    # compiled expressions only: an interpreted one would get each posting with all words of its document
+    first = F.greatest(F.col("pos") - window, F.lit(0))
+    reach = F.slice("words", first + 1, F.col("pos") + window + 1 - first)
+    few = common.broadcast_if_small(context, CONTEXTS, CONTEXT_BYTES)
+    beside = lambda words, at, d: F.get(words, at + d)
+    same = F.size("held") == 1
+    if few is context:  # many: postings travel with the words around them alone
+        rows = postings(docs).select("term", "doc_id", "text_hash", "pos", reach.alias("around")).join(context, "term")
+        near = {d: common.ascii_lower(beside("around", F.least("pos", F.lit(window)), d)) for d in (-2, -1, 1, 2)}
+    else:
+        rows = postings(docs).join(few, "term")
+        near = {d: common.ascii_lower(beside("words", F.col("pos"), d)) for d in (-2, -1, 1, 2)}
+    for side in ((-1, -2), (1, 2)):
+        for x in side:
+            for y in side:
+                same = same | F.coalesce(near[x] == beside("held", F.col("o"), y), F.lit(False))
+    rows = rows.where(same)
+    return rows.select("context", "doc_id", "text_hash", "pos", (F.col("around") if few is context else reach).alias("around"), "held", "o")
+
+
+def _stretches(around: Column, held: Column, at: Column, window: int) -> Column:
+    """array<struct<start, len, exact>>: stretches of ``around`` one edit at most from a window of ``held``, laid on it from ``at`` on."""
+    n = F.lit(window)
+
+    def stretch(start: Column, size: Column | int, exact: bool = False) -> Column:
+        return F.struct(start.cast("int").alias("start"), (size if isinstance(size, Column) else F.lit(size)).cast("int").alias("len"), F.lit(exact).alias("exact"))
+
+    def odd(shift: int) -> Column:
+        # positions of the held words that differ from the document's, null where they are the same
+        return F.transform(held, lambda x, i: F.when(F.get(around, at + shift + i).eqNullSafe(x), F.lit(None).cast("int")).otherwise(i))
+
+    def of_window(s: Column, odds: Column) -> Column:
+        def ends(name: str) -> tuple[Column, Column]:
+            part = F.slice(odds[name], s + 1, n)
+            return F.coalesce(F.array_min(part) - s, n), F.coalesce(s + n - 1 - F.array_max(part), n)
+
+        def of_ends(e: Column) -> Column:
+            head, tail, place = e["head"], e["tail"], at + s
+            lost_first, lost_last = (head == 0) & (tail == n - 1), (head == n - 1) & (tail == 0)
+            return F.array_compact(F.array(
+                # the same; one word changed, at an edge or within
+                F.when(head == n, stretch(place, n, True)).when(lost_first, stretch(place + 1, n - 1)).when(lost_last, stretch(place, n - 1)).when(head + tail >= n - 1, stretch(place, n)),
+                # a word lost, the longer part before it or after it
+                F.when(head + e["tail_left"] >= n - 1, stretch(place, n - 1)),
+                F.when(e["head_right"] + tail >= n - 1, stretch(place + 1, n - 1)),
+                # a word inserted between two words of the window
+                F.when((head + e["tail_right"] >= n) & (head > 0) & (e["tail_right"] > 0), stretch(place, n + 1)),
+                F.when((e["head_left"] + tail >= n) & (e["head_left"] > 0) & (tail > 0), stretch(place - 1, n + 1)),
+            ))
+
+        names = {"": "here", "_left": "left", "_right": "right"}
+        both = [c for suffix, name in names.items() for c in zip(ends(name), ("head" + suffix, "tail" + suffix), strict=True)]
+        return common.let(F.struct(*(c.alias(name) for c, name in both)), of_ends)
+
+    def windows(odds: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(held) - n), lambda s: of_window(s, odds)))
+
+    odds = F.struct(odd(0).alias("here"), odd(-1).alias("left"), odd(1).alias("right"))
+    short = F.when(F.size(F.array_compact(odd(0))) == 0, F.array(stretch(at, F.size(held), True))).otherwise(F.array().cast("array<struct<start:int,len:int,exact:boolean>>"))
+    return F.when(F.size(held) >= n, common.let(odds, windows)).otherwise(short)
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> tuple[DataFrame, DataFrame]:
+    """Matches (doc_id, text_hash, context, start, len, exact), each found at least once, and the items of a context (context, item).
+
+    Matches that are not exact are proximity matches; they are complete for windows of three words and two
+    anchors at least.  ``text_hash`` tells rows of one doc_id apart.
+    """
+    words = common.materialize(item_words(items), "items")
+    vocabulary = common.materialize(words.select(F.explode("words").alias("term")).distinct(), "vocabulary")
+    frequency = common.materialize(frequencies(docs, vocabulary), "frequency")
+    context, members = contexts(common.materialize(anchors(words, frequency, window, rarest), "anchors"), words)
+    index = common.materialize(kept_postings(docs, context, window), "postings")
+    before = F.least("pos", F.lit(window))
+    lower = F.transform("around", common.ascii_lower)
+    found = common.let(lower, lambda around: _stretches(around, F.col("held"), before - F.col("o"), window))
+    found = index.select("doc_id", "text_hash", "context", (F.col("pos") - before).alias("first"), F.explode_outer(found).alias("m")).where("m is not null")
+    found = found.select("doc_id", "text_hash", "context", (F.col("first") + F.col("m.start")).alias("start"), "m.len", "m.exact")
+    return common.materialize(found, "matches"), members
+
+
+def contaminated(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc, hash, n_hit, items, n_near, near_items) for each text with a match; ``near`` counts exact and proximity matches."""
+    key = ("doc_id", "text_hash")
+    # of the matches that begin at a word the longest covers the others
+    longest = found.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("len")).alias("end"), F.max(F.when(F.col("exact"), F.col("start") + F.col("len"))).alias("exact_end"))
+    before = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    new = lambda end: F.greatest(F.lit(0), F.col(end) - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0))))
+    covered = longest.select(*key, new("end").alias("near"), F.coalesce(F.when(F.col("exact_end").isNotNull(), new("exact_end")), F.lit(0)).alias("hit"))
+    covered = covered.groupBy(*key).agg(F.sum("hit").cast("long").alias("n_hit"), F.sum("near").cast("long").alias("n_near"))
+    of = found.groupBy(*key, "context").agg(F.max("exact").alias("exact")).join(common.broadcast_if_small(members), "context")
+    of = of.groupBy(*key, "item").agg(F.max("exact").alias("exact"))
+    named = of.groupBy(*key).agg(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("items"), F.array_sort(F.collect_set("item")).alias("near_items"))
+    named = named.select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("hash"), "items", "near_items")
+    return covered.join(named, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash"))).drop(*key)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """All columns of ``docs`` with n_words and what was found in them.
 
-    Exact matches: hits: array<struct<item, start, len>>, n_hit (words in them) and items.  Proximity
-    matches, which include the exact ones: near, n_near and near_items likewise; they are complete for
-    windows of three words and two anchors at least.
+    Exact matches: n_hit, the words in them, and items, sorted.  Proximity matches, which include the exact
+    ones: n_near and near_items.
     """
-    words = common.materialize(item_words(items), "items")
-    vocabulary = words.select(F.explode("words").alias("term")).distinct()
-    frequency = common.materialize(postings(docs, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
-    anchor = common.materialize(anchors(words, frequency, window, rarest), "anchors")
-    index = common.materialize(postings(docs, anchor.select("term").distinct(), beside=True), "postings")
-    found = alignments(index, anchor, words)
-    found = found.join(common.broadcast_if_small(words), "copy")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "at", "words")).alias("__found"))
-    per_doc = per_doc.select(F.col("doc_id").alias("__doc"), "__found")
-    rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
-    rows = rows.withColumn("__raw", common.alnum_words(F.col("text")))
-    none = F.array().cast("array<struct<item:string,start:int,len:int>>")
-    rows = rows.withColumn("hits", F.when(F.col("__found").isNull(), none).otherwise(_matches(F.col("__raw"), F.col("__found"), window)))
-    near = F.array_distinct(F.concat("hits", _near_matches(F.col("__raw"), F.col("__found"), window)))
-    rows = rows.withColumn("near", F.when(F.col("__found").isNull(), none).otherwise(near))
-    return rows.withColumns({
-        "n_words": F.size("__raw").cast("long"),
-        "n_hit": _covered("hits"),
-        "items": F.array_sort(F.array_distinct(F.col("hits.item"))),
-        "n_near": _covered("near"),
-        "near_items": F.array_sort(F.array_distinct(F.col("near.item"))),
-    }).drop("__raw", "__found")
+    per_text = common.materialize(contaminated(*matches(docs, items, window, rarest)), "contaminated")
+    rows = docs.withColumns({"n_words": F.size(common.alnum_words(F.col("text"))).cast("long"), "__hash": F.xxhash64("text")})
+    rows = rows.join(common.broadcast_if_small(per_text), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("__hash") == F.col("hash")), "left").drop("doc", "hash", "__hash")
+    none = {"n_hit": F.lit(0).cast("long"), "n_near": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "near_items": F.array().cast("array<string>")}
+    return rows.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no window of ``items`` occurs in, as it is or with one word inserted, lost or changed."""
-    rows = contamination(docs.select("doc_id", "text", F.struct("*").alias("row")), items)
-    return rows.where("n_near = 0").select("row.*")
+    texts = docs.select("doc_id", "text")
+    found, _ = matches(texts, items)
+    lost = common.materialize(found.select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("hash")).distinct(), "contaminated")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))
+    lost = common.broadcast_if_small(lost, 2_000_000)  # two numbers a row
+    return rows.join(lost, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash")), "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document of ``documents``: words hit by windows of ``benchmark`` and the items they are from."""
+    """One row per document of ``documents``: words hit by windows of ``benchmark`` and the items they are from.
+
+    The columns with ``near`` count proximity matches too.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    told = lambda items: F.sha2(F.array_join(items, ","), 256)
     return rows.select(
-        "doc_id", "n_words", "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), told("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near", F.size("near_items").cast("long").alias("n_near_items"), told("near_items").alias("near_items_sha256"),
     )
 
 
+#: Exact matches join equal stretches.  Proximity matches join equal patterns: a window with an inner word masked and
+#: a stretch so masked (c), a window without a word and a stretch (l), a window and a longer stretch without an inner word (i).
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -247,19 +245,36 @@ b AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (
-  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS p
+  SELECT DISTINCT item, least(10, len(w)) AS n, w[s : s + least(10, len(w)) - 1] AS v
   FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) u(s) WHERE len(w) > 0),
 ns AS (SELECT DISTINCT n FROM iw),
 dw AS (
   SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS p
   FROM d, ns, unnest(range(1, len(w) - n + 2)) u(s) WHERE len(w) >= n),
-h AS (SELECT dw.doc_id, dw.s, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.p = iw.p),
+h AS (SELECT dw.doc_id, dw.s, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.p = array_to_string(iw.v, ' ')),
+ip AS (
+  SELECT DISTINCT item, 'c' AS kind, array_to_string(v[1 : e] || ['*'] || v[e + 2 : 10], ' ') AS p FROM iw, unnest(range(1, 9)) u(e) WHERE n = 10
+  UNION SELECT item, 'l', array_to_string(v[1 : e] || v[e + 2 : 10], ' ') FROM iw, unnest(range(0, 10)) u(e) WHERE n = 10
+  UNION SELECT item, 'i', array_to_string(v, ' ') FROM iw WHERE n = 10),
+dp AS (
+  SELECT doc_id, s, 10 AS n, 'c' AS kind, array_to_string(w[s : s + e - 1] || ['*'] || w[s + e + 1 : s + 9], ' ') AS p
+  FROM d, unnest(range(1, len(w) - 8)) u(s), unnest(range(1, 9)) x(e)
+  UNION ALL SELECT doc_id, s, 9, 'l', array_to_string(w[s : s + 8], ' ') FROM d, unnest(range(1, len(w) - 7)) u(s)
+  UNION ALL SELECT doc_id, s, 11, 'i', array_to_string(w[s : s + e - 1] || w[s + e + 1 : s + 10], ' ')
+  FROM d, unnest(range(1, len(w) - 9)) u(s), unnest(range(1, 10)) x(e)),
+m AS (SELECT doc_id, s, n, item FROM h UNION ALL SELECT dp.doc_id, dp.s, dp.n, ip.item FROM dp JOIN ip ON dp.kind = ip.kind AND dp.p = ip.p),
 c AS (
   SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM h) GROUP BY doc_id),
 i AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id),
+nc AS (
+  SELECT doc_id, count(DISTINCT x) AS n_near FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM m) GROUP BY doc_id),
+ni AS (
+  SELECT doc_id, count(*) AS n_near_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near, coalesce(n_near_items, 0) AS n_near_items, sha256(coalesce(ni.items, '')) AS near_items_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id LEFT JOIN nc ON d.doc_id = nc.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id
 """
