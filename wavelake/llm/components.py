@@ -13,32 +13,33 @@ from pyspark.sql import functions as F
 from . import common
 
 
-#: Nodes with more rows than this are joined by broadcast, apart from the others.
-HUB = 256
+#: Keys with more rows than `HUB` are joined by broadcast, apart from the others; the bound rises so that there are at most `HUBS`.
+HUB, HUBS = 256, 100_000
 
 
-def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """``rows`` (u, v) with ``m`` from ``least`` (u, m, n), n the rows of u.
+def with_one(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined by ``key`` with ``one``, which has a row for each key and in ``n`` its number of ``rows``, ``total`` in all.
 
-    All rows of a hub would meet in one task of a shuffled join.  There are at most rows / `HUB` hubs;
-    if they are few enough to broadcast, their rows stay where they are.
+    All rows of a hub would meet in one task of a shuffled join.  They stay where they are: there are at most
+    `HUBS` hubs, so their rows of ``one`` are broadcast.
     """
-    hubs = common.broadcast_if_small(least.where(F.col("n") > HUB).select("u", "m"))
-    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(rest)
+    hub = F.col("n") > max(HUB, total // HUBS)
+    hubs = F.broadcast(one.where(hub).drop("n"))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(one.where(~hub).drop("n"), key)
+    return rows.join(hubs, key).unionByName(rest)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    out = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = with_one(both.where("v > u"), least, "u", 2 * edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` run from the larger to the smaller node."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    out = _with_least(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = with_one(edges, least, "u", edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 

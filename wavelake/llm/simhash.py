@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import connected_components
+from .components import connected_components, with_one
 
 SHINGLE, SEED, BITS, THRESHOLD = 4, 42, 64, 4
 #: Rows of a cell: crowded anchors are cut so that about so many meet in one.
@@ -225,12 +225,13 @@ def near_links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id reachable over links, itself included."""
     prints = common.materialize(fingerprints(docs), "fingerprints")
-    distinct = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = common.materialize(connected_components(near_links(distinct.select("fp"))), "roots")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = common.materialize(named.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(of, "fp")
+    named = common.materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
+    component = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = with_one(named.select("root", "fp", F.col("n").alias("copies")), component, "root", named.count())
+    of = common.materialize(of.select("fp", "component_id", F.col("copies").alias("n")), "components")
+    return with_one(prints, of, "fp", prints.count())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
