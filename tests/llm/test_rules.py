@@ -55,14 +55,24 @@ def test_binomial_cdf(spark):
         assert 0 <= got <= 1
 
 
-def test_cutoffs_are_the_last_of_a_safe_run(spark):
-    rows = [(i, "en", 30, 100, 0 if i else 60, 0, 0, 3, 0, 0, False) for i in range(9000)]
+def test_step_is_the_last_of_a_safe_run(spark):
+    # three good documents exceed the symbol cutoffs from step 4 on, forty more from step 10 on
+    symbols = rules.cutoffs_of("symbols_per_word")
+    at = lambda step: int(1000 * symbols[step]) + 1
+    rows = [(i, "en", 1000, 5000, at(4) if i < 3 else at(10) if i < 43 else 0, 0, 0, 3, 0, 0, False) for i in range(1000)]
     cols = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, base_failed boolean"
-    labels = spark.createDataFrame([(i, 1) for i in range(9000)] + [(7, 0)], "doc_id long, quality int")
-    chosen = {(r.stratum, r.rule): r.cutoff for r in rules.choose_cutoffs(spark.createDataFrame(rows, cols), labels).collect()}
-    n = 8999  # document 7 has two labels
-    safe = lambda k: sum(comb(n, j) * (1 / 300) ** j * (299 / 300) ** (n - j) for j in range(k + 1)) <= 0.05 / 6
-    assert safe(1)
-    assert chosen[("en", "symbols_per_word")] == min(rules.RULES["symbols_per_word"][1])
-    few = {r.rule for r in rules.choose_cutoffs(spark.createDataFrame(rows[:100], cols), labels).collect()}
-    assert not few  # too few labels to be sure of anything
+    labels = spark.createDataFrame([(i, 1) for i in range(1000)] + [(999, 0)], "doc_id long, quality int")
+    n = 999  # the last document has two labels
+    safe = lambda k: sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) <= 0.05
+    assert safe(3) and not safe(43)
+    chosen = rules.choose_cutoffs(spark.createDataFrame(rows, cols), labels).collect()
+    assert [(r.stratum, r.step) for r in chosen] == [("en", 9)]
+    strictest = rules.choose_cutoffs(spark.createDataFrame(rows[43:], cols), labels).collect()
+    assert [(r.stratum, r.step) for r in strictest] == [("en", rules.STEPS - 1)]
+    assert not rules.choose_cutoffs(spark.createDataFrame(rows[43:143], cols), labels).collect()  # too few labels to be sure of anything
+
+
+def test_path_goes_from_lenient_to_strict():
+    for rule, (_, lenient, strict) in rules.RULES.items():
+        cutoffs = rules.cutoffs_of(rule)
+        assert cutoffs[0] == lenient and cutoffs[-1] == strict and cutoffs == sorted(cutoffs, reverse=True) and len(cutoffs) == rules.STEPS

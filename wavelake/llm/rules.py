@@ -5,14 +5,16 @@ whose measurement exceeds a cutoff, and the cutoffs are chosen per stratum (lang
 good documents are lost:
 
 * holdout: the labelled rows of the stratum that are good and pass the base rules;
-* a cutoff is safe if the exact binomial (Clopper-Pearson) upper bound on the chance that a good
-  document exceeds it is at most the rule's share of `RISK`;
-* each rule's cutoffs are tried from lenient to strict and the first unsafe one ends the search
-  (fixed-sequence testing), so the cutoffs of a rule need no correction among each other;
-  rules and strata are corrected by Bonferroni: level `LEVEL` / (rules x strata).
+* the rules' cutoffs move together along one path of `STEPS` steps, fixed in advance, from lenient to
+  strict; a step is safe if the exact binomial (Clopper-Pearson) upper bound on the chance that a good
+  document exceeds any of its cutoffs is at most `RISK`;
+* steps are tried from lenient to strict and the first unsafe one ends the search (fixed-sequence
+  testing), so steps and rules need no correction among each other; strata are corrected by
+  Bonferroni: level `LEVEL` / strata.
 
 So with probability 1 - `LEVEL` no stratum loses more than `RISK` of its good documents to these
-rules.  A stratum with too few labels gets no cutoffs and rejects nothing beyond the base rules.
+rules.  A stratum with too few labels (under 217 of 4 strata) gets no cutoffs and rejects nothing
+beyond the base rules.
 
 The bound is tested without inverting it: upper bound <= r if and only if P(Bin(n, r) <= k) <= level.
 
@@ -36,28 +38,45 @@ REPEAT_WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 RISK, LEVEL = 0.02, 0.05
 
-#: Rules: a measurement that is bad when high, and its cutoffs from lenient to strict.
-RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbols_per_word": ("n_symbols / nullif(n_words, 0)", tuple(round(2.0 * 0.8**i, 6) for i in range(24))),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1L)", tuple(round(0.9 - 0.05 * i, 6) for i in range(17))),
-    "repeat_share": ("n_repeat_words / nullif(n_words, 0)", tuple(round(0.3 - 0.02 * i, 6) for i in range(14))),
-    "upper_share": ("n_upper / greatest(word_chars, 1L)", tuple(round(0.9 * 0.85**i, 6) for i in range(20))),
-    "chars_per_word": ("word_chars / nullif(n_words, 0)", tuple(float(x) for x in range(40, 6, -1))),
-    "marks_per_word": ("n_marks / nullif(n_words, 0)", tuple(round(2.0 * 0.85**i, 6) for i in range(20))),
+STEPS = 24
+#: Rules: a measurement that is bad when high, and its most lenient and its strictest cutoff.
+RULES: dict[str, tuple[str, float, float]] = {
+    "symbols_per_word": ("n_symbols / nullif(n_words, 0)", 2.0, 0.1),
+    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1L)", 0.9, 0.3),
+    "repeat_share": ("n_repeat_words / nullif(n_words, 0)", 0.3, 0.15),
+    "upper_share": ("n_upper / greatest(word_chars, 1L)", 0.9, 0.25),
+    "chars_per_word": ("word_chars / nullif(n_words, 0)", 40.0, 10.0),
+    "marks_per_word": ("n_marks / nullif(n_words, 0)", 2.0, 0.15),
 }
 
 
+def cutoffs_of(rule: str) -> list[float]:
+    """The rule's cutoffs along the path: a geometric series."""
+    _, lenient, strict = RULES[rule]
+    return [round(lenient * (strict / lenient) ** (i / (STEPS - 1)), 6) for i in range(STEPS)]
+
+
 def _without(text: Column, chars: str) -> Column:
     return F.regexp_replace(text, f"[{chars}]+", "")
 
 
+def _doubled(hashes: Column, span: int) -> Column:
+    """Hashes of windows of 2 * span words from those of windows of span words, or from the words."""
+    return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - span, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(hashes, i + span)))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks (long)."""
     text = F.coalesce("text", F.lit(""))
     w = docs.withColumn("__words", common.space_words(F.col("text")))
     n = F.size("__words")
-    starts = F.when(n >= REPEAT_WINDOW, F.sequence(F.lit(1), n - REPEAT_WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-    w = w.withColumn("__hashes", F.transform(starts, lambda i: F.xxhash64(F.slice("__words", i, REPEAT_WINDOW))))
+    # the hash of a window of 2, 4, 8 words is that of its halves' hashes
+    hashes, span = F.col("__words"), 1
+    while span < REPEAT_WINDOW:
+        w = w.withColumn(f"__{2 * span}", _doubled(hashes, span))
+        span *= 2
+        hashes = F.col(f"__{span}")
+    w = w.withColumn("__hashes", hashes)
     w = w.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     # most texts repeat no window: sorting is left to those that do
     some = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
@@ -79,7 +98,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_upper": (size - F.length(_without(text, "A-Z"))).cast("long"),
         "n_marks": (size - F.length(_without(text, "!?"))).cast("long"),
         "base_failed": (n < MIN_WORDS) | (100 * F.col("__repeat") > MAX_REPEAT_PERCENT * n),
-    }).drop("__words", "__hashes", "__lines", "__placed", "__at", "__repeat")
+    }).drop("__words", "__2", "__4", "__8", "__hashes", "__lines", "__placed", "__at", "__repeat")
 
 
 def _value(rule: str) -> Column:
@@ -103,27 +122,22 @@ def binomial_cdf(k: Column, n: Column, r: float) -> Column:
 
 
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, rule, cutoff) of all rules with a safe cutoff, from rows of `measure` with their ``lang``."""
+    """(stratum, step): the strictest step of the path that is safe with all before it, from rows of `measure` with their ``lang``."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1")
     held = measured.where("not base_failed").join(good.select("doc_id"), "doc_id")
-    # the number of cutoffs that a document stays under: it exceeds all from there on
-    under = lambda rule: F.size(F.filter(F.array(*map(F.lit, RULES[rule][1])), lambda c: _value(rule) <= c))
-    each = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), under(rule).alias("i")) for rule in RULES))).alias("x")
-    counts = held.select(F.col("lang").alias("stratum"), each).groupBy("stratum", "x.rule", "x.i").agg(F.count(F.lit(1)).alias("c"))
-    counts = common.materialize(counts, "rule-counts")
-    per_rule = F.lit(next(iter(RULES)))
-    sizes = counts.where(F.col("rule") == per_rule).groupBy("stratum").agg(F.sum("c").alias("n"))
+    # the number of a rule's cutoffs that a document stays under: it exceeds all from there on
+    under = lambda rule: F.size(F.filter(F.array(*map(F.lit, cutoffs_of(rule))), lambda c: _value(rule) <= c))
+    first = held.select(F.col("lang").alias("stratum"), F.least(*map(under, RULES)).alias("step"))
+    counts = common.materialize(first.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("c")), "rule-counts")
+    sizes = counts.groupBy("stratum").agg(F.sum("c").alias("n"))
     strata = sizes.count()
-    grid = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff")) for rule, (_, cs) in RULES.items() for i, c in enumerate(cs)))
-    rows = sizes.select("stratum", "n", F.explode(grid).alias("g")).select("stratum", "n", "g.*")
-    c = counts.select(F.col("stratum").alias("s"), F.col("rule").alias("r"), F.col("i").alias("j"), "c")
-    rows = rows.join(c, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("i") == F.col("j")), "left")
-    so_far = Window.partitionBy("stratum", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    share = risk / len(RULES)
+    rows = sizes.select("stratum", "n", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
+    c = counts.select(F.col("stratum").alias("s"), F.col("step").alias("j"), "c")
+    rows = rows.join(c, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("step") == F.col("j")), "left")
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     tested = rows.withColumn("k", F.sum(F.coalesce("c", F.lit(0))).over(so_far))
-    safe = F.when(F.col("k") <= F.col("n") * share, binomial_cdf(F.col("k"), F.col("n"), share) <= level / (len(RULES) * max(1, strata))).otherwise(False)
-    tested = tested.withColumn("all_safe", F.min(safe).over(so_far)).where("all_safe")
-    return tested.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    safe = F.when(F.col("k") <= F.col("n") * risk, binomial_cdf(F.col("k"), F.col("n"), risk) <= level / max(1, strata)).otherwise(False)
+    return tested.withColumn("all_safe", F.min(safe).over(so_far)).where("all_safe").groupBy("stratum").agg(F.max("step").alias("step"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -131,12 +145,11 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     wanted = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "base_failed")
     measured = common.materialize(measure(docs.select("doc_id", "lang", "text")).select(*wanted), "measured")
     chosen = choose_cutoffs(measured, labels.select("doc_id", "quality"))
-    cutoffs = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    cutoffs = common.materialize(cutoffs, "cutoffs")
-    rows = measured.join(common.broadcast_if_small(cutoffs), F.col("lang").eqNullSafe(F.col("stratum")), "left")
-    broken = F.array(*(F.when(_value(rule) > F.col("cutoffs")[rule], F.lit(rule)) for rule in RULES))
+    chosen = common.materialize(chosen, "cutoffs")
+    rows = measured.join(common.broadcast_if_small(chosen), F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    broken = F.array(*(F.when(_value(rule) > F.get(F.array(*map(F.lit, cutoffs_of(rule))), F.col("step")), F.lit(rule)) for rule in RULES))
     rows = rows.withColumn("rejected_by", F.array_compact(broken))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("stratum", "cutoffs")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("stratum", "step")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +159,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    cutoffs = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, (_, cs) in RULES.items() for i, c in enumerate(cs))
-    values = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, coalesce({expr.replace('1L', '1')}, 0) AS v FROM b" for rule, (expr, _) in RULES.items())
-    share, rules = RISK / len(RULES), len(RULES)
+    cutoffs = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule in RULES for i, c in enumerate(cutoffs_of(rule)))
+    values = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, coalesce({expr.replace('1L', '1')}, 0) AS v FROM b" for rule, (expr, *_) in RULES.items())
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, s, array_to_string(w[s : s + {REPEAT_WINDOW - 1}], ' ') AS p FROM d, unnest(range(1, len(w) - {REPEAT_WINDOW - 2})) u(s)),
@@ -166,12 +178,12 @@ c(rule, i, cutoff) AS (VALUES {cutoffs}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
 held AS (SELECT b.doc_id, b.lang FROM b JOIN good ON b.doc_id = good.doc_id WHERE NOT base_failed),
 sz AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
-k AS (SELECT sz.lang, sz.n, c.rule, c.i, c.cutoff, count(*) FILTER (WHERE v.v > c.cutoff) AS k
-      FROM held JOIN sz ON held.lang IS NOT DISTINCT FROM sz.lang JOIN v ON v.doc_id = held.doc_id JOIN c ON c.rule = v.rule GROUP BY ALL),
-safe AS (SELECT *, k <= n * {share} AND coalesce((SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share}))) FROM unnest(range(k + 1)) q(j)), 0)
-         <= {LEVEL} / ({rules} * (SELECT count(*) FROM sz)) AS ok FROM k),
-run AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY i ROWS UNBOUNDED PRECEDING) AS all_ok FROM safe),
-cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM run WHERE all_ok GROUP BY lang, rule),
+over AS (SELECT held.doc_id, held.lang, c.i, bool_or(v.v > c.cutoff) AS any_over FROM held JOIN v ON v.doc_id = held.doc_id JOIN c ON c.rule = v.rule GROUP BY ALL),
+k AS (SELECT sz.lang, sz.n, over.i, count(*) FILTER (WHERE any_over) AS k FROM over JOIN sz ON over.lang IS NOT DISTINCT FROM sz.lang GROUP BY ALL),
+safe AS (SELECT *, k <= n * {RISK} AND coalesce((SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))) FROM unnest(range(k + 1)) q(j)), 0)
+         <= {LEVEL} / (SELECT count(*) FROM sz) AS ok FROM k),
+run AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang ORDER BY i ROWS UNBOUNDED PRECEDING) AS all_ok FROM safe),
+cut AS (SELECT lang, c.rule, c.cutoff FROM (SELECT lang, max(i) AS i FROM run WHERE all_ok GROUP BY lang) JOIN c USING (i)),
 bad AS (SELECT b.doc_id, count(*) AS n_broken FROM b JOIN cut ON b.lang IS NOT DISTINCT FROM cut.lang JOIN v ON v.doc_id = b.doc_id AND v.rule = cut.rule WHERE v.v > cut.cutoff GROUP BY b.doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_broken IS NULL AS kept, coalesce(n_broken, 0) AS n_broken
 FROM b LEFT JOIN bad ON b.doc_id = bad.doc_id
