@@ -1,6 +1,7 @@
 """Kernels, refractory rule, splits, sources, sinks and streams."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -229,3 +230,52 @@ def test_stream_equals_batch_across_triggers(spark, tmp_path):
 def test_array_scorer(spark):
     df = spark.createDataFrame([(1, [1.0, 3.0]), (2, [0.0, 0.0])], "k int, v array<double>")
     assert {r.k: r.p for r in scoring.ArrayScorer("v", lambda x: x.mean(axis=1)).score(df).collect()} == {1: 2.0, 2: 0.0}
+
+
+def plain_run(sections, x):
+    """The recursion sample by sample."""
+    y = x.astype(float)
+    for s in sections:
+        b0, b1, b2, _, a1, a2 = map(float, s)
+        z1, z2 = dsp._steady(s) * y[0]
+        out = np.empty_like(y)
+        for i, v in enumerate(y.tolist()):
+            out[i] = b0 * v + z1
+            z1, z2 = b1 * v - a1 * out[i] + z2, b2 * v - a2 * out[i]
+        y = out
+    return y
+
+
+@pytest.mark.parametrize("n", [2, 3, 127, 128, 129, 3000])
+def test_block_recursion(n):
+    x = np.random.default_rng(n).normal(size=n).cumsum()
+    for sections in (dsp.butterworth(3, (2.0, 8.0), 32.0, "band"), dsp.butterworth(2, 0.05, 4.0, "high")):
+        assert np.abs(plain_run(sections, x) - dsp._run(sections, x)).max() < 1e-7 * (1 + np.abs(x).max())
+
+
+def test_prominence_and_distance_by_definition():
+    rng = np.random.default_rng(5)
+
+    def prominent(x, p):
+        left = [i for i in range(p) if x[i] > x[p]]
+        right = [i for i in range(p + 1, len(x)) if x[i] > x[p]]
+        return x[p] - max(x[left[-1] + 1 if left else 0 : p + 1].min(), x[p : right[0] if right else len(x)].min())
+
+    for _ in range(100):
+        x = np.round(rng.normal(size=rng.integers(3, 60)) * 2)
+        every = dsp.find_peaks(x)
+        kept = set()
+        for k in sorted(every, key=lambda p: (-x[p], -p)):
+            if all(abs(k - q) >= 4 for q in kept):
+                kept.add(k)
+        assert dsp.find_peaks(x, 4).tolist() == sorted(kept)
+        for least in (0.5, 2.0, 3.0):
+            assert dsp.find_peaks(x, 1, least).tolist() == [p for p in every if prominent(x, p) >= least]
+
+
+def test_long_signals_take_seconds():
+    x = np.random.default_rng(1).normal(size=1_000_000)
+    began = time.time()
+    dsp.band_pass(32.0)(x)
+    dsp.heart_rate(x, 64.0)
+    assert time.time() - began < 20

@@ -63,18 +63,44 @@ def _steady(s: np.ndarray) -> np.ndarray:
     return np.array([b1 - a1 * out + z2, z2])
 
 
+def _recursion(f: np.ndarray, a1: float, a2: float, block: int = 128) -> np.ndarray:
+    """y[n] = f[n] - a1 y[n-1] - a2 y[n-2] from rest.
+
+    Blocks are answered from rest by one matrix product; what the two values before a block add to it
+    is carried from block to block.
+    """
+    n = len(f)
+    blocks = np.zeros((-(-n // block), block))
+    blocks.ravel()[:n] = f
+    h = np.zeros(block + 1)  # impulse response, and one step more
+    h[0] = 1.0
+    for i in range(1, block + 1):
+        h[i] = -a1 * h[i - 1] - (a2 * h[i - 2] if i > 1 else 0.0)
+    at = np.arange(block)
+    answer = np.where(at[:, None] >= at[None, :], h[np.abs(at[:, None] - at[None, :])], 0.0)
+    y = blocks @ answer.T
+    # the answer to y[-1] = u, y[-2] = v is u h[i + 1] - a2 v h[i]
+    e1, e2, f1, f2 = float(h[block]), float(h[block - 1]), float(h[block - 1]), float(h[block - 2])
+    u = v = 0.0
+    carried = np.empty((len(y), 2))
+    for i, (last, before) in enumerate(y[:, [-1, -2]].tolist()):
+        carried[i] = u, v
+        u, v = last + u * e1 - a2 * v * e2, before + u * f1 - a2 * v * f2
+    y += carried[:, :1] * h[1:] - a2 * carried[:, 1:] * h[:-1]
+    return y.ravel()[:n]
+
+
 def _run(sections: Sequence[np.ndarray], x: np.ndarray) -> np.ndarray:
     y = x.astype(float)
     for s in sections:
         b0, b1, b2, _, a1, a2 = (float(v) for v in s)
         z1, z2 = _steady(s) * y[0]
-        out = np.empty_like(y)
-        for i, v in enumerate(y.tolist()):
-            o = b0 * v + z1
-            z1 = b1 * v - a1 * o + z2
-            z2 = b2 * v - a2 * o
-            out[i] = o
-        y = out
+        f = b0 * y
+        f[1:] += b1 * y[:-1]
+        f[2:] += b2 * y[:-2]
+        f[0] += z1
+        f[1] += z2
+        y = _recursion(f, a1, a2)
     return y
 
 
@@ -103,25 +129,38 @@ def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
     peaks = (begin[top] + end[top]) // 2
     if distance > 1 and len(peaks):
-        keep = np.ones(len(peaks), bool)
-        for k in np.argsort(x[peaks], kind="stable")[::-1]:
+        place = peaks.tolist()
+        keep = [True] * len(place)
+        for k in np.argsort(x[peaks], kind="stable")[::-1].tolist():
             if keep[k]:
-                near = np.abs(peaks - peaks[k]) < distance
-                near[k] = False
-                keep[near] = False
-        peaks = peaks[keep]
-    if prominence > 0:
-        good = []
-        for p in peaks:
-            higher = np.flatnonzero(x[:p] > x[p])
-            left = x[higher[-1] + 1 if len(higher) else 0 : p + 1].min()
-            higher = np.flatnonzero(x[p + 1 :] > x[p])
-            right = x[p : p + 1 + higher[0] if len(higher) else len(x)].min()
-            good.append(x[p] - max(left, right) >= prominence)
-        peaks = peaks[np.array(good, bool)] if len(good) else peaks
+                for step in (-1, 1):
+                    j = k + step
+                    while 0 <= j < len(place) and abs(place[j] - place[k]) < distance:
+                        keep[j] = False
+                        j += step
+        peaks = peaks[np.array(keep)]
+    if prominence > 0 and len(peaks):
+        tops = np.unique(np.r_[0, (begin[top] + end[top]) // 2, len(x) - 1])
+        heights, valleys = x[tops], np.minimum.reduceat(x, tops[:-1])  # the last one reaches the end
+        left = _least_since_higher(heights, valleys)
+        right = _least_since_higher(heights[::-1], valleys[::-1])[::-1]
+        at = np.searchsorted(tops, peaks)
+        peaks = peaks[x[peaks] - np.maximum(left, right)[at] >= prominence]
     return peaks
 
 
+def _least_since_higher(heights: np.ndarray, valleys: np.ndarray) -> np.ndarray:
+    """For each top the least value back to the next strictly higher top, or to the beginning; ``valleys`` lie between tops."""
+    out, stack = [], []
+    for h, low in zip(heights.tolist(), [float("inf"), *valleys.tolist()], strict=True):
+        low = min(low, h)
+        while stack and stack[-1][0] <= h:
+            low = min(low, stack.pop()[1])
+        stack.append((h, low))
+        out.append(low)
+    return np.array(out)
+
+
 def box_same(x: np.ndarray, k: int) -> np.ndarray:
     """Sums over a centred box of k, zeros beyond the ends."""
     return np.convolve(x, np.ones(k), "same")
