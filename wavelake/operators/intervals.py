@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of a slice of time that near intervals meet in.
+BUCKET = 3600.0
+
+
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start_s", end: str = "end_s", gap: float = 0.0) -> DataFrame:
     """Merge intervals of a key that touch or overlap: start <= latest end so far + gap.
 
@@ -44,18 +48,34 @@ def overlap_join(
     return out if how in ("left_semi", "left_anti") else out.drop(*(f"__{k}" for k in keys))
 
 
-def label_points(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str = "start_s", end: str = "end_s") -> DataFrame:
+def overlapping_pairs(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], closed: bool,
+    left_bounds: tuple[str, str] = ("start_s", "end_s"), right_bounds: tuple[str, str] = ("start_s", "end_s"), width: float = BUCKET,
+) -> DataFrame:
+    """`overlap_join`, inner, for sessions with many intervals on both sides.
+
+    Both sides are repeated for each ``width`` seconds that they reach into, and join on that too, so an
+    interval meets those near it, not all of its session.  A pair is kept in the slice of its later start.
+    """
+    slices = lambda bounds: F.explode(F.sequence(F.floor(F.col(bounds[0]) / width), F.floor(F.col(bounds[1]) / width))).alias("__slice")
+    out = overlap_join(left.select("*", slices(left_bounds)), right.select("*", slices(right_bounds)), [*keys, "__slice"], closed, "inner", left_bounds, right_bounds)
+    return out.where(F.col("__slice") == F.floor(F.greatest(left_bounds[0], "b_start") / width)).drop("__slice")
+
+
+def label_points(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str = "start_s", end: str = "end_s", width: float = BUCKET) -> DataFrame:
     """``samples`` with ``label`` 1 where the point lies in an interval of its key, both ends inclusive.
 
-    The intervals are merged first, so a point meets one at most and the join adds no rows.
+    The intervals are merged first, so a point meets one at most and the join adds no rows.  They are
+    repeated for each ``width`` seconds that they reach into, so a point is compared with those near it only.
     """
     merged = merge_intervals(intervals, keys, start, end)
-    iv = merged.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(start).alias("__start"), F.col(end).alias("__end"))
-    on = (F.col(at) >= F.col("__start")) & (F.col(at) <= F.col("__end"))
+    slices = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("__slice")
+    iv = merged.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(start).alias("__start"), F.col(end).alias("__end"), slices)
+    on = (F.floor(F.col(at) / width) == F.col("__slice")) & (F.col(at) >= F.col("__start")) & (F.col(at) <= F.col("__end"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
     out = samples.join(iv, on, "left").withColumn("label", F.when(F.col("__start").isNotNull(), 1).otherwise(0))
-    return out.drop(*(f"__{k}" for k in keys), "__start", "__end")
+    return out.drop(*(f"__{k}" for k in keys), "__start", "__end", "__slice")
 
 
 def split_alerts(alerts: DataFrame, events: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import log_loss, wilson
-from .intervals import overlap_join, split_alerts
+from ..scratch import materialize
+from .intervals import overlapping_pairs
 from .refractory import refractory_alerts
 
 
@@ -50,45 +51,57 @@ def focal_loss(df: DataFrame, score: str, label: str, gamma: float = 2.0) -> Dat
     return df.agg(F.avg(F.pow(1.0 - right, gamma) * log_loss(F.col(label), F.col(score))).alias("loss"))
 
 
+def _beside(one: DataFrame, other: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """A row per group (one row without groups) with the columns of both; few rows."""
+    return one.join(F.broadcast(other), list(groups), "left") if groups else one.join(F.broadcast(other), F.lit(True))
+
+
 def event_hits(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, threshold: float | Column) -> DataFrame:
     """(keys, event_index, start_s, end_s, overlapping, detected, max_score) for every event, bounds inclusive."""
-    w = windows.select(*keys, F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"), F.col(score).alias("w_score"))
-    joined = overlap_join(events.select(*keys, "event_index", "start_s", "end_s"), w, keys, True, "left", right_bounds=("w_start", "w_end"))
-    return joined.groupBy(*keys, "event_index", "start_s", "end_s").agg(
-        F.count("w_score").alias("overlapping"), F.coalesce(F.bool_or(F.col("w_score") >= threshold), F.lit(False)).alias("detected"), F.max("w_score").alias("max_score"))
+    w = windows.select(*keys, F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"), F.col(score).alias("w_score"), (F.col(score) >= threshold).alias("w_hot"))
+    e = events.select(*keys, "event_index", "start_s", "end_s")
+    met = overlapping_pairs(e, w, keys, True, right_bounds=("w_start", "w_end")).groupBy(*keys, "event_index").agg(
+        F.count("w_score").alias("overlapping"), F.bool_or("w_hot").alias("detected"), F.max("w_score").alias("max_score"))
+    out = e.join(met, [*keys, "event_index"], "left")
+    return out.select(*keys, "event_index", "start_s", "end_s", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), F.coalesce("detected", F.lit(False)).alias("detected"), "max_score")
 
 
-def event_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, label: str, threshold: float | Column) -> DataFrame:
-    """One row: events, detected, sensitivity with its Wilson interval, and windows by outcome."""
-    hits = event_hits(windows, events, keys, score, threshold).agg(F.count(F.lit(1)).alias("event_count"), F.count_if("detected").alias("detected_events"))
+def event_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, label: str, threshold: float | Column, groups: Sequence[str] = ()) -> DataFrame:
+    """One row per group: events, detected, sensitivity with its Wilson interval, and windows by outcome.
+
+    ``groups`` are some of ``keys``, such as a parameter that windows and events are repeated for.
+    """
+    hits = event_hits(windows, events, keys, score, threshold).groupBy(*groups).agg(F.count(F.lit(1)).alias("event_count"), F.count_if("detected").alias("detected_events"))
     hot, y = F.col(score) >= threshold, F.col(label) == 1
-    counts = windows.agg(F.count_if(hot).alias("positive_windows"), F.count_if(hot & y).alias("true_positive_windows"), F.count_if(hot & ~y).alias("false_positive_windows"))
-    ci = wilson(F.col("detected_events"), F.col("event_count"))
-    sized = hits.withColumns({"event_sensitivity": _ratio(F.col("detected_events"), F.col("event_count")), "ci": ci})
-    sized = sized.withColumns({"ci95_low": F.col("ci.low"), "ci95_high": F.col("ci.high")}).drop("ci")
-    return sized.join(F.broadcast(counts), F.lit(True))  # one row each
+    counts = windows.groupBy(*groups).agg(F.count_if(hot).alias("positive_windows"), F.count_if(hot & y).alias("true_positive_windows"), F.count_if(hot & ~y).alias("false_positive_windows"))
+    both = _beside(counts, hits, groups).fillna(0, ["event_count", "detected_events"])
+    sized = both.withColumns({"event_sensitivity": _ratio(F.col("detected_events"), F.col("event_count")), "ci": wilson(F.col("detected_events"), F.col("event_count"))})
+    return sized.select(*groups, "event_count", "detected_events", "event_sensitivity", F.col("ci.low").alias("ci95_low"), F.col("ci.high").alias("ci95_high"), "positive_windows", "true_positive_windows", "false_positive_windows")
 
 
-def alert_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, threshold: float, refractory: int, stride_seconds: float = 5.0) -> DataFrame:
-    """One row: alerts after the refractory rule, events they hit, false alerts per hour."""
+def alert_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, threshold: float | Column, refractory: int | Column, stride_seconds: float = 5.0, groups: Sequence[str] = ()) -> DataFrame:
+    """One row per group (`event_metrics`): alerts after the refractory rule, events they hit, false alerts per hour."""
     fired = refractory_alerts(windows, keys, score, threshold, refractory)
-    alerts = windows.join(fired, [*keys, "window_idx"]).select(*keys, "window_idx", "start_s", "end_s")
-    inside, outside = split_alerts(alerts, events, keys)
-    hits = overlap_join(events.select(*keys, "event_index", "start_s", "end_s"), alerts, keys, True, "left_semi")
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    out = one(windows, "windows")
-    for df, name in ((alerts, "alerts"), (inside, "true_alerts"), (outside, "false_alerts"), (events, "event_count"), (hits, "detected_events")):
-        out = out.join(F.broadcast(one(df, name)), F.lit(True))  # one row each
+    alerts = materialize(windows.join(fired, [*keys, "window_idx"]).select(*keys, "window_idx", "start_s", "end_s"), "alerts")
+    e = events.select(*keys, "event_index", F.col("start_s").alias("e_start"), F.col("end_s").alias("e_end"))
+    met = overlapping_pairs(alerts, e, keys, True, right_bounds=("e_start", "e_end")).groupBy(*groups).agg(
+        F.count_distinct(*keys, "window_idx").alias("true_alerts"), F.count_distinct(*keys, "event_index").alias("detected_events"))
+    out = windows.groupBy(*groups).agg(F.count(F.lit(1)).alias("windows"))
+    for df, name in ((alerts, "alerts"), (events, "event_count")):
+        out = _beside(out, df.groupBy(*groups).agg(F.count(F.lit(1)).alias(name)), groups)
+    out = _beside(out, met, groups).fillna(0, ["alerts", "event_count", "true_alerts", "detected_events"])
     hours = F.greatest(F.col("windows") * float(stride_seconds) / 3600.0, F.lit(1e-9))
+    out = out.withColumn("false_alerts", F.col("alerts") - F.col("true_alerts"))
     return out.withColumns({"event_sensitivity": _ratio(F.col("detected_events"), F.col("event_count")), "false_alerts_per_hour": F.col("false_alerts").cast("double") / hours})
 
 
 def alerts_per_event(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, threshold: float, refractory: int) -> DataFrame:
     """(keys, event_index, alert_count) for every event."""
     fired = windows.join(refractory_alerts(windows, keys, score, threshold, refractory), [*keys, "window_idx"])
-    a = fired.select(*keys, F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"), F.col("window_idx").alias("w"))
-    j = overlap_join(events.select(*keys, "event_index", "start_s", "end_s"), a, keys, True, "left", right_bounds=("w_start", "w_end"))
-    return j.groupBy(*keys, "event_index").agg(F.count("w").alias("alert_count"))
+    a = fired.select(*keys, F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"))
+    e = events.select(*keys, "event_index", "start_s", "end_s")
+    met = overlapping_pairs(e, a, keys, True, right_bounds=("w_start", "w_end")).groupBy(*keys, "event_index").agg(F.count(F.lit(1)).alias("alert_count"))
+    return e.select(*keys, "event_index").join(met, [*keys, "event_index"], "left").fillna(0, ["alert_count"])
 
 
 def false_alarm_rate(df: DataFrame, score: str, label: str, threshold: float | Column, hours: Column | float) -> Column:

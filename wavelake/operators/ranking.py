@@ -14,13 +14,18 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from ..functions.scalars import bankers_round
+from ..scratch import materialize
 
 
 def score_counts(df: DataFrame, score: str, label: str, groups: tuple[str, ...] = ()) -> DataFrame:
-    """(groups, s, pos, neg): positives and negatives of each distinct score; null and NaN scores are left out."""
+    """(groups, s, pos, neg): positives and negatives of each distinct score; null and NaN scores are left out.
+
+    The counts are kept in the shared folder, so that all rankings of them share one pass over the rows.
+    """
     rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    return rows.groupBy(*groups, F.col(score).cast("double").alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    return materialize(rows.groupBy(*groups, F.col(score).cast("double").alias("s")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")), "score-counts")
 
 
 def running(counts: DataFrame, groups: tuple[str, ...] = (), config: EngineConfig = DEFAULT) -> DataFrame:
@@ -90,24 +95,25 @@ def f1_threshold(counts: DataFrame, groups: tuple[str, ...] = (), config: Engine
     return joined.select(*groups, F.when(F.col("both"), F.col("t")).otherwise(0.5).alias("threshold"), F.when(F.col("both"), F.col("f1")).alias("f1"))
 
 
-def budget_thresholds(counts: DataFrame, budgets: tuple[float, ...], hours: float, config: EngineConfig = DEFAULT, strict_ties: bool = False) -> DataFrame:
-    """(budget, k, threshold, strict): the threshold that lets k = floor(budget * hours) negatives alarm.
+def budget_thresholds(counts: DataFrame, budgets: tuple[float, ...], hours: float, config: EngineConfig = DEFAULT, strict_ties: bool = False, groups: tuple[str, ...] = ()) -> DataFrame:
+    """(groups, budget, k, threshold, strict): the threshold that lets k = floor(budget * hours) negatives alarm.
 
     The k-th largest negative score; the least one where k covers all; 0.5 without negatives.  For k = 0 the
     threshold is the greatest negative score with ``strict`` true: alarms need a score above it.  Ties may
     exceed the budget (predicate >=); ``strict_ties`` then asks for a score above the tied one.
     """
-    neg = running(counts, (), config).where("neg > 0").withColumn("reach", F.col("neg_all") - F.col("neg_below"))  # negatives at or above s
+    reach = F.col("neg_all") - F.col("neg_below")  # negatives at or above s
+    neg = running(counts, groups, config).withColumns({"reach": reach, "s": F.when(F.col("neg") > 0, F.col("s"))})
     ks = [(float(b), int(max(b, 0.0) * hours)) for b in budgets]
     one = []
     for budget, k in ks:
         n = F.coalesce(F.max("neg_all"), F.lit(0))
-        enough = F.max_by("s", F.when(F.col("reach") >= k, F.col("s")))
-        over = F.max(F.when(F.col("reach") >= k, F.struct(F.col("s"), F.col("reach"))))["reach"] > k
+        enough = F.max(F.when(F.col("reach") >= k, F.col("s")))
+        over = F.max(F.when((F.col("reach") >= k) & F.col("s").isNotNull(), F.struct(F.col("s"), F.col("reach"))))["reach"] > k
         t = F.when(n == 0, 0.5).when(F.lit(k) <= 0, F.max("s")).when(F.lit(k) >= n, F.min("s")).otherwise(enough)
         strict = F.when(n == 0, False).when(F.lit(k) <= 0, True).when(F.lit(k) >= n, False).otherwise(over if strict_ties else F.lit(False))
         one.append(F.struct(F.lit(budget).alias("budget"), F.lit(k).cast("long").alias("k"), t.alias("threshold"), strict.alias("strict")))
-    return neg.agg(F.array(*one).alias("b")).select(F.explode("b").alias("b")).select("b.*")
+    return _group(neg, groups).agg(F.array(*one).alias("b")).select(*groups, F.explode("b").alias("b")).select(*groups, "b.*")
 
 
 def lowest_alarm(row: Row) -> float:
@@ -115,17 +121,21 @@ def lowest_alarm(row: Row) -> float:
     return math.nextafter(row["threshold"], math.inf) if row["strict"] else row["threshold"]
 
 
-def top_share(df: DataFrame, score: str, label: str, tie: str, shares: tuple[float, ...]) -> DataFrame:
-    """(share, k, captured, precision, recall) of the k = max(1, round(n share)) highest scores, ties by ``tie``.
+def top_share(df: DataFrame, score: str, label: str, tie: str, shares: tuple[float, ...], groups: tuple[str, ...] = (), config: EngineConfig = DEFAULT) -> DataFrame:
+    """(groups, share, k, captured, precision, recall) of the k = max(1, round(n share)) highest scores, ties by ``tie``.
 
-    The k highest are found by a bounded sort per share (a top-k, not a full sort).
+    Rows are counted by score; only those that tie with the k-th are put in order.  Null and NaN scores are lowest.
     """
-    total = df.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first()
-    out = None
-    for share in shares:
-        k = max(1, round(total[0] * share))
-        top = df.orderBy(F.desc(score), tie).limit(k).agg(F.sum(F.col(label).cast("long")).alias("captured"))
-        row = top.select(F.lit(float(share)).alias("share"), F.lit(k).cast("long").alias("k"), F.coalesce("captured", F.lit(0)).alias("captured"))
-        out = row if out is None else out.unionByName(row)
-    found = _d("captured")
-    return out.select("share", "k", "captured", (found / _d("k")).alias("precision"), (found / F.lit(float(max(total[1] or 0, 1)))).alias("recall"))
+    value = F.col(score).cast("double")
+    rows = df.select(*groups, F.col(tie).alias("__tie"), F.coalesce(F.col(label).cast("long"), F.lit(0).cast("long")).alias("__y"), F.when(value.isNull() | F.isnan(value), float("-inf")).otherwise(value).alias("s"))
+    counts = materialize(rows.groupBy(*groups, "s").agg(F.sum("__y").alias("pos"), (F.count(F.lit(1)) - F.sum("__y")).alias("neg")), "score-counts")
+    r = running(counts, groups, config).withColumns({"own": F.col("pos") + F.col("neg"), "all": F.col("pos_all") + F.col("neg_all")})
+    r = r.withColumn("above", F.col("all") - F.col("pos_below") - F.col("neg_below") - F.col("own"))
+    r = r.select("*", F.explode(F.array(*(F.lit(float(x)) for x in shares))).alias("share"))
+    r = r.withColumn("k", F.greatest(F.lit(1), bankers_round(F.col("all") * F.col("share"))).cast("long")).where("above < k and k <= above + own")
+    edge = materialize(r.select(*groups, "share", "s", "k", "above", "pos_all", (F.col("pos_all") - F.col("pos_below") - F.col("pos")).alias("pos_above")), "edges")
+    tied = rows.join(F.broadcast(edge), [*groups, "s"])  # a row per group and share
+    place = F.row_number().over(Window.partitionBy(*groups, "share").orderBy("__tie"))
+    tied = tied.withColumn("place", place).where("place <= k - above").groupBy(*groups, "share").agg(F.sum("__y").alias("tied"))
+    out = edge.join(F.broadcast(tied), [*groups, "share"]).withColumn("captured", F.col("pos_above") + F.col("tied"))
+    return out.select(*groups, "share", "k", "captured", (_d("captured") / _d("k")).alias("precision"), (_d("captured") / F.greatest(_d("pos_all"), F.lit(1.0))).alias("recall"))

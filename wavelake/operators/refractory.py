@@ -1,33 +1,48 @@
 """Alerts with a refractory period: the first hot row fires, then the session is locked for r rows.
 
-Whether a row fires depends on earlier firings, so no window frame expresses it.  Only hot rows
-(p >= threshold) are gathered per session, and a fold over their sorted positions keeps those that
-lie more than r rows after the last one kept.
+A hot row more than r rows after the hot one before it always fires, so hot rows fall into runs that
+do not touch each other, and rows at most r after a run's first never fire.  Whether a later row of a
+run fires depends on earlier firings, which no window frame expresses: a kernel jumps from firing to
+firing over the positions that are left, run by run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..scratch import materialize
 
-def keep_spaced(positions: Column, r: Column | int) -> Column:
-    """Of sorted positions: the first, and each that lies more than ``r`` after the last kept one."""
-    gap = F.lit(r) if isinstance(r, int) else r
-    start = F.struct((F.lit(0) - gap - 1).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        fires = x - a["last"] > gap
-        return F.struct(F.when(fires, x).otherwise(a["last"]).alias("last"), F.when(fires, F.array_append(a["kept"], x)).otherwise(a["kept"]).alias("kept"))
 
-    folded = F.aggregate(positions, start, step)["kept"]
-    return F.when(gap <= 0, positions).otherwise(folded)
+def spaced(positions: np.ndarray, r: int) -> np.ndarray:
+    """Of sorted positions: the first, and each that lies more than ``r`` after the last kept one."""
+    kept, at = [], 0
+    while at < len(positions):
+        kept.append(positions[at])
+        at = max(at + 1, int(np.searchsorted(positions, positions[at] + r, "right")))
+    return np.array(kept, np.int64)
 
 
 def refractory_alerts(windows: DataFrame, keys: Sequence[str], score: str, threshold: float | Column, r: int | Column, position: str = "window_idx") -> DataFrame:
     """(keys, position) of the rows that alert; ``position`` numbers a session's rows from 0."""
-    hot = windows.where(F.col(score) >= threshold)
-    gathered = hot.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(position).cast("long"))).alias("__hot"))
-    return gathered.select(*keys, F.explode(keep_spaced(F.col("__hot"), r)).alias(position))
+    lock = F.lit(r) if isinstance(r, int) else r
+    hot = windows.where(F.col(score) >= threshold).select(*keys, F.col(position).cast("long").alias(position), lock.cast("long").alias("__r"))
+    order = Window.partitionBy(*keys).orderBy(position)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    fires = F.coalesce(F.col(position) - F.lag(position).over(order) > F.col("__r"), F.lit(True))
+    first = F.last(F.when(F.col("__fires"), F.col(position)), ignorenulls=True).over(so_far)
+    rows = hot.withColumn("__fires", fires).withColumn("__first", first).where(F.col("__fires") | (F.col(position) - F.col("__first") > F.col("__r")))
+    rows = materialize(rows, "hot")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = spaced(np.sort(pdf[position].to_numpy(np.int64)), int(pdf["__r"].iloc[0]))
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(kept) for k in keys} | {position: kept})
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(position, T.LongType())])
+    later = rows.where("not __fires").groupBy(*keys, "__first").applyInPandas(run, schema)
+    return rows.where("__fires").select(*keys, position).unionByName(later)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import blend, parse_fraction
+from ..scratch import materialize
 from .metrics import alert_metrics, confusion_metrics, event_metrics
 from .ranking import budget_thresholds, lowest_alarm, roc_auc, score_counts
 from .windows import causal_mean
@@ -96,22 +97,37 @@ def smoothing_score(detected: Column, sensitivity: Column, recall: Column, balan
     return 200.0 * detected + 40.0 * sensitivity + 20.0 * recall + 5.0 * balanced + F.coalesce(no_nan(auc), F.lit(0.0)) - 0.05 * alarms
 
 
+def repeated(df: DataFrame, name: str, values: Sequence[float]) -> DataFrame:
+    """Each row once for each value of a parameter."""
+    return df.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+
+
+def by_value(name: str, of: dict) -> Column:
+    """A double for each value of a parameter."""
+    out = F.lit(None).cast("double")
+    for value, x in of.items():
+        out = F.when(F.col(name) == value, float(x)).otherwise(out)
+    return out
+
+
 def smoothing_grid(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, label: str, budget: float = DEFAULT.alarm_budget_per_hour, ks: Sequence[int] = DEFAULT.smoothing_windows, stride_seconds: float = 5.0) -> DataFrame:
     """(k, threshold, detected_events, event_sensitivity, recall, balanced_accuracy, false_alarms_per_hour, auc, value) per smoothing.
 
-    Each smoothed score has its own threshold, by `budget_thresholds` at ``budget`` alarms per hour.
+    Each smoothed score has its own threshold, by `budget_thresholds` at ``budget`` alarms per hour.  All
+    smoothings are made in one pass and measured in one grouping.
     """
-    out = None
-    hours = max(windows.count() * stride_seconds / 3600.0, 1e-9)
+    smooth = windows.select(*keys, "window_idx", "start_s", "end_s", F.col(label).alias("__y"), F.col(score).alias("__p"))
     for k in ks:
-        smooth = causal_mean(windows, keys, ["window_idx"], score, k, "__s")
-        counts = score_counts(smooth, "__s", label)
-        threshold = lowest_alarm(budget_thresholds(counts, (budget,), hours).first())
-        ev = event_metrics(smooth, events, keys, "__s", label, threshold)
-        cm = confusion_metrics(smooth, "__s", label, threshold, stride_seconds)
-        row = ev.select("detected_events", "event_sensitivity").join(F.broadcast(cm.select("threshold", "recall", "balanced_accuracy", "false_alarms_per_hour")), F.lit(True))
-        row = row.join(F.broadcast(roc_auc(counts)), F.lit(True)).withColumn("k", F.lit(int(k)))  # one row each
-        out = row if out is None else out.unionByName(row)
+        smooth = causal_mean(smooth, keys, ["window_idx"], "__p", k, f"__s{k}")
+    each = F.explode(F.array(*(F.struct(F.lit(int(k)).alias("k"), F.col(f"__s{k}").alias("__s")) for k in ks))).alias("__x")
+    rows = materialize(smooth.select(*keys, "window_idx", "start_s", "end_s", "__y", each).select(*keys, "window_idx", "start_s", "end_s", "__y", "__x.*"), "smoothed")
+    hours = max(rows.count() / max(len(ks), 1) * stride_seconds / 3600.0, 1e-9)
+    counts = score_counts(rows, "__s", "__y", ("k",))
+    found = budget_thresholds(counts.withColumnRenamed("k", "smoothing"), (budget,), hours, groups=("smoothing",)).collect()
+    rows = rows.withColumn("__t", by_value("k", {r.smoothing: lowest_alarm(r) for r in found}))
+    ev = event_metrics(rows, repeated(events, "k", [int(k) for k in ks]), [*keys, "k"], "__s", "__y", F.col("__t"), ["k"])
+    cm = confusion_metrics(rows, "__s", "__y", F.col("__t"), stride_seconds, ["k"])
+    out = cm.select("k", "threshold", "recall", "balanced_accuracy", "false_alarms_per_hour").join(F.broadcast(ev.select("k", "detected_events", "event_sensitivity")), "k").join(F.broadcast(roc_auc(counts, ("k",))), "k")
     value = smoothing_score(F.col("detected_events"), F.col("event_sensitivity"), F.col("recall"), F.col("balanced_accuracy"), F.col("auc"), F.col("false_alarms_per_hour"))
     return out.withColumn("value", value)
 
@@ -122,12 +138,11 @@ def select_smoothing(grid: DataFrame) -> DataFrame:
 
 
 def refractory_grid(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, threshold: float, minutes: Sequence[float] = DEFAULT.refractory_minutes, stride_seconds: float = 5.0) -> DataFrame:
-    """`alert_metrics` for every refractory time, with the selection value."""
-    out = None
-    for m in minutes:
-        rows = round(m * 60.0 / stride_seconds)
-        row = alert_metrics(windows, events, keys, score, threshold, rows, stride_seconds).withColumn("minutes", F.lit(float(m)))
-        out = row if out is None else out.unionByName(row)
+    """`alert_metrics` for every refractory time, with the selection value; one pass."""
+    times = [float(m) for m in minutes]
+    rows = repeated(windows.select(*keys, "window_idx", "start_s", "end_s", score), "minutes", times)
+    locks = by_value("minutes", {m: round(m * 60.0 / stride_seconds) for m in times})
+    out = alert_metrics(rows, repeated(events, "minutes", times), [*keys, "minutes"], score, threshold, locks, stride_seconds, ["minutes"])
     value = 100.0 * F.col("event_sensitivity") + F.col("detected_events") - 0.2 * F.col("false_alerts_per_hour")
     return out.withColumn("value", value)
 

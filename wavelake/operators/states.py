@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from .intervals import BUCKET
 
 
 def state_labels(points: DataFrame, events: DataFrame, keys: Sequence[str], row: Sequence[str], at: str = "anchor_s", config: EngineConfig = DEFAULT) -> DataFrame:
@@ -21,11 +22,14 @@ def state_labels(points: DataFrame, events: DataFrame, keys: Sequence[str], row:
 
     A point in state 2 or 3 for any horizon is ``blocked``: sequences there are dropped for all.
     ``row`` identifies a point within the keys; one join and one grouping whatever the number of horizons.
+    Events are repeated for each slice of time that they reach into, so a point meets those near it only.
     """
-    e = events.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("event_index").alias("__i"), F.col("start_s").alias("__s"), F.col("end_s").alias("__e"))
+    first, last = F.col("start_s") - config.pre_seconds, F.col("end_s") + max(config.post_seconds, config.recovery_seconds)
+    slices = F.explode(F.sequence(F.floor(first / BUCKET), F.floor(last / BUCKET))).alias("__slice")
+    e = events.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("event_index").alias("__i"), F.col("start_s").alias("__s"), F.col("end_s").alias("__e"), slices)
     t = F.col(at)
     reach = (t >= F.col("__s") - config.pre_seconds) & (t <= F.col("__e") + max(config.post_seconds, config.recovery_seconds))
-    on = reach
+    on = reach & (F.floor(t / BUCKET) == F.col("__slice"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
     held = (F.col("__s") <= t) & (t <= F.col("__e"))

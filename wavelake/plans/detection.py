@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import offset_policy
-from ..operators import intervals, metrics, ranking, windows
+from ..operators import intervals, metrics, ranking, selection, windows
+from ..scratch import materialize
 
 
 def label_intervals(labels: DataFrame, keys: Sequence[str], config: EngineConfig = DEFAULT) -> DataFrame:
@@ -33,17 +34,16 @@ def budget_report(val: DataFrame, test: DataFrame, events: DataFrame, keys: Sequ
     ``events`` are those of the test sessions.  Alerts keep the refractory time; their columns that event
     metrics have too start with ``alert_``.
     """
-    n = val.count()
-    hours = max(n * stride_seconds / 3600.0, 1e-9)
+    val = materialize(val.select("p", "label"), "validation")
+    hours = max(val.count() * stride_seconds / 3600.0, 1e-9)
     counts = ranking.score_counts(val, "p", "label")
-    thresholds = {str(r.budget): ranking.lowest_alarm(r) for r in ranking.budget_thresholds(counts, config.alarm_budgets, hours, config).collect()}
-    cm = metrics.over_thresholds(test, thresholds, "budget", "p", "label", stride_seconds)
+    lowest = {r.budget: ranking.lowest_alarm(r) for r in ranking.budget_thresholds(counts, config.alarm_budgets, hours, config).collect()}
     lock = round(max(refractory_minutes, 0.0) * 60.0 / stride_seconds)
-    out = None
-    for name, t in thresholds.items():
-        ev = metrics.event_metrics(test, events, keys, "p", "label", t).select(F.lit(name).alias("budget"), "event_count", "detected_events", "event_sensitivity", "ci95_low", "ci95_high")
-        al = metrics.alert_metrics(test, events, keys, "p", t, lock, stride_seconds).select(
-            "alerts", "true_alerts", "false_alerts", F.col("detected_events").alias("alert_detected_events"), F.col("event_sensitivity").alias("alert_event_sensitivity"), "false_alerts_per_hour")
-        row = ev.join(F.broadcast(al), F.lit(True))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return cm.join(F.broadcast(out), "budget").withColumn("budget", F.col("budget").cast("double"))  # a row per budget
+    rows = selection.repeated(test.select(*keys, "window_idx", "start_s", "end_s", "p", "label"), "budget", list(lowest))
+    rows = materialize(rows.withColumn("t", selection.by_value("budget", lowest)), "budgets")
+    each, by = selection.repeated(events, "budget", list(lowest)), [*keys, "budget"]
+    cm = metrics.confusion_metrics(rows, "p", "label", F.col("t"), stride_seconds, ["budget"])
+    ev = metrics.event_metrics(rows, each, by, "p", "label", F.col("t"), ["budget"]).select("budget", "event_count", "detected_events", "event_sensitivity", "ci95_low", "ci95_high")
+    al = metrics.alert_metrics(rows, each, by, "p", F.col("t"), lock, stride_seconds, ["budget"]).select(
+        "budget", "alerts", "true_alerts", "false_alerts", F.col("detected_events").alias("alert_detected_events"), F.col("event_sensitivity").alias("alert_event_sensitivity"), "false_alerts_per_hour")
+    return cm.join(F.broadcast(ev), "budget").join(F.broadcast(al), "budget")  # a row per budget

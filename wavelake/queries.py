@@ -658,7 +658,7 @@ def _(spark, sf):
 @query("horizon_report")
 def _(spark, sf):
     q = prediction.risk_sequences(scored(spark, sf), merged(spark, sf), KEY, length=6).withColumn("p", F.pmod(F.xxhash64("user_id", "seq_idx"), F.lit(1000)) / 1000.0)
-    return prediction.horizon_report(q, (300, 1800), "p").withColumn("captured", F.col("captured").cast("string"))
+    return prediction.horizon_report(q, (300, 1800), "p", KEY).withColumn("captured", F.col("captured").cast("string"))
 
 
 @query("stream_windows", "SELECT user_id, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
