@@ -39,7 +39,8 @@ def report_document(rows: DataFrame) -> DataFrame:
 
     Without rows the run ended early: there was nothing to report on.
     """
-    whole = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("horizons"))
+    columns = [F.map_entries(c).alias(c) if kind.startswith("map") else F.col(c) for c, kind in rows.dtypes]  # maps have no order
+    whole = rows.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("horizons"))
     some = F.size("horizons") > 0
     text = F.struct(F.when(some, "completed").otherwise("skipped").alias("status"), F.when(~some, "no sequences to evaluate").alias("reason"), "horizons")
     return whole.select(F.to_json(text, {"ignoreNullFields": "false"}).alias("document"))

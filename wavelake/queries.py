@@ -326,14 +326,65 @@ def _(spark, sf):
     return selection.select_fusion(selection.fusion_grid(w, "p", "p2", "label", HOT)).select("weight", "tp", "fp")
 
 
-@query("smoothing_grid")
+SMOOTHING = """, sm AS (SELECT w.user_id, window_idx, start_s, end_s, label, 1 AS k, p AS s FROM w
+  UNION ALL SELECT user_id, window_idx, start_s, end_s, label, 3, avg(p) OVER (PARTITION BY user_id ORDER BY window_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) FROM w
+  UNION ALL SELECT user_id, window_idx, start_s, end_s, label, 5, avg(p) OVER (PARTITION BY user_id ORDER BY window_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) FROM w),
+hours AS (SELECT count(*) * 5.0 / 3600.0 AS h FROM w),
+ng AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s DESC) AS rn, count(*) OVER (PARTITION BY k) AS n FROM sm WHERE label = 0),
+th AS (SELECT k, max(s) FILTER (WHERE rn = least(n, CAST(floor({budget} * (SELECT h FROM hours)) AS BIGINT))) AS t FROM ng GROUP BY k),
+ho AS (SELECT sm.*, t, s >= t - 1e-12 AS hot FROM sm JOIN th USING (k)),
+cm AS (SELECT k, max(t) AS t, count(*) FILTER (WHERE hot AND label = 1) / CAST(greatest(count(*) FILTER (WHERE label = 1), 1) AS DOUBLE) AS recall, count(*) FILTER (WHERE NOT hot AND label = 0) / CAST(greatest(count(*) FILTER (WHERE label = 0), 1) AS DOUBLE) AS spec, count(*) FILTER (WHERE hot AND label = 0) AS fp FROM ho GROUP BY k),
+de AS (SELECT k, count(*) AS detected FROM (SELECT DISTINCT k, ev.user_id, ev.event_index FROM ho JOIN ev ON ho.user_id = ev.user_id AND ev.start_s <= ho.end_s AND ev.end_s >= ho.start_s WHERE hot) GROUP BY k),
+sc AS (SELECT k, s, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM sm GROUP BY k, s),
+ra AS (SELECT k, pos, neg, coalesce(sum(neg) OVER (PARTITION BY k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sc),
+au AS (SELECT k, CAST(sum(pos * (below + 0.5 * neg)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc FROM ra GROUP BY k),
+al AS (SELECT cm.k, t, recall, (recall + spec) / 2 AS balanced, fp / (SELECT h FROM hours) AS fa, coalesce(detected, 0) AS detected, coalesce(detected, 0) / CAST(greatest((SELECT count(*) FROM ev), 1) AS DOUBLE) AS sens, auc FROM cm LEFT JOIN de USING (k) LEFT JOIN au USING (k))
+SELECT CAST(k AS INTEGER) AS k, round(t, 6) AS threshold, CAST(detected AS BIGINT) AS detected_events, round(sens, 6) AS event_sensitivity, round(recall, 6) AS recall, round(balanced, 6) AS balanced_accuracy, round(fa, 4) AS false_alarms_per_hour,
+ round(auc, 4) AS auc, round(200.0 * detected + 40.0 * sens + 20.0 * recall + 5.0 * balanced + coalesce(auc, 0) - 0.05 * fa, 3) AS value FROM al"""
+
+
+def _smoothing(spark, sf):
+    # six digits: a mean summed in another order may differ in the last place, which must not decide
+    w = scored(spark, sf)
+    g = selection.smoothing_grid(w, merged(spark, sf), KEY, "p", "label", 500.0, (1, 3, 5))
+    g = rounded(g, "threshold", "event_sensitivity", "recall", "balanced_accuracy")
+    return g.withColumns({"false_alarms_per_hour": F.round("false_alarms_per_hour", 4), "auc": F.round("auc", 4), "value": F.round("value", 3)})
+
+
+@query("smoothing_grid", sql(*W, SMOOTHING.format(budget=500.0)))
+def _(spark, sf):
+    return _smoothing(spark, sf)
+
+
+@query("select_smoothing", sql(*W, SMOOTHING.format(budget=500.0) + " ORDER BY value DESC, k LIMIT 1"))
+def _(spark, sf):
+    return selection.select_smoothing(_smoothing(spark, sf))
+
+
+REFRACTORY = """, hot AS (SELECT user_id, window_idx, start_s, end_s, m.minutes, m.r FROM w, (VALUES (0.0, 0), (1.0, 12), (5.0, 60)) m(minutes, r) WHERE p >= 0.25),
+nxt AS (SELECT a.minutes, a.user_id, a.window_idx, min(b.window_idx) AS nx FROM hot a LEFT JOIN hot b ON a.user_id = b.user_id AND a.minutes = b.minutes AND b.window_idx > a.window_idx + a.r GROUP BY 1, 2, 3),
+al AS (SELECT minutes, user_id, min(window_idx) AS window_idx FROM hot GROUP BY 1, 2
+  UNION ALL SELECT al.minutes, al.user_id, nxt.nx FROM al JOIN nxt ON al.minutes = nxt.minutes AND al.user_id = nxt.user_id AND al.window_idx = nxt.window_idx WHERE nxt.nx IS NOT NULL),
+aw AS (SELECT hot.* FROM hot JOIN al USING (minutes, user_id, window_idx)),
+hi AS (SELECT aw.minutes, aw.user_id, window_idx, event_index FROM aw JOIN ev ON aw.user_id = ev.user_id AND aw.start_s <= ev.end_s AND aw.end_s >= ev.start_s),
+t AS (SELECT minutes, (SELECT count(*) FROM w) AS windows, count(*) AS alerts, (SELECT count(*) FROM ev) AS event_count, (SELECT count(DISTINCT (user_id, window_idx)) FROM hi WHERE hi.minutes = aw.minutes) AS true_alerts, (SELECT count(DISTINCT (user_id, event_index)) FROM hi WHERE hi.minutes = aw.minutes) AS detected_events FROM aw GROUP BY minutes),
+u AS (SELECT *, alerts - true_alerts AS false_alerts, detected_events / CAST(greatest(event_count, 1) AS DOUBLE) AS sens, (alerts - true_alerts) / (windows * 5.0 / 3600.0) AS fa FROM t)
+SELECT CAST(minutes AS DOUBLE) AS minutes, windows, alerts, event_count, true_alerts, detected_events, false_alerts, round(sens, 6) AS event_sensitivity, round(fa, 6) AS false_alerts_per_hour, round(100.0 * sens + detected_events - 0.2 * fa, 4) AS value FROM u"""
+
+
+def _refractory(spark, sf):
+    g = selection.refractory_grid(scored(spark, sf), merged(spark, sf), KEY, "p", HOT, (0.0, 1.0, 5.0))
+    return rounded(g, "event_sensitivity", "false_alerts_per_hour").withColumn("value", F.round("value", 4))
+
+
+@query("refractory_grid", rsql(*W, REFRACTORY))
 def _(spark, sf):
-    return selection.smoothing_grid(scored(spark, sf), merged(spark, sf), KEY, "p", "label", ks=(1, 3, 5))
+    return _refractory(spark, sf)
 
 
-@query("refractory_grid")
+@query("select_refractory", rsql(*W, REFRACTORY + " ORDER BY value DESC, minutes LIMIT 1"))
 def _(spark, sf):
-    return selection.refractory_grid(scored(spark, sf), merged(spark, sf), KEY, "p", HOT, (0.0, 1.0, 5.0))
+    return selection.select_refractory(_refractory(spark, sf))
 
 
 RUNS = """runs AS (SELECT 'run_' || l_suppkey % 12 AS name, l_suppkey % 12 AS id, avg(l_discount) AS std_recall, avg(l_tax) AS pro_recall, CAST(count(*) % 7 AS INTEGER) AS std_events, CAST(count(*) % 5 AS INTEGER) AS pro_events,
@@ -349,23 +400,54 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         F.avg("l_quantity").alias("std_false_alarms_per_hour"), (F.avg("l_quantity") - 1).alias("pro_false_alarms_per_hour"), (F.avg("l_discount") * 10).alias("std_auc"), (F.avg("l_tax") * 20).alias("pro_auc"))
 
 
-@query("experiment_ranking", sql("runs", "SELECT name, std_events, pro_events, row_number() OVER (ORDER BY (std_events >= 3 AND std_recall > 0 AND std_false_alarms_per_hour <= 30) DESC, pro_events - std_events DESC, round(pro_recall - std_recall, 9) DESC, std_events DESC, round(std_recall, 9) DESC, name) AS place FROM runs"))
+def rounded_runs(spark: SparkSession, sf: str) -> DataFrame:
+    r = runs(spark, sf).withColumns({c: F.round(c, 9) for c in ("std_recall", "pro_recall", "std_auc", "pro_auc", "std_false_alarms_per_hour", "pro_false_alarms_per_hour")})
+    # a run in four has no AUC
+    nan = lambda c: F.when(F.col("id") % 4 == 3, float("nan")).otherwise(F.col(c))
+    return r.withColumns({"std_auc": nan("std_auc"), "pro_auc": nan("pro_auc")}).withColumns({"std_pr_auc": F.col("std_auc") / 2, "pro_pr_auc": F.col("pro_auc") / 4})
+
+
+CTE["rr"] = """rr AS (SELECT name, id, round(std_recall, 9) AS std_recall, round(pro_recall, 9) AS pro_recall, std_events, pro_events, round(std_false_alarms_per_hour, 9) AS std_fa, round(pro_false_alarms_per_hour, 9) AS pro_fa,
+CASE WHEN id % 4 <> 3 THEN round(std_auc, 9) END AS std_auc, CASE WHEN id % 4 <> 3 THEN round(pro_auc, 9) END AS pro_auc, CASE WHEN id % 4 <> 3 THEN round(std_auc, 9) / 2 END AS std_pr, CASE WHEN id % 4 <> 3 THEN round(pro_auc, 9) / 4 END AS pro_pr FROM runs)"""
+
+
+def _places(rows: DataFrame, key) -> DataFrame:
+    return rows.select("name", F.row_number().over(Window.orderBy(*(k.desc_nulls_last() for k in key), "name")).alias("place"))
+
+
+@query("experiment_ranking", sql("runs", "rr", """SELECT name, row_number() OVER (ORDER BY (std_events >= 3 AND std_recall > 0 AND std_fa <= 30) DESC, pro_events - std_events DESC, pro_recall - std_recall DESC, std_events DESC, std_recall DESC, std_fa, pro_auc DESC NULLS LAST, name) AS place FROM rr"""))
 def _(spark, sf):
-    r = runs(spark, sf).withColumns({c: F.round(c, 9) for c in ("std_recall", "pro_recall", "std_auc", "pro_auc")})
-    key = selection.product_key()[:5]
-    return r.select("name", "std_events", "pro_events", F.row_number().over(Window.orderBy(*(k.desc_nulls_last() for k in key), "name")).alias("place"))
+    return _places(rounded_runs(spark, sf), selection.product_key())
 
 
-@query("best_baseline", sql("runs", "SELECT name, std_events FROM runs ORDER BY std_events DESC, round(std_recall, 9) DESC, name LIMIT 1"))
+@query("archive_ranking", sql("runs", "rr", "SELECT name, row_number() OVER (ORDER BY pro_auc - std_auc DESC NULLS LAST, pro_pr DESC NULLS LAST, pro_recall DESC, pro_fa, name) AS place FROM rr"))
 def _(spark, sf):
-    r = runs(spark, sf).select("name", "std_events", F.col("std_events").alias("detected_events"), F.round("std_recall", 9).alias("recall"), F.lit(0.0).alias("false_alarms_per_hour"), F.lit(0.0).alias("auc"))
-    return selection.best_baseline(r).select("name", "std_events")
+    return _places(rounded_runs(spark, sf), selection.archive_key())
 
 
-@query("promotion")
+@query("best_baseline", sql("runs", "rr", "SELECT name, std_events AS detected_events FROM rr ORDER BY std_events DESC, std_recall DESC, std_fa, std_auc DESC NULLS LAST, name LIMIT 1"))
 def _(spark, sf):
-    r = runs(spark, sf).withColumns({"pro_pr_auc": F.col("pro_auc") / 2, "std_pr_auc": F.col("std_auc") / 2})
-    return selection.best(r, selection.promotion_key(), "name")
+    r = rounded_runs(spark, sf).select("name", F.col("std_events").alias("detected_events"), F.col("std_recall").alias("recall"), F.col("std_false_alarms_per_hour").alias("false_alarms_per_hour"), F.col("std_auc").alias("auc"))
+    return selection.best_baseline(r).select("name", "detected_events")
+
+
+@query("best_ablation", sql("runs", "rr", "SELECT name AS variant FROM rr WHERE name <> 'run_1' ORDER BY coalesce(pro_pr, -1) DESC, coalesce(pro_auc, -1) DESC, coalesce(pro_recall, -1) DESC, name LIMIT 1"))
+def _(spark, sf):
+    r = rounded_runs(spark, sf).select(F.col("name").alias("variant"), F.col("pro_pr_auc").alias("pr_auc"), F.col("pro_auc").alias("auc"), F.col("pro_recall").alias("f1"))
+    return selection.best_ablation(r, "run_1").select("variant")
+
+
+@query("allocation_ranking", sql("runs", "rr", """, g AS (SELECT *, round(std_events / 7.0, 9) AS se, round(pro_events / 5.0, 9) AS pe, round((std_recall + 1) / 2, 9) AS sb, round((pro_recall + 1) / 2, 9) AS pb FROM rr)
+SELECT name, row_number() OVER (ORDER BY (pe - se >= 0) DESC, pe - se DESC, (pro_recall - std_recall >= 0) DESC, (pb - sb >= 0) DESC, pro_recall DESC, pro_recall - std_recall DESC, pb - sb DESC, pro_auc - std_auc DESC NULLS LAST, std_fa - pro_fa DESC, std_recall DESC, name) AS place FROM g"""))
+def _(spark, sf):
+    r = rounded_runs(spark, sf).withColumns({"std_event_sensitivity": F.round(F.col("std_events") / 7.0, 9), "pro_event_sensitivity": F.round(F.col("pro_events") / 5.0, 9), "std_balanced_accuracy": F.round((F.col("std_recall") + 1) / 2, 9), "pro_balanced_accuracy": F.round((F.col("pro_recall") + 1) / 2, 9)})
+    return _places(r, selection.allocation_key())
+
+
+@query("promotion", sql("runs", "rr", """SELECT name FROM rr ORDER BY (std_events >= 1 AND std_fa <= 40) DESC, (pro_events - std_events >= 0) DESC, pro_events - std_events DESC, (pro_recall - std_recall >= 0) DESC, pro_recall - std_recall DESC, (std_fa - pro_fa >= 0) DESC, std_fa - pro_fa DESC,
+pro_auc - std_auc DESC NULLS LAST, pro_events DESC, pro_recall DESC, pro_fa, pro_auc DESC NULLS LAST, std_events DESC, std_recall DESC, std_fa, std_auc DESC NULLS LAST, pro_pr DESC NULLS LAST, std_pr DESC NULLS LAST, name LIMIT 1"""))
+def _(spark, sf):
+    return selection.best(rounded_runs(spark, sf), selection.promotion_key(), "name").select("name")
 
 
 # -- resampling ----------------------------------------------------------------------------------
@@ -647,18 +729,71 @@ def _(spark, sf):
 # -- plans, streams, kernels ---------------------------------------------------------------------
 
 
-@query("budget_report")
+BUDGETS = """, us AS (SELECT user_id, max(label) AS stratum FROM w GROUP BY user_id),
+ur AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || user_id), user_id) AS rn FROM us),
+sp AS (SELECT user_id, CASE WHEN rn <= greatest(1, round_even(n * 0.2, 0)) THEN 'test' WHEN rn <= greatest(1, round_even(n * 0.2, 0)) + greatest(1, round_even(n * 0.1, 0)) THEN 'val' ELSE 'train' END AS split FROM ur),
+va AS (SELECT w.* FROM w JOIN sp USING (user_id) WHERE split = 'val'), te AS (SELECT w.* FROM w JOIN sp USING (user_id) WHERE split = 'test'), tv AS (SELECT ev.* FROM ev JOIN sp USING (user_id) WHERE split = 'test'),
+ng AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS rn FROM va WHERE label = 0),
+bu AS (SELECT CAST(b AS DOUBLE) AS budget, CAST(floor(b * (SELECT count(*) FROM va) * 5.0 / 3600.0) AS BIGINT) AS k FROM (VALUES (1.0), (5.0), (10.0), (25.0), (50.0)) v(b)),
+th AS (SELECT budget, k, CASE WHEN k = 0 THEN (SELECT max(p) FROM ng) WHEN k >= (SELECT count(*) FROM ng) THEN (SELECT min(p) FROM ng) ELSE (SELECT p FROM ng WHERE rn = k) END AS t FROM bu),
+ho AS (SELECT te.*, budget, t, CASE WHEN k = 0 THEN p > t ELSE p >= t END AS hot FROM te, th),
+cm AS (SELECT budget, max(t) AS t, count(*) FILTER (WHERE label = 1 AND hot) AS tp, count(*) FILTER (WHERE label = 0 AND hot) AS fp, count(*) FILTER (WHERE label = 0 AND NOT hot) AS tn, count(*) FILTER (WHERE label = 1 AND NOT hot) AS fn, count(*) AS n FROM ho GROUP BY budget),
+de AS (SELECT budget, count(DISTINCT (ho.user_id, event_index)) AS d FROM ho JOIN tv ON ho.user_id = tv.user_id AND tv.start_s <= ho.end_s AND tv.end_s >= ho.start_s WHERE hot GROUP BY budget),
+hh AS (SELECT budget, user_id, window_idx, start_s, end_s FROM ho WHERE hot),
+nxt AS (SELECT a.budget, a.user_id, a.window_idx, min(b.window_idx) AS nx FROM hh a LEFT JOIN hh b ON a.user_id = b.user_id AND a.budget = b.budget AND b.window_idx > a.window_idx + 12 GROUP BY 1, 2, 3),
+al AS (SELECT budget, user_id, min(window_idx) AS window_idx FROM hh GROUP BY 1, 2 UNION ALL SELECT al.budget, al.user_id, nxt.nx FROM al JOIN nxt ON al.budget = nxt.budget AND al.user_id = nxt.user_id AND al.window_idx = nxt.window_idx WHERE nxt.nx IS NOT NULL),
+aw AS (SELECT hh.* FROM hh JOIN al USING (budget, user_id, window_idx)),
+ac AS (SELECT budget, count(*) AS alerts FROM aw GROUP BY budget),
+ah AS (SELECT budget, count(DISTINCT (aw.user_id, window_idx)) AS good, count(DISTINCT (aw.user_id, event_index)) AS d FROM aw JOIN tv ON aw.user_id = tv.user_id AND aw.start_s <= tv.end_s AND aw.end_s >= tv.start_s GROUP BY budget)
+SELECT cm.budget, round(t, 6) AS threshold, tp, fp, tn, fn, n, (SELECT count(*) FROM tv) AS event_count, coalesce(de.d, 0) AS detected_events, round(coalesce(de.d, 0) / CAST(greatest((SELECT count(*) FROM tv), 1) AS DOUBLE), 6) AS event_sensitivity, round(fp / (n * 5.0 / 3600.0), 4) AS false_alarms_per_hour,
+ coalesce(alerts, 0) AS alerts, coalesce(good, 0) AS true_alerts, coalesce(alerts, 0) - coalesce(good, 0) AS false_alerts, coalesce(ah.d, 0) AS alert_detected_events, round((coalesce(alerts, 0) - coalesce(good, 0)) / (n * 5.0 / 3600.0), 4) AS false_alerts_per_hour
+FROM cm LEFT JOIN de USING (budget) LEFT JOIN ac USING (budget) LEFT JOIN ah USING (budget)"""
+
+
+@query("budget_report", rsql(*W, BUDGETS))
 def _(spark, sf):
     w, ev = scored(spark, sf), merged(spark, sf)
     users = splits.patient_split(w.select("user_id", "label"), "user_id", "label")
     of = lambda rows, part: rows.join(users.where(F.col("split") == part), KEY, "left_semi")
-    return detection.budget_report(of(w, "val"), of(w, "test"), of(ev, "test"), KEY, refractory_minutes=1.0)
+    r = detection.budget_report(of(w, "val"), of(w, "test"), of(ev, "test"), KEY, refractory_minutes=1.0)
+    r = r.select("budget", F.round("threshold", 6).alias("threshold"), "tp", "fp", "tn", "fn", "n", "event_count", "detected_events", F.round("event_sensitivity", 6).alias("event_sensitivity"), F.round("false_alarms_per_hour", 4).alias("false_alarms_per_hour"),
+                 "alerts", "true_alerts", "false_alerts", "alert_detected_events", F.round("false_alerts_per_hour", 4).alias("false_alerts_per_hour"))
+    return r
+
+
+HORIZONS = """, hz AS (SELECT 300 AS horizon, user_id, seq_idx, CASE WHEN state_300 = 1 THEN 1 ELSE 0 END AS y FROM st WHERE NOT (state_300 IN (2, 3) OR state_900 IN (2, 3) OR state_1800 IN (2, 3))
+  UNION ALL SELECT 1800, user_id, seq_idx, CASE WHEN state_1800 = 1 THEN 1 ELSE 0 END FROM st WHERE NOT (state_300 IN (2, 3) OR state_900 IN (2, 3) OR state_1800 IN (2, 3))),
+hp AS (SELECT *, ((user_id * 31 + seq_idx * 17) % 97) / 97.0 AS p FROM hz),
+hc AS (SELECT horizon, p AS s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM hp GROUP BY 1, 2),
+hr AS (SELECT *, sum(pos) OVER (PARTITION BY horizon ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY horizon ORDER BY s DESC) AS fp, sum(pos) OVER (PARTITION BY horizon) AS np, sum(neg) OVER (PARTITION BY horizon) AS nn FROM hc),
+ha AS (SELECT horizon, sum(CAST(pos AS DOUBLE) * (nn - fp + 0.5 * neg)) / nullif(CAST(max(np) AS DOUBLE) * CAST(max(nn) AS DOUBLE), 0) AS auc, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN sum(CAST(pos AS DOUBLE) / np * CAST(tp AS DOUBLE) / (tp + fp)) END AS ap FROM hr GROUP BY horizon),
+hf AS (SELECT horizon, s, np, nn, 2.0 * (tp / CAST(tp + fp AS DOUBLE)) * (tp / CAST(np AS DOUBLE)) / (tp / CAST(tp + fp AS DOUBLE) + tp / CAST(np AS DOUBLE) + 1e-8) AS f1 FROM hr),
+hb AS (SELECT horizon, CASE WHEN np > 0 AND nn > 0 THEN s ELSE 0.5 END AS best FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY f1 DESC, s) AS rn FROM hf) WHERE rn = 1),
+hm AS (SELECT horizon, count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp, count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn, count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn FROM hp GROUP BY horizon),
+ho AS (SELECT horizon, y, row_number() OVER (PARTITION BY horizon ORDER BY p DESC, user_id, seq_idx) AS rn, count(*) OVER (PARTITION BY horizon) AS n FROM hp),
+ht AS (SELECT horizon, sum(y) FILTER (WHERE rn <= greatest(1, round_even(n * 0.01, 0))) AS c1, sum(y) FILTER (WHERE rn <= greatest(1, round_even(n * 0.05, 0))) AS c5, sum(y) FILTER (WHERE rn <= greatest(1, round_even(n * 0.1, 0))) AS c10, greatest(sum(y), 1) AS np FROM ho GROUP BY horizon)
+SELECT CAST(hm.horizon AS INTEGER) AS horizon, hm.tp, hm.fp, hm.tn, hm.fn, round(auc, 6) AS auc, round(ap, 6) AS average_precision, round(best, 6) AS best_threshold, round(c1 / CAST(np AS DOUBLE), 6) AS top_1, round(c5 / CAST(np AS DOUBLE), 6) AS top_5, round(c10 / CAST(np AS DOUBLE), 6) AS top_10
+FROM hm JOIN ha USING (horizon) JOIN hb USING (horizon) JOIN ht USING (horizon)"""
+
+
+def _horizons(spark, sf):
+    q = prediction.risk_sequences(scored(spark, sf), merged(spark, sf), KEY, length=6).withColumn("p", (F.col("user_id") * 31 + F.col("seq_idx") * 17) % 97 / 97.0)
+    return prediction.horizon_report(q, (300, 1800), "p", KEY)
+
+
+@query("horizon_report", sql(*W, "q", "st", HORIZONS))
+def _(spark, sf):
+    r = _horizons(spark, sf)
+    tops = {f"top_{n}": F.round(F.col("captured")[x], 6) for n, x in ((1, 0.01), (5, 0.05), (10, 0.1))}
+    return r.select("horizon", "tp", "fp", "tn", "fn", F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"), F.round("best_threshold", 6).alias("best_threshold"), *(c.alias(n) for n, c in tops.items()))
 
 
-@query("horizon_report")
+@query("prediction_document", sql(*W, "q", "st", HORIZONS.replace("SELECT CAST(hm.horizon AS INTEGER)", "SELECT 'completed' AS status, CAST(NULL AS VARCHAR) AS reason, hm.horizon, hm.tp FROM hm UNION ALL SELECT 'skipped', 'no sequences to evaluate', NULL, NULL --").replace("\nFROM hm JOIN ha", " --")))
 def _(spark, sf):
-    q = prediction.risk_sequences(scored(spark, sf), merged(spark, sf), KEY, length=6).withColumn("p", F.pmod(F.xxhash64("user_id", "seq_idx"), F.lit(1000)) / 1000.0)
-    return prediction.horizon_report(q, (300, 1800), "p", KEY).withColumn("captured", F.col("captured").cast("string"))
+    found = _horizons(spark, sf)
+    both = prediction.report_document(found).unionByName(prediction.report_document(found.where("false")))
+    read = both.select(F.from_json("document", "status string, reason string, horizons array<struct<horizon:int,tp:long>>").alias("d")).select("d.status", "d.reason", F.explode_outer("d.horizons").alias("h"))
+    return read.select("status", "reason", F.col("h.horizon").alias("horizon"), F.col("h.tp").alias("tp"))
 
 
 @query("stream_windows", "SELECT user_id, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
