@@ -98,6 +98,11 @@ def channel_mask(channels: dict[str, Column], enabled: Sequence[str]) -> list[Co
     return [(c if name in enabled else F.lit(0.0)).alias(name) for name, c in channels.items()]
 
 
+def feature_names(text: str) -> list[str]:
+    """Names of a comma-separated list: trimmed, in upper case, blanks left out."""
+    return [name for part in text.split(",") if (name := part.strip().upper())]
+
+
 def select_channels(vector: Column, names: Sequence[str], wanted: Sequence[str]) -> Column:
     """The named components of a channel vector, in the order wanted."""
     return F.array(*(F.get(vector, F.lit(list(names).index(w))) for w in wanted))

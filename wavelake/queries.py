@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import blend, format_elapsed, format_or_na, log_loss, magnitude, offset_policy, parse_fraction, patient_id, quantize_int8, second_field_class, wilson, zscore
-from .functions.scalars import bankers_round, channel_mask, dequantize_int8
+from .functions.scalars import bankers_round, channel_mask, dequantize_int8, feature_names, select_channels
 from .operators import audit, dsp, intervals, metrics, ranking, refractory, resample, selection, splits, states, summary, windows
 from .operators.scoring import FeatureScorer
 from .plans import detection, figures, prediction
 from .scratch import scratch
+from .sinks import writers
+from .sources import archives, labels, sensors
 from .streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,10 +558,12 @@ def _(spark, sf):
     return summary.health_rollup(summary.session_flags(s)).withColumn("hours", F.round("hours", 4))
 
 
-@query("rate_check", "SELECT 'acc' AS sensor, 'OK' AS status UNION ALL SELECT 'bvp', 'WARN'")
+@query("rate_check", """WITH r AS (SELECT 'acc' AS sensor, 32.0 AS rate, 32.0 AS want FROM orders UNION ALL SELECT 'bvp', CASE WHEN o_orderkey % 2 = 0 THEN 64.0 ELSE 60.0 END, 64.0 FROM orders UNION ALL SELECT 'eda', CASE WHEN o_orderkey % 2 = 0 THEN 4.0 END, 4.0 FROM orders UNION ALL SELECT 'hr', NULL, 1.0 FROM orders)
+SELECT sensor, list_sort(list(DISTINCT CAST(rate AS DOUBLE)))[1] AS least, CASE WHEN count(DISTINCT rate) = 1 AND min(rate) = min(want) THEN 'OK' ELSE 'WARN' END AS status FROM r WHERE rate IS NOT NULL GROUP BY sensor""")
 def _(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.lit(32.0).alias("acc_rate"), F.when(F.col("o_orderkey") % 2 == 0, 64.0).otherwise(60.0).alias("bvp_rate"), F.lit(None).cast("double").alias("hr_rate"))
-    return summary.rate_check(o, {"acc": 32.0, "bvp": 64.0, "hr": 1.0}).select("sensor", "status")
+    even = F.col("o_orderkey") % 2 == 0
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.lit(32.0).alias("acc_rate"), F.when(even, 64.0).otherwise(60.0).alias("bvp_rate"), F.when(even, 4.0).alias("eda_rate"), F.lit(None).cast("double").alias("hr_rate"))
+    return summary.rate_check(o, {"acc": 32.0, "bvp": 64.0, "eda": 4.0, "hr": 1.0}).select("sensor", F.array_min("rates").alias("least"), "status")
 
 
 @query("label_audit", """WITH s AS (SELECT user_id AS patient_id, event_id FROM events WHERE event_type = 'error'), p AS (SELECT DISTINCT user_id AS patient_id FROM events)
@@ -702,6 +706,243 @@ def _(spark, sf):
     return audit.in_window_or_latest(o.withColumn("stamp", audit.run_stamp(F.col("name"))), "stamp", None, None).select("o_orderkey")
 
 
+# Result documents: a nation is a run, its key decides what the document says.
+_DOC = """d AS (SELECT n_nationkey AS k, n_nationkey % 4 AS a, n_nationkey % 3 AS b, n_nationkey % 5 AS c FROM nation)"""
+CTE["docs"] = _DOC
+
+
+def result_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as JSON files, one a run, and read back by the schema that the rules need."""
+    k = F.col("n_nationkey")
+    a, b, c = k % 4, k % 3, k % 5
+    level = lambda x, ci: F.struct(F.lit(5).alias("event_count"), x.cast("long").alias("detected_events"), (x / 5.0).alias("event_sensitivity"), F.when(ci, 0.1).alias("event_sensitivity_ci95_low"), F.when(ci, 0.9).alias("event_sensitivity_ci95_high"))
+    tier = lambda x, ci: F.struct((0.9 + x / 100.0).alias("accuracy"), F.lit(0.92).alias("all_normal_baseline_accuracy"), (0.5 + x / 10.0).alias("auc"), (x / 10.0).alias("recall"), F.when(c != 4, level(x, ci)).alias("event_level"))
+    doc = F.struct(
+        F.lit("v5").alias("pipeline_version"), F.when(a == 0, "running").otherwise("completed").alias("status"), F.when(b == 0, "random").otherwise(audit.HELD_OUT).alias("split_strategy"),
+        F.when(c != 1, audit.SCOPE).alias("evaluation_scope"), F.when(c != 2, F.lit("A Prototype, not a clinically validated detector")).alias("claim_scope"),
+        tier(a, b > 0).alias("standard_mode"), tier(c, a > 0).alias("pro_mode"), F.struct(F.when(a == 1, "test").otherwise("validation").alias("selection_split")).alias("product_allocation_selection"),
+        F.when(c != 3, F.create_map(F.lit("name"), F.lit("x"))).alias("best_science_model"), F.create_map(F.lit("name"), F.lit("y")).alias("best_product_model"),
+        F.when(b != 1, F.struct(F.when(b == 2, 10.0).alias("validation_alarm_budget"), F.when(a == 0, F.array(F.lit(1.0), F.lit(5.0))).alias("fixed_validation_alarm_budgets"))).alias("matched_false_alarm_operating_point"),
+        F.struct(F.when(a == 2, " ").otherwise("onset plus duration").alias("offset_policy"), F.lit(300.0).alias("seizure_duration_seconds"), F.lit(0.0).alias("merge_gap_seconds"), F.lit(5.0).alias("detection_window_seconds"), F.lit(5.0).alias("detection_stride_seconds")).alias("label_policy"),
+        F.struct(F.lit(False).alias("synthetic_signals")).alias("sensor_policy"), F.struct(F.lit(80).alias("selected_session_count")).alias("run_config"),
+        F.struct((c == 0).alias("retrained_from_scratch_all_variants"), F.create_map(F.lit("v"), F.struct(F.concat(F.lit("/m/"), c).alias("checkpoint_path"), F.lit(True).alias("resumed_from_checkpoint"))).alias("variants")).alias("model_provenance"))
+    folder = scratch(spark, "documents")
+    writers.write_documents(spark.read.parquet(f"{sf}/nation.parquet").select(k.alias("k"), doc.alias("d")).select("k", "d.*"), folder, "k")
+    read = archives.read_json(spark, folder, audit.DETECTION_SCHEMA)
+    return read.withColumn("k", F.regexp_extract("file", r"/k=(\d+)/", 1).cast("int"))
+
+
+_RULES = [
+    ("detection_status", "a <> 0", "fail"), ("split_strategy", "b <> 0", "fail"), ("evaluation_scope", "c <> 1", "warn"), ("claim_scope_disclosed", "c <> 2", "warn"), ("raw_accuracy_not_primary", "0.92 >= greatest(0.9 + a / 100.0, 0.9 + c / 100.0)", "warn"),
+    ("pro_signal_gain", "c >= a", "warn"), ("pro_event_sensitivity_gain", "c = 4 OR c >= a", "warn"), ("event_level_disclosed", "c <> 4", "warn"), ("checkpoint_provenance_disclosed", "true", "warn"), ("allocation_selected_on_validation", "a <> 1", "fail"),
+    ("science_product_split_present", "c <> 3", "warn"), ("uncertainty_estimates", "c <> 4 AND b > 0 AND a > 0", "warn"), ("operating_point_documented", "b = 2 OR (b <> 1 AND a = 0)", "warn"), ("label_policy_documented", "a <> 2", "warn")]
+
+
+@query("audit_detection", sql("docs", " UNION ALL ".join(f"""SELECT CAST(k AS INTEGER) AS k, '{name}' AS "check", CASE WHEN {good} THEN 'pass' ELSE '{bad}' END AS status FROM d""" for name, good, bad in _RULES)))
+def _(spark, sf):
+    return audit.evaluate(result_documents(spark, sf), audit.detection_rules(), ["k"])
+
+
+@query("valid_results", sql("docs", "SELECT CAST(k AS INTEGER) AS k, a <> 0 AND b = 2 AND c <> 3 AND c IN (0, 1, 2) AS valid FROM d"))
+def _(spark, sf):
+    known = F.array(F.lit("/m/1"), F.lit("/m/2"))
+    return result_documents(spark, sf).select("k", audit.valid_detection("v5", 80, present=known).alias("valid"))
+
+
+@query("valid_predictions", "SELECT n_nationkey AS k, n_nationkey % 4 <> 0 AND n_nationkey % 3 <> 0 AND n_nationkey % 5 <> 0 AS valid FROM nation")
+def _(spark, sf):
+    k = F.col("n_nationkey")
+    measured = F.map_from_arrays(F.array(*(F.lit(str(h)) for h in (300, 900, 1800))), F.array(*(F.struct(F.lit("full_validation").alias("evaluation_split"), F.when((k % 3 == 0) & (h == 900), 7).otherwise(9).alias("n_val")) for h in (F.lit(300), F.lit(900), F.lit(1800)))))
+    doc = F.struct(F.lit("v5").alias("pipeline_version"), F.lit("completed").alias("status"), F.lit(audit.HELD_OUT).alias("split_strategy"), F.array(F.lit("a"), F.lit("b")).alias("train_sessions"), F.when(k % 4 == 0, F.array(F.lit("c"), F.lit("d"))).otherwise(F.array(F.lit("c"))).alias("val_sessions"),
+                   F.struct((k % 5 != 0).alias("final_metrics_use_full_validation"), F.struct(F.lit(9).alias("val_sequences")).alias("full_dataset_counts")).alias("dataset_usage"), measured.alias("metrics"))
+    read = spark.read.parquet(f"{sf}/nation.parquet").select(k.alias("k"), F.from_json(F.to_json(doc), audit.PREDICTION_SCHEMA).alias("d")).select("k", "d.*")
+    return read.select("k", audit.valid_prediction("v5", 3).alias("valid"))
+
+
+_PREFLIGHT = [("patient_dirs", "n >= 5"), ("session_dirs", "n > 0"), ("complete_sensor_sessions", "rich > 0"), ("patient_label_files", "n = rich"), ("required_sensor_files", "n - rich = 0"), ("clean_generated_artifacts", "k % 2 = 0 OR k % 3 = 0"), ("edge_benchmark", "k % 5 <> 0")]
+
+
+@query("preflight", "WITH i AS (SELECT c_nationkey AS k, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 0) AS rich FROM customer GROUP BY 1) " + " UNION ALL ".join(f"""SELECT k, '{name}' AS "check", CASE WHEN {good} THEN 'pass' ELSE 'fail' END AS status FROM i""" for name, good in _PREFLIGHT))
+def _(spark, sf):
+    k = F.col("c_nationkey").alias("k")
+    i = spark.read.parquet(f"{sf}/customer.parquet").groupBy(k).agg(F.count(F.lit(1)).alias("patients"), F.count_if(F.col("c_acctbal") > 0).alias("label_files"))
+    i = i.withColumns({"sessions": F.col("patients"), "complete_sessions": F.col("label_files"), "incomplete_sessions": F.col("patients") - F.col("label_files"), "generated": F.col("k") % 3, "resume": F.col("k") % 2 == 0, "settings": F.create_map(F.lit("EDGE_BENCHMARK"), F.when(F.col("k") % 5 != 0, "1").otherwise("0"))})
+    return audit.evaluate(i, audit.preflight_rules(settings={"EDGE_BENCHMARK": "1"}), ["k"])
+
+
+@query("edge_checks", """WITH i AS (SELECT n_nationkey AS k, n_nationkey * 25.0 AS kb, n_nationkey % 3 AS t FROM nation)
+SELECT k, 'standard_tflite_size' AS "check", CASE WHEN kb > 0 AND kb < 512 THEN 'pass' ELSE 'warn' END AS status FROM i UNION ALL SELECT k, 'standard_tflite_io_dtype_disclosed', CASE WHEN t < 2 THEN 'pass' ELSE 'warn' END FROM i""")
+def _(spark, sf):
+    k = F.col("n_nationkey")
+    kinds = F.when(k % 3 == 0, F.array(F.lit("int8"), F.lit("int8"))).when(k % 3 == 1, F.array(F.lit("float32"))).otherwise(F.array(F.lit("int8"), F.lit("float32")))
+    i = spark.read.parquet(f"{sf}/nation.parquet").select(k.alias("k"), (k * 25.0).alias("standard_size_kb"), kinds.alias("standard_inputs"), F.array(F.lit("int8")).alias("standard_outputs"))
+    return audit.evaluate(i, audit.edge_rules(["standard"]), ["k"])
+
+
+@query("unknown_names", "SELECT DISTINCT trim(n_name) || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '?' END AS name FROM nation WHERE n_nationkey % 2 = 1")
+def _(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    wanted = n.select(F.concat(F.lit(" "), "n_name", F.when(F.col("n_nationkey") % 2 == 0, "").otherwise("?")).alias("name")).unionByName(spark.range(1).select(F.lit("  ").alias("name")))
+    return audit.unknown_names(wanted, n.select(F.col("n_name").alias("name")))
+
+
+@query("known_rows", "SELECT n_name AS name, n_nationkey FROM nation WHERE n_nationkey % 4 = 0")
+def _(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    return audit.known_rows(n.select(F.col("n_name").alias("name"), "n_nationkey"), n.where("n_nationkey % 4 = 0").select(F.concat("n_name", F.lit(" ")).alias("name")))
+
+
+@query("run_status", """WITH r AS (SELECT o_orderkey, o_orderkey % 4 AS v, o_orderkey % 3 AS s, o_orderkey % 2 AS e, o_orderkey % 5 AS x FROM orders)
+SELECT o_orderkey, CASE WHEN v = 0 THEN 'pipeline_version_mismatch' WHEN s = 1 AND e = 0 THEN 'completed' WHEN s = 1 THEN 'detection_completed' WHEN s = 2 THEN 'running' WHEN x = 0 AND e = 0 THEN 'completed' WHEN x = 0 THEN 'detection_completed' ELSE 'detection_failed' END AS status,
+v <> 0 AND s = 2 AS is_current FROM r""")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    r = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.when(k % 4 == 0, "v4").otherwise("v5").alias("pipeline_version"), F.when(k % 3 == 1, "detection_completed").when(k % 3 == 2, "running").alias("status"), F.when(k % 2 == 0, "completed").alias("edge_status"), (k % 5).alias("detection_exit_code"))
+    done = audit.current(r.withColumn("status", F.when(F.col("status") == "running", "completed")), "v5").select("o_orderkey", F.lit(True).alias("is_current"))
+    return r.select("o_orderkey", audit.run_status("v5").alias("status")).join(done, "o_orderkey", "left").fillna(False, ["is_current"])
+
+
+@query("latest_by_modification", "SELECT o_custkey AS run, max(o_orderdate) AS modified, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS file FROM orders GROUP BY 1")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("run"), F.col("o_orderdate").alias("modified"), F.col("o_orderkey").alias("file"))
+    return audit.latest_by_modification(o, ["run"])
+
+
+# -- sources and sinks: tables written as the files that a source reads -----------------------------
+
+SENSOR_USERS = "user_id % 20 = 0"
+
+
+def sensor_files(spark: SparkSession, sf: str, spoilt: bool = False) -> str:
+    """A folder of sensor files, one a user: start, rate, values; a user in three has a blank and a broken value if ``spoilt``."""
+    s = indexed(spark, sf).where(SENSOR_USERS)
+    broken = (F.col("user_id") % 3 == 0) & (F.col("i") % 4 == 1)
+    value = F.when(broken, F.when(F.col("i") % 8 == 1, "").otherwise("NaN")).otherwise(F.col("value").cast("string")) if spoilt else F.col("value").cast("string")
+    lines = s.withColumn("value", value).groupBy("user_id").agg(F.min("t_s").cast("string").alias("start"), F.array_sort(F.collect_list(F.struct("i", "value"))).alias("rows"))
+    text = F.concat_ws("\n", "start", F.lit("4.0"), F.array_join(F.transform("rows", lambda r: r["value"]), "\n"))
+    folder = scratch(spark, "sensors")
+    lines.select("user_id", text.alias("value")).write.partitionBy("user_id").text(folder)
+    return folder
+
+
+def _user(path: str = "path"):
+    return F.regexp_extract(path, r"/user_id=(\d+)/", 1).cast("long").alias("user_id")
+
+
+SENSORS = sql("s", "x", f"SELECT user_id, i AS sample_idx, value, (SELECT min(t_s) FROM s y WHERE y.user_id = x.user_id) AS start_s, CAST(4 AS DOUBLE) AS rate_hz FROM x WHERE {SENSOR_USERS}")
+
+
+@query("read_sensors", SENSORS)
+def _(spark, sf):
+    r = sensors.read_sensors(spark, sensor_files(spark, sf), "fast", "*.txt")
+    return r.select(_user(), "sample_idx", F.get("v", F.lit(0)).alias("value"), "start_s", "rate_hz")
+
+
+@query("read_sensors_tolerant", sql("s", "x", f""", y AS (SELECT *, CASE WHEN user_id % 3 = 0 AND i % 4 = 1 THEN NULL ELSE value END AS v FROM x WHERE {SENSOR_USERS}),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS j FROM y WHERE v IS NOT NULL) SELECT user_id, j AS sample_idx, v AS value FROM k"""))
+def _(spark, sf):
+    # lines of nothing but blanks and NaN are left out
+    r = sensors.read_sensors(spark, sensor_files(spark, sf, spoilt=True), "tolerant", "*.txt")
+    return r.select(_user(), "sample_idx", F.get("v", F.lit(0)).alias("value"))
+
+
+@query("read_sensors_strict", sql("s", "x", f"SELECT user_id, count(*) AS n FROM x WHERE {SENSOR_USERS} GROUP BY 1 HAVING count(*) >= 1"))
+def _(spark, sf):
+    return sensors.read_sensors(spark, sensor_files(spark, sf), "strict", "*.txt").groupBy(_user()).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("probe_sensors", sql("s", f"SELECT user_id, min(t_s) AS start_s, CAST(4 AS DOUBLE) AS rate_hz, count(*) AS n FROM s WHERE {SENSOR_USERS} GROUP BY 1"))
+def _(spark, sf):
+    return sensors.probe_sensors(spark, sensor_files(spark, sf), "*.txt", count_rows=True).select(_user(), "start_s", "rate_hz", "n")
+
+
+@query("read_labels", sql("s", "SELECT user_id, t_s AS onset_s, CASE WHEN event_id % 3 = 0 THEN t_s + 900 WHEN event_id % 3 = 1 THEN t_s - 1 END AS second_s FROM s WHERE event_type = 'error'"))
+def _(spark, sf):
+    o = onsets(spark, sf).select("user_id", F.concat_ws(", ", F.col("onset_s").cast("string"), F.col("second_s").cast("string")).alias("value"))
+    folder = scratch(spark, "label-files")
+    o.unionByName(o.select("user_id", F.lit("# a comment").alias("value")).distinct()).write.partitionBy("user_id").text(folder)
+    return labels.read_labels(spark, folder).select(_user(), "onset_s", "second_s")
+
+
+@query("list_sessions", "SELECT 'Mayo_' || c_custkey % 9 AS patient_id, (1000 + c_custkey) || '_dev' AS session_id, c_custkey % 2 = 0 AS has_hr, c_custkey % 3 <> 0 AS is_valid FROM customer")
+def _(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.explode(F.array(*map(F.lit, ("ACC", "BVP", "EDA", "TEMP", "HR")))).alias("sensor"))
+    c = c.where("not (sensor = 'TEMP' and c_custkey % 3 = 0) and not (sensor = 'HR' and c_custkey % 2 = 1)")
+    path = F.concat(F.lit("/data/Mayo_"), F.col("c_custkey") % 9, F.lit("/Empatica_Chronic/"), 1000 + F.col("c_custkey"), F.lit("_dev/"), "sensor", F.lit(".csv"))
+    return sensors.sessions_from_files(c.select(path.alias("path"))).select("patient_id", "session_id", "has_hr", "is_valid")
+
+
+@query("prediction_csv", sql(*W, "SELECT CAST(label AS INTEGER) AS y_true, p AS y_prob, CASE WHEN p >= 0.25 THEN 1 ELSE 0 END AS y_pred FROM w"))
+def _(spark, sf):
+    folder = scratch(spark, "predictions")
+    writers.write_csv(scored(spark, sf).select(F.col("label").cast("int").alias("y_true"), F.col("p").alias("y_prob"), (F.col("p") >= HOT).cast("int").alias("y_pred")), folder)
+    return archives.read_predictions(spark, folder)
+
+
+@query("log_windows", "SELECT r_regionkey AS run, CASE WHEN r_regionkey % 2 = 0 THEN TIMESTAMP '2026-07-01 10:00:00' + r_regionkey * INTERVAL 1 HOUR END AS \"start\", TIMESTAMP '2026-07-03 00:30:00' + r_regionkey * INTERVAL 1 HOUR AS \"end\" FROM region")
+def _(spark, sf):
+    k = F.col("r_regionkey")
+    r = spark.read.parquet(f"{sf}/region.parquet")
+    at = lambda day: F.date_format(F.lit(day).cast("timestamp") + F.make_interval(hours=k.cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
+    start = F.when(k % 2 == 0, F.concat(F.lit("START TSMIXER "), at("2026-07-01 10:00:00"))).otherwise("START TSMIXER soon")
+    lines = r.select(k.alias("run"), F.explode(F.array(F.lit("noise"), start, F.concat(F.lit("END TSMIXER exit=0 "), at("2026-07-03 00:30:00")))).alias("value"))
+    folder = scratch(spark, "logs")
+    lines.repartition(1, "run").write.partitionBy("run").text(folder)
+    w = audit.status_windows(archives.read_log(spark, folder, "*.txt"), "TSMIXER")
+    return w.select(F.regexp_extract("file", r"/run=(\d+)/", 1).cast("int").alias("run"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+
+
+@query("cached_table", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def _(spark, sf):
+    build = lambda: spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    folder, config = scratch(spark, "cache"), {"table": "nation", "version": 1}
+    writers.cached(spark, folder, config, build)
+    return writers.cached(spark, folder, config, lambda: build().where("false"))  # found, so not built again
+
+
+# -- what remains of the smaller operators ----------------------------------------------------------
+
+
+@query("false_alarm_rate", sql(*W, "SELECT user_id, round(CAST(count(*) FILTER (WHERE label = 0 AND p >= 0.25) AS DOUBLE) / (count(*) * 5.0 / 3600.0), 5) AS rate FROM w GROUP BY 1"))
+def _(spark, sf):
+    hours = F.count(F.lit(1)) * 5.0 / 3600.0
+    return scored(spark, sf).groupBy("user_id").agg(F.round(metrics.false_alarm_rate(scored(spark, sf), "p", "label", HOT, hours), 5).alias("rate"))
+
+
+@query("tensor_bytes", "SELECT l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT) * l_linenumber * CASE WHEN l_linenumber % 2 = 0 THEN 4 ELSE 1 END) AS BIGINT) AS bytes FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    one = summary.tensor_bytes(F.array(F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")), F.when(F.col("l_linenumber") % 2 == 0, 4).otherwise(1))
+    return li.groupBy("l_linestatus").agg(F.sum(one).alias("bytes"))
+
+
+@query("select_sessions_half", """WITH p AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS y FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || c_custkey), c_custkey) AS rn FROM p)
+SELECT c_custkey FROM r ORDER BY CASE WHEN rn > 20 THEN 1 ELSE 0 END, y DESC, rn, c_custkey LIMIT 40""")
+def _(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", (F.col("c_acctbal") < 0).alias("positive"))
+    return splits.select_sessions(c, "c_custkey", "positive", 40, share=0.5).select("c_custkey")
+
+
+@query("positive_first", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal < 0 DESC, c_name) - 1 AS place FROM customer")
+def _(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name", (F.col("c_acctbal") < 0).alias("positive"))
+    ordered = splits.positive_first(c, "positive", "c_name").coalesce(1)  # the order itself is the result: number the rows as they come
+    return ordered.select("c_custkey", F.monotonically_increasing_id().alias("place"))
+
+
+@query("paired_gain", sql("runs", "rr", "SELECT name, round(pro_auc - std_auc, 6) AS auc_gain, round(pro_recall - std_recall, 6) AS recall_gain FROM rr"))
+def _(spark, sf):
+    r = rounded_runs(spark, sf)
+    return r.select("name", F.round(summary.paired_gain("std_auc", "pro_auc"), 6).alias("auc_gain"), F.round(summary.paired_gain("std_recall", "pro_recall"), 6).alias("recall_gain"))
+
+
+@query("select_channels", "SELECT vec_id, round(CAST(embedding[3] AS DOUBLE), 6) AS temp, round(CAST(embedding[1] AS DOUBLE), 6) AS eda FROM embeddings")
+def _(spark, sf):
+    wanted = feature_names(" temp, ,eda ")
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("v", select_channels(F.col("embedding"), ("EDA", "BVP", "TEMP"), wanted))
+    return e.select("vec_id", *(F.round(F.get("v", F.lit(i)).cast("double"), 6).alias(n.lower()) for i, n in enumerate(wanted)))
+
+
 @query("confusion_matrix", sql(*W, """, m AS (SELECT count(*) FILTER (WHERE label = 1 AND p >= 0.25) AS tp, count(*) FILTER (WHERE label = 0 AND p >= 0.25) AS fp, count(*) FILTER (WHERE label = 0 AND p < 0.25) AS tn, count(*) FILTER (WHERE label = 1 AND p < 0.25) AS fn FROM w)
 SELECT 'normal' AS truth, 'normal' AS guess, tn AS n, round(CAST(tn AS DOUBLE) / (tn + fp), 6) AS share FROM m UNION ALL SELECT 'normal', 'event', fp, round(CAST(fp AS DOUBLE) / (tn + fp), 6) FROM m UNION ALL SELECT 'event', 'normal', fn, round(CAST(fn AS DOUBLE) / (tp + fn), 6) FROM m UNION ALL SELECT 'event', 'event', tp, round(CAST(tp AS DOUBLE) / (tp + fn), 6) FROM m"""))
 def _(spark, sf):

@@ -30,6 +30,11 @@ def write_json(df: DataFrame, path: str, keep_null: bool = True) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(not keep_null).lower()}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_documents(df: DataFrame, path: str, by: str) -> None:
+    """A JSON file for each value of ``by``, in a folder of its own."""
+    df.repartition(by).write.mode("overwrite").partitionBy(by).json(path)
+
+
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     w = df.write.mode("overwrite").option("header", "true")
     (w.partitionBy(by) if by else w).csv(path)
