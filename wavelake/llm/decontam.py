@@ -237,6 +237,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Exact matches join equal stretches.  Proximity matches join equal patterns: a window with an inner word masked and
 #: a stretch so masked (c), a window without a word and a stretch (l), a window and a longer stretch without an inner word (i).
+#: One edit leaves five words of ten side by side, so stretches are taken only around such fives.
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -256,12 +257,14 @@ ip AS (
   SELECT DISTINCT item, 'c' AS kind, array_to_string(v[1 : e] || ['*'] || v[e + 2 : 10], ' ') AS p FROM iw, unnest(range(1, 9)) u(e) WHERE n = 10
   UNION SELECT item, 'l', array_to_string(v[1 : e] || v[e + 2 : 10], ' ') FROM iw, unnest(range(0, 10)) u(e) WHERE n = 10
   UNION SELECT item, 'i', array_to_string(v, ' ') FROM iw WHERE n = 10),
+five AS (SELECT DISTINCT array_to_string(v[e : e + 4], ' ') AS p FROM iw, unnest(range(1, 7)) u(e) WHERE n = 10),
+df AS (SELECT doc_id, s, array_to_string(w[s : s + 4], ' ') AS p FROM d, unnest(range(1, len(w) - 3)) u(s)),
+places AS (SELECT DISTINCT doc_id, unnest(range(greatest(1, s - 6), s + 1)) AS s FROM df WHERE p IN (SELECT p FROM five)),
+da AS (SELECT d.doc_id, s, w FROM places JOIN d ON places.doc_id = d.doc_id),
 dp AS (
-  SELECT doc_id, s, 10 AS n, 'c' AS kind, array_to_string(w[s : s + e - 1] || ['*'] || w[s + e + 1 : s + 9], ' ') AS p
-  FROM d, unnest(range(1, len(w) - 8)) u(s), unnest(range(1, 9)) x(e)
-  UNION ALL SELECT doc_id, s, 9, 'l', array_to_string(w[s : s + 8], ' ') FROM d, unnest(range(1, len(w) - 7)) u(s)
-  UNION ALL SELECT doc_id, s, 11, 'i', array_to_string(w[s : s + e - 1] || w[s + e + 1 : s + 10], ' ')
-  FROM d, unnest(range(1, len(w) - 9)) u(s), unnest(range(1, 10)) x(e)),
+  SELECT doc_id, s, 10 AS n, 'c' AS kind, array_to_string(w[s : s + e - 1] || ['*'] || w[s + e + 1 : s + 9], ' ') AS p FROM da, unnest(range(1, 9)) x(e) WHERE s <= len(w) - 9
+  UNION ALL SELECT doc_id, s, 9, 'l', array_to_string(w[s : s + 8], ' ') FROM da WHERE s <= len(w) - 8
+  UNION ALL SELECT doc_id, s, 11, 'i', array_to_string(w[s : s + e - 1] || w[s + e + 1 : s + 10], ' ') FROM da, unnest(range(1, 10)) x(e) WHERE s <= len(w) - 10),
 m AS (SELECT doc_id, s, n, item FROM h UNION ALL SELECT dp.doc_id, dp.s, dp.n, ip.item FROM dp JOIN ip ON dp.kind = ip.kind AND dp.p = ip.p),
 c AS (
   SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM h) GROUP BY doc_id),
