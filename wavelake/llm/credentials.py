@@ -230,7 +230,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Infer the automata from at most ``sample_docs`` documents, the least by hash of id and text."""
     chosen = common.sample_by_hash(docs.select("doc_id", "text"), ["doc_id", "text"], sample_docs)
     lines = F.pandas_udf(_sample_runs, "array<string>")
-    runs = chosen.select(F.explode(lines("text")).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    runs = common.materialize(chosen.select(F.explode(lines("text")).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")), "runs")
     ordinary_run = F.col("run").startswith("\t")
     credentials, ordinary = defaultdict(list, exemplars()), ordinary_exemplars()
     for part in (runs.where(~ordinary_run), runs.where(ordinary_run)):
