@@ -143,14 +143,16 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Rows are matched by (doc_id, source, size): rows alike in these share their count in shuffled order.
     """
-    sized = docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
-    same = Window.partitionBy("doc_id", "source", "size")
+    # keys without nulls, so that the numbering and the join of a row need one shuffle of it
+    key = {"k_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "k_source": F.coalesce("source", F.lit("")), "k_null": F.concat(F.col("doc_id").isNull().cast("string"), F.col("source").isNull().cast("string"))}
+    same = Window.partitionBy(*key, "size")
+    sized = docs.select(*(c.alias(n) for n, c in key.items()), _size().alias("size"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
     rows = sized.withColumn("nth", F.row_number().over(same.orderBy("hash")))
-    times = mix_sizes(docs).withColumn("nth", F.row_number().over(same.orderBy(F.desc("times")))).where("times > 0")
-    t = times.select(*(F.col(c).alias(f"t_{c}") for c in ("doc_id", "source", "size", "nth", "times")))
-    on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in ("doc_id", "source", "size", "nth")]
-    again = F.explode(F.sequence(F.lit(1), F.col("t_times"))).alias("pass")
-    return rows.join(t, on).select("row", again).select("row.*")
+    times = mix_sizes(docs).withColumns(key).withColumn("t_nth", F.row_number().over(same.orderBy(F.desc("times"))))
+    t = times.where("times > 0").select(*key, "size", "t_nth", "times")
+    # an equality would become a part of the join key and ask for another shuffle
+    found = rows.join(t, [*key, "size"]).where((F.col("nth") <= F.col("t_nth")) & (F.col("nth") >= F.col("t_nth")))
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass")).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
