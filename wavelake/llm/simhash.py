@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each component the rows with its least doc_id stay."""
     found = near_duplicates(docs)
-    lost = found.where("doc_id != component_id").select(F.col("doc_id").alias("lost")).distinct()
+    lost = common.materialize(found.where("doc_id != component_id").select(F.col("doc_id").alias("lost")).distinct(), "copies")
+    lost = common.broadcast_if_small(lost, 2_000_000)  # one number a row
     rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
     return rows.join(lost, F.col("id") == F.col("lost"), "left_anti").select("row.*")
 
