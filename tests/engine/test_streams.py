@@ -1,13 +1,16 @@
 """Streams over a table that is a folder of part files, a trigger for each."""
 
+import os
+
 import pytest
 from pyspark.errors import AnalysisException
 from wavelake import queries
+from wavelake.streaming import online
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["stream_refractory", "stream_ring_windows"])
+@pytest.mark.parametrize("name", ["stream_refractory", "stream_ring_windows", "stream_windows", "stream_sessions"])
 def test_folder_of_parts(spark, tmp_path, name):
     events = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id")
     rows = events.collect()
@@ -22,3 +25,18 @@ def test_no_file(spark, tmp_path):
     (tmp_path / "events.parquet").mkdir()
     with pytest.raises(AnalysisException):
         queries.QUERIES["stream_refractory"](spark, str(tmp_path))
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    # a trigger a file; rows are judged by the watermark of the trigger before: 11:50, so 10:05 is too late and 11:55 is not
+    parts = [["10:00"], ["12:00"], ["12:10"], ["10:05", "11:55", "14:00"], ["18:00"]]
+    schema = "k int, ts timestamp, value double"
+    for i, times in enumerate(parts):
+        rows = spark.createDataFrame([(1, f"2026-01-01 {t}:00", 1.0) for t in times], "k int, ts string, value double").selectExpr("k", "CAST(ts AS timestamp) AS ts", "value")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if f.stat().st_mtime > 1_000_000:
+                os.utime(f, (1000 + i, 1000 + i))
+    stream = online.read_stream(spark, f"{tmp_path}/in", "*.parquet", spark.createDataFrame([], schema).schema)
+    got = online.drain(online.windowed(stream, "ts", ["k"], "value", "1 hour"), f"{tmp_path}/out").collect()
+    assert {r.start.hour: r.n for r in got} == {10: 1, 11: 1, 12: 2, 14: 1}

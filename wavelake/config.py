@@ -7,7 +7,10 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Defaults of every operator that takes a parameter; operators never read the environment."""
+    """Defaults of every operator that takes a parameter; operators never read the environment.
+
+    Fixed values: durations, windows, budgets, grids, horizons, ratios and the seed are those that published results use.
+    """
 
     event_seconds: float = 300.0
     merge_gap_seconds: float = 0.0

@@ -38,3 +38,28 @@ def timeline(scored: DataFrame, keys: Sequence[str], score: str, label: str, thr
     hot, y = F.col(score) >= threshold, F.col(label) == 1
     outcome: Column = F.when(hot & y, "tp").when(hot, "fp").when(y, "fn").otherwise("tn")
     return scored.select(*keys, "window_idx", outcome.alias("outcome"))
+
+
+def gains_over(rows: DataFrame, name: str, base: str, metrics: Sequence[str]) -> DataFrame:
+    """(name, METRIC_gain): each other row's gain over the row named ``base``, which is one row."""
+    b = rows.where(F.col(name) == base).select(*(F.col(m).alias(f"__{m}") for m in metrics)).limit(1)
+    others = rows.where(F.col(name) != base).join(F.broadcast(b), F.lit(True))
+    return others.select(name, *((F.col(m) - F.col(f"__{m}")).alias(f"{m}_gain") for m in metrics))
+
+
+def paired_allocations(rows: DataFrame, name: str, allocations: Sequence[tuple[str, str, str]], metrics: Sequence[str]) -> DataFrame:
+    """(allocation, std_*, pro_*, gain_*): for each (allocation, standard variant, extended variant) both rows side by side.
+
+    The allocations are a constant of a few entries.
+    """
+    pairs = F.array(*(F.struct(F.lit(a).alias("allocation"), F.lit(s).alias("standard"), F.lit(e).alias("extended")) for a, s, e in allocations))
+    each = rows.sparkSession.range(1, numPartitions=1).select(F.explode(pairs).alias("p")).select("p.*")
+    part = lambda side: rows.join(F.broadcast(each.select("allocation", F.col(side).alias(name))), name).select("allocation", *metrics)
+    return side_by_side(part("standard"), part("extended"), ["allocation"], metrics)
+
+
+def kpis(windows: DataFrame, events: DataFrame) -> DataFrame:
+    """One row of headline figures from `confusion_metrics` and `event_metrics` of one model."""
+    w = windows.select(F.col("n").alias("windows"), "accuracy", "precision", "recall", "f1", "specificity", "false_alarms_per_hour")
+    e = events.select(F.col("event_count").alias("events"), "detected_events", "event_sensitivity", "ci95_low", "ci95_high")
+    return w.join(F.broadcast(e), F.lit(True))  # one row each

@@ -967,6 +967,33 @@ def _(spark, sf):
     return figures.side_by_side(part(1), part(2), ["l_linestatus"], ["q"])
 
 
+@query("figure_bars", sql("runs", "rr", "SELECT name, 'std_recall' AS metric, std_recall AS value FROM rr UNION ALL SELECT name, 'pro_recall', pro_recall FROM rr"))
+def _(spark, sf):
+    return figures.unpivot(rounded_runs(spark, sf), ["name"], ["std_recall", "pro_recall"])
+
+
+@query("ablation_gains", sql("runs", "rr", "SELECT a.name, round(a.pro_recall - b.pro_recall, 6) AS pro_recall_gain, a.pro_events - b.pro_events AS pro_events_gain FROM rr a, (SELECT * FROM rr WHERE name = 'run_1') b WHERE a.name <> 'run_1'"))
+def _(spark, sf):
+    return rounded(figures.gains_over(rounded_runs(spark, sf), "name", "run_1", ["pro_recall", "pro_events"]), "pro_recall_gain")
+
+
+ALLOCATIONS = (("bare", "run_1", "run_9"), ("eda", "run_2", "run_9"), ("temp", "run_3", "run_9"), ("both", "run_4", "run_9"))
+
+
+@query("allocation_pairs", sql("runs", "rr", f""", p(allocation, s, e) AS (VALUES {", ".join(map(str, ALLOCATIONS))})
+SELECT allocation, a.std_recall AS std_recall, b.std_recall AS pro_recall, round(b.std_recall - a.std_recall, 6) AS gain_recall FROM p JOIN rr a ON a.name = p.s JOIN rr b ON b.name = p.e"""))
+def _(spark, sf):
+    r = rounded_runs(spark, sf).select("name", F.col("std_recall").alias("recall"))
+    return rounded(figures.paired_allocations(r, "name", ALLOCATIONS, ["recall"]), "gain_recall")
+
+
+@query("kpi_row", sql(*W, "hit", """SELECT (SELECT count(*) FROM w) AS windows, count(*) AS events, round(count(*) FILTER (WHERE detected) / CAST(count(*) AS DOUBLE), 6) AS event_sensitivity, round((SELECT count(*) FROM w WHERE label = 0 AND p >= 0.25) / ((SELECT count(*) FROM w) * 5.0 / 3600.0), 4) AS false_alarms_per_hour FROM hit"""))
+def _(spark, sf):
+    w, ev = scored(spark, sf), merged(spark, sf)
+    k = figures.kpis(metrics.confusion_metrics(w, "p", "label", HOT), metrics.event_metrics(w, ev, KEY, "p", "label", HOT))
+    return k.select("windows", "events", F.round("event_sensitivity", 6).alias("event_sensitivity"), F.round("false_alarms_per_hour", 4).alias("false_alarms_per_hour"))
+
+
 # -- plans, streams, kernels ---------------------------------------------------------------------
 
 
@@ -1037,27 +1064,27 @@ def _(spark, sf):
     return read.select("status", "reason", F.col("h.horizon").alias("horizon"), F.col("h.tp").alias("tp"))
 
 
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return online.read_stream(spark, f"{sf}/events.parquet", "*", schema)  # every file that a batch reads
+    return online.read_stream(spark, sf, "events.parquet", schema)
+
+
 @query("stream_windows", "SELECT user_id, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 def _(spark, sf):
-    w = online.windowed(spark.read.parquet(f"{sf}/events.parquet"), "ts", KEY, "value", "1 day")
+    w = online.drain(online.windowed(_stream(spark, sf), "ts", KEY, "value", "1 day"), scratch(spark, "stream"), "complete")
     return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
 
 
 @query("stream_sessions", """WITH a AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM b GROUP BY user_id, k""")
 def _(spark, sf):
-    w = online.sessions(spark.read.parquet(f"{sf}/events.parquet"), "ts", KEY, "2 hours")
+    w = online.drain(online.sessions(_stream(spark, sf), "ts", KEY, "2 hours"), scratch(spark, "stream"), "complete")
     return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return online.read_stream(spark, f"{sf}/events.parquet", "*", schema)  # every file that a batch reads
-    return online.read_stream(spark, sf, "events.parquet", schema)
-
-
 REF_STREAM = """WITH RECURSIVE hot AS (SELECT user_id, ts FROM events WHERE value >= 100), nxt AS (SELECT a.user_id, a.ts, min(b.ts) AS nx FROM hot a LEFT JOIN hot b ON a.user_id = b.user_id AND b.ts > a.ts + INTERVAL 15 MINUTE GROUP BY 1, 2),
 al AS (SELECT user_id, min(ts) AS ts FROM hot GROUP BY user_id UNION ALL SELECT al.user_id, nxt.nx FROM al JOIN nxt ON al.user_id = nxt.user_id AND al.ts = nxt.ts WHERE nxt.nx IS NOT NULL) SELECT user_id, ts FROM al"""
 

@@ -1,7 +1,8 @@
 """Sensor files: line 1 start time, line 2 rate, then one row of values per sample.
 
-A file is one ordered record, so it is read whole by one task and never split; many files are read
-in parallel.  Three modes differ in what they tolerate:
+A file is one ordered record, so it is parsed by one task and never split; many files are read in
+parallel.  Values are parsed into one NumPy array; headers are probed without reading what follows.
+Three modes differ in what they tolerate:
 
 * ``fast``: numbers only; any unreadable line drops the file;
 * ``tolerant``: byte-order mark, blanks and NA/NaN tokens become nulls, filled forwards, then backwards, then 0;
@@ -10,36 +11,46 @@ in parallel.  Three modes differ in what they tolerate:
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patient_id
+
 MISSING = {"", "na", "nan", "n/a", "null"}
 SCHEMA = "path string, start_s double, rate_hz double, sample_idx long, v array<double>"
 MODES = ("fast", "tolerant", "strict")
+#: Bytes that hold the two header lines.
+HEAD = 4096
 
 
 def _number(field: str) -> float | None:
     return None if field.strip().lower() in MISSING else float(field)
 
 
-def parse_sensor(content: bytes, mode: str = "fast") -> tuple[float, float, list[list[float]]] | None:
-    """(start, rate, rows) of one file's content, or None where the mode rejects it."""
+def parse_sensor(content: bytes, mode: str = "fast") -> tuple[float, float, np.ndarray] | None:
+    """(start, rate, values [rows, channels]) of one file's content, or None where the mode rejects it."""
     text = content.decode("utf-8-sig" if mode == "tolerant" else "utf-8", errors="replace")
-    lines = text.splitlines()
+    stream = io.StringIO(text, newline=None)
     try:
-        start, rate = (float(lines[i].split(",")[0]) for i in (0, 1))
-        if mode == "strict" and len(lines) < 3:
-            return None
-        if mode != "tolerant":
-            rows = [[float(x) for x in line.split(",")] for line in lines[2:] if line.strip()]
-            return (start, rate, rows) if rows else None
-    except (ValueError, IndexError):
+        start, rate = (float(stream.readline().split(",")[0]) for _ in range(2))
+    except ValueError:
+        return None
+    body = stream.read()
+    if not body.strip():
         return None
+    if mode != "tolerant":
+        try:
+            return start, rate, np.loadtxt(io.StringIO(body), delimiter=",", ndmin=2, comments=None)
+        except ValueError:
+            return None  # a value that is no number, or lines of different widths
     rows, width = [], 0
-    for line in lines[2:]:
+    for line in body.splitlines():
         row = []
         for f in line.split(","):
             try:
@@ -52,7 +63,7 @@ def parse_sensor(content: bytes, mode: str = "fast") -> tuple[float, float, list
     if not rows:
         return None
     frame = pd.DataFrame([r + [None] * (width - len(r)) for r in rows], dtype=float).dropna(axis=1, how="all")
-    return start, rate, frame.ffill().bfill().fillna(0.0).to_numpy().tolist()
+    return start, rate, frame.ffill().bfill().fillna(0.0).to_numpy()
 
 
 def read_sensors(spark: SparkSession, path: str, mode: str = "fast", pattern: str = "*.csv") -> DataFrame:
@@ -69,22 +80,50 @@ def read_sensors(spark: SparkSession, path: str, mode: str = "fast", pattern: st
                     start, rate, rows = got
                     for i in range(0, len(rows), 50_000):
                         part = rows[i : i + 50_000]
-                        yield pd.DataFrame({"path": name, "start_s": start, "rate_hz": rate, "sample_idx": range(i, i + len(part)), "v": part})
+                        yield pd.DataFrame({"path": name, "start_s": start, "rate_hz": rate, "sample_idx": range(i, i + len(part)), "v": list(part)})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def probe_sensors(spark: SparkSession, path: str, pattern: str = "*.csv", count_rows: bool = False) -> DataFrame:
-    """(path, start_s, rate_hz, n): headers; n counts the data rows, or is 1 where they are not counted."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    rows = F.split("value", "\r?\n")
-    head = lambda i: F.get(F.split(F.get(rows, F.lit(i)), ","), F.lit(0)).try_cast("double")
-    n = F.size(F.filter(F.slice(rows, 3, 1_000_000_000), lambda x: F.trim(x) != "")) if count_rows else F.lit(1)
-    return lines.select(F.input_file_name().alias("path"), head(0).alias("start_s"), head(1).alias("rate_hz"), n.cast("long").alias("n")).where("start_s is not null and rate_hz is not null")
+    """(path, start_s, rate_hz, n): headers; n counts the data rows, or is 1 where they are not counted.
+
+    A file's first `HEAD` bytes are read, and the rest, in chunks, only to count.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+
+    def probe(name: str) -> tuple[str, float, float, int] | None:
+        fs, at = pyarrow.fs.FileSystem.from_uri(name)
+        with fs.open_input_stream(at, compression=None) as stream:
+            head = stream.read(HEAD)
+            first, _, rest = head.partition(b"\n")
+            second, _, rest = rest.partition(b"\n")
+            try:
+                start, rate = (float(x.decode("utf-8-sig").split(",")[0]) for x in (first, second))
+            except ValueError:
+                return None
+            if not count_rows:
+                return name, start, rate, 1
+            n, open_line = 0, False
+            while rest:
+                lines = rest.split(b"\n")
+                filled = [bool(x.strip()) for x in lines]
+                filled[0] |= open_line
+                n += sum(filled[:-1])
+                open_line = filled[-1]
+                rest = stream.read(1 << 20)
+            return name, start, rate, n + open_line
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [r for r in map(probe, f["path"]) if r]
+            yield pd.DataFrame(found, columns=["path", "start_s", "rate_hz", "n"])
+
+    return files.select("path").mapInPandas(run, "path string, start_s double, rate_hz double, n long")
 
 
-def sessions_from_files(files: DataFrame, required: tuple[str, ...] = ("ACC", "BVP", "EDA", "TEMP")) -> DataFrame:
-    """(patient_id, session_id, folder, sensors, has_*, is_valid) from a listing with column ``path``.
+def sessions_from_files(files: DataFrame, required: tuple[str, ...] = ("ACC", "BVP", "EDA", "TEMP"), prefix: str = "Mayo_") -> DataFrame:
+    """(patient_id, session_id, folder, sensors, has_*, is_valid) from a listing with column ``path``; patients' folders begin with ``prefix``.
 
     A session folder is any folder with ``_`` in its name that holds sensor files; a session is valid with all required files.
     """
@@ -96,7 +135,7 @@ def sessions_from_files(files: DataFrame, required: tuple[str, ...] = ("ACC", "B
     for s in required:
         valid = valid & F.array_contains("sensors", s)
     return g.select(
-        F.coalesce(F.nullif(F.regexp_extract("folder", r"(Mayo_[^/]+)", 1), F.lit("")), F.lit("unknown")).alias("patient_id"), F.regexp_extract("folder", r"([^/]+)$", 1).alias("session_id"),
+        patient_id(F.col("folder"), prefix).alias("patient_id"), F.regexp_extract("folder", r"([^/]+)$", 1).alias("session_id"),
         "folder", "sensors", *(F.array_contains("sensors", s).alias(f"has_{s.lower()}") for s in ("ACC", "BVP", "EDA", "TEMP", "HR", "IBI")), valid.alias("is_valid"))
 
 

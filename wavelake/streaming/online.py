@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,31 +74,34 @@ def ring_windows(df: DataFrame, key: str, order: str, value: str, size: int = 16
     out = T.StructType([_state_key(df, key), T.StructField("seen", T.LongType()), T.StructField("q", T.ArrayType(T.IntegerType()))])
     divide = sd if sd > 1e-6 else 1.0
 
-    def quantize(x: float) -> int:
-        v = (x - mean) / divide / scale
-        whole = int(abs(v) + 0.5) * (1 if v >= 0 else -1)
-        return max(-128, min(127, whole + zero_point))
-
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        new = pd.concat(list(frames)).sort_values(order)[value].tolist()
-        rows = []
-        for x in new:
-            held.append(x)
-            seen += 1
-            if len(held) > size:
-                del held[0]
-            if len(held) == size and seen % hop == 0:
-                rows.append((k[0], seen, [quantize(v) for v in held]))
-        state.update((seen, held))
-        yield pd.DataFrame(rows, columns=[key, "seen", "q"])
+        seen, held = (state.get[0], np.array(state.get[1], float)) if state.exists else (0, np.zeros(0))
+        x = np.concatenate([held, pd.concat(list(frames)).sort_values(order)[value].to_numpy(float)])
+        first, seen = seen - len(held), seen + len(x) - len(held)  # x[0] is sample number first + 1
+        ends = np.arange(max(size, len(held) + 1), len(x) + 1)
+        ends = ends[(first + ends) % hop == 0]
+        v = (np.lib.stride_tricks.sliding_window_view(x, size)[ends - size] - mean) / divide / scale if len(ends) else np.zeros((0, size))
+        whole = np.trunc(np.abs(v) + 0.5) * np.where(v >= 0, 1, -1)  # halves go away from zero
+        q = np.clip(whole + zero_point, -128, 127).astype(int)
+        state.update((seen, x[-size:].tolist()))
+        yield pd.DataFrame({key: [k[0]] * len(ends), "seen": first + ends, "q": list(q)})
 
     return df.select(key, order, value).groupBy(key).applyInPandasWithState(run, out, "seen long, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into Parquet under ``folder``, and read the result."""
-    spark = stream.sparkSession
-    q = stream.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    """Run a stream over all that is there, into Parquet under ``folder``, and read the result.
+
+    ``append``: what the watermark closed.  ``complete``: every group as of the last trigger, also open ones.
+    """
+    spark, latest = stream.sparkSession, [-1]
+    w = stream.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        def keep(df: DataFrame, i: int) -> None:
+            df.write.mode("overwrite").parquet(f"{folder}/data/{i}")
+            latest[0] = i
+
+        w.foreachBatch(keep).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/data/{latest[0]}")
+    w.format("parquet").option("path", f"{folder}/data").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
