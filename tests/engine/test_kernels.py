@@ -4,11 +4,12 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from wavelake import functions as fn
 from wavelake.config import EngineConfig
-from wavelake.operators import audit, dsp, metrics, refractory, resample, scoring, selection, splits, states, summary, windows
+from wavelake.operators import audit, dsp, metrics, refractory, resample, scoring, selection, sessions, splits, states, summary, windows
 from wavelake.sinks import writers
 from wavelake.sources import archives, labels, sensors
 from wavelake.streaming import online
@@ -279,3 +280,13 @@ def test_long_signals_take_seconds():
     dsp.band_pass(32.0)(x)
     dsp.heart_rate(x, 64.0)
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_whole_sessions_from_frames_that_cut_them(size):
+    rows = pd.DataFrame({"k": [None] * 3 + [1.0] * 5 + [2.0] + [3.0] * 9 + [4.0, 5.0], "j": ["a"] * 10 + ["b"] * 10, "i": range(20)})
+    want = [g["i"].tolist() for _, g in rows.groupby(["k", "j"], sort=False, dropna=False)]
+    got = []
+    for frame, starts in sessions.whole_sessions((rows.iloc[a : a + size] for a in range(0, 20, size)), ["k", "j"]):
+        got += [part.tolist() for part in np.split(frame["i"].to_numpy(), starts[1:])]
+    assert got == want

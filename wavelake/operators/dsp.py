@@ -1,7 +1,7 @@
 """Order-dependent signal kernels that SQL cannot express, in NumPy on one channel of one session.
 
-Spark groups by session and hands each group over as Arrow; a kernel sees one channel, so a group is
-a session's samples of 8 bytes each.
+Spark deals out and sorts the sessions (`sessions.by_session`); a kernel sees one channel of one session,
+8 bytes a sample.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .sessions import by_session
+
 
 def butterworth(order: int, cutoff: float | tuple[float, float], rate: float, kind: str) -> list[np.ndarray]:
     """Second-order sections [b0 b1 b2 1 a1 a2] of a digital Butterworth filter by the bilinear transform.
@@ -200,11 +202,11 @@ def per_session(df: DataFrame, keys: Sequence[str], index: str, value: str, kern
     kept = [f for f in df.schema.fields if f.name in (*keys, index)]
     schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        return pdf[[f.name for f in kept]].assign(**{name: kernel(pdf[value].to_numpy(float))})
+    def run(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        x = np.split(frame[value].to_numpy(float), starts[1:])
+        return frame[[f.name for f in kept]].assign(**{name: np.concatenate([kernel(part) for part in x])})
 
-    return df.select(*keys, index, value).groupBy(*keys).applyInPandas(run, schema)
+    return by_session(df.select(*keys, index, value), keys, [index], run, schema)
 
 
 def resample_sessions(df: DataFrame, keys: Sequence[str], index: str, value: str, targets: DataFrame, n: str = "n") -> DataFrame:
@@ -212,12 +214,14 @@ def resample_sessions(df: DataFrame, keys: Sequence[str], index: str, value: str
     kept = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType([*kept, T.StructField(index, T.LongType()), T.StructField(value, T.DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        y = fft_resample(pdf[value].to_numpy(float), int(pdf[n].iloc[0]))
-        return pd.DataFrame({k.name: [pdf[k.name].iloc[0]] * len(y) for k in kept} | {index: np.arange(len(y)), value: y})
+    def run(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        wanted = frame[n].to_numpy()[starts]
+        y = [fft_resample(part, int(m)) for part, m in zip(np.split(frame[value].to_numpy(float), starts[1:]), wanted, strict=True)]
+        lengths = [len(part) for part in y]
+        out = frame[[f.name for f in kept]].iloc[np.repeat(starts, lengths)].reset_index(drop=True)
+        return out.assign(**{index: np.concatenate([np.arange(m) for m in lengths]), value: np.concatenate(y)})
 
-    return df.select(*keys, index, value).join(targets, list(keys)).groupBy(*keys).applyInPandas(run, schema)
+    return by_session(df.select(*keys, index, value).join(targets, list(keys)), keys, [index], run, schema)
 
 
 def band_pass(rate: float) -> Callable[[np.ndarray], np.ndarray]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import materialize
+from .sessions import by_session
 
 
 def spaced(positions: np.ndarray, r: int) -> np.ndarray:
@@ -39,10 +40,11 @@ def refractory_alerts(windows: DataFrame, keys: Sequence[str], score: str, thres
     rows = hot.withColumn("__fires", fires).withColumn("__first", first).where(F.col("__fires") | (F.col(position) - F.col("__first") > F.col("__r")))
     rows = materialize(rows, "hot")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = spaced(np.sort(pdf[position].to_numpy(np.int64)), int(pdf["__r"].iloc[0]))
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(kept) for k in keys} | {position: kept})
+    def run(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        at, locks = frame[position].to_numpy(np.int64), frame["__r"].to_numpy()
+        parts = [np.searchsorted(part, spaced(part, int(locks[i]))) + i for i, part in zip(starts, np.split(at, starts[1:]), strict=True)]
+        return frame.iloc[np.concatenate(parts)][[*keys, position]]
 
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(position, T.LongType())])
-    later = rows.where("not __fires").groupBy(*keys, "__first").applyInPandas(run, schema)
+    later = by_session(rows.where("not __fires"), [*keys, "__first"], [position], run, schema)
     return rows.where("__fires").select(*keys, position).unionByName(later)
