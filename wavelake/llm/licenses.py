@@ -21,6 +21,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +91,10 @@ def _gram_hash(words: Column, at: Column, k: int) -> Column:
 def template_grams(spark: SparkSession) -> DataFrame:
     """(hash, gram, template, label, base, k, at, grams): the voting k-grams of all templates."""
     names = ("gram", "template", "label", "base", "k", "at", "grams")
-    structs = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in _grams()]
-    t = spark.range(1, numPartitions=1).select(F.explode(F.array(*structs)).alias("t")).select("t.*")
+    # one literal: an expression for each value would take the driver seconds
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in _grams()])
+    table = F.from_json(F.lit(text), "array<struct<gram:string,template:string,label:string,base:boolean,k:int,at:int,grams:int>>")
+    t = spark.range(1, numPartitions=1).select(F.explode(table).alias("t")).select("t.*")
     words = F.split("gram", " ")
     return t.withColumn("hash", F.when(F.col("k") == BASE_GRAM, _gram_hash(words, F.lit(0), BASE_GRAM)).otherwise(_gram_hash(words, F.lit(0), NOTICE_GRAM)))
 
