@@ -3,7 +3,19 @@
 from collections import Counter
 
 import corpus_pipeline as P
-from wavelake.llm import common, decontam, mixing, quality_crf, simhash
+import duckdb
+from test_quality_crf import plain_score
+from test_simhash import brute_components
+from wavelake.llm import common, decontam, mixing, quality_crf
+
+
+def sql(text, docs, sf, *columns):
+    """Rows of an operator's SQL on a stage's input."""
+    c = duckdb.connect()
+    files = ", ".join(f"'{f.removeprefix('file://')}'" for f in docs.inputFiles())
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet([{files}])")
+    c.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+    return c.execute(f"SELECT {', '.join(columns)} FROM ({text})").fetchall()
 
 
 def test_stages(spark, sf):
@@ -15,15 +27,14 @@ def test_stages(spark, sf):
         outs.append(docs)
         if name != "packing":
             assert docs.columns == columns
-    rows = [Counter(r.doc_id for r in d.select("doc_id").collect()) for d in [spark.read.parquet(f"{sf}/documents.parquet"), *outs]]
     start = spark.read.parquet(f"{sf}/documents.parquet")
-    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
-    good = quality_crf.score(start, quality_crf.fit(start, labels)).where("score >= 0.3")
-    assert rows[1] == Counter(r.doc_id for r in good.collect())
-    assert rows[2] == Counter({r.component_id for r in simhash.near_duplicates(outs[0]).collect()})
-    found = decontam.contamination(outs[1], spark.read.parquet(f"{sf}/benchmark.parquet"))
-    assert rows[3] == Counter(r.doc_id for r in found.where("n_hit = 0").collect()) and rows[3] != rows[2]
-    assert rows[4] == Counter({r.doc_id: r.times for r in mixing.mix_sizes(outs[2]).collect() if r.times})
+    rows = [Counter(r.doc_id for r in d.select("doc_id").collect()) for d in [start, *outs]]
+    field = quality_crf.fit(start, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"))
+    assert rows[1] == Counter(r.doc_id for r in start.collect() if plain_score(field, r.text) >= 0.3)
+    texts = [(r.doc_id, r.text) for r in outs[0].collect()]
+    assert rows[2] == Counter(set(brute_components(texts)[0].values()))
+    assert rows[3] == Counter({d: 1 for d, near in sql(decontam.OP3_SQL, outs[1], sf, "doc_id", "n_near") if not near}) and rows[3] != rows[2]
+    assert rows[4] == Counter({d: taken // size for d, taken, size in sql(mixing.OP8_SQL, outs[2], sf, "doc_id", "taken", "size") if taken})
     packed = outs[4].where("segment = 0")
     assert Counter(r.doc_id for r in packed.collect()) == rows[4]
     assert {(r.doc_id, r.text) for r in outs[3].collect()} <= {(r.doc_id, r.text) for r in start.collect()}

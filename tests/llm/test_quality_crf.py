@@ -28,6 +28,44 @@ def test_marginals_match_enumeration():
     assert np.allclose(expected, counts)
 
 
+def plain_features(line: bytes, known: set[bytes]) -> list[float]:
+    """A line's features by their definitions, one line at a time."""
+    of = {name: sum(bytes([b]) in chars for b in line for chars in [Q._CLASS[name]]) for name in Q._CLASS}
+    chars, words = len(line.decode("utf-8", "replace")), line.split()
+    some = max(len(words), 1)
+    alike = sum(sum(a) == sum(b) and len(a) == len(b) and a[0] == b[0] for a, b in zip(words, words[1:]))
+    letters = max(chars - of["space"] - of["digit"] - of["symbol"] - of["mark"] - of["stop"] - of["bar"], 1)
+    upper, symbols, marks, bars, repeated = of["upper"] / letters, of["symbol"] / some, of["mark"] / some, of["bar"] / some, alike / max(len(words) - 1, 1)
+    return [
+        not words, np.log1p(chars) / 6, upper, min(symbols, 3) / 3, min(marks, 3) / 3, min(bars, 2) / 2, min(of["digit"] / some, 3) / 3, repeated, bool(line) and line in known, min(of["stop"] / some, 1), min(chars / some, 30) / 30,
+        line[-1:] in (b".", b"!", b"?"), line[:1].isupper(), len(words) < 4, upper > 0.5, symbols > 0.4, repeated > 0.3, bars > 0.15, marks > 0.5]
+
+
+def plain_score(field: Q.Field, text: str | None) -> float:
+    """A document's score restated: plain features, products over label paths by recursion, length-weighted mean."""
+    lines = (text or "").encode().split(b"\n")
+    x = [plain_features(line, set(lines[:i])) for i, line in enumerate(lines)]
+    none, last = [0.0] * len(Q.FEATURES), len(lines) - 1
+    logit = [float(np.dot([*x[i], *(x[i - 1] if i else none), *(x[i + 1] if i < last else none), i == 0, i == last, 1], field.weights)) for i in range(len(x))]
+    pair = lambda a, b: float(field.pairs[a, b])
+    ahead, behind = [[0.0, logit[0]]], [[0.0, 0.0]]
+    for i in range(1, len(x)):
+        ahead.append([np.logaddexp(ahead[-1][0] + pair(0, y), ahead[-1][1] + pair(1, y)) + y * logit[i] for y in (0, 1)])
+    for i in range(len(x) - 2, -1, -1):
+        behind.insert(0, [np.logaddexp(pair(y, 0) + behind[0][0], pair(y, 1) + logit[i + 1] + behind[0][1]) for y in (0, 1)])
+    good = [1 / (1 + np.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, behind, strict=True)]
+    weight = [len(line.decode()) + 1 for line in lines]
+    return float(np.dot(good, weight) / sum(weight))
+
+
+def test_scores_match_a_plain_restatement(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = Q.fit(docs, labels.select("doc_id", "quality"))
+    texts = [r.text for r in docs.collect() if len(r.text) < 20_000] + ["", None, "one\n\none\none two two", "É É!\n| | |\n"]
+    got = Q.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), field).collect()
+    assert all(abs(r.score - plain_score(field, texts[r.doc_id])) < 1e-9 for r in got)
+
+
 def test_features_of_lines():
     x, first, chars = Q.line_features([b"", "É é\né é\n\nAB CD!!".encode(), b"x x x x |"])
     names = {n: i for i, n in enumerate(Q.FEATURES)}
