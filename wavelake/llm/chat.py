@@ -76,7 +76,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation, all of it read back from the formatted output."""
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = [(HOSTILE, 0, "user", HOSTILE_TEXT), (HOSTILE, 1, LEARNED, HOSTILE_TEXT)]
-    out = format_conversations(turns.unionByName(spark.createDataFrame(more, "conv_id long, turn long, role string, text string")))
+    rows = F.array(*(F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in more))
+    added = spark.range(1, numPartitions=1).select(F.explode(rows).alias("t")).select("t.*")
+    out = format_conversations(turns.unionByName(added))
     out = out.withColumn("back", parse_formatted(F.col("formatted")))
     told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     under = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")

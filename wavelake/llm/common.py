@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import scratch
+from ..scratch import materialize, scratch
 
 #: Separators between words of the two word classes, as Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: computed once, lineage cut.
-
-    The table outlives lost executors.  It stays until `discard` or until the owner of the
-    shared folder clears ``<shared>/wavelake``.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the folder of a table that `materialize` made; nothing may read it later."""
     spark = df.sparkSession
