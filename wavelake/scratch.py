@@ -34,7 +34,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: computed once, lineage cut, safe from lost executors."""
+    """Write ``df`` to the shared folder and read it again: computed once, lineage cut.
+
+    The table outlives lost executors.  It stays until the owner of the shared folder clears ``<shared>/wavelake``.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
