@@ -46,6 +46,12 @@ def label_audit(label_rows: DataFrame, patients: DataFrame | None = None, patien
     return patients.select(patient).distinct().join(g, patient, "left").na.fill(0, ["label_rows", *classes])
 
 
+def label_totals(audited: DataFrame) -> DataFrame:
+    """One row of sums over `label_audit`: patients without a label row are listed there but not counted here."""
+    classes = ("label_rows", "onset_only", "duration_or_invalid", "usable_offset", "implausible_offset")
+    return audited.agg(F.count_if(F.col("label_rows") > 0).alias("patients"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes))
+
+
 def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """The first n rows of each key in an explicit order."""
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
@@ -61,6 +67,11 @@ def split_composition(sessions: DataFrame, events: DataFrame, split: str = "spli
     return counts.join(eps, split, "left").na.fill(0, ["episodes"])
 
 
+def split_patients(sessions: DataFrame, split: str = "split") -> DataFrame:
+    """(split, patient_id, sessions): what each patient gives to a split, a row each rather than a map."""
+    return sessions.groupBy(split, "patient_id").agg(F.count(F.lit(1)).alias("sessions"))
+
+
 def label_counts(rows: DataFrame, label: str, split: str = "split") -> DataFrame:
     """(split, n, positives, percent)."""
     g = rows.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("positives"))

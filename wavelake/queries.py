@@ -573,6 +573,17 @@ def _(spark, sf):
     return summary.label_audit(o, samples(spark, sf).select(F.col("user_id").alias("patient_id")))
 
 
+@query("label_totals", """WITH s AS (SELECT user_id, event_id FROM events WHERE event_type = 'error')
+SELECT count(DISTINCT user_id) AS patients, count(*) AS label_rows, count(*) FILTER (WHERE event_id % 3 = 2) AS onset_only, count(*) FILTER (WHERE event_id % 3 = 1) AS duration_or_invalid, count(*) FILTER (WHERE event_id % 3 = 0) AS usable_offset, CAST(0 AS BIGINT) AS implausible_offset FROM s""")
+def _(spark, sf):
+    return summary.label_totals(QUERIES["label_audit"](spark, sf))
+
+
+@query("split_patients", sql("s", "d", "SELECT CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, user_id AS patient_id, count(*) AS sessions FROM d GROUP BY 1, 2"))
+def _(spark, sf):
+    return summary.split_patients(days(spark, sf).select(F.col("user_id").alias("patient_id"), F.col("day").alias("session_id"), F.when(F.col("user_id") % 5 == 0, "test").otherwise("train").alias("split")))
+
+
 @query("split_composition", sql("s", "iv", "ev", "d", """, k AS (SELECT DISTINCT d.user_id, d.day, CASE WHEN d.user_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM d), j AS (SELECT k.*, ev.start_s, ev.end_s FROM k LEFT JOIN ev ON k.user_id = ev.user_id AND CAST(floor(ev.start_s / 86400.0) AS BIGINT) = k.day)
 SELECT split, count(DISTINCT (user_id, day)) AS sessions, count(DISTINCT (user_id, day)) FILTER (WHERE start_s IS NOT NULL) AS positive_sessions, count(DISTINCT (round(start_s, 3), round(end_s, 3))) FILTER (WHERE start_s IS NOT NULL) AS episodes FROM j GROUP BY split"""))
 def _(spark, sf):
