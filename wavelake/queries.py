@@ -879,7 +879,7 @@ def _(spark, sf):
 def _(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.explode(F.array(*map(F.lit, ("ACC", "BVP", "EDA", "TEMP", "HR")))).alias("sensor"))
     c = c.where("not (sensor = 'TEMP' and c_custkey % 3 = 0) and not (sensor = 'HR' and c_custkey % 2 = 1)")
-    path = F.concat(F.lit("/data/Mayo_"), F.col("c_custkey") % 9, F.lit("/Empatica_Chronic/"), 1000 + F.col("c_custkey"), F.lit("_dev/"), "sensor", F.lit(".csv"))
+    path = F.concat(F.lit("/data/Mayo_"), F.col("c_custkey") % 9, F.lit("/sessions/"), 1000 + F.col("c_custkey"), F.lit("_dev/"), "sensor", F.lit(".csv"))
     return sensors.sessions_from_files(c.select(path.alias("path"))).select("patient_id", "session_id", "has_hr", "is_valid")
 
 
