@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, credentials, decontam, licenses, mixing, packing, quality_crf, rules, simhash, warc
+from . import chat, credentials, decontam, fim, licenses, mixing, packing, quality_crf, rules, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_crf.op1_quality,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_licenses": licenses.op9_licenses,
     "op10_secrets": credentials.op10_secrets,
+    "op11_urls": urls.op11_urls,
+    "op13_fim": fim.op13_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat": chat.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_licenses": licenses.OP9_SQL,
+    "op11_urls": urls.OP11_SQL,
+    "op13_fim": fim.OP13_SQL,
 }
