@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, credentials, decontam, fim, licenses, mixing, packing, quality_crf, rules, simhash, urls, warc
+from . import chat, credentials, decontam, fim, licenses, mixing, packing, prefix_trie, quality_crf, rules, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_crf.op1_quality,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": licenses.op9_licenses,
     "op10_secrets": credentials.op10_secrets,
     "op11_urls": urls.op11_urls,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_fim": fim.op13_fim,
 }
 
@@ -31,5 +32,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mixing": mixing.OP8_SQL,
     "op9_licenses": licenses.OP9_SQL,
     "op11_urls": urls.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_fim": fim.OP13_SQL,
 }
