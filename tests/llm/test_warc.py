@@ -1,5 +1,6 @@
 """Archives: round trip, damage and the revisit rule."""
 
+import base64
 import hashlib
 import io
 import struct
@@ -101,3 +102,96 @@ def test_archives_are_read_by_a_task_each(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and archives.count() == 4
     back = warc.read_archives(archives)
     assert back.rdd.getNumPartitions() == 4 and back.count() == 40
+
+
+def record(kind, block=b"", version="WARC/1.0", **fields):
+    """A record as other writers make them: no blank after colons, no digests."""
+    fields = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", **{k.replace("_", "-"): v for k, v in fields.items()}, "Content-Length": str(len(block))}
+    return "".join([version, "\r\n", *(f"{k}:{v}\r\n" for k, v in fields.items()), "\r\n"]).encode() + block + b"\r\n\r\n"
+
+
+HTTP = "application/http; msgtype=response"
+BODY = b"<html>caf\xc3\xa9 and some more words</html>"
+
+
+def streamed(records, dictionary=None, told=False):
+    """An archive whose frames do not tell their sizes."""
+    out = io.BytesIO()
+    if dictionary:
+        raw = dictionary.as_bytes()
+        if not told:
+            z = zstandard.ZstdCompressor().compressobj()
+            raw = z.compress(dictionary.as_bytes()) + z.flush()
+        out.write(struct.pack("<II", 0x184D2A5D, len(raw)) + raw)
+    for r in records:
+        z = zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False).compressobj()
+        out.write(z.compress(r[: len(r) // 2]) + z.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK) + z.compress(r[len(r) // 2 :]) + z.flush())
+    return out.getvalue()
+
+
+def foreign():
+    sha1 = base64.b32encode(hashlib.sha1(BODY).digest()).decode()
+    chunked = b"5;x=y\r\n" + BODY[:5] + b"\r\n" + f"{len(BODY) - 5:X}\r\n".encode() + BODY[5:] + b"\r\n0\r\nTrailer: 1\r\n\r\n"
+    return [
+        record("warcinfo", b"software:x\r\n", Content_Type="application/warc-fields", WARC_Filename="a.warc"),
+        record("request", b"GET / HTTP/1.1\r\nHost:x\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        record("response", b"HTTP/1.1 200 OK\r\nServer:x\r\n folded\r\n\r\n" + BODY, Content_Type=HTTP, WARC_Target_URI="http://x/1", WARC_Payload_Digest=f"sha1:{sha1}"),
+        record("response", b"HTTP/1.1 200\r\nTransfer-Encoding:chunked\r\n\r\n" + chunked, "WARC/1.1", Content_Type=HTTP, WARC_Payload_Digest=f"SHA-256:{hashlib.sha256(BODY).hexdigest()}"),
+        record("response", b"HTTP/1.0 200 OK\r\n\r\n", Content_Type=HTTP),
+        record("response", b"HTTP/1.0 200 OK\r\nContent-Length:900\r\n\r\n" + BODY, Content_Type=HTTP, WARC_Truncated="length"),
+        record("response", b"192.0.2.1", Content_Type="text/dns"),
+        record("resource", BODY, Content_Type="text/html"),
+        record("metadata", b"a: b\r\n"),
+        record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", Content_Type=HTTP, WARC_Profile="http://netpreserve.org/warc/1.0/revisit/server-not-modified", WARC_Refers_To="<urn:uuid:0>"),
+        record("revisit", b"", WARC_Payload_Digest=f"sha1:{sha1}"),
+    ]
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_archives_of_other_writers(told, monkeypatch):
+    dictionary = zstandard.train_dictionary(4096, [r for r in foreign() for _ in range(40)], k=64, d=8)
+    monkeypatch.setattr(warc, "CHUNK", 50)
+    for held in (dictionary, None):
+        back = list(warc.read_archive(io.BytesIO(streamed(foreign(), held, told))))
+        assert [r["record_type"] for r in back] == ["warcinfo", "request", *["response"] * 5, "resource", "metadata", "revisit", "revisit"]
+        assert [r["payload"] for r in back[2:8]] == [BODY, BODY, b"", BODY, b"192.0.2.1", BODY]
+        assert all(r["payload_digest"] == hashlib.sha256(r["payload"]).hexdigest() for r in back[:9]) and back[9]["refers_to_id"] == "<urn:uuid:0>"
+        assert back[2]["url"] == "http://x/1" and {r["page_id"] for r in back} == {None} and back[10]["payload_bytes"] is None
+
+
+def test_other_types_are_passed_over(spark, tmp_path):
+    (tmp_path / "a.warc.zst").write_bytes(streamed(foreign()))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.warc.zst",)], "path string")
+    assert [r.record_type for r in warc.read_archives(paths).collect()] == ["response"] * 5 + ["revisit"] * 2
+    assert warc.read_archives(paths, types=None).count() == 11 and warc.read_archives(paths, types=["resource"]).collect()[0].payload == BODY
+
+
+def bad():
+    ok = b"HTTP/1.1 200 OK\r\nContent-Length:%d\r\n\r\n"
+    return {
+        "length": record("response", ok % 3 + BODY, Content_Type=HTTP),
+        "payload digest": record("response", ok % len(BODY) + BODY, Content_Type=HTTP, WARC_Payload_Digest="sha1:" + "A" * 32),
+        "block digest": record("resource", BODY, WARC_Block_Digest="md5:" + "0" * 32),
+        "chunk size": record("response", b"HTTP/1.1 200\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\nabc", Content_Type=HTTP),
+        "chunk length": record("response", b"HTTP/1.1 200\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nabc\r\n0\r\n\r\n", Content_Type=HTTP),
+        "no http": record("response", BODY, Content_Type=HTTP),
+        "type": record("unheard-of", BODY),
+        "profile": record("revisit", b"", WARC_Profile="http://x/"),
+        "cut": record("resource", BODY)[:-1],
+        "no end": record("resource", BODY).replace(b"\r\n\r\n", b"\r\n"),
+        "no colon": record("resource", BODY).replace(b"WARC-Record-ID:", b"WARC-Record-ID"),
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(bad()))
+def test_damage_in_archives_of_other_writers(kind):
+    with pytest.raises((ValueError, KeyError)):
+        warc.decode_record(bad()[kind])
+    with pytest.raises(ValueError):
+        list(warc.read_archive(io.BytesIO(streamed([bad()[kind]]))))
+
+
+def test_frame_without_size_must_end():
+    data = streamed(foreign()[:1])
+    with pytest.raises(ValueError):
+        list(warc.read_archive(io.BytesIO(data[:-3])))

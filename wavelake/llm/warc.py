@@ -10,7 +10,11 @@ first records (themselves compressed), then has one frame per record.
 Reading.  Archives are dealt out, one to a task where there are as many tasks, and streamed: the reader
 loads the dictionary from the leading skippable frame, finds each frame's end from its block headers,
 decodes it alone, and validates the frame's checksum, the record's headers, lengths and digests.
-Memory holds a chunk and a record.
+Memory holds a chunk and a record.  Archives of other writers are read too: WARC 1.0 and 1.1, all types
+of record, frames that do not tell their size, HTTP without Content-Length or in chunks.  Digests (MD5,
+SHA-1, SHA-256, SHA-512; hex or base 32) are checked where they are given, a payload's against the body
+with or without its chunks; lengths too, unless the record says that it was cut.  A payload stays in its
+Content-Encoding.
 
 Archives are files in the shared folder, opened through ``pyarrow.fs``; a task writes under a name of
 its attempt and renames at the end, so a repeated task replaces its file as a whole.
@@ -23,10 +27,12 @@ and reads no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -49,9 +55,14 @@ DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the formats.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PROFILES = {f"http://netpreserve.org/warc/{v}/revisit/{p}" for v in ("1.0", "1.1") for p in ("identical-payload-digest", "server-not-modified")}
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 HTTP_TYPE = "application/http;msgtype=response"
 
-RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
+#: Types of record that hold pages.
+PAGES = ("response", "revisit")
+_FIELD = re.compile(r"([!#$%&'*+.^_`|~0-9A-Za-z-]+)[ \t]*:(.*)", re.DOTALL)
 
 
 def _id(page_id: int | None, digest: str) -> str:
@@ -76,48 +87,107 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def _lines(head: bytes, first: bytes) -> dict[str, str]:
-    top, *rest = head.split(b"\r\n")
-    if not top.startswith(first):
-        raise ValueError(f"begins with {top[:40]!r}")
-    out = {}
-    for line in rest:
-        name, colon, value = line.decode().partition(": ")
-        if not colon:
+def _lines(head: bytes, strict: bool) -> dict[str, str]:
+    """Fields of a header block by lower-case name, its first line left out; a line that begins with a blank goes on with the one before.
+
+    A line that is no field raises if ``strict``, as in WARC headers; web servers send such lines, so in HTTP they are passed over.
+    """
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.split(b"\r\n")[1:]:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:
+            out[name] += " " + text.strip()
+            continue
+        field = _FIELD.match(text)
+        if field:
+            name = field[1].lower()
+            out[name] = field[2].strip()
+        elif strict:
             raise ValueError(f"header line {line[:40]!r}")
-        out[name.lower()] = value
     return out
 
 
+def _agrees(given: str | None, data: bytes) -> bool:
+    """Whether a digest ``algorithm:value``, hex or base 32, is that of the data; also where there is none, or of an unknown algorithm."""
+    algorithm, colon, value = (given or "").partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if not colon or algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    found = hashlib.new(algorithm, data).digest()
+    return value.lower() == found.hex() or value.rstrip("=").upper() == base64.b32encode(found).decode().rstrip("=")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The content of a body in HTTP chunks."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not size or size.strip(b"0123456789abcdefABCDEF"):
+            raise ValueError("a chunk has no size")
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != b"\r\n":
+            raise ValueError("a chunk is not as long as its size")
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def _http(block: bytes, cut: bool) -> tuple[dict[str, str], bytes, bytes]:
+    """(header fields, body as it is, payload) of an HTTP message; lengths are checked unless it was ``cut``."""
+    end = block.find(b"\r\n\r\n")
+    if end < 0:
+        raise ValueError("HTTP headers have no end")
+    start = block[:end].partition(b"\r\n")[0]
+    if b"HTTP/" not in start:
+        raise ValueError(f"begins with {start[:40]!r}")
+    head, body = _lines(block[:end], False), block[end + 4 :]
+    if "chunked" in head.get("transfer-encoding", "").lower() and body:
+        return head, body, body if cut else _unchunked(body)
+    return head, body, body
+
+
 def decode_record(record: bytes) -> dict:
-    """The fields of `RECORDS`; ValueError if a header, length or digest is wrong."""
+    """The fields of `RECORDS`; ValueError if a header, a length, or a digest that is given is wrong."""
     end = record.find(b"\r\n\r\n")
     if end < 0:
         raise ValueError("headers have no end")
-    head = _lines(record[:end], b"WARC/1.1")
+    if record[:10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
+        raise ValueError(f"begins with {record[:40]!r}")
+    head = _lines(record[:end], True)
     block = record[end + 4 : -4]
     if record[-4:] != b"\r\n\r\n" or len(block) != int(head["content-length"]):
         raise ValueError(f"Content-Length {head['content-length']}, {len(block)} bytes found")
-    if head["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    if not _agrees(head.get("warc-block-digest"), block):
         raise ValueError("block digest differs")
-    http_end = block.find(b"\r\n\r\n")
-    http, payload = _lines(block[:http_end], b"HTTP/1.1 "), block[http_end + 4 :]
-    size, digest = int(http["content-length"]), head["warc-payload-digest"].removeprefix("sha256:")
-    kind, refers = head["warc-type"], head.get("x-refers-to-page-id")
-    if kind == "response":
-        if size != len(payload) or digest != hashlib.sha256(payload).hexdigest():
-            raise ValueError("payload length or digest differs")
-    elif kind != "revisit" or payload or refers is None or head.get("warc-profile") != PROFILE:
+    kind, given, cut = head["warc-type"], head.get("warc-payload-digest"), "warc-truncated" in head
+    if kind not in TYPES:
         raise ValueError(f"record of type {kind}")
-    page = head.get("x-page-id")
+    http = head.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    fields, body, payload = _http(block, cut) if http and block else ({}, block, block)
+    length = fields.get("content-length")
+    if kind == "revisit":
+        if payload and http or head.get("warc-profile", PROFILE) not in PROFILES:
+            raise ValueError("a revisit with a payload or an unknown profile")
+        size, digest, payload = None if length is None else int(length), None if given is None else given.removeprefix("sha256:"), None
+    else:
+        if kind == "response" and length is not None and int(length) != len(body) and not cut:
+            raise ValueError(f"payload of {len(body)} bytes, not {length}")
+        if not _agrees(given, payload) and not _agrees(given, body):
+            raise ValueError("payload digest differs")
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
     return {
-        "page_id": None if page is None else int(page), "url": head.get("warc-target-uri"), "payload": payload if kind == "response" else None,
+        "page_id": None if page is None else int(page), "url": head.get("warc-target-uri"), "payload": payload,
         "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": None if refers is None else int(refers),
+        "record_id": head.get("warc-record-id"), "refers_to_id": head.get("warc-refers-to"),
     }
 
 
 def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from some records, or None where they are too few to train on."""
+    """A dictionary from the first 16 KB of some records, or None where they are too few to train on."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r[:16384] for r in records], k=512, d=8)
     except zstandard.ZstdError:
@@ -181,6 +251,17 @@ def frame_length(data: bytes | memoryview, at: int) -> int | None:
             return end + (4 if flags & 4 else 0) - at
 
 
+def unzipped(unzip: zstandard.ZstdDecompressor, frame: bytes) -> bytes:
+    """The content of one whole frame, also of one that does not tell its size, as streaming compressors write."""
+    if zstandard.frame_content_size(frame) >= 0:
+        return unzip.decompress(frame)
+    one = unzip.decompressobj()
+    out = one.decompress(frame)
+    if not one.eof:
+        raise ValueError("the frame has no end")
+    return out
+
+
 def read_archive(stream) -> Iterator[dict]:
     """Records of one archive, each decoded from a frame of its own."""
     data, at, place, unzip = b"", 0, 0, zstandard.ZstdDecompressor()
@@ -197,13 +278,13 @@ def read_archive(stream) -> Iterator[dict]:
         frame = data[at : at + size]
         if struct.unpack_from("<I", frame)[0] == FRAME:
             try:
-                yield decode_record(unzip.decompress(frame))
+                yield decode_record(unzipped(unzip, frame))
             except (ValueError, KeyError, zstandard.ZstdError) as e:
                 raise ValueError(f"record at byte {place}: {e}") from e
         elif place == 0 and struct.unpack_from("<I", frame)[0] == SKIPPABLE:
-            held = frame[8:]
+            held = bytes(frame[8:])
             if held[:4] == struct.pack("<I", FRAME):
-                held = zstandard.ZstdDecompressor().decompress(held)
+                held = unzipped(zstandard.ZstdDecompressor(), held)
             unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held))
         at, place = at + size, place + size
 
@@ -258,19 +339,24 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return common.materialize(with_revisits(pages).mapInArrow(write, "path string, records long"), "warc-list")
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """Rows of `RECORDS` from the archives named in ``path``; raises where a record is not valid."""
+def read_archives(archives: DataFrame, payloads: bool = True, types: Sequence[str] | None = PAGES) -> DataFrame:
+    """Rows of `RECORDS` from the archives named in ``path``; raises where a record is not valid.
+
+    Records of other types than ``types`` are checked and passed over; None returns all.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in RECORDS.split(", ")]
-        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-        schema = pa.schema([(f.split(" ")[0], types[f.split(" ")[1]]) for f in RECORDS.split(", ")])
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        schema = pa.schema([(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in RECORDS.split(", ")])
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, at = pyarrow.fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with fs.open_input_stream(at, compression=None) as stream:
                     for record in read_archive(stream):
+                        if types is not None and record["record_type"] not in types:
+                            continue
                         if not payloads:
                             record["payload"] = None
                         rows.append(record)
