@@ -106,6 +106,24 @@ def test_keep_one(spark):
     assert "__lost" in kept.columns
 
 
+def test_keep_one_loses_no_text_of_its_own(spark, monkeypatch):
+    from wavelake.llm import common
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(12)]
+    near = texts[0] + " more"
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (9, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (1, near), (7, near), (9, texts[2]), (20, None), (21, ""), (21, texts[4])]
+    rows += [(rng.randrange(30, 40), rng.choice(texts[5:])) for _ in range(200)]  # hot components, ids with many texts
+    want, _ = brute_components(rows)
+    kept = sorted((r for i, r in enumerate(rows) if r[0] == want[i]), key=repr)
+    assert (5, texts[1]) in kept and (5, texts[0]) not in kept and (None, texts[2]) not in kept and (21, texts[4]) in kept
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr) == kept
+    monkeypatch.setattr(common, "broadcast_if_small", lambda df, *_: df)
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr) == kept
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (None, 3), (100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}

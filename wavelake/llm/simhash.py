@@ -69,13 +69,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary())
         out = np.fromiter((fingerprint((t.as_py() or b"").translate(_LOWER)) for t in texts), np.uint64, len(texts))
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(out.view(np.int64))})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(out.view(np.int64))})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    """(doc_id, text_hash, fp): a hash that tells the texts of one doc_id apart, and the fingerprint's bits as a signed long."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long")
 
 
 def _block_masks() -> list[np.ndarray]:
@@ -223,7 +223,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id reachable over links, itself included."""
+    """(doc_id, text_hash, fp, component_id), a row per row: the least doc_id reachable over links, itself included."""
     prints = common.materialize(fingerprints(docs), "fingerprints")
     distinct = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = common.materialize(connected_components(near_links(distinct.select("fp"))), "roots")
@@ -235,12 +235,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each component the rows with its least doc_id stay."""
+    """``docs`` without near copies: of each component the rows with its least doc_id stay.
+
+    A row goes if its own text is in a component with a lesser doc_id: where one doc_id has several texts, each
+    is judged by itself.  Rows without a doc_id go where a component has any, else all of them stay; so do rows
+    that repeat the least doc_id.
+    """
     found = near_duplicates(docs)
-    lost = common.materialize(found.where("doc_id != component_id").select(F.col("doc_id").alias("lost")).distinct(), "copies")
-    lost = common.broadcast_if_small(lost, 2_000_000)  # one number a row
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
-    return rows.join(lost, F.col("id") == F.col("lost"), "left_anti").select("row.*")
+    copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    lost = common.materialize(copies.select(F.col("doc_id").alias("lost"), F.col("text_hash").alias("lost_text")).distinct(), "copies")
+    lost = common.broadcast_if_small(lost, 2_000_000, 128 << 20)  # two numbers a row
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("its_text"), F.struct("*").alias("row"))
+    return rows.join(lost, F.col("id").eqNullSafe(F.col("lost")) & (F.col("its_text") == F.col("lost_text")), "left_anti").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
