@@ -121,9 +121,9 @@ SENSOR = {"fast": "100\n4\n1,2,3\n4,5,6\n", "odd": "﻿100\n4\n1\nNA\n\n3\n", "s
 
 
 @pytest.mark.parametrize("name,mode,n", [("fast", "fast", 2), ("fast", "strict", 2), ("odd", "fast", None), ("odd", "tolerant", 2), ("short", "strict", None), ("short", "fast", None), ("bad", "tolerant", None)])
-def test_sensor_modes(name, mode, n):
-    got = sensors.parse_sensor(SENSOR[name].encode(), mode)
-    assert (got and len(got[2])) == n
+def test_sensor_modes(spark, tmp_path, name, mode, n):
+    (tmp_path / "a.csv").write_bytes(SENSOR[name].encode())
+    assert (sensors.read_sensors(spark, str(tmp_path), mode).count() or None) == n
 
 
 def test_sources_and_sessions(spark, tmp_path):

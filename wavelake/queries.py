@@ -821,18 +821,16 @@ def _(spark, sf):
 
 # -- sources and sinks: tables written as the files that a source reads -----------------------------
 
-SENSOR_USERS = "user_id % 20 = 0"
-
-
 def sensor_files(spark: SparkSession, sf: str, spoilt: bool = False) -> str:
     """A folder of sensor files, one a user: start, rate, values; a user in three has a blank and a broken value if ``spoilt``."""
-    s = indexed(spark, sf).where(SENSOR_USERS)
+    s = indexed(spark, sf)
     broken = (F.col("user_id") % 3 == 0) & (F.col("i") % 4 == 1)
-    value = F.when(broken, F.when(F.col("i") % 8 == 1, "").otherwise("NaN")).otherwise(F.col("value").cast("string")) if spoilt else F.col("value").cast("string")
-    lines = s.withColumn("value", value).groupBy("user_id").agg(F.min("t_s").cast("string").alias("start"), F.array_sort(F.collect_list(F.struct("i", "value"))).alias("rows"))
-    text = F.concat_ws("\n", "start", F.lit("4.0"), F.array_join(F.transform("rows", lambda r: r["value"]), "\n"))
+    text = F.col("value").cast("string")
+    rows = s.select("user_id", "i", (F.when(broken, F.when(F.col("i") % 8 == 1, "").otherwise("NaN")).otherwise(text) if spoilt else text).alias("value"))
+    first = s.groupBy("user_id").agg(F.min("t_s").cast("string").alias("start"))
+    head = first.select("user_id", F.posexplode(F.array("start", F.lit("4.0"))).alias("at", "value")).select("user_id", (F.col("at") - 2).cast("long").alias("i"), "value")
     folder = scratch(spark, "sensors")
-    lines.select("user_id", text.alias("value")).write.partitionBy("user_id").text(folder)
+    rows.unionByName(head).repartition("user_id").sortWithinPartitions("user_id", "i").select("user_id", "value").write.partitionBy("user_id").text(folder)
     return folder
 
 
@@ -840,7 +838,7 @@ def _user(path: str = "path"):
     return F.regexp_extract(path, r"/user_id=(\d+)/", 1).cast("long").alias("user_id")
 
 
-SENSORS = sql("s", "x", f"SELECT user_id, i AS sample_idx, value, (SELECT min(t_s) FROM s y WHERE y.user_id = x.user_id) AS start_s, CAST(4 AS DOUBLE) AS rate_hz FROM x WHERE {SENSOR_USERS}")
+SENSORS = sql("s", "x", f"SELECT user_id, i AS sample_idx, value, min(t_s) OVER (PARTITION BY user_id) AS start_s, CAST(4 AS DOUBLE) AS rate_hz FROM x")
 
 
 @query("read_sensors", SENSORS)
@@ -849,7 +847,7 @@ def _(spark, sf):
     return r.select(_user(), "sample_idx", F.get("v", F.lit(0)).alias("value"), "start_s", "rate_hz")
 
 
-@query("read_sensors_tolerant", sql("s", "x", f""", y AS (SELECT *, CASE WHEN user_id % 3 = 0 AND i % 4 = 1 THEN NULL ELSE value END AS v FROM x WHERE {SENSOR_USERS}),
+@query("read_sensors_tolerant", sql("s", "x", f""", y AS (SELECT *, CASE WHEN user_id % 3 = 0 AND i % 4 = 1 THEN NULL ELSE value END AS v FROM x),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS j FROM y WHERE v IS NOT NULL) SELECT user_id, j AS sample_idx, v AS value FROM k"""))
 def _(spark, sf):
     # lines of nothing but blanks and NaN are left out
@@ -857,12 +855,12 @@ def _(spark, sf):
     return r.select(_user(), "sample_idx", F.get("v", F.lit(0)).alias("value"))
 
 
-@query("read_sensors_strict", sql("s", "x", f"SELECT user_id, count(*) AS n FROM x WHERE {SENSOR_USERS} GROUP BY 1 HAVING count(*) >= 1"))
+@query("read_sensors_strict", sql("s", "x", f"SELECT user_id, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 1"))
 def _(spark, sf):
     return sensors.read_sensors(spark, sensor_files(spark, sf), "strict", "*.txt").groupBy(_user()).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("probe_sensors", sql("s", f"SELECT user_id, min(t_s) AS start_s, CAST(4 AS DOUBLE) AS rate_hz, count(*) AS n FROM s WHERE {SENSOR_USERS} GROUP BY 1"))
+@query("probe_sensors", sql("s", f"SELECT user_id, min(t_s) AS start_s, CAST(4 AS DOUBLE) AS rate_hz, count(*) AS n FROM s GROUP BY 1"))
 def _(spark, sf):
     return sensors.probe_sensors(spark, sensor_files(spark, sf), "*.txt", count_rows=True).select(_user(), "start_s", "rate_hz", "n")
 

@@ -1,125 +1,136 @@
 """Sensor files: line 1 start time, line 2 rate, then one row of values per sample.
 
-A file is one ordered record, so it is parsed by one task and never split; many files are read in
-parallel.  Values are parsed into one NumPy array; headers are probed without reading what follows.
+A file is one ordered record, but no task reads it whole: Spark splits it by bytes like any text, and each
+line keeps the block it came from and its place there.  The lines are parsed and written once; counts by
+block, added up, then give every line its number in the file, so the two header lines are known wherever
+they lie, and every sample its index.  Only blocks with gaps need a window, of a block's rows at most.
+What goes from block to block, counts, last values before and the file's verdict, is a row a block.
+
 Three modes differ in what they tolerate:
 
-* ``fast``: numbers only; any unreadable line drops the file;
-* ``tolerant``: byte-order mark, blanks and NA/NaN tokens become nulls, filled forwards, then backwards, then 0;
-* ``strict``: as fast, and a file of fewer than three lines is dropped.
+* ``fast``: numbers only; an unreadable value or rows of different widths drop the file, blank lines are passed over;
+* ``tolerant``: whatever is no number is null; rows and columns without any number go; nulls are filled forwards,
+  then backwards, then by 0;
+* ``strict``: as fast; files of fewer than three lines are dropped, which have no samples in any mode.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patient_id
+from ..scratch import materialize
 
-MISSING = {"", "na", "nan", "n/a", "null"}
-SCHEMA = "path string, start_s double, rate_hz double, sample_idx long, v array<double>"
 MODES = ("fast", "tolerant", "strict")
-#: Bytes that hold the two header lines.
+#: Bytes that hold the two header lines, for `probe_sensors` alone.
 HEAD = 4096
+#: Columns of a sensor file at most.
+MOST_COLUMNS = 256
+_NUMBER = r"(?i)^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$"
+_INFINITE, _NAN = r"(?i)^[+-]?(inf|infinity)$", r"(?i)^[+-]?nan$"
 
 
-def _number(field: str) -> float | None:
-    return None if field.strip().lower() in MISSING else float(field)
+def _text(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, block, value): the lines of all files under ``path`` and the byte where the block of each begins."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def parse_sensor(content: bytes, mode: str = "fast") -> tuple[float, float, np.ndarray] | None:
-    """(start, rate, values [rows, channels]) of one file's content, or None where the mode rejects it."""
-    text = content.decode("utf-8-sig" if mode == "tolerant" else "utf-8", errors="replace")
-    stream = io.StringIO(text, newline=None)
-    try:
-        start, rate = (float(stream.readline().split(",")[0]) for _ in range(2))
-    except ValueError:
-        return None
-    body = stream.read()
-    if not body.strip():
-        return None
-    if mode != "tolerant":
-        try:
-            return start, rate, np.loadtxt(io.StringIO(body), delimiter=",", ndmin=2, comments=None)
-        except ValueError:
-            return None  # a value that is no number, or lines of different widths
-    rows, width = [], 0
-    for line in body.splitlines():
-        row = []
-        for f in line.split(","):
-            try:
-                row.append(_number(f))
-            except ValueError:
-                row.append(None)
-        width = max(width, len(row))
-        if any(x is not None for x in row):
-            rows.append(row)
-    if not rows:
-        return None
-    frame = pd.DataFrame([r + [None] * (width - len(r)) for r in rows], dtype=float).dropna(axis=1, how="all")
-    return start, rate, frame.ffill().bfill().fillna(0.0).to_numpy()
+def _values(line: Column, tolerant: bool) -> Column:
+    """The fields of a line as numbers, null where they are none; NaN is a number only where it is not a gap."""
+    ok = lambda t: t.rlike(_NUMBER) | t.rlike(_INFINITE) | (F.lit(False) if tolerant else t.rlike(_NAN))
+    return F.transform(F.transform(F.split(line, ","), lambda x: F.trim(F.replace(x, F.lit("\t"), F.lit(" ")))), lambda t: F.when(ok(t), t.try_cast("double")))
+
+
+def _over_blocks(blocks: DataFrame, sums: dict[str, str], lasts: dict[str, str]) -> DataFrame:
+    """``blocks`` with sums and last values over the blocks before, inside each file."""
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    added = {n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}
+    return blocks.withColumns(added | {n: F.last(c, ignorenulls=True).over(before) for n, c in lasts.items()})
 
 
 def read_sensors(spark: SparkSession, path: str, mode: str = "fast", pattern: str = "*.csv") -> DataFrame:
-    """Rows of `SCHEMA` from all files under ``path``; times are start_s + sample_idx / rate_hz."""
+    """(path, start_s, rate_hz, sample_idx, v: array<double>) from all files under ``path``; times are start_s + sample_idx / rate_hz."""
     if mode not in MODES:
         raise ValueError(f"mode {mode}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                got = parse_sensor(content, mode)
-                if got:
-                    start, rate, rows = got
-                    for i in range(0, len(rows), 50_000):
-                        part = rows[i : i + 50_000]
-                        yield pd.DataFrame({"path": name, "start_s": start, "rate_hz": rate, "sample_idx": range(i, i + len(part)), "v": list(part)})
-
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    tolerant = mode == "tolerant"
+    v = F.col("v")
+    empty = lambda x: x.isNull()
+    lines = _text(spark, path, pattern).select("path", "block", F.monotonically_increasing_id().alias("at"), _values(F.col("value"), tolerant).alias("v"), (F.trim(F.replace("value", F.lit("\t"), F.lit(" "))) != "").alias("filled"))
+    if tolerant:
+        lines = lines.withColumn("filled", F.exists(v, lambda x: x.isNotNull()))
+    lines = materialize(lines, "sensor-lines")
+
+    placed = _over_blocks(lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), {"line": "n"}, {})
+    placed = materialize(placed.select("path", "block", "first", "line"), "sensor-blocks")
+    number = (F.col("line") + F.col("at") - F.col("first")).alias("number")
+    numbered = lines.join(placed, ["path", "block"]).withColumn("number", number)
+    head = lines.join(placed.where("line < 2"), ["path", "block"]).withColumn("number", number).where("number < 2")
+    head = head.groupBy("path").agg(*(F.max(F.when(F.col("number") == i, F.get("v", F.lit(0)))).alias(name) for i, name in enumerate(("start_s", "rate_hz"))))
+
+    data = numbered.where("number >= 2")
+    wide = data.where("filled").agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0] if tolerant else 0
+    if wide > MOST_COLUMNS:
+        raise ValueError(f"a line of {wide} fields")
+    at = lambda c: F.get("v", F.lit(c))
+    gap = ~F.col("filled") | (F.exists(v, empty) | (F.size(v) < wide) if tolerant else F.lit(False))
+    aggs = {"samples": F.count_if("filled"), "gaps": F.count_if(gap), "broken": F.count_if(F.col("filled") & F.exists(v, empty)), "least": F.min(F.when(F.col("filled"), F.size(v))), "most": F.max(F.when(F.col("filled"), F.size(v)))}
+    for c in range(wide):
+        aggs |= {f"first{c}": F.min_by(at(c), F.when(at(c).isNotNull(), F.col("at"))), f"last{c}": F.max_by(at(c), F.when(at(c).isNotNull(), F.col("at")))}
+    blocks = data.groupBy("path", "block", "first", "line").agg(*(e.alias(n) for n, e in aggs.items()))
+    blocks = _over_blocks(blocks, {"index": "samples"}, {f"carry{c}": f"last{c}" for c in range(wide)})
+    whole = Window.partitionBy("path")
+    in_order = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = blocks.withColumns({f"fill{c}": F.first(f"first{c}", ignorenulls=True).over(in_order) for c in range(wide)})
+    sound = F.lit(True) if tolerant else (F.sum("broken").over(whole) == 0) & (F.min("least").over(whole) == F.max("most").over(whole))
+    blocks = blocks.withColumn("sound", sound).where("sound").join(head.where("start_s is not null and rate_hz is not null"), "path")
+    blocks = materialize(blocks.drop("samples", "broken", "least", "most", "sound", *(f"{x}{c}" for x in ("first", "last") for c in range(wide))), "sensor-blocks")
+
+    rows = lines.join(blocks, ["path", "block"]).withColumn("number", number).where("number >= 2")
+    full = rows.where("gaps = 0").withColumn("sample_idx", F.col("index") + F.col("number") - F.greatest(F.col("line"), F.lit(2)))
+    here = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    holed = rows.where("gaps > 0").withColumn("sample_idx", F.col("index") + F.count_if("filled").over(here) - 1)
+    if tolerant:
+        value = lambda c: F.coalesce(F.last(at(c), ignorenulls=True).over(here), F.col(f"carry{c}"), F.col(f"fill{c}"))
+        columns = [F.struct(F.col(f"fill{c}").isNotNull().alias("held"), value(c).alias("x")) for c in range(wide)]
+        filled = F.transform(F.filter(F.array(*columns), lambda s: s["held"]), lambda s: s["x"]) if columns else v
+        holed = holed.withColumn("v", filled)
+    columns = ["path", "start_s", "rate_hz", F.col("sample_idx").cast("long").alias("sample_idx"), "v"]
+    return full.select(*columns).unionByName(holed.where("filled").select(*columns))
 
 
 def probe_sensors(spark: SparkSession, path: str, pattern: str = "*.csv", count_rows: bool = False) -> DataFrame:
     """(path, start_s, rate_hz, n): headers; n counts the data rows, or is 1 where they are not counted.
 
-    A file's first `HEAD` bytes are read, and the rest, in chunks, only to count.
+    A file's first `HEAD` bytes are read; rows are counted by blocks, as Spark splits the text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
-    def probe(name: str) -> tuple[str, float, float, int] | None:
+    def probe(name: str) -> tuple[float, float] | None:
         fs, at = pyarrow.fs.FileSystem.from_uri(name)
         with fs.open_input_stream(at, compression=None) as stream:
-            head = stream.read(HEAD)
-            first, _, rest = head.partition(b"\n")
-            second, _, rest = rest.partition(b"\n")
-            try:
-                start, rate = (float(x.decode("utf-8-sig").split(",")[0]) for x in (first, second))
-            except ValueError:
-                return None
-            if not count_rows:
-                return name, start, rate, 1
-            n, open_line = 0, False
-            while rest:
-                lines = rest.split(b"\n")
-                filled = [bool(x.strip()) for x in lines]
-                filled[0] |= open_line
-                n += sum(filled[:-1])
-                open_line = filled[-1]
-                rest = stream.read(1 << 20)
-            return name, start, rate, n + open_line
+            lines = stream.read(HEAD).split(b"\n")[:2]
+        try:
+            start, rate = (float(x.decode("utf-8-sig").split(",")[0]) for x in lines)
+        except ValueError:
+            return None
+        return start, rate
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [r for r in map(probe, f["path"]) if r]
-            yield pd.DataFrame(found, columns=["path", "start_s", "rate_hz", "n"])
-
-    return files.select("path").mapInPandas(run, "path string, start_s double, rate_hz double, n long")
+            found = [(key, *r) for key, name in zip(f["key"], f["path"], strict=True) if (r := probe(name))]
+            yield pd.DataFrame(found, columns=["path", "start_s", "rate_hz"])
+
+    heads = files.select(F.col("_metadata.file_path").alias("key"), "path").mapInPandas(run, "path string, start_s double, rate_hz double")
+    if not count_rows:
+        return heads.withColumn("n", F.lit(1).cast("long"))
+    filled = _text(spark, path, pattern).groupBy("path").agg((F.count_if(F.trim("value") != "") - 2).alias("n"))  # but the header's
+    return heads.join(filled, "path")
 
 
 def sessions_from_files(files: DataFrame, required: tuple[str, ...] = ("ACC", "BVP", "EDA", "TEMP"), prefix: str = "Mayo_") -> DataFrame:
