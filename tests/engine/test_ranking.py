@@ -7,7 +7,7 @@ from wavelake.config import EngineConfig
 from wavelake.operators import ranking
 
 ONE = EngineConfig()
-SLICED = EngineConfig(single_sort_rows=0, rank_slices=7)
+SLICED = EngineConfig(one_task_bytes=0)
 
 
 def data(spark, seed=0, n=400):

@@ -36,9 +36,8 @@ class EngineConfig:
     sequence_length: int = 60
     sequence_window: int = 32
     seed: int = 42
-    #: Rankings over more distinct scores than this are summed in slices instead of one sorted run.
-    single_sort_rows: int = 1_000_000
-    rank_slices: int = 64
+    #: Up to this size, as the optimizer estimates it, a window may put all rows of a key into one task; beyond it they are dealt out.
+    one_task_bytes: int = 128 << 20
 
     def __post_init__(self):
         if not all(0 <= w <= 1 for w in self.fusion_weights):

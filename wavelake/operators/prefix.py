@@ -8,6 +8,9 @@ and they are broadcast.  Inside a part a window does the rest.
 
 The dealt rows are written to the shared folder first: a part that is computed again after the loss of
 an executor must hold the same rows, and both passes read them.  Rows equal in ``order`` stay in one part.
+
+Where Spark's own estimate of the input is at most ``EngineConfig.one_task_bytes``, no key can be more than
+one task holds, and the window alone does it in one shuffle; the rows are the same.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, EngineConfig
 from ..scratch import materialize
 
 
@@ -33,6 +37,11 @@ class Running(NamedTuple):
 _ROW_BITS = 33
 
 
+def fits_one_task(df: DataFrame, config: EngineConfig = DEFAULT) -> bool:
+    """Whether the optimizer's size of ``df``, an upper estimate, is small enough for one task to take all of it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= config.one_task_bytes
+
+
 def _carry(how: str, value: Column, window) -> Column:
     if how == "sum":
         return F.sum(value).over(window)
@@ -40,21 +49,27 @@ def _carry(how: str, value: Column, window) -> Column:
 
 
 def _merge(how: str, before: Column, here: Column) -> Column:
+    """What was carried up to a part and inside it, together."""
     if how == "sum":
         return F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
     return F.greatest(before, here) if how == "max" else F.coalesce(here, before)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], columns: dict[str, Running]) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], columns: dict[str, Running], config: EngineConfig | None = None) -> DataFrame:
     """``df`` with ``columns`` carried along ``order`` inside each of ``keys``; null keys are a key, nulls come first.
 
-    Sums over no rows are 0, maxima and last values null.
+    Sums over no rows are 0, maxima and last values null.  Without a ``config`` the rows are always dealt out.
     """
     for c in columns.values():
         if c.how not in ("sum", "max", "last"):
             raise ValueError(f"cannot carry {c.how}")
     named = [F.col(k) for k in keys]
     by = [*named, *(F.col(o) if isinstance(o, str) else o for o in order)]
+    nothing = F.lit(None)
+    if config and fits_one_task(df, config):
+        spec = Window.partitionBy(*keys).orderBy(*by[len(keys):])
+        frames = {True: spec.rowsBetween(Window.unboundedPreceding, 0), False: spec.rowsBetween(Window.unboundedPreceding, -1)}
+        return df.withColumns({n: _merge(c.how, nothing, _carry(c.how, c.value, frames[c.inclusive])) for n, c in columns.items()})
     rows = df.withColumns({f"__v{i}": c.value for i, c in enumerate(columns.values())})
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     dealt = materialize(dealt, "ranges").withColumn("__part", F.shiftright("__at", _ROW_BITS))
@@ -68,7 +83,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
     in_turn = Window.partitionBy(*keys).orderBy("__part")
     earlier = in_turn.rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
-        *(F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)), F.col("__part").alias("__p"), F.lag(F.lit(True)).over(in_turn).alias("__goes_on"),
+        *(F.col(k).alias(f"__of{j}") for j, k in enumerate(keys)), F.col("__part").alias("__p"), F.lag(F.lit(True)).over(in_turn).alias("__goes_on"),
         *(_carry(c.how, F.col(f"__w{i}"), earlier).alias(f"__b{i}") for i, c in enumerate(columns.values()))).where("__goes_on").drop("__goes_on")
 
     inside = Window.partitionBy("__part", *keys).orderBy("__at")
@@ -76,12 +91,12 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
     out = dealt.withColumns({f"__h{i}": _carry(c.how, F.col(f"__v{i}"), frames[c.inclusive]) for i, c in enumerate(columns.values())})
     on = F.col("__part") == F.col("__p")
     for j, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"__of{j}"))
     out = out.join(F.broadcast(offsets), on, "left")
     return out.select(*(F.col(c) for c in df.columns if c not in columns), *(_merge(c.how, F.col(f"__b{i}"), F.col(f"__h{i}")).alias(n) for i, (n, c) in enumerate(columns.items())))
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, first: int = 0) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, first: int = 0, config: EngineConfig | None = None) -> DataFrame:
     """``df`` with the place of each row in ``order`` among those of its ``keys``, from ``first``; the order should be total."""
     place = Running("sum", F.lit(1).cast("long"), inclusive=False)
-    return running(df, keys, order, {name: place}).withColumn(name, F.col(name) + first)
+    return running(df, keys, order, {name: place}, config).withColumn(name, F.col(name) + first)

@@ -1,9 +1,8 @@
 """Rankings of scores: ROC-AUC, average precision, thresholds and top shares.
 
 Rows are first counted by distinct score, so ties are one row and the sort is as large as the set of
-distinct scores.  Running counts over more than `EngineConfig.single_sort_rows` of them are made in
-slices: bounds from approximate quantiles, sums by slice, then running counts inside each slice, so
-no single task sorts everything.
+distinct scores.  Running counts over many of them are those of `prefix.running`: parts of about equal
+size, cut by Spark's own sampling, so no task sorts everything, however the scores are spread.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions.scalars import bankers_round
 from ..scratch import materialize
+from . import prefix
 
 
 def score_counts(df: DataFrame, score: str, label: str, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -30,20 +30,12 @@ def score_counts(df: DataFrame, score: str, label: str, groups: tuple[str, ...]
 
 def running(counts: DataFrame, groups: tuple[str, ...] = (), config: EngineConfig = DEFAULT) -> DataFrame:
     """``counts`` with the sums over lower scores, pos_below and neg_below, and the totals pos_all and neg_all."""
-    order = Window.partitionBy(*groups).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    stats = counts.agg(F.count(F.lit(1)), F.percentile_approx("s", [i / config.rank_slices for i in range(1, config.rank_slices)], 1000)).first()
-    if stats[0] <= config.single_sort_rows:
-        below = {c: F.coalesce(F.sum(c).over(order), F.lit(0)) for c in ("pos", "neg")}
-        return counts.withColumns({**{f"{c}_below": e for c, e in below.items()}, **{f"{c}_all": F.sum(c).over(whole) for c in ("pos", "neg")}})
-    cuts = F.array(*map(F.lit, sorted(set(stats[1]))))
-    sliced = counts.withColumn("slice", F.size(F.filter(cuts, lambda c: c < F.col("s"))))
-    sums = sliced.groupBy(*groups, "slice").agg(*(F.sum(c).alias(f"{c}_slice") for c in ("pos", "neg")))
-    before = Window.partitionBy(*groups).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*groups, "slice", *(F.coalesce(F.sum(f"{c}_slice").over(before), F.lit(0)).alias(f"{c}_base") for c in ("pos", "neg")), *(F.sum(f"{c}_slice").over(whole).alias(f"{c}_all") for c in ("pos", "neg")))
-    inside = Window.partitionBy(*groups, "slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    out = sliced.join(sums, [*groups, "slice"])
-    return out.withColumns({f"{c}_below": F.col(f"{c}_base") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("pos", "neg")}).drop("slice", "pos_base", "neg_base")
+    below = prefix.running(counts, groups, ["s"], {f"{c}_below": prefix.Running("sum", F.col(c), inclusive=False) for c in ("pos", "neg")}, config)
+    totals = F.broadcast(_group(counts, groups).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all")))  # a row per group
+    if not groups:
+        return below.join(totals, F.lit(True))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
+    return below.join(totals.withColumnsRenamed({g: f"__{g}" for g in groups}), same).drop(*(f"__{g}" for g in groups))
 
 
 def _group(df: DataFrame, groups: tuple[str, ...]):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from .prefix import number_rows
 
 
 def hash_rank_key(seed: int, *columns: Column) -> Column:
@@ -57,9 +58,9 @@ def select_sessions(sessions: DataFrame, session: str, positive: str, most: int,
     return s.orderBy("__late", F.desc("__y"), "__rn", session).limit(most).drop("__y", "__rn", "__late")
 
 
-def positive_first(sessions: DataFrame, positive: str, path: str) -> DataFrame:
-    """Positive sessions first, then by path."""
-    return sessions.orderBy(F.desc(F.col(positive).cast("int")), path)
+def positive_first(sessions: DataFrame, positive: str, path: str, config: EngineConfig = DEFAULT) -> DataFrame:
+    """``sessions`` with ``place``, from 0: positive sessions first, then by path."""
+    return number_rows(sessions, [], [F.col(positive).cast("int").desc(), F.col(path)], "place", config=config)
 
 
 def downsample_negatives(rows: DataFrame, label: str, keys: Sequence[str], ratio: float = DEFAULT.negative_ratio, most: int = DEFAULT.max_train_windows, seed: int = DEFAULT.seed) -> DataFrame:

@@ -2,33 +2,72 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, EngineConfig
+from .prefix import number_rows
 
-def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "i") -> DataFrame:
-    """Number the rows of each key from 0 in a total order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
 
+def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "i", config: EngineConfig = DEFAULT) -> DataFrame:
+    """Number the rows of each key from 0 in a total order; a key of a large table spans many tasks."""
+    return number_rows(df, keys, order, name, config=config)
 
-def count_windows(indexed: DataFrame, keys: Sequence[str], size: int, stride: int, aggs: dict[str, Column], index: str = "i") -> DataFrame:
+
+class Pane(NamedTuple):
+    """An aggregate that can be put together from parts: min, max, sum, count, first or last (by the index) of a column."""
+
+    how: str
+    value: Column
+
+
+_PARTS = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+#: Panes of a session that one task takes, at least; eight times the panes of a window where that is more.
+PANES = 4096
+
+
+def _part(p: Pane, index: str) -> Column:
+    if p.how in ("first", "last"):
+        return (F.min_by if p.how == "first" else F.max_by)(p.value, F.col(index))
+    return _PARTS[p.how](p.value)
+
+
+def count_windows(indexed: DataFrame, keys: Sequence[str], size: int, stride: int, aggs: dict[str, Column | Pane], index: str = "i") -> DataFrame:
     """Aggregate windows of ``size`` rows every ``stride`` rows; only full windows are returned.
 
-    Window w of a key holds the rows w * stride to w * stride + size - 1.  Without overlap a row belongs
-    to one window and nothing is replicated; else it is replicated to at most ceil(size / stride).
+    Window w of a key holds the rows w * stride to w * stride + size - 1.  Without overlap a row belongs to one
+    window.  With it, aggregates given as `Pane` are made for panes of gcd(size, stride) rows, and a frame puts
+    the panes of a window together, by blocks of a session that each hold the few panes that follow them: a row
+    is shuffled once, a pane once or twice, however much windows overlap.  Any other aggregate needs its rows at
+    each of their ceil(size / stride) windows.
     """
     i = F.col(index)
-    if size == stride:
-        rows = indexed.withColumn("window_idx", F.floor(i / size).cast("long"))
-    else:
-        first = F.greatest(F.lit(0), F.ceil((i - size + 1) / stride)).cast("long")
-        last = F.floor(i / stride).cast("long")
-        ids = F.when(first <= last, F.sequence(first, last))
-        rows = indexed.withColumn("window_idx", F.explode(ids))
-    out = rows.groupBy(*keys, "window_idx").agg(F.count(F.lit(1)).alias("__n"), *(c.alias(n) for n, c in aggs.items()))
-    return out.where(F.col("__n") == size).drop("__n")
+    column = {n: _part(a, index) if isinstance(a, Pane) else a for n, a in aggs.items()}
+    if size == stride or not all(isinstance(a, Pane) for a in aggs.values()):
+        if size == stride:
+            rows = indexed.withColumn("window_idx", F.floor(i / size).cast("long"))
+        else:
+            first = F.greatest(F.lit(0), F.ceil((i - size + 1) / stride)).cast("long")
+            last = F.floor(i / stride).cast("long")
+            rows = indexed.withColumn("window_idx", F.explode(F.when(first <= last, F.sequence(first, last))))
+        out = rows.groupBy(*keys, "window_idx").agg(F.count(F.lit(1)).alias("__n"), *(c.alias(n) for n, c in column.items()))
+        return out.where(F.col("__n") == size).drop("__n")
+    pane = math.gcd(size, stride)
+    each, hop = size // pane, stride // pane
+    panes = indexed.groupBy(*keys, F.floor(i / pane).cast("long").alias("__pane")).agg(F.count(F.lit(1)).alias("__n"), *(c.alias(n) for n, c in column.items()))
+    most = max(PANES, 8 * each)
+    block, p = F.floor(F.col("__pane") / most), F.col("__pane")
+    here = F.when((p % most < each - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    dealt = panes.withColumn("__own", block).withColumn("__block", F.explode(here))
+    frame = Window.partitionBy(*keys, "__block").orderBy("__pane").rangeBetween(0, each - 1)
+    merge = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum, "first": F.first, "last": F.last}
+    out = dealt.withColumns({"__all": F.sum("__n").over(frame), **{f"__w_{n}": merge[a.how](n).over(frame) for n, a in aggs.items()}})
+    out = out.where((F.col("__own") == F.col("__block")) & (p % hop == 0) & (F.col("__all") == size))
+    return out.select(*keys, (p / hop).cast("long").alias("window_idx"), *(F.col(f"__w_{n}").alias(n) for n in aggs))
 
 
 def window_label(label: str = "label") -> Column:
@@ -64,9 +103,9 @@ def energy(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
 def sequences(windows: DataFrame, keys: Sequence[str], length: int, start: str = "start_s", end: str = "end_s", hop: int | None = None) -> DataFrame:
     """Sequences of ``length`` consecutive windows every ``hop`` (half the length), anchored at the last window's centre."""
     hop = hop or max(1, length // 2)
-    centre = (F.max_by(start, "__w") + F.max_by(end, "__w")) / 2.0
+    w = F.col("__w")
     rows = windows.withColumnRenamed("window_idx", "__w")
-    out = count_windows(rows, keys, length, hop, {"first_window": F.min("__w"), "last_window": F.max("__w"), "anchor_s": centre}, index="__w")
+    out = count_windows(rows, keys, length, hop, {"first_window": Pane("min", w), "last_window": Pane("max", w), "anchor_s": Pane("last", (F.col(start) + F.col(end)) / 2.0)}, index="__w")
     return out.withColumnRenamed("window_idx", "seq_idx")
 
 

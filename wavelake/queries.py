@@ -129,7 +129,7 @@ def _(spark, sf):
 
 @query("interval_overlap_closed", sql("s", "iv", "ev", "d", "SELECT d.user_id, d.day, count(*) AS n FROM d JOIN ev ON d.user_id = ev.user_id AND d.start_s <= ev.end_s AND d.end_s >= ev.start_s GROUP BY 1, 2"))
 def _(spark, sf):
-    return intervals.overlap_join(days(spark, sf), merged(spark, sf), KEY, closed=True).groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    return intervals.overlap_counts(days(spark, sf), merged(spark, sf), KEY, closed=True).where("n > 0").select("user_id", "day", "n")
 
 
 @query("points_in_intervals", sql("s", "x", "iv", "ev", "l", "SELECT user_id, event_id, label FROM l"))
@@ -157,7 +157,7 @@ def _(spark, sf):
 @query("windows_sliding", sql("s", "x", """SELECT user_id, k AS window_idx, min(t_s) AS start_s, max(t_s) AS end_s, max(value) AS most
 FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((i - 7) / 3.0) AS BIGINT)), i // 3 + 1)) AS k FROM x) GROUP BY 1, 2 HAVING count(*) = 8"""))
 def _(spark, sf):
-    return windows.count_windows(indexed(spark, sf), KEY, 8, 3, {"start_s": F.min("t_s"), "end_s": F.max("t_s"), "most": F.max("value")})
+    return windows.count_windows(indexed(spark, sf), KEY, 8, 3, {"start_s": windows.Pane("first", F.col("t_s")), "end_s": windows.Pane("last", F.col("t_s")), "most": windows.Pane("max", F.col("value"))})
 
 
 @query("causal_mean", sql("s", "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY t_s, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM s"))
@@ -935,8 +935,7 @@ def _(spark, sf):
 @query("positive_first", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal < 0 DESC, c_name) - 1 AS place FROM customer")
 def _(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name", (F.col("c_acctbal") < 0).alias("positive"))
-    ordered = splits.positive_first(c, "positive", "c_name").coalesce(1)  # the order itself is the result: number the rows as they come
-    return ordered.select("c_custkey", F.monotonically_increasing_id().alias("place"))
+    return splits.positive_first(c, "positive", "c_name").select("c_custkey", "place")
 
 
 @query("paired_gain", sql("runs", "rr", "SELECT name, round(pro_auc - std_auc, 6) AS auc_gain, round(pro_recall - std_recall, 6) AS recall_gain FROM rr"))
@@ -1073,42 +1072,57 @@ def _(spark, sf):
     return read.select("status", "reason", F.col("h.horizon").alias("horizon"), F.col("h.tp").alias("tp"))
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return online.read_stream(spark, f"{sf}/events.parquet", "*", schema)  # every file that a batch reads
-    return online.read_stream(spark, sf, "events.parquet", schema)
+#: The stand-in for a stream: events arrive in slices of six days, some of them one or two slices late.
+ARRIVALS = """sl AS (SELECT *, least(4, CAST(floor((epoch(ts) - 1704067200) / 518400.0) AS BIGINT)) AS slice FROM events),
+fl AS (SELECT *, slice + CASE WHEN event_id % 10 = 0 THEN 1 WHEN event_id % 10 = 1 THEN {late} ELSE 0 END AS file FROM sl),
+mx AS (SELECT file, epoch_ms(max(ts)) AS most FROM fl GROUP BY file),
+ar AS (SELECT fl.*, coalesce((SELECT max(most) FROM mx WHERE mx.file <= fl.file - 2) - 86400000, 0) * 1000 AS late_us, ((SELECT max(most) FROM mx) - 86400000) * 1000 AS end_us FROM fl)"""
+DELAY = "1 day"
 
 
-@query("stream_windows", "SELECT user_id, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
+def _arrivals(spark: SparkSession, sf: str, late: int) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    slices = F.least(F.lit(4), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 518_400e6))
+    last = F.col("event_id") % 10
+    return e.withColumn("file", slices + F.when(last == 0, 1).when(last == 1, late).otherwise(0))
+
+
+def _stream(spark: SparkSession, sf: str, late: int = 2) -> DataFrame:
+    """The events as they arrive: a trigger for each of several files, written one after the other."""
+    rows, folder = _arrivals(spark, sf, late), scratch(spark, "arrivals")
+    for i in sorted(r.file for r in rows.select("file").distinct().collect()):  # seven at most
+        rows.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(folder)
+    return online.read_stream(spark, folder, "*.parquet", rows.drop("file").schema)
+
+
+@query("stream_windows", "WITH " + ARRIVALS.format(late=2) + """ SELECT user_id, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", count(*) AS n, round(sum(value), 4) AS total FROM ar
+WHERE epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) > late_us AND epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) <= end_us GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    w = online.drain(online.windowed(_stream(spark, sf), "ts", KEY, "value", "1 day"), scratch(spark, "stream"), "complete")
+    w = online.drain(online.windowed(_stream(spark, sf), "ts", KEY, "value", "1 day", delay=DELAY), scratch(spark, "stream"))
     return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
 
 
-@query("stream_sessions", """WITH a AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM b GROUP BY user_id, k""")
+@query("stream_sessions", "WITH " + ARRIVALS.format(late=1) + """, a AS (SELECT user_id, ts, end_us, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM ar), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM b GROUP BY user_id, k HAVING epoch_us(max(ts) + INTERVAL 2 HOUR) <= max(end_us)""")
 def _(spark, sf):
-    w = online.drain(online.sessions(_stream(spark, sf), "ts", KEY, "2 hours"), scratch(spark, "stream"), "complete")
+    # rows one slice late are never too late, and sessions that are closed by then lie before their slice
+    w = online.drain(online.sessions(_stream(spark, sf, late=1), "ts", KEY, "2 hours", delay=DELAY), scratch(spark, "stream"))
     return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-REF_STREAM = """WITH RECURSIVE hot AS (SELECT user_id, ts FROM events WHERE value >= 100), nxt AS (SELECT a.user_id, a.ts, min(b.ts) AS nx FROM hot a LEFT JOIN hot b ON a.user_id = b.user_id AND b.ts > a.ts + INTERVAL 15 MINUTE GROUP BY 1, 2),
-al AS (SELECT user_id, min(ts) AS ts FROM hot GROUP BY user_id UNION ALL SELECT al.user_id, nxt.nx FROM al JOIN nxt ON al.user_id = nxt.user_id AND al.ts = nxt.ts WHERE nxt.nx IS NOT NULL) SELECT user_id, ts FROM al"""
-
-
-@query("stream_refractory", REF_STREAM)
+@query("stream_refractory", "WITH RECURSIVE " + ARRIVALS.format(late=2) + """, hot AS (SELECT user_id, ts FROM ar WHERE value >= 100 AND epoch_us(ts) > late_us AND epoch_us(ts) <= end_us), nxt AS (SELECT a.user_id, a.ts, min(b.ts) AS nx FROM hot a LEFT JOIN hot b ON a.user_id = b.user_id AND b.ts > a.ts + INTERVAL 15 MINUTE GROUP BY 1, 2),
+al AS (SELECT user_id, min(ts) AS ts FROM hot GROUP BY user_id UNION ALL SELECT al.user_id, nxt.nx FROM al JOIN nxt ON al.user_id = nxt.user_id AND al.ts = nxt.ts WHERE nxt.nx IS NOT NULL) SELECT user_id, ts FROM al""")
 def _(spark, sf):
-    out = online.drain(online.refractory(_stream(spark, sf), "user_id", "ts", "value", 100.0, 900.0), scratch(spark, "stream"))
+    out = online.drain(online.refractory(_stream(spark, sf), "user_id", "ts", "value", 100.0, 900.0, DELAY), scratch(spark, "stream"))
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("stream_ring_windows", sql("s", "x", """, h AS (SELECT user_id, i + 1 AS seen FROM x WHERE (i + 1) % 8 = 0 AND i + 1 >= 16) SELECT h.user_id, h.seen, CAST(sum(greatest(-128, least(127, round((x.value - 50) / 25.0 / 0.05)))) AS BIGINT) AS q_sum FROM h JOIN x ON x.user_id = h.user_id AND x.i >= h.seen - 16 AND x.i < h.seen GROUP BY 1, 2"""))
+@query("stream_ring_windows", "WITH " + ARRIVALS.format(late=2) + """, x0 AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 DAY THEN 1 ELSE 0 END AS anew FROM ar WHERE epoch_us(ts) > late_us AND epoch_us(ts) <= end_us),
+x1 AS (SELECT *, sum(anew) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM x0), x2 AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY ts, event_id) - 1 AS i FROM x1),
+h AS (SELECT user_id, part, i + 1 AS seen FROM x2 WHERE (i + 1) % 8 = 0 AND i + 1 >= 16) SELECT h.user_id, h.seen, CAST(sum(greatest(-128, least(127, round((x.value - 50) / 25.0 / 0.05)))) AS BIGINT) AS q_sum FROM h JOIN x2 x ON x.user_id = h.user_id AND x.part = h.part AND x.i >= h.seen - 16 AND x.i < h.seen GROUP BY h.user_id, h.part, h.seen""")
 def _(spark, sf):
-    s = _stream(spark, sf).withColumn("o", F.unix_micros(F.col("ts").cast("timestamp")))
-    out = online.drain(online.ring_windows(s, "user_id", "o", "value", 16, 8, 50.0, 25.0, 0.05), scratch(spark, "stream"))
-    return out.select("user_id", "seen", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("q_sum"))
+    out = online.ring_windows(_stream(spark, sf), "user_id", "ts", "value", 16, 8, 50.0, 25.0, 0.05, delay=DELAY, idle_seconds=172_800.0, tie="event_id")
+    return online.drain(out, scratch(spark, "stream")).select("user_id", "seen", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("q_sum"))
 
 
 @query("band_pass")

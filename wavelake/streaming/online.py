@@ -1,12 +1,18 @@
 """Streaming operators.
 
-Event time must be TIMESTAMP: a TIMESTAMP_NTZ column is cast first (session time zone UTC).  Rows later
-than the watermark are dropped, which is the policy of all of these.  State is per session: a time for
-the refractory rule, one window of samples for the ring buffer.
+Event time must be TIMESTAMP: a TIMESTAMP_NTZ column is cast first (session time zone UTC).  Rows later than
+the watermark are dropped, by all of these.
+
+The operators that depend on order (refractory alerts, ring windows) hold rows back in an event-time buffer
+per key and take them, in order, when the watermark has passed them; no row that comes later can belong before
+them.  So the result is that of a batch over the rows that were not too late, however they arrived.  Nothing is
+kept for ever: a timer at the first buffered row wakes a key even if it stays silent, and when the buffer is
+empty another one drops the key's state once it can matter no more.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,50 +49,101 @@ def _state_key(df: DataFrame, key: str) -> T.StructField:
     return next(f for f in df.schema.fields if f.name == key)
 
 
+def _ripe(frames: Iterator[pd.DataFrame], held: list[tuple], columns: Sequence[str], watermark: int) -> tuple[list[tuple], list[tuple]]:
+    """(rows that the watermark has passed, rows still held), both in order; the first of ``columns`` is the time in microseconds."""
+    rows = list(held)
+    for f in frames:
+        rows += zip(*(f[c].tolist() for c in columns), strict=True)
+    rows.sort()
+    n = bisect.bisect_right(rows, watermark * 1000, key=lambda r: r[0])
+    return rows[:n], rows[n:]
+
+
+def _wake(state: GroupState, held: list[tuple], end: int | None) -> None:
+    """A timer when the first held row is passed, else when the state ends; no state without rows and without an end."""
+    if not held and end is None:
+        state.remove()
+        return
+    at = -(-held[0][0] // 1000) if held else end
+    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+
+
 def refractory(df: DataFrame, key: str, ts: str, score: str, threshold: float, lock_seconds: float, delay: str = "10 minutes") -> DataFrame:
     """(key, ts) of alerts: a hot row fires unless the key fired at most ``lock_seconds`` before.
 
-    Rows of a trigger are taken in time order; across triggers a row older than the last alert never fires.
+    Only hot rows are held.  A key's state ends when its last lock does.
     """
-    out = T.StructType([_state_key(df, key), T.StructField(ts, T.TimestampType())])
+    out = T.StructType([_state_key(df, key), T.StructField("at", T.LongType())])
+    lock = round(lock_seconds * 1e6)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted(t for f in frames for t in f[ts][f[score] >= threshold])
+        last, held = (state.get[0], [(t,) for t in state.get[1]]) if state.exists else (None, [])
+        hot = () if state.hasTimedOut else (f[f["hot"]] for f in frames)
+        ripe, held = _ripe(hot, held, ("at",), state.getCurrentWatermarkMs())
         fired = []
-        for t in times:
-            if last is None or t.timestamp() - last > lock_seconds:
-                last = t.timestamp()
+        for (t,) in ripe:
+            if last is None or t - last > lock:
+                last = t
                 fired.append(t)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(fired), ts: fired})
-
-    rows = event_time(df, ts, delay).select(key, ts, score)
-    return rows.groupBy(key).applyInPandasWithState(run, out, "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def ring_windows(df: DataFrame, key: str, order: str, value: str, size: int = 160, hop: int = 32, mean: float = 0.0, sd: float = 1.0, scale: float = 1.0, zero_point: int = 0) -> DataFrame:
+        end = None if last is None else (last + lock) // 1000 + 1
+        if end is not None and end <= state.getCurrentWatermarkMs():
+            last = end = None  # no row that is still to come can be locked
+        state.update((last, [t for (t,) in held]))
+        _wake(state, held, end)
+        yield pd.DataFrame({key: [k[0]] * len(fired), "at": fired})
+
+    # rows that are not hot go along, for a filter here would move below the watermark, which then would stand still between alerts
+    rows = event_time(df, ts, delay).select(key, ts, F.unix_micros(ts).alias("at"), F.coalesce(F.col(score) >= threshold, F.lit(False)).alias("hot"))
+    found = rows.groupBy(key).applyInPandasWithState(run, out, "last long, held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(key, F.timestamp_micros("at").alias(ts))
+
+
+def ring_windows(
+    df: DataFrame, key: str, ts: str, value: str, size: int = 160, hop: int = 32, mean: float = 0.0, sd: float = 1.0, scale: float = 1.0, zero_point: int = 0,
+    delay: str = "10 minutes", idle_seconds: float = 86_400.0, tie: str | None = None,
+) -> DataFrame:
     """(key, seen, q): whenever ``hop`` more samples have come and ``size`` are held, the window, normalised and quantised to int8.
 
-    The last ``size`` samples of a key are the state.  The deviation counts as 1 up to 1e-6.
+    The last ``size`` samples of a key are the state, besides the buffer.  A key that was silent for over ``idle_seconds``
+    begins anew, so its state ends then.  Samples of one time go by ``tie``.  The deviation counts as 1 up to 1e-6.
     """
     out = T.StructType([_state_key(df, key), T.StructField("seen", T.LongType()), T.StructField("q", T.ArrayType(T.IntegerType()))])
-    divide = sd if sd > 1e-6 else 1.0
+    divide, idle = sd if sd > 1e-6 else 1.0, round(idle_seconds * 1e6)
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, held = (state.get[0], np.array(state.get[1], float)) if state.exists else (0, np.zeros(0))
-        x = np.concatenate([held, pd.concat(list(frames)).sort_values(order)[value].to_numpy(float)])
-        first, seen = seen - len(held), seen + len(x) - len(held)  # x[0] is sample number first + 1
-        ends = np.arange(max(size, len(held) + 1), len(x) + 1)
-        ends = ends[(first + ends) % hop == 0]
+    def windows(x: np.ndarray, held: int, seen: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the samples that end a window, quantised windows); x holds ``held`` old samples first, ``seen`` came before it."""
+        ends = np.arange(max(size, held + 1), len(x) + 1)
+        ends = ends[(seen - held + ends) % hop == 0]
         v = (np.lib.stride_tricks.sliding_window_view(x, size)[ends - size] - mean) / divide / scale if len(ends) else np.zeros((0, size))
         whole = np.trunc(np.abs(v) + 0.5) * np.where(v >= 0, 1, -1)  # halves go away from zero
-        q = np.clip(whole + zero_point, -128, 127).astype(int)
-        state.update((seen, x[-size:].tolist()))
-        yield pd.DataFrame({key: [k[0]] * len(ends), "seen": first + ends, "q": list(q)})
+        return seen - held + ends, np.clip(whole + zero_point, -128, 127).astype(int)
 
-    return df.select(key, order, value).groupBy(key).applyInPandasWithState(run, out, "seen long, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, last, ring, waiting = (state.get[0], state.get[1], state.get[2], list(zip(*state.get[3:], strict=True))) if state.exists else (0, None, [], [])
+        ripe, waiting = _ripe(() if state.hasTimedOut else frames, waiting, ("at", "tie", value), state.getCurrentWatermarkMs())
+        at = np.array([r[0] for r in ripe], np.int64)
+        gaps = np.flatnonzero(np.diff(at, prepend=at[:1] if last is None else [last]) > idle) if len(at) else []
+        numbers, quantised = [], []
+        for part, anew in zip(np.split(np.array([r[2] for r in ripe], float), gaps), [False, *[True] * len(gaps)], strict=True):
+            if anew:
+                seen, ring = 0, []
+            if len(part):
+                x = np.concatenate([np.array(ring, float), part])
+                n, q = windows(x, len(ring), seen)
+                numbers += n.tolist()
+                quantised += list(q)
+                seen, ring = seen + len(part), x[-size:].tolist()
+        last = int(at[-1]) if len(at) else last
+        end = None if last is None else (last + idle) // 1000 + 1
+        if end is not None and end <= state.getCurrentWatermarkMs():
+            seen, last, ring, end = 0, None, [], None
+        state.update((seen, last, ring, *([r[i] for r in waiting] for i in range(3))))
+        _wake(state, waiting, end)
+        yield pd.DataFrame({key: [k[0]] * len(numbers), "seen": numbers, "q": quantised})
+
+    rows = event_time(df, ts, delay).select(key, ts, F.unix_micros(ts).alias("at"), F.col(tie).cast("long").alias("tie") if tie else F.lit(0).cast("long").alias("tie"), F.col(value).cast("double").alias(value))
+    held = "seen long, last long, ring array<double>, times array<long>, ties array<long>, held array<double>"
+    return rows.groupBy(key).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
