@@ -134,3 +134,29 @@ def test_proximity_with_terms_not_in_the_corpus(spark):
     docs = spark.createDataFrame([(1, " ".join(["nu" if i == 4 else x for i, x in enumerate(p[:10])]))], "doc_id long, text string")
     row = decontam.contamination(docs, spark.createDataFrame([(1, " ".join(p[:10]))], "item_id long, text string")).first()
     assert (row.n_hit, row.n_near, row.near_items) == (0, 10, ["1"])
+
+
+@pytest.mark.parametrize("at_once", [4_000_000, 60])
+def test_many_contexts_shuffle_few_postings(spark, sf, monkeypatch, at_once):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    more = spark.createDataFrame([(-1, "solo"), (-2, "two words"), (-3, None)], "item_id long, text string")
+    items = items.unionByName(more)
+    few = sorted(map(str, decontam.contamination(docs, items).drop("text").collect()))
+    monkeypatch.setattr(decontam, "CONTEXTS", 0)
+    monkeypatch.setattr(decontam, "KEYS", at_once)
+    tables = {}
+    keep = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: tables.setdefault(name, keep(df, name)))
+    assert sorted(map(str, decontam.contamination(docs, items).drop("text").collect())) == few
+    assert tables["near-anchors"].count() < decontam.postings(docs).count() / 20  # all that is shuffled
+
+
+def test_many_test_words_are_counted_before_the_shuffle(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('common common ', id, ' word', id % 7) AS text")
+    vocabulary = spark.range(120_000).selectExpr("CAST(id AS string) AS term").unionByName(spark.createDataFrame([("common",), ("word3",)], "term string"))
+    got = decontam.frequencies(docs, vocabulary)
+    found = {r.term: r.df for r in got.collect()}
+    assert found["common"] == 4000 and found["word3"] == 286 and found["17"] == 1 and len(found) == 2002
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(term") < plan.index("partial_count")  # the exchange stands above the partial counts

@@ -16,8 +16,9 @@ found the window is compared along its alignment and the two beside it, which de
 window with an edge word lost is a match of the others.
 
 What is stored and shuffled: kept postings, no texts (`postings` gives a whole index).  Vocabulary and
-contexts of the test set are broadcast after a check of rows and bytes; larger ones are shuffled with
-the postings.
+contexts of the test set are broadcast after a check of rows and bytes.  For larger ones, terms are counted
+before they are shuffled, and hashes of anchors with their neighbours, broadcast in parts of fixed size,
+pick the postings that are.
 
 Defined cases: null or empty texts have no words and no matches; an item of fewer words than the
 window is one window and matches only exactly, as one word is more than a tenth of it; items without
@@ -27,6 +28,8 @@ as ``null``; empty tables give no rows or no matches; extra columns are kept, wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ WINDOW = 10
 RAREST = 2
 #: Contexts that are broadcast: rows and bytes.
 CONTEXTS, CONTEXT_BYTES = 500_000, 128 << 20
+#: Hashes of terms with a neighbour that are broadcast at a time where contexts are more; 8 bytes each, some 24 in a task's table.
+KEYS = 4_000_000
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -59,8 +64,12 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, df): how many postings each term of ``vocabulary`` has.  Counted before any shuffle."""
-    return postings(docs).select("term").join(common.broadcast_if_small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df): how many postings each term of ``vocabulary`` has.  Counted before any shuffle, whatever the vocabulary's size."""
+    terms = postings(docs).select("term")
+    few = common.broadcast_if_small(vocabulary)
+    if few is vocabulary:  # many: a row for each term and task is what travels, then the vocabulary picks
+        return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, "term")
+    return terms.join(few, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def anchors(words: DataFrame, frequency: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
@@ -94,12 +103,21 @@ def contexts(anchor: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]
     return held, common.materialize(rows.join(held, ["term", "held", "o"]).select("context", "item"), "context-items")
 
 
+def _neighbours(term: Column, word: Callable[[int], Column]) -> Column:
+    """array<long>: hashes of a term with the words one and two places before and after it, and of the term alone."""
+    beside = [F.when(word(d).isNotNull(), F.xxhash64(F.lit(d > 0), term, word(d))) for d in (-2, -1, 1, 2)]
+    return F.array_distinct(F.array_compact(F.array(*beside, F.xxhash64(term))))
+
+
 def kept_postings(docs: DataFrame, context: DataFrame, window: int = WINDOW) -> DataFrame:
     """The stored index: (context, doc_id, text_hash, pos, around, held, o) of postings that an anchor's neighbours agree with.
 
     One of the two words on a side of the posting is one of the two there in the context; a context of
     one word has no neighbours.  ``around``: the words, case kept, from ``window`` before the posting, or the
     beginning, to ``window`` after it, as far as there are.
+
+    Contexts that are too many to broadcast are met through hashes of a term and a neighbour: those are broadcast,
+    `KEYS` at a time, a pass over the texts each, and only postings that have one are shuffled.
     """
     # compiled expressions only: an interpreted one would get each posting with all words of its document
     first = F.greatest(F.col("pos") - window, F.lit(0))
@@ -107,12 +125,21 @@ def kept_postings(docs: DataFrame, context: DataFrame, window: int = WINDOW) ->
     few = common.broadcast_if_small(context, CONTEXTS, CONTEXT_BYTES)
     beside = lambda words, at, d: F.get(words, at + d)
     same = F.size("held") == 1
-    if few is context:  # many: postings travel with the words around them alone
-        rows = postings(docs).select("term", "doc_id", "text_hash", "pos", reach.alias("around")).join(context, "term")
+    near = {d: common.ascii_lower(beside("words", F.col("pos"), d)) for d in (-2, -1, 1, 2)}
+    if few is context:
+        told = F.when(F.size("held") == 1, F.array(F.xxhash64("term"))).otherwise(F.filter(_neighbours(F.col("term"), lambda d: beside("held", F.col("o"), d)), lambda k: k != F.xxhash64("term")))
+        keyed = common.materialize(context.withColumn("key", F.explode(told)), "context-keys")
+        keys = common.materialize(keyed.select("key").distinct(), "keys")
+        rows, passes = None, max(1, -(-keys.count() // KEYS))
+        for i in range(passes):
+            some = F.broadcast(keys.where(F.pmod("key", F.lit(passes)) == i))  # about `KEYS` numbers
+            posted = postings(docs).withColumn("key", F.explode(_neighbours(F.col("term"), lambda d: near[d]))).join(some, "key", "left_semi")
+            posted = posted.select("key", "term", "doc_id", "text_hash", "pos", reach.alias("around"))
+            rows = posted if rows is None else rows.unionByName(posted)
+        rows = common.materialize(rows, "near-anchors").join(keyed, ["key", "term"])
         near = {d: common.ascii_lower(beside("around", F.least("pos", F.lit(window)), d)) for d in (-2, -1, 1, 2)}
     else:
         rows = postings(docs).join(few, "term")
-        near = {d: common.ascii_lower(beside("words", F.col("pos"), d)) for d in (-2, -1, 1, 2)}
     for side in ((-1, -2), (1, 2)):
         for x in side:
             for y in side:
