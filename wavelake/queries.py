@@ -1072,8 +1072,8 @@ def _(spark, sf):
     return read.select("status", "reason", F.col("h.horizon").alias("horizon"), F.col("h.tp").alias("tp"))
 
 
-#: The stand-in for a stream: events arrive in slices of six days, some of them one or two slices late.
-ARRIVALS = """sl AS (SELECT *, least(4, CAST(floor((epoch(ts) - 1704067200) / 518400.0) AS BIGINT)) AS slice FROM events),
+#: The stand-in for a stream: events arrive in slices of ten days, some of them one or two slices late.
+ARRIVALS = """sl AS (SELECT *, least(2, CAST(floor((epoch(ts) - 1704067200) / 864000.0) AS BIGINT)) AS slice FROM events),
 fl AS (SELECT *, slice + CASE WHEN event_id % 10 = 0 THEN 1 WHEN event_id % 10 = 1 THEN {late} ELSE 0 END AS file FROM sl),
 mx AS (SELECT file, epoch_ms(max(ts)) AS most FROM fl GROUP BY file),
 ar AS (SELECT fl.*, coalesce((SELECT max(most) FROM mx WHERE mx.file <= fl.file - 2) - 86400000, 0) * 1000 AS late_us, ((SELECT max(most) FROM mx) - 86400000) * 1000 AS end_us FROM fl)"""
@@ -1082,7 +1082,7 @@ DELAY = "1 day"
 
 def _arrivals(spark: SparkSession, sf: str, late: int) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
-    slices = F.least(F.lit(4), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 518_400e6))
+    slices = F.least(F.lit(2), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 864_000e6))
     last = F.col("event_id") % 10
     return e.withColumn("file", slices + F.when(last == 0, 1).when(last == 1, late).otherwise(0))
 
@@ -1090,7 +1090,7 @@ def _arrivals(spark: SparkSession, sf: str, late: int) -> DataFrame:
 def _stream(spark: SparkSession, sf: str, late: int = 2) -> DataFrame:
     """The events as they arrive: a trigger for each of several files, written one after the other."""
     rows, folder = _arrivals(spark, sf, late), scratch(spark, "arrivals")
-    for i in sorted(r.file for r in rows.select("file").distinct().collect()):  # seven at most
+    for i in sorted(r.file for r in rows.select("file").distinct().collect()):  # five at most
         rows.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(folder)
     return online.read_stream(spark, folder, "*.parquet", rows.drop("file").schema)
 
