@@ -1,10 +1,13 @@
 """Secret scan: base spans against plain finditer, and the inferred automata on held-out credentials."""
 
+import base64
 import hashlib
 import math
 import random
 import re
+import uuid
 
+import pytest
 from wavelake.llm import common
 from wavelake.llm import credentials as C
 
@@ -83,32 +86,65 @@ def test_formats_are_told_from_words():
     assert len(false) < 0.02 * len(plain), false
 
 
+@pytest.mark.parametrize("sf", [None, "/root/testdata/sf0.01"])
+def test_lookalikes_are_no_credentials(spark, sf):
+    """With the fitted model too; all runs come from rules and words that the model never sees."""
+    model = C.fit(spark.read.parquet(f"{sf}/documents.parquet")) if sf else C.learn(C.exemplars(), C.ordinary_exemplars())
+    rng = random.Random(31)
+    syllable = lambda: rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") + rng.choice("nrlstaeiou")
+    word = lambda n=4: "".join(syllable() for _ in range(rng.randint(1, n)))
+    plain = {
+        "encoded prose": [base64.b64encode(" ".join(word() for _ in range(rng.randint(4, 25))).encode()).decode() for _ in range(500)],
+        "uuid": [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(500)],
+        "numbered name": ["".join(word().title() for _ in range(rng.randint(3, 5))) + f"{rng.randrange(100):02d}" for _ in range(500)],
+    }
+    for name, runs in plain.items():
+        runs = [r for r in runs if len(r) >= 16]
+        false = [r for r in runs if C.find_spans(r, model)[1]]
+        assert len(false) < 0.05 * len(runs), (name, len(false), false[:3])
+    secrets = [make() for _ in range(200) for make in (
+        lambda: "ghp_" + drawn(rng, ANY, 36), lambda: "glpat-" + drawn(rng, ANY, 20), lambda: "sk-proj-" + drawn(rng, ANY, 64), lambda: "AIza" + drawn(rng, ANY + "_-", 35), lambda: drawn(rng, ANY + "+/", 40),
+        lambda: f"xoxb-{rng.randint(10**11, 10**12 - 1)}-{rng.randint(10**11, 10**12 - 1)}-{drawn(rng, ANY, 24)}")]
+    missed = [x for x in secrets if not C.find_spans(x, model)[1]]
+    assert len(missed) < 0.03 * len(secrets), missed[:5]
+
+
 def test_merging_finds_a_loop():
     rng = random.Random(2)
     runs = ["".join(rng.choices("0a", k=rng.randint(1, 30))) for _ in range(3000)]
     assert len(C.Automaton(runs, symbols=str).visits) <= 4
 
 
-def walk(automaton, symbols):
-    """The probability of a run, from the automaton's counts alone."""
+def walk(automaton, run):
+    """The probability of a run, from the automaton's counts alone; symbols with a place share what goes on at their place."""
     state, p = 0, 1.0
-    for c in symbols:
+    placed = automaton.symbols is C.quads
+    alphabet = C.QUADS if placed else C.ALPHABET
+    kinds = "".join(map(kind, run))
+    symbols = [chr(0x400 + 4 * "0azA+/_.=-".index(c) + i % 4) for i, c in enumerate(kinds)] if placed else kinds
+    for i, c in enumerate(symbols):
+        visits, ends = automaton.visits[state], automaton.ends[state]
         nxt, n = automaton.next[state].get(c, (0, 0))
-        p *= (n + 0.5) / (automaton.visits[state] + 0.5 * (len(C.ALPHABET) + 1))
+        same = [x for x in alphabet if not placed or ord(x) % 4 == i % 4]
+        beside = sum(automaton.next[state].get(x, (0, 0))[1] + 0.5 for x in same)
+        p *= (n + 0.5) / beside * (1 - (ends + 0.5) / (visits + 0.5 * (len(alphabet) + 1)))
         state = nxt
-    return p * (automaton.ends[state] + 0.5) / (automaton.visits[state] + 0.5 * (len(C.ALPHABET) + 1))
+    return p * (automaton.ends[state] + 0.5) / (automaton.visits[state] + 0.5 * (len(alphabet) + 1))
+
+
+def kind(c):
+    return "0" if c.isdigit() else "a" if c in "abcdef" else "z" if c in LOW else "A" if c.isupper() else c
 
 
 def test_every_candidate_is_scored():
     """Format spans against a restatement: characters one by one, probabilities multiplied."""
     rng = random.Random(8)
     model = C.Model(C.exemplars(), C.ordinary_exemplars())
-    kind = lambda c: "0" if c.isdigit() else "a" if c in "abcdef" else "z" if c in LOW else "A" if c.isupper() else c
 
     def good(run):
-        symbols = "".join(map(kind, run))
-        best = max(walk(a, symbols) for a in model.formats.values())
-        return math.log(best / walk(model.ordinary, symbols)) / (len(run) + 1) >= C.CUTOFF
+        best = max(walk(a, run) for a in model.formats.values())
+        plain = max(walk(a, run) for a in model.ordinary.values())
+        return math.log(best / plain) / (len(run) + 1) >= model.cutoff
 
     def runs(text, allowed, taken, lo, hi):
         out, at = [], None

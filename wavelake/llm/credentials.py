@@ -9,9 +9,12 @@ successor could, by the Hoeffding bound, come from one distribution, and if all
 can be merged too.
 
 All other candidates are scored whole by the likelihood ratio per character of the best format against
-an automaton inferred from ordinary runs of the same sample.  Candidates are the runs of credential
-characters that base spans leave free, and where a run is none, its parts between slashes, dots, plus
-and equals signs.  Those over `CUTOFF` are spans of kind ``format``.
+the best automaton of ordinary runs: those of the same sample, and runs made by rule that look like
+credentials and are none (encoded prose, UUIDs, numbered names), a kind each.  Candidates are the runs of
+credential characters that base spans leave free, and where a run is none, its parts between slashes,
+dots, plus and equals signs.  A fifth of all labelled runs is held out: the cutoff is the first percentile of
+its credentials, so that one in a hundred is missed, or, where that lies below the 99th percentile of its ordinary
+runs, halfway between the two.  Candidates from it on are spans of kind ``format``.
 
 Defined cases: null text is empty; repeated rows get equal results; a null doc_id is a value like
 any other; an empty table gives no rows; other columns are ignored.  The models are a few kilobytes
@@ -20,10 +23,13 @@ and travel with the tasks.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
 import re
+import uuid
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -49,7 +55,7 @@ SHORTEST = 16
 SAMPLE_DOCS, SAMPLE_RUNS, LONGEST = 4000, 4000, 256
 #: Merging: Hoeffding level; least visits of a state that a test is made on.
 ALPHA, LEAST = 0.01, 10
-#: Log-likelihood ratio per character from which a candidate is a secret, and the least format score.
+#: Log-likelihood ratio per character from which a candidate is a secret, where a model has no cutoff of its own.
 CUTOFF = 0.5
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,6 +85,21 @@ def classes(run: str) -> str:
 
 _CLASSES = str.maketrans({**dict.fromkeys(_DIGITS, "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "z"), **dict.fromkeys(_UPPER, "A")})
 ALPHABET = "0azA+/_.=-"
+
+
+def quads(run: str) -> str:
+    """A run as character classes with their place in a group of four: `place` tells it."""
+    return "".join(chr(_QUAD + 4 * ALPHABET.index(c) + i % 4) for i, c in enumerate(classes(run)))
+
+
+def place(symbol: str) -> int:
+    """The place in a group of four of a symbol of `quads`; symbols of `classes` have one place."""
+    return ord(symbol) % 4 if ord(symbol) >= _QUAD else 0
+
+
+#: First of the symbols of `quads`, a multiple of four.
+_QUAD = 0x400
+QUADS = "".join(chr(_QUAD + i) for i in range(4 * len(ALPHABET)))
 _SIZES = {"0": 10, "a": 6, "z": 20, "A": 26}
 
 
@@ -163,19 +184,28 @@ class Automaton:
         self.next = [{c: (place[t], n) for c, (t, n) in self.next[s].items() if t in place} for s in red]
 
     def _log(self) -> None:
-        """Log probabilities, a half visit added for each symbol so that nothing is impossible."""
+        """Log probabilities, a half visit added for each symbol so that nothing is impossible.
+
+        A symbol's place follows from the position, so its probability is one among those of its place.
+        """
         extra = 0.5
+        alphabet = QUADS if self.symbols is quads else ALPHABET
         self.steps, self.last = [], []
         for v, e, nxt in zip(self.visits, self.ends, self.next, strict=True):
-            total = math.log(v + extra * (len(ALPHABET) + 1))
-            self.last.append(math.log(e + extra) - total)
-            self.steps.append({c: (nxt[c][0] if c in nxt else 0, math.log((nxt[c][1] if c in nxt else 0) + extra) - total) for c in ALPHABET})
+            counts = {c: (nxt[c][1] if c in nxt else 0) + extra for c in alphabet}
+            places = Counter()
+            for c, n in counts.items():
+                places[place(c)] += n
+            total = v + extra * (len(alphabet) + 1)
+            self.last.append(math.log((e + extra) / total))
+            goes_on = math.log(1 - (e + extra) / total)
+            self.steps.append({c: (nxt[c][0] if c in nxt else 0, math.log(n / places[place(c)]) + goes_on) for c, n in counts.items()})
 
-    def score(self, symbols: str) -> float:
-        """Log likelihood of a run given as symbols."""
+    def score(self, run: str) -> float:
+        """Log likelihood of a run."""
         s, total = 0, 0.0
         steps = self.steps
-        for c in symbols:
+        for c in self.symbols(run):
             s, p = steps[s][c]
             total += p
         return total + self.last[s]
@@ -199,17 +229,39 @@ def exemplars(seed: int = SEED, each: int = PER_FORMAT) -> dict[str, list[str]]:
     return {name: [draw(parts) for _ in range(each)] for name, parts in FORMATS.items()}
 
 
+#: Kinds of ordinary runs that are written in groups of four characters.
+_IN_QUADS = ("encoded prose",)
+
+
 class Model:
-    """One automaton per format and one of ordinary runs."""
+    """An automaton per format and per kind of ordinary run, and the cutoff between them."""
 
-    def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, credentials: dict[str, list[str]], ordinary: dict[str, list[str]], cutoff: float = CUTOFF):
         self.formats = {name: Automaton(runs) for name, runs in sorted(credentials.items()) if len(runs) >= LEAST}
-        self.ordinary = Automaton(ordinary)
+        self.ordinary = {name: Automaton(runs, quads if name in _IN_QUADS else classes) for name, runs in sorted(ordinary.items()) if runs}
+        self.cutoff = cutoff
 
     def score(self, run: str) -> float:
-        """Log-likelihood ratio per character of the best format against ordinary runs."""
-        symbols = classes(run)
-        return (max((a.score(symbols) for a in self.formats.values()), default=-math.inf) - self.ordinary.score(symbols)) / (len(symbols) + 1)
+        """Log-likelihood ratio per character of the best format against the best kind of ordinary run."""
+        best = lambda kinds: max((a.score(run) for a in kinds.values()), default=-math.inf)
+        return (best(self.formats) - best(self.ordinary)) / (len(run) + 1)
+
+
+def held_out(run: str) -> bool:
+    return zlib.crc32(run.encode()) % 5 == 0
+
+
+def learn(credentials: dict[str, list[str]], ordinary: dict[str, list[str]]) -> Model:
+    """A model of the runs that are not held out, with a cutoff from those that are: formats drawn by rule against all ordinary runs."""
+    part = lambda kinds, out: {k: [r for r in runs if held_out(r) == out] for k, runs in kinds.items()}
+    model = Model(part(credentials, False), part(ordinary, False))
+    drawn = part({k: v for k, v in credentials.items() if k in FORMATS}, True)
+    scores = [sorted(model.score(r) for r in {r for runs in kinds.values() for r in runs if len(r) >= SHORTEST}) for kinds in (part(ordinary, True), drawn)]
+    if all(scores):
+        plain, secret = scores
+        most, least = plain[min(len(plain) - 1, len(plain) * 99 // 100)], secret[len(secret) // 100]
+        model.cutoff = least if least > most else (most + least) / 2
+    return model
 
 
 def _sample_runs(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -236,12 +288,24 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     for part in (runs.where(~ordinary_run), runs.where(ordinary_run)):
         for run, n in part.orderBy(F.desc("n"), F.xxhash64("run"), "run").limit(SAMPLE_RUNS).collect():
             kind, _, value = run.partition("\t")
-            (credentials[kind] if kind else ordinary).extend([value] * n)
-    return Model({k: sorted(v) for k, v in credentials.items()}, sorted(ordinary))
+            (credentials[kind] if kind else ordinary["runs"]).extend([value] * n)
+    return learn(*({k: sorted(v) for k, v in kinds.items()} for kinds in (credentials, ordinary)))
+
+
+def ordinary_exemplars(seed: int = SEED, each: int = PER_FORMAT) -> dict[str, list[str]]:
+    """Runs that are no credentials whatever the sample, by kind: paths, dates, names, constants and rules of marks; and look-alikes."""
+    rng = random.Random(seed)
+    prose = lambda: rng.choice([" ", " ", ", ", ". ", "\n"]).join(rng.choice([w, w, w.title(), w[: rng.randint(1, 9)]]) for w in rng.choices(_ORDINARY, k=rng.randint(2, 30)))
+    name = lambda: "".join(w[: rng.randint(2, 12)].title() for w in rng.choices(_ORDINARY, k=rng.randint(2, 5)))
+    return {
+        "runs": _plain_exemplars(),
+        "encoded prose": [base64.b64encode(prose().encode()).decode() for _ in range(4 * each)],
+        "uuid": [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(2 * each)],
+        "numbered name": [f"{n[0].lower() + n[1:] if rng.random() < 0.3 else n}{rng.choice(['', '_', '-'])}{rng.randrange(10 ** rng.randint(1, 4))}" for n in (name() for _ in range(4 * each))],
+    }
 
 
-def ordinary_exemplars() -> list[str]:
-    """Runs that are no credentials whatever the sample: paths, dates, names, constants and rules of marks."""
+def _plain_exemplars() -> list[str]:
     pairs, triples = [*zip(_ORDINARY, _ORDINARY[3:], strict=False)], [*zip(_ORDINARY, _ORDINARY[1:], _ORDINARY[5:], strict=False)]
     words = ["/".join(w) for w in pairs] + ["_".join(w) for w in triples] + ["-".join(w) for w in pairs] + [".".join(w) for w in pairs] + ["".join(w) for w in pairs]
     names = ["".join(x.title() for x in w) for w in triples] + ["_".join(w).upper() for w in triples] + ["".join(w).upper() for w in pairs]
@@ -276,9 +340,10 @@ def _free(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, in
             at = to
 
 
-def find_spans(text: str, model: Model, cutoff: float = CUTOFF) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def find_spans(text: str, model: Model, cutoff: float | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans)."""
     base, more = base_spans(text), []
+    cutoff = model.cutoff if cutoff is None else cutoff
     for a, b in _free(text, base):
         if model.score(text[a:b]) >= cutoff:
             more.append((a, b, "format"))
@@ -292,7 +357,7 @@ def _told(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def scan_secrets(docs: DataFrame, model: Model | None = None, cutoff: float = CUTOFF) -> DataFrame:
+def scan_secrets(docs: DataFrame, model: Model | None = None, cutoff: float | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of ``docs``."""
     model = model or fit(docs)
 
