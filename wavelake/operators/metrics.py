@@ -27,6 +27,11 @@ def confusion_metrics(df: DataFrame, score: str, label: str, threshold: float |
         F.count_if(y & hot).alias("tp"), F.count_if(~y & hot).alias("fp"), F.count_if(~y & ~hot).alias("tn"), F.count_if(y & ~hot).alias("fn"),
         F.count(F.lit(1)).alias("n"), F.avg(log_loss(F.col(label), F.col(score))).alias("loss"), F.max(threshold if isinstance(threshold, Column) else F.lit(float(threshold))).alias("threshold"),
     )
+    return _rates(base, stride_seconds)
+
+
+def _rates(base: DataFrame, stride_seconds: float) -> DataFrame:
+    """What follows from the counts tp, fp, tn, fn and n."""
     tp, fp, tn, fn, n = (F.col(c) for c in ("tp", "fp", "tn", "fn", "n"))
     precision, recall, specificity = _ratio(tp, tp + fp), _ratio(tp, tp + fn), _ratio(tn, tn + fp)
     hours = F.greatest(n * float(stride_seconds) / 3600.0, F.lit(1e-9))
@@ -110,8 +115,23 @@ def false_alarm_rate(df: DataFrame, score: str, label: str, threshold: float | C
     return F.count_if((F.col(label) == 0) & (F.col(score) >= threshold)).cast("double") / h
 
 
-def over_thresholds(df: DataFrame, thresholds: dict[str, float], name: str, score: str, label: str, stride_seconds: float = 5.0) -> DataFrame:
-    """`confusion_metrics` for several named thresholds in one pass: each row is counted once per threshold."""
-    grid = F.array(*(F.struct(F.lit(k).alias(name), F.lit(float(t)).alias("__t")) for k, t in thresholds.items()))
-    rows = df.select("*", F.explode(grid).alias("__g")).select("*", "__g.*")
-    return confusion_metrics(rows, score, label, F.col("__t"), stride_seconds, [name])
+def over_thresholds(df: DataFrame, thresholds: dict, name: str, score: str, label: str, stride_seconds: float = 5.0) -> DataFrame:
+    """`confusion_metrics` for several named thresholds, for about the cost of one: a row per threshold.
+
+    A row counts once, among those that reach as many thresholds as it does; the counts of a threshold are sums of
+    these few.
+    """
+    if not thresholds:
+        raise ValueError("no thresholds")
+    y, cuts = F.col(label) == 1, sorted({float(t) for t in thresholds.values()})
+    reached = F.when(F.col(score).isNotNull(), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: t <= F.col(score))))
+    loss = log_loss(F.col(label), F.col(score))
+    counts = df.groupBy(reached.alias("__r")).agg(F.count_if(y).alias("__pos"), F.count_if(~y).alias("__neg"), F.count(F.lit(1)).alias("__n"), F.sum(loss).alias("__loss"), F.count(loss).alias("__losses"))
+    one = []
+    for key, t in thresholds.items():
+        hot = F.col("__r") > cuts.index(float(t))
+        of = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+        one.append(F.struct(F.lit(key).alias(name), of("__pos", hot).alias("tp"), of("__neg", hot).alias("fp"), of("__neg", ~hot).alias("tn"), of("__pos", ~hot).alias("fn"),
+                            F.sum("__n").alias("n"), (F.sum("__loss") / F.nullif(F.sum("__losses"), F.lit(0))).alias("loss"), F.lit(float(t)).alias("threshold")))
+    rows = counts.agg(F.array(*one).alias("g"), F.sum("__n").alias("__any")).where("__any > 0").select(F.explode("g").alias("g")).select("g.*")
+    return _rates(rows, stride_seconds)

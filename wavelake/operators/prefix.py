@@ -70,30 +70,30 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
         spec = Window.partitionBy(*keys).orderBy(*by[len(keys):])
         frames = {True: spec.rowsBetween(Window.unboundedPreceding, 0), False: spec.rowsBetween(Window.unboundedPreceding, -1)}
         return df.withColumns({n: _merge(c.how, nothing, _carry(c.how, c.value, frames[c.inclusive])) for n, c in columns.items()})
-    rows = df.withColumns({f"__v{i}": c.value for i, c in enumerate(columns.values())})
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
-    dealt = materialize(dealt, "ranges").withColumn("__part", F.shiftright("__at", _ROW_BITS))
+    rows = df.withColumns({f"__run_v{i}": c.value for i, c in enumerate(columns.values())})
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__run_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "ranges").withColumn("__run_part", F.shiftright("__run_at", _ROW_BITS))
 
     whole = {}
     for i, c in enumerate(columns.values()):
-        v = F.col(f"__v{i}")
-        last = F.max(F.when(v.isNotNull(), F.struct(F.col("__at"), v.alias("v"))))["v"]
-        whole[f"__w{i}"] = F.sum(v) if c.how == "sum" else F.max(v) if c.how == "max" else last
-    parts = dealt.groupBy(*keys, "__part").agg(*(e.alias(n) for n, e in whole.items()))
-    in_turn = Window.partitionBy(*keys).orderBy("__part")
+        v = F.col(f"__run_v{i}")
+        last = F.max(F.when(v.isNotNull(), F.struct(F.col("__run_at"), v.alias("v"))))["v"]
+        whole[f"__run_w{i}"] = F.sum(v) if c.how == "sum" else F.max(v) if c.how == "max" else last
+    parts = dealt.groupBy(*keys, "__run_part").agg(*(e.alias(n) for n, e in whole.items()))
+    in_turn = Window.partitionBy(*keys).orderBy("__run_part")
     earlier = in_turn.rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
-        *(F.col(k).alias(f"__of{j}") for j, k in enumerate(keys)), F.col("__part").alias("__p"), F.lag(F.lit(True)).over(in_turn).alias("__goes_on"),
-        *(_carry(c.how, F.col(f"__w{i}"), earlier).alias(f"__b{i}") for i, c in enumerate(columns.values()))).where("__goes_on").drop("__goes_on")
+        *(F.col(k).alias(f"__run_of{j}") for j, k in enumerate(keys)), F.col("__run_part").alias("__run_p"), F.lag(F.lit(True)).over(in_turn).alias("__run_goes_on"),
+        *(_carry(c.how, F.col(f"__run_w{i}"), earlier).alias(f"__run_b{i}") for i, c in enumerate(columns.values()))).where("__run_goes_on").drop("__run_goes_on")
 
-    inside = Window.partitionBy("__part", *keys).orderBy("__at")
+    inside = Window.partitionBy("__run_part", *keys).orderBy("__run_at")
     frames = {True: inside.rowsBetween(Window.unboundedPreceding, 0), False: inside.rowsBetween(Window.unboundedPreceding, -1)}
-    out = dealt.withColumns({f"__h{i}": _carry(c.how, F.col(f"__v{i}"), frames[c.inclusive]) for i, c in enumerate(columns.values())})
-    on = F.col("__part") == F.col("__p")
+    out = dealt.withColumns({f"__run_h{i}": _carry(c.how, F.col(f"__run_v{i}"), frames[c.inclusive]) for i, c in enumerate(columns.values())})
+    on = F.col("__run_part") == F.col("__run_p")
     for j, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__of{j}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"__run_of{j}"))
     out = out.join(F.broadcast(offsets), on, "left")
-    return out.select(*(F.col(c) for c in df.columns if c not in columns), *(_merge(c.how, F.col(f"__b{i}"), F.col(f"__h{i}")).alias(n) for i, (n, c) in enumerate(columns.items())))
+    return out.select(*(F.col(c) for c in df.columns if c not in columns), *(_merge(c.how, F.col(f"__run_b{i}"), F.col(f"__run_h{i}")).alias(n) for i, (n, c) in enumerate(columns.items())))
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, first: int = 0, config: EngineConfig | None = None) -> DataFrame:

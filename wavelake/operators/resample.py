@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, EngineConfig
+from .prefix import Running, running
+
 
 def lengths(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -56,6 +59,33 @@ def interpolate(df: DataFrame, keys: Sequence[str], value: str, rate: float, tar
     return both.select(*keys, "i", F.coalesce(F.col("__a") + (F.col("__b") - F.col("__a")) * part, F.col("__a")).alias(value))
 
 
+def interpolate_at(
+    samples: DataFrame, points: DataFrame, keys: Sequence[str], at: str, value: str, tie: str | None = None, tolerance: float | None = None, config: EngineConfig = DEFAULT,
+) -> DataFrame:
+    """``points`` (keys, ``at``) with ``value`` linearly interpolated between the samples before and after them, at whatever times those are.
+
+    Samples and points are put in one order; the last sample at or before a point is carried to it, and, from the
+    other end, the first one after it.  A point at a sample takes its value; of samples at one time the last by ``tie``
+    counts backwards and the first forwards.  Beyond the ends the nearest sample is held.  Samples further away than
+    ``tolerance`` seconds are no neighbours: with one neighbour it is held, without any the value is null.  Null values
+    and times of samples are left out; null keys match null keys.
+    """
+    t, v = F.col(at).cast("double"), F.col(value).cast("double")
+    order = F.col(tie).cast("double") if tie else F.lit(0.0)
+    nothing = F.lit(None)
+    own = F.struct(*points.columns)
+    s = samples.where(v.isNotNull() & t.isNotNull()).select(*keys, t.alias("__t"), F.lit(0).alias("__o"), order.alias("__tie"), F.struct(t.alias("t"), v.alias("v")).alias("__s"), nothing.alias("__p"))
+    p = points.select(*keys, t.alias("__t"), F.lit(1).alias("__o"), F.lit(0.0).alias("__tie"), nothing.alias("__s"), own.alias("__p"))
+    rows = running(s.unionByName(p), keys, ["__t", "__o", "__tie"], {"__a": Running("last", F.col("__s"))}, config)
+    rows = running(rows, keys, [F.col(c).desc() for c in ("__t", "__o", "__tie")], {"__b": Running("last", F.col("__s"))}, config).where("__p is not null")
+    near = lambda x: F.col(x) if tolerance is None else F.when(F.abs(F.col(x)["t"] - F.col("__t")) <= float(tolerance), F.col(x))
+    rows = rows.withColumns({"__a": near("__a"), "__b": near("__b")})
+    part = (F.col("__t") - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t"))
+    between = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * part
+    found = F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), between).otherwise(F.coalesce("__a.v", "__b.v"))
+    return rows.select("__p.*", F.when(F.col("__t").isNotNull(), found).alias(value))
+
+
 def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Nulls take the last value before them, else the next one after them, else 0."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -8,12 +8,15 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .windows import reconstruction_error
+
 
 class Scorer(Protocol):
     """Turns a table of windows into the same table with a column ``p``."""
@@ -45,6 +48,37 @@ class FeatureScorer:
         return out.select(*windows.columns, "p")
 
 
+class LowRankScorer:
+    """Reconstruction from the mean and ``rank`` principal directions of normal rows; their error is the score.
+
+    Mean and Gram matrix are summed over the rows by tree aggregation; what reaches the driver is the matrix of a
+    vector's length squared, whatever the number of rows.  Rank 0 rebuilds every row as the mean.  Fit on the rows
+    of `splits.normal_sample`; rows without a vector of the right length get null.
+    """
+
+    def __init__(self, column: str, rank: int):
+        self.column, self.rank = column, rank
+
+    def fit(self, normal: DataFrame) -> LowRankScorer:
+        rows = normal.where(F.col(self.column).isNotNull()).select(array_to_vector(F.col(self.column).cast("array<double>")).alias("x"))
+        if rows.isEmpty():
+            raise ValueError("no normal rows")
+        self.mean = rows.select(Summarizer.mean(F.col("x")).alias("m")).first()["m"].toArray()
+        self.directions = PCA(k=self.rank, inputCol="x", outputCol="y").fit(rows).pc.toArray().T if self.rank else np.zeros((0, len(self.mean)))
+        return self
+
+    def score(self, rows: DataFrame, rebuilt: str = "rebuilt", error: str = "error") -> DataFrame:
+        """``rows`` with each vector's own reconstruction and the mean squared difference."""
+        literal = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+        times = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        vector = F.when(F.size(self.column) == len(self.mean), F.col(self.column).cast("array<double>"))
+        out = rows.withColumn("__off", F.zip_with(vector, literal(self.mean), lambda x, m: x - m))
+        out = out.withColumn("__on", F.array(*(times(F.col("__off"), literal(d)) for d in self.directions)).cast("array<double>"))
+        back = F.transform(literal(self.mean), lambda m, i: m + sum((F.get("__on", F.lit(j)) * F.get(literal(d), i) for j, d in enumerate(self.directions)), F.lit(0.0)))
+        out = out.withColumn(rebuilt, F.when(vector.isNotNull(), back))
+        return out.withColumn(error, reconstruction_error(F.col(self.column), F.col(rebuilt))).drop("__off", "__on")
+
+
 class ArrayScorer:
     """Any vectorised function of stacked arrays [n, ...] to scores [n], run batch by batch over Arrow."""
 

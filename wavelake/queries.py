@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import blend, format_elapsed, format_or_na, log_loss, magnitude, offset_policy, parse_fraction, patient_id, quantize_int8, second_field_class, wilson, zscore
 from .functions.scalars import bankers_round, channel_mask, dequantize_int8, feature_names, select_channels
 from .operators import audit, dsp, intervals, metrics, ranking, refractory, resample, selection, splits, states, summary, windows
-from .operators.scoring import FeatureScorer
+from .operators.scoring import FeatureScorer, LowRankScorer
 from .plans import detection, figures, prediction
 from .scratch import scratch
 from .sinks import writers
@@ -683,11 +683,33 @@ def _(spark, sf):
     return e.select("vec_id", F.round("pool.mean", 5).alias("mean"), F.round("pool.most", 5).alias("most"), "n_patches")
 
 
-@query("reconstruction_error", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(embedding), 5) AS error FROM embeddings")
+@query("reconstruction_error", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT i, avg(x) AS m FROM e WHERE label <= 0.5 GROUP BY i) SELECT vec_id, round(avg((x - m) * (x - m)), 5) AS error FROM e JOIN m USING (i) GROUP BY vec_id""")
 def _(spark, sf):
+    # label 0 is normal; every vector is rebuilt as the mean of the normal ones
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
-    return e.select("vec_id", F.round(windows.reconstruction_error(F.col("embedding"), zero), 5).alias("error"))
+    model = LowRankScorer("embedding", 0).fit(splits.normal_sample(e, "label", ["vec_id"]))
+    return model.score(e).select("vec_id", F.round("error", 5).alias("error"))
+
+
+@query("low_rank_error")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    model = LowRankScorer("embedding", 8).fit(splits.normal_sample(e, "label", ["vec_id"]))
+    return model.score(e).select("vec_id", "label", "error")
+
+
+@query("interpolate_irregular", """WITH s AS (SELECT user_id, event_id, value, epoch_us(ts) / 1e6 AS t FROM events), p AS (SELECT u.user_id, 1704067200.0 + 21600 * k.k AS t FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(range(120)) AS k) k),
+a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, t ORDER BY event_id DESC) = 1), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, t ORDER BY event_id) = 1),
+pa AS (SELECT p.user_id, p.t, a.t AS at, a.value AS av FROM p ASOF LEFT JOIN a ON p.user_id = a.user_id AND p.t >= a.t), pb AS (SELECT pa.*, b.t AS bt, b.value AS bv FROM pa ASOF LEFT JOIN b ON pa.user_id = b.user_id AND pa.t < b.t),
+n AS (SELECT user_id, t, CASE WHEN t - at <= 43200 THEN at END AS at, CASE WHEN t - at <= 43200 THEN av END AS av, CASE WHEN bt - t <= 43200 THEN bt END AS bt, CASE WHEN bt - t <= 43200 THEN bv END AS bv FROM pb)
+SELECT user_id, t AS t_s, round(CASE WHEN at IS NOT NULL AND bt IS NOT NULL THEN av + (bv - av) * ((t - at) / (bt - at)) ELSE coalesce(av, bv) END, 5) AS value FROM n""")
+def _(spark, sf):
+    # a point every six hours; samples over twelve hours away are no neighbours
+    s = samples(spark, sf)
+    users = s.select("user_id").distinct()
+    points = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("k")).select("user_id", (F.lit(1704067200.0) + 21600.0 * F.col("k")).alias("t_s"))
+    return resample.interpolate_at(s, points, KEY, "t_s", "value", "event_id", 43_200.0).select("user_id", "t_s", F.round("value", 5).alias("value"))
 
 
 # -- audits and figures --------------------------------------------------------------------------
@@ -904,9 +926,9 @@ def _(spark, sf):
 @query("cached_table", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
 def _(spark, sf):
     build = lambda: spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
-    folder, config = scratch(spark, "cache"), {"table": "nation", "version": 1}
-    writers.cached(spark, folder, config, build)
-    return writers.cached(spark, folder, config, lambda: build().where("false"))  # found, so not built again
+    folder, config, inputs = scratch(spark, "cache"), {"table": "nation", "version": 1}, [f"{sf}/nation.parquet"]
+    writers.cached(spark, folder, config, build, inputs)
+    return writers.cached(spark, folder, config, lambda: build().where("false"), inputs)  # found, so not built again
 
 
 # -- what remains of the smaller operators ----------------------------------------------------------

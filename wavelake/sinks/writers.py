@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,38 @@ def cache_key(config: dict[str, Any]) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
-def cached(spark: SparkSession, folder: str, config: dict[str, Any], build: Callable[[], DataFrame]) -> DataFrame:
-    """The table of a configuration: read if it was written whole before, else built, written and read."""
-    path = f"{folder.rstrip('/')}/{cache_key(config)}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def fingerprint(spark: SparkSession, inputs: Sequence[str]) -> str:
+    """sha256 of names, sizes and times of all files under ``inputs``, from listings alone; a missing input counts as none."""
+    found = []
+    for at in sorted(inputs):
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            files = fs.listFiles(path, True)
+            while files.hasNext():
+                f = files.next()
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest()
+
+
+def cached(spark: SparkSession, folder: str, config: dict[str, Any], build: Callable[[], DataFrame], inputs: Sequence[str] = ()) -> DataFrame:
+    """The table of a configuration and the files under ``inputs``: read if it was published before, else built, published and read.
+
+    A table is written beside its place, under a name that Spark never reads, and published by one rename, so no reader
+    meets half of it.  Of two writers the first to rename is read by both; changed inputs have another key.
+    """
+    key = cache_key({"config": config, "inputs": fingerprint(spark, inputs)} if inputs else config)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{key}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/.{key}-{uuid.uuid4().hex}")
+        build().write.parquet(own.toString())
+        fs.rename(own, path)
+        # where another writer was first, a rename fails or moves this copy inside the other, hidden by its name
+        for left in (own, spark._jvm.org.apache.hadoop.fs.Path(path, own.getName())):
+            if fs.exists(left):
+                fs.delete(left, True)
+    return spark.read.parquet(path.toString())
 
 
 def write_json(df: DataFrame, path: str, keep_null: bool = True) -> None:
