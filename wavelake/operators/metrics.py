@@ -109,7 +109,7 @@ def alerts_per_event(windows: DataFrame, events: DataFrame, keys: Sequence[str],
     return e.select(*keys, "event_index").join(met, [*keys, "event_index"], "left").fillna(0, ["alert_count"])
 
 
-def false_alarm_rate(df: DataFrame, score: str, label: str, threshold: float | Column, hours: Column | float) -> Column:
+def false_alarm_rate(score: str, label: str, threshold: float | Column, hours: Column | float) -> Column:
     """Aggregate: negatives at or above the threshold per hour."""
     h = F.lit(float(hours)) if isinstance(hours, int | float) else hours
     return F.count_if((F.col(label) == 0) & (F.col(score) >= threshold)).cast("double") / h

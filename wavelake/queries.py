@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -701,9 +702,9 @@ def _(spark, sf):
 
 @query("interpolate_irregular", """WITH s AS (SELECT user_id, event_id, value, epoch_us(ts) / 1e6 AS t FROM events), p AS (SELECT u.user_id, 1704067200.0 + 21600 * k.k AS t FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(range(120)) AS k) k),
 a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, t ORDER BY event_id DESC) = 1), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, t ORDER BY event_id) = 1),
-pa AS (SELECT p.user_id, p.t, a.t AS at, a.value AS av FROM p ASOF LEFT JOIN a ON p.user_id = a.user_id AND p.t >= a.t), pb AS (SELECT pa.*, b.t AS bt, b.value AS bv FROM pa ASOF LEFT JOIN b ON pa.user_id = b.user_id AND pa.t < b.t),
-n AS (SELECT user_id, t, CASE WHEN t - at <= 43200 THEN at END AS at, CASE WHEN t - at <= 43200 THEN av END AS av, CASE WHEN bt - t <= 43200 THEN bt END AS bt, CASE WHEN bt - t <= 43200 THEN bv END AS bv FROM pb)
-SELECT user_id, t AS t_s, round(CASE WHEN at IS NOT NULL AND bt IS NOT NULL THEN av + (bv - av) * ((t - at) / (bt - at)) ELSE coalesce(av, bv) END, 5) AS value FROM n""")
+pa AS (SELECT p.user_id, p.t, a.t AS ta, a.value AS va FROM p ASOF LEFT JOIN a ON p.user_id = a.user_id AND p.t >= a.t), pb AS (SELECT pa.*, b.t AS tb, b.value AS vb FROM pa ASOF LEFT JOIN b ON pa.user_id = b.user_id AND pa.t < b.t),
+n AS (SELECT user_id, t, CASE WHEN t - ta <= 43200 THEN ta END AS ta, CASE WHEN t - ta <= 43200 THEN va END AS va, CASE WHEN tb - t <= 43200 THEN tb END AS tb, CASE WHEN tb - t <= 43200 THEN vb END AS vb FROM pb)
+SELECT user_id, t AS t_s, round(CASE WHEN ta IS NOT NULL AND tb IS NOT NULL THEN va + (vb - va) * ((t - ta) / (tb - ta)) ELSE coalesce(va, vb) END, 5) AS value FROM n""")
 def _(spark, sf):
     # a point every six hours; samples over twelve hours away are no neighbours
     s = samples(spark, sf)
@@ -895,12 +896,63 @@ def _(spark, sf):
     return labels.read_labels(spark, folder).select(_user(), "onset_s", "second_s")
 
 
+def data_folder(spark: SparkSession, files: DataFrame, name: str) -> str:
+    """A folder in the shared one with a file of one line for each ``path``; tasks make the files."""
+    folder = scratch(spark, name)
+
+    def touch(frames):
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        for f in frames:
+            for path in f["path"]:
+                fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(b"0\n")  # Spark passes over files without any bytes
+            yield f
+
+    files.select("path").repartition("path").mapInPandas(touch, "path string").agg(F.count(F.lit(1))).collect()
+    return folder
+
+
 @query("list_sessions", "SELECT 'Mayo_' || c_custkey % 9 AS patient_id, (1000 + c_custkey) || '_dev' AS session_id, c_custkey % 2 = 0 AS has_hr, c_custkey % 3 <> 0 AS is_valid FROM customer")
 def _(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.explode(F.array(*map(F.lit, ("ACC", "BVP", "EDA", "TEMP", "HR")))).alias("sensor"))
     c = c.where("not (sensor = 'TEMP' and c_custkey % 3 = 0) and not (sensor = 'HR' and c_custkey % 2 = 1)")
-    path = F.concat(F.lit("/data/Mayo_"), F.col("c_custkey") % 9, F.lit("/sessions/"), 1000 + F.col("c_custkey"), F.lit("_dev/"), "sensor", F.lit(".csv"))
-    return sensors.sessions_from_files(c.select(path.alias("path"))).select("patient_id", "session_id", "has_hr", "is_valid")
+    path = F.concat(F.lit("Mayo_"), F.col("c_custkey") % 9, F.lit("/sessions/"), 1000 + F.col("c_custkey"), F.lit("_dev/"), "sensor", F.lit(".csv"))
+    return sensors.list_sessions(spark, data_folder(spark, c.select(path.alias("path")), "sessions")).select("patient_id", "session_id", "has_hr", "is_valid")
+
+
+@query("find_label_files", "SELECT 'Mayo_' || s_nationkey AS patient_id, CASE WHEN min(s_suppkey) FILTER (WHERE s_suppkey % 2 = 0) IS NULL THEN 'Empatica_Chronic/' ELSE '' END || 'times' || lpad(CAST(coalesce(min(s_suppkey) FILTER (WHERE s_suppkey % 2 = 0), min(s_suppkey)) AS VARCHAR), 9, '0') || '.txt' AS file FROM supplier GROUP BY s_nationkey")
+def _(spark, sf):
+    # a patient's files lie in its folder or one deeper, beside files that are no labels
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    home = F.concat(F.lit("Mayo_"), F.col("s_nationkey"), F.lit("/"))
+    at = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("Empatica_Chronic/")
+    name = F.concat(F.lit("times"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit(".txt"))
+    files = s.select(F.explode(F.array(F.concat(home, at, name), F.concat(home, F.lit("a_ReadMe.txt")), F.concat(home, F.lit("Info.txt")), F.concat(home, F.lit("a.csv")))).alias("path")).distinct()
+    found = labels.find_label_files(spark, data_folder(spark, files, "label-folders"))
+    return found.select("patient_id", F.regexp_extract("path", r"/Mayo_\d+/(.*)$", 1).alias("file"))
+
+
+@query("runs_between", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-10' AND TIMESTAMP '1996-02-10'")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    return audit.in_window_or_latest(o, "at", "1995-01-10 00:00:00", "1996-02-10 00:00:00").select("o_orderkey")
+
+
+@query("markdown_report", "SELECT r_regionkey + 2 AS line, '| ' || r_name || ' | ' || printf('%.4f', CAST(avg(n_nationkey) AS DOUBLE)) || ' |' AS value FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+def _(spark, sf):
+    # the report's lines below its head, read back from a file
+    r, n = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("region", "nation"))
+    report = r.join(n, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", F.col("r_name").alias("region")).agg(F.avg("n_nationkey").cast("double").alias("mean"))
+    lines = writers.markdown(report.orderBy("r_regionkey").select("region", "mean")).splitlines()
+    return spark.range(len(lines), numPartitions=1).select(F.col("id").alias("line"), F.get(F.array(*map(F.lit, lines)), F.col("id").cast("int")).alias("value")).where("line >= 2")
+
+
+@query("position_join", sql("s", "x", "SELECT a.user_id, a.i, a.value AS one, b.p AS other FROM x a JOIN x b ON a.user_id = b.user_id AND a.i = b.i WHERE a.event_type <> 'click'"))
+def _(spark, sf):
+    # two tables of a session's values, joined by their positions
+    one, other = indexed(spark, sf).where("event_type <> 'click'").select("user_id", "i", F.col("value").alias("one")), indexed(spark, sf).select("user_id", "i", F.col("p").alias("other"))
+    return one.join(other, ["user_id", "i"])
 
 
 @query("prediction_csv", sql(*W, "SELECT CAST(label AS INTEGER) AS y_true, p AS y_prob, CASE WHEN p >= 0.25 THEN 1 ELSE 0 END AS y_pred FROM w"))
@@ -937,7 +989,7 @@ def _(spark, sf):
 @query("false_alarm_rate", sql(*W, "SELECT user_id, round(CAST(count(*) FILTER (WHERE label = 0 AND p >= 0.25) AS DOUBLE) / (count(*) * 5.0 / 3600.0), 5) AS rate FROM w GROUP BY 1"))
 def _(spark, sf):
     hours = F.count(F.lit(1)) * 5.0 / 3600.0
-    return scored(spark, sf).groupBy("user_id").agg(F.round(metrics.false_alarm_rate(scored(spark, sf), "p", "label", HOT, hours), 5).alias("rate"))
+    return scored(spark, sf).groupBy("user_id").agg(F.round(metrics.false_alarm_rate("p", "label", HOT, hours), 5).alias("rate"))
 
 
 @query("tensor_bytes", "SELECT l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT) * l_linenumber * CASE WHEN l_linenumber % 2 = 0 THEN 4 ELSE 1 END) AS BIGINT) AS bytes FROM lineitem GROUP BY 1")
