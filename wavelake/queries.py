@@ -921,12 +921,12 @@ def _(spark, sf):
     return sensors.list_sessions(spark, data_folder(spark, c.select(path.alias("path")), "sessions")).select("patient_id", "session_id", "has_hr", "is_valid")
 
 
-@query("find_label_files", "SELECT 'Mayo_' || s_nationkey AS patient_id, CASE WHEN min(s_suppkey) FILTER (WHERE s_suppkey % 2 = 0) IS NULL THEN 'Empatica_Chronic/' ELSE '' END || 'times' || lpad(CAST(coalesce(min(s_suppkey) FILTER (WHERE s_suppkey % 2 = 0), min(s_suppkey)) AS VARCHAR), 9, '0') || '.txt' AS file FROM supplier GROUP BY s_nationkey")
+@query("find_label_files", "SELECT 'Mayo_' || s_nationkey AS patient_id, CASE WHEN min(s_suppkey) FILTER (WHERE s_suppkey % 2 = 0) IS NULL THEN 'sessions/' ELSE '' END || 'times' || lpad(CAST(coalesce(min(s_suppkey) FILTER (WHERE s_suppkey % 2 = 0), min(s_suppkey)) AS VARCHAR), 9, '0') || '.txt' AS file FROM supplier GROUP BY s_nationkey")
 def _(spark, sf):
     # a patient's files lie in its folder or one deeper, beside files that are no labels
     s = spark.read.parquet(f"{sf}/supplier.parquet")
     home = F.concat(F.lit("Mayo_"), F.col("s_nationkey"), F.lit("/"))
-    at = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("Empatica_Chronic/")
+    at = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("sessions/")
     name = F.concat(F.lit("times"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit(".txt"))
     files = s.select(F.explode(F.array(F.concat(home, at, name), F.concat(home, F.lit("a_ReadMe.txt")), F.concat(home, F.lit("Info.txt")), F.concat(home, F.lit("a.csv")))).alias("path")).distinct()
     found = labels.find_label_files(spark, data_folder(spark, files, "label-folders"))
