@@ -42,7 +42,9 @@ def budget_report(val: DataFrame, test: DataFrame, events: DataFrame, keys: Sequ
     rows = selection.repeated(test.select(*keys, "window_idx", "start_s", "end_s", "p", "label"), "budget", list(lowest))
     rows = materialize(rows.withColumn("t", selection.by_value("budget", lowest)), "budgets")
     each, by = selection.repeated(events, "budget", list(lowest)), [*keys, "budget"]
-    cm = metrics.over_thresholds(test, lowest, "budget", "p", "label", stride_seconds)  # one pass, no row repeated
+    # one budget's rows are the windows themselves, already written: one pass for all thresholds
+    once = rows.where(F.col("budget") == next(iter(lowest))).drop("budget")
+    cm = metrics.over_thresholds(once, lowest, "budget", "p", "label", stride_seconds)
     ev = metrics.event_metrics(rows, each, by, "p", "label", F.col("t"), ["budget"]).select("budget", "event_count", "detected_events", "event_sensitivity", "ci95_low", "ci95_high")
     al = metrics.alert_metrics(rows, each, by, "p", F.col("t"), lock, stride_seconds, ["budget"]).select(
         "budget", "alerts", "true_alerts", "false_alerts", F.col("detected_events").alias("alert_detected_events"), F.col("event_sensitivity").alias("alert_event_sensitivity"), "false_alerts_per_hour")
