@@ -59,8 +59,8 @@ def test_step_is_the_last_of_a_safe_run(spark):
     # three good documents exceed the symbol cutoffs from step 4 on, forty more from step 10 on
     symbols = rules.cutoffs_of("symbols_per_word")
     at = lambda step: int(1000 * symbols[step]) + 1
-    rows = [(i, "en", 1000, 5000, at(4) if i < 3 else at(10) if i < 43 else 0, 0, 0, 3, 0, 0, False) for i in range(1000)]
-    cols = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, base_failed boolean"
+    rows = [(i, "en", 1000, 5000, at(4) if i < 3 else at(10) if i < 43 else 0, 0, 0, 3, 0, 0, False, i) for i in range(1000)]
+    cols = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, base_failed boolean, text_hash long"
     labels = spark.createDataFrame([(i, 1) for i in range(1000)] + [(999, 0)], "doc_id long, quality int")
     n = 999  # the last document has two labels
     safe = lambda k: sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) <= 0.05
@@ -72,6 +72,23 @@ def test_step_is_the_last_of_a_safe_run(spark):
     assert not rules.choose_cutoffs(spark.createDataFrame(rows[43:143], cols), labels).collect()  # too few labels to be sure of anything
 
 
+def test_copies_count_once(spark):
+    # 300 distinct good texts of marks none, and a text full of marks that 200 good documents repeat: one draw in 301, not 200 in 500
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(30))
+    rows = [(i, "en", text(i)) for i in range(300)] + [(1000 + i, "en", "! ".join(text(999).split()) + "!") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    once = sum(comb(301, j) * 0.02**j * 0.98 ** (301 - j) for j in range(2))
+    often = sum(comb(500, j) * 0.02**j * 0.98 ** (500 - j) for j in range(201))
+    assert once <= rules.LEVEL < often
+    out = rules.apply_rules(docs, labels).collect()
+    assert {r.doc_id for r in out if not r.kept} == {r[0] for r in rows[300:]}
+    # the same 40 good texts, six times each, are 40 draws: too few for any cutoff
+    few = spark.createDataFrame([(i, "en", text(i % 40)) for i in range(240)] + [(999, "en", "! ".join(text(999).split()) + "!")], "doc_id long, lang string, text string")
+    marked = spark.createDataFrame([(i, 1) for i in range(240)] + [(999, 0)], "doc_id long, quality int")
+    assert all(r.kept for r in rules.apply_rules(few, marked).collect())
+
+
 def test_path_goes_from_lenient_to_strict():
     for rule, (_, lenient, strict) in rules.RULES.items():
         cutoffs = rules.cutoffs_of(rule)

@@ -4,7 +4,8 @@ Each document gets measurements and fails the base rules or not.  Further rules
 whose measurement exceeds a cutoff, and the cutoffs are chosen per stratum (language) so that few
 good documents are lost:
 
-* holdout: the labelled rows of the stratum that are good and pass the base rules;
+* holdout: the labelled texts of the stratum that are good and pass the base rules, each text once, since
+  copies are no independent draws;
 * the rules' cutoffs move together along one path of `STEPS` steps, fixed in advance, from lenient to
   strict; a step is safe if the exact binomial (Clopper-Pearson) upper bound on the chance that a good
   document exceeds any of its cutoffs is at most `RISK`;
@@ -12,16 +13,16 @@ good documents are lost:
   testing), so steps and rules need no correction among each other; strata are corrected by
   Bonferroni: level `LEVEL` / strata.
 
-So with probability 1 - `LEVEL` no stratum loses more than `RISK` of its good documents to these
-rules.  A stratum with too few labels (under 217 of 4 strata) gets no cutoffs and rejects nothing
-beyond the base rules.
+So with probability 1 - `LEVEL` no stratum loses more than `RISK` of its good texts to these rules.  A
+stratum with too few labelled texts (under 217 of 4 strata) gets no cutoffs and rejects nothing beyond
+the base rules.
 
 The bound is tested without inverting it: upper bound <= r if and only if P(Bin(n, r) <= k) <= level.
 
 Everything of a document is computed within its row; shuffles carry measurements or counts only.
 Defined cases: null text has no words; labels that are null, or contradict each other on one
-doc_id, are not used; a null language is a stratum of its own; repeated rows count as often as
-they occur; empty tables give no rows; extra columns are ignored.
+doc_id, are not used; a null language is a stratum of its own; repeated rows and copies are judged each,
+but count once in a stratum's holdout; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,12 +123,12 @@ def binomial_cdf(k: Column, n: Column, r: float) -> Column:
 
 
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, step): the strictest step of the path that is safe with all before it, from rows of `measure` with their ``lang``."""
+    """(stratum, step): the strictest step of the path that is safe with all before it, from rows of `measure` with ``lang`` and ``text_hash``."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1")
     held = measured.where("not base_failed").join(good.select("doc_id"), "doc_id")
     # the number of a rule's cutoffs that a document stays under: it exceeds all from there on
     under = lambda rule: F.size(F.filter(F.array(*map(F.lit, cutoffs_of(rule))), lambda c: _value(rule) <= c))
-    first = held.select(F.col("lang").alias("stratum"), F.least(*map(under, RULES)).alias("step"))
+    first = held.select(F.col("lang").alias("stratum"), "text_hash", F.least(*map(under, RULES)).alias("step")).distinct()
     counts = common.materialize(first.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("c")), "rule-counts")
     sizes = counts.groupBy("stratum").agg(F.sum("c").alias("n"))
     strata = sizes.count()
@@ -143,13 +144,14 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, l
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Measurements of each document of ``docs`` with base_failed, rejected_by (rules exceeded) and kept."""
     wanted = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "base_failed")
-    measured = common.materialize(measure(docs.select("doc_id", "lang", "text")).select(*wanted), "measured")
+    rows = measure(docs.select("doc_id", "lang", "text")).select(*wanted, F.xxhash64("text").alias("text_hash"))
+    measured = common.materialize(rows, "measured")
     chosen = choose_cutoffs(measured, labels.select("doc_id", "quality"))
     chosen = common.materialize(chosen, "cutoffs")
     rows = measured.join(common.broadcast_if_small(chosen), F.col("lang").eqNullSafe(F.col("stratum")), "left")
     broken = F.array(*(F.when(_value(rule) > F.get(F.array(*map(F.lit, cutoffs_of(rule))), F.col("step")), F.lit(rule)) for rule in RULES))
     rows = rows.withColumn("rejected_by", F.array_compact(broken))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("stratum", "step")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("stratum", "step", "text_hash")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +169,7 @@ win AS (SELECT doc_id, s, array_to_string(w[s : s + {REPEAT_WINDOW - 1}], ' ') A
 rep AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, p) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT x) AS n_repeat_words FROM (SELECT doc_id, unnest(range(s, s + {REPEAT_WINDOW})) AS x FROM rep) GROUP BY doc_id),
 m AS (
-  SELECT d.doc_id, d.lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  SELECT d.doc_id, d.lang, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, coalesce(n_repeat_words, 0) AS n_repeat_words,
          length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks
@@ -176,7 +178,7 @@ b AS (SELECT *, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIG
 v AS ({values}),
 c(rule, i, cutoff) AS (VALUES {cutoffs}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
-held AS (SELECT b.doc_id, b.lang FROM b JOIN good ON b.doc_id = good.doc_id WHERE NOT base_failed),
+held AS (SELECT min(b.doc_id) AS doc_id, b.lang FROM b JOIN good ON b.doc_id = good.doc_id WHERE NOT base_failed GROUP BY b.lang, b.t),
 sz AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
 over AS (SELECT held.doc_id, held.lang, c.i, bool_or(v.v > c.cutoff) AS any_over FROM held JOIN v ON v.doc_id = held.doc_id JOIN c ON c.rule = v.rule GROUP BY ALL),
 k AS (SELECT sz.lang, sz.n, over.i, count(*) FILTER (WHERE any_over) AS k FROM over JOIN sz ON over.lang IS NOT DISTINCT FROM sz.lang GROUP BY ALL),
