@@ -30,7 +30,7 @@ def notices(text):
                 by.setdefault(d - i, set()).add(i)
         run, last = set(), None
         for d in sorted(by):
-            run = run | by[d] if last is not None and d - last <= licenses.SHIFT else by[d]
+            run = run | by[d] if last is not None and d - last <= max(licenses.SHIFT, 0.4 * (len(t) - 3)) else by[d]
             last = d
             if len(run) >= licenses.COVER * (len(t) - 3):
                 out.add(label)
@@ -69,5 +69,25 @@ def test_texts_are_labelled(spark):
     assert all(label in got[i] for i, _, label in rows)
 
 
+def test_broken_notices(spark):
+    bsd = next(t for t, x in licenses.NOTICES.items() if x == "bsd-terms").split()
+    mit = next(t for t, x in licenses.NOTICES.items() if x == "mit-text").split()
+    grams = len(mit) - 3
+    at = lambda words, i, n: " ".join([*words[:i], *(f"new{j}" for j in range(n)), *words[i:]])
+    far = grams * licenses.SLACK_PERCENT // 100
+    rows = [
+        (1, at(bsd, 10, 5)),  # five words at one place
+        (2, at(bsd, 10, 9)),  # more than the sentence's slack: two halves
+        (3, at(mit, 80, far)), (4, at(mit, len(mit) // 2, far + 1)),
+        (5, " ".join([*mit[len(mit) // 2 :], *mit[: len(mit) // 2]])),  # halves exchanged
+        (6, " ".join(w + (" new" if i % 4 == 3 else "") for i, w in enumerate(bsd))),  # too few 4-grams are left
+        (7, " ".join(bsd[:10] + bsd[13:])),  # three words lost
+    ]
+    check(spark, [(d, t, "") for d, t in rows])
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "bsd-terms" in got[1] and "bsd-terms" not in got[2] and "bsd-terms" not in got[6] and "bsd-terms" in got[7]
+    assert "mit-text" in got[3] and "mit-text" not in got[4] and "mit-text" not in got[5]
+
+
 def test_empty(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0

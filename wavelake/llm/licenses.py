@@ -9,8 +9,11 @@ document word d for template word t lies on the diagonal d - t; votes are aggreg
 
 * A base phrase stands at a place if all of its pairs vote for one diagonal.
 * A notice may have words inserted or lost, which moves the rest to a neighbouring diagonal:
-  diagonals at most `SHIFT` apart are merged, and the merged span is verified by the share of the
-  template's 4-grams that it holds (`COVER`).
+  neighbours at most `SHIFT` apart, or `SLACK_PERCENT` of the template's 4-grams where that is more, are
+  merged, and the merged span is verified by the share of the template's 4-grams that it holds
+  (`COVER`).  So a longer notice may be broken by a longer insertion.  A notice with a changed word in
+  every four keeps none of its 4-grams, and one with a change each four to seven words too few; such
+  are not found.
 
 The template table is a constant of this module, which bounds its broadcast.
 
@@ -70,7 +73,7 @@ NOTICES = {
 }
 #: Words of a base phrase's and of a notice's k-grams.
 BASE_GRAM, NOTICE_GRAM = 2, 4
-SHIFT, COVER = 3, 0.6
+SHIFT, SLACK_PERCENT, COVER = 3, 40, 0.6
 
 
 def _grams() -> list[tuple[str, str, str, bool, int, int, int]]:
@@ -128,8 +131,9 @@ def spans(docs: DataFrame) -> DataFrame:
         F.collect_set("at").alias("seen"), F.min("pos").alias("start"), F.max(F.col("pos") + F.col("k")).alias("end"))
     order = Window.partitionBy(*key).orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
+    far = (gap > SHIFT) & (100 * gap > SLACK_PERCENT * F.col("grams"))
     # a base phrase needs one diagonal, so each of its diagonals is an island
-    fresh = F.when(F.col("base") | gap.isNull() | (gap > SHIFT), 1).otherwise(0)
+    fresh = F.when(F.col("base") | gap.isNull() | far, 1).otherwise(0)
     islands = diagonal.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
     merged = islands.groupBy(*key, "island").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("hits"), F.min("start").alias("start"), F.max("end").alias("end"))
@@ -170,7 +174,7 @@ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{common.U
 p AS (SELECT doc_id, s - 1 AS pos, k, array_to_string(w[s : s + k - 1], ' ') AS gram FROM d, (VALUES ({BASE_GRAM}), ({NOTICE_GRAM})) ks(k), unnest(range(1, len(w) - k + 2)) u(s)),
 v AS (SELECT doc_id, template, label, base, grams, place, pos, pos - place AS diagonal FROM p JOIN t USING (k, gram)),
 g AS (SELECT doc_id, template, label, base, grams, diagonal, list(DISTINCT place) AS seen, min(pos) AS s FROM v GROUP BY doc_id, template, label, base, grams, diagonal),
-f AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {SHIFT}, true) THEN 1 ELSE 0 END AS fresh FROM g WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+f AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > greatest({SHIFT}, {SLACK_PERCENT} * grams // 100), true) THEN 1 ELSE 0 END AS fresh FROM g WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM f),
 x AS (SELECT doc_id, template, label, base, grams, island, min(s) AS s, len(list_distinct(flatten(list(seen)))) / CAST(grams AS DOUBLE) AS cover FROM i GROUP BY doc_id, template, label, base, grams, island),
 ok AS (SELECT * FROM x WHERE cover >= CASE WHEN base THEN 1.0 ELSE {COVER} END),
