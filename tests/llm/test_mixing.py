@@ -82,6 +82,36 @@ def test_mix_repeats_rows(spark):
     assert {(r.doc_id, r.text) for r in out.collect()} <= {(r[0], r[1]) for r in rows}
 
 
+def test_mix_of_copies_and_null_ids(spark):
+    # one text many times over without a doc_id, other texts without one, copies that differ in an extra column
+    rows = [(None, "hot words here", "big", "x")] * 400 + [(None, f"text {i} of five words", "big" if i % 3 else None, "x") for i in range(150)]
+    rows += [(9, "a b c d", "abc", f"row {i % 5}") for i in range(60)] + [(9, "a b c d", None, "x")] * 3 + [(i, "one two " * (i % 6), "abc", "x") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key string")
+    counts = Counter()
+    for r in mixing.mix_sizes(docs).collect():
+        counts[(r.doc_id, r.source, r["size"], r.key)] += r.times
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    got, given = Counter(map(tuple, out.collect())), Counter(rows)
+    assert set(got) <= set(given) and all(got[r] <= 3 * given[r] for r in got)
+    assert Counter(map(tuple, mixing.mix(spark.createDataFrame(rows[::-1], docs.schema)).collect())) == got
+    keyed = docs.select("doc_id", "source", "text", mixing._size().alias("size"), mixing._key().alias("k")).distinct().collect()
+    by_doc = Counter()
+    for r in keyed:
+        by_doc[(r.doc_id, r.source, r["size"], r.k)] += sum(n for (d, t, s, _), n in got.items() if (d, t, s) == (r.doc_id, r.text, r.source))
+    assert +by_doc == +counts
+    assert len({r.k for r in keyed if r.doc_id is None}) == 151
+    # some group is used unequally, so both ways are taken
+    assert any(len({r.times for r in g}) > 1 for g in _groups(mixing.mix_sizes(docs).where("size > 0").collect()))
+
+
+def _groups(rows):
+    by = {}
+    for r in rows:
+        by.setdefault((r.doc_id, r.source, r.key), []).append(r)
+    return by.values()
+
+
 def test_edge_slice_is_cut_again_without_change(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     whole = Counter(map(tuple, mixing.mix_sizes(docs).collect()))

@@ -11,9 +11,13 @@ Prefix sums are made in two steps so that a source with most of the rows is spre
 each slice.  The global cut works alike on slices of the virtual time; the slice in which the budget ends
 is cut again until at most `EDGE_ITEMS` queued documents are left in it.
 
+`mix` joins the counts back to the rows by document.  Alike rows of a document stand side by side in the
+queue, so they are nearly always used equally often and need no numbers, however many they are; only
+where a pass begins or the budget ends among them are they told apart.
+
 Defined cases: null or empty text has size 0 and is never taken; a null source is a source of its
-own and sorts last; repeated rows queue as separate documents; an empty table gives no rows;
-extra columns are ignored by `mix_sizes` and kept by `mix`.
+own and sorts last; repeated rows queue as separate documents; documents without a doc_id are known by
+their text; an empty table gives no rows; extra columns are ignored by `mix_sizes` and kept by `mix`.
 """
 
 from __future__ import annotations
@@ -39,6 +43,11 @@ def _size() -> Column:
     return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _key() -> Column:
+    """Where a document stands in its source's shuffled order: by doc_id, or by text without one."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
     """(source, src, source_size, target): weights times the common level, capped at ``passes`` times the size.
 
@@ -102,13 +111,12 @@ def _edge(flat: DataFrame, budget: int) -> tuple[int, int, DataFrame, int] | Non
 
 
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times): how often the mix takes each document.
+    """(doc_id, source, size, key, source_size, target, times): how often the mix takes each document.
 
     The budget is the sum of all sizes.  Only two bounded facts reach the driver: the budget and
     the last item taken.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = common.materialize(docs.select("doc_id", "source", _size().alias("size"), key.alias("key")), "mix-sizes")
+    sizes = common.materialize(docs.select("doc_id", "source", _size().alias("size"), _key().alias("key")), "mix-sizes")
     targets = common.materialize(source_targets(sizes, weights, passes), "mix-targets")
 
     def item(e: Column) -> Column:
@@ -135,24 +143,34 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
             slot = _slot(i["finish"], scale)
             return (slot < at) | ((slot == at) & at_edge)
         taken = F.when(F.col("items").isNull(), 0).otherwise(F.size(F.filter("items", served)))
-    return queue.select("doc_id", "source", "size", "source_size", "target", taken.alias("times"))
+    return queue.select("doc_id", "source", "size", "key", "source_size", "target", taken.alias("times"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row as often as the mix takes it, in the columns of ``docs``.
 
-    Rows are matched by (doc_id, source, size): rows alike in these share their count in shuffled order.
+    Rows are matched by (key, source, size).  ``uses`` counts, for e = 1, 2, ..., the rows alike in these that are
+    taken e times or more.  If each count is none or all of them, every row joins its document's number at
+    once, and a hot document may be split over tasks.  Else equal rows are counted before the shuffle, and
+    the rows that begin the order of their texts take the larger numbers.
     """
-    # keys without nulls, so that the numbering and the join of a row need one shuffle of it
-    key = {"k_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "k_source": F.coalesce("source", F.lit("")), "k_null": F.concat(F.col("doc_id").isNull().cast("string"), F.col("source").isNull().cast("string"))}
-    same = Window.partitionBy(*key, "size")
-    sized = docs.select(*(c.alias(n) for n, c in key.items()), _size().alias("size"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
-    rows = sized.withColumn("nth", F.row_number().over(same.orderBy("hash")))
-    times = mix_sizes(docs).withColumns(key).withColumn("t_nth", F.row_number().over(same.orderBy(F.desc("times"))))
-    t = times.where("times > 0").select(*key, "size", "t_nth", "times")
-    # an equality would become a part of the join key and ask for another shuffle
-    found = rows.join(t, [*key, "size"]).where((F.col("nth") <= F.col("t_nth")) & (F.col("nth") >= F.col("t_nth")))
-    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass")).select("row.*")
+    # names of their own beside the row, and no nulls, so that the join is by equality
+    source = {"k_source": F.coalesce("source", F.lit("")), "k_null": F.col("source").isNull()}
+    same = ("key", *source, "size")
+    rows = docs.select(_key().alias("key"), *(c.alias(n) for n, c in source.items()), _size().alias("size"), F.struct("*").alias("row"))
+    at_least = F.array(*(F.count_if(F.col("times") >= e) for e in range(1, PASSES + 1)))
+    uses = mix_sizes(docs).where("size > 0").withColumns(source).groupBy(*same).agg(F.count(F.lit(1)).alias("n"), at_least.alias("uses"))
+    uses = common.materialize(uses.where(F.col("uses")[0] > 0).withColumn("equal", F.forall("uses", lambda a: (a == 0) | (a == F.col("n")))), "mix-uses")
+    times = uses.where("equal").select(*same, F.size(F.filter("uses", lambda a: a > 0)).alias("times"))
+    mixed = rows.join(times, [*same]).select("row", "times")
+    cut = uses.where("not equal").select(*same, "uses")
+    if not cut.isEmpty():
+        some = rows.join(common.broadcast_if_small(cut), [*same]).groupBy(*same, "uses", "row").agg(F.count(F.lit(1)).alias("n"))
+        earlier = Window.partitionBy(*same).orderBy(F.to_json("row")).rowsBetween(Window.unboundedPreceding, -1)
+        some = some.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        taken = F.aggregate("uses", F.lit(0).cast("long"), lambda t, a: t + F.greatest(F.least(a - F.col("before"), F.col("n")), F.lit(0)))
+        mixed = mixed.union(some.select("row", taken.cast("int").alias("times")).where("times > 0"))
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass")).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
