@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from wavelake.config import EngineConfig
-from wavelake.operators import intervals
+from wavelake.operators import intervals, metrics
 
 COLS = "k int, start_s double, end_s double"
 
@@ -113,3 +113,17 @@ def test_null_and_empty_sides(spark):
     assert intervals.overlap_join(some, none, ["k"], True, "left").count() == 2 and intervals.overlap_counts(none, none, ["k"], False).count() == 0
     with pytest.raises(ValueError):
         intervals.overlap_join(some, some, ["k"], True, "full")
+
+
+def test_joins_by_slices_send_no_table_through_the_driver(spark, tmp_path):
+    # files of a few bytes look small to the optimizer, however many rows they hold
+    spark.sql("SELECT id % 5 AS s, id AS event_index, CAST(id AS double) AS start_s, id + 2.0D AS end_s, id AS window_idx, 0.5D AS p, 1 AS label FROM range(100)").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    w, e = rows.drop("event_index"), rows.select("s", "event_index", "start_s", "end_s")
+    made = (
+        intervals.overlapping_pairs(e, w.select("s", F.col("start_s").alias("a"), F.col("end_s").alias("b")), ["s"], True, right_bounds=("a", "b")),
+        intervals.label_points(w, e, ["s"], "start_s"), metrics.event_hits(w, e, ["s"], "p", 0.25), metrics.alerts_per_event(w, e, ["s"], "p", 0.25, 1),
+    )
+    for df in made:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert made[0].count() == 100 and made[1].where("label = 1").count() == 100 and made[2].where("detected").count() == 100

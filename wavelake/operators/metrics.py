@@ -67,7 +67,7 @@ def event_hits(windows: DataFrame, events: DataFrame, keys: Sequence[str], score
     e = events.select(*keys, "event_index", "start_s", "end_s")
     met = overlapping_pairs(e, w, keys, True, right_bounds=("w_start", "w_end")).groupBy(*keys, "event_index").agg(
         F.count("w_score").alias("overlapping"), F.bool_or("w_hot").alias("detected"), F.max("w_score").alias("max_score"))
-    out = e.join(met, [*keys, "event_index"], "left")
+    out = e.join(met.hint("merge"), [*keys, "event_index"], "left")
     return out.select(*keys, "event_index", "start_s", "end_s", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), F.coalesce("detected", F.lit(False)).alias("detected"), "max_score")
 
 
@@ -87,7 +87,7 @@ def event_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], sc
 def alert_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, threshold: float | Column, refractory: int | Column, stride_seconds: float = 5.0, groups: Sequence[str] = ()) -> DataFrame:
     """One row per group (`event_metrics`): alerts after the refractory rule, events they hit, false alerts per hour."""
     fired = refractory_alerts(windows, keys, score, threshold, refractory)
-    alerts = materialize(windows.join(fired, [*keys, "window_idx"]).select(*keys, "window_idx", "start_s", "end_s"), "alerts")
+    alerts = materialize(windows.join(fired.hint("merge"), [*keys, "window_idx"]).select(*keys, "window_idx", "start_s", "end_s"), "alerts")
     e = events.select(*keys, "event_index", F.col("start_s").alias("e_start"), F.col("end_s").alias("e_end"))
     met = overlapping_pairs(alerts, e, keys, True, right_bounds=("e_start", "e_end")).groupBy(*groups).agg(
         F.count_distinct(*keys, "window_idx").alias("true_alerts"), F.count_distinct(*keys, "event_index").alias("detected_events"))
@@ -102,11 +102,11 @@ def alert_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], sc
 
 def alerts_per_event(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, threshold: float, refractory: int) -> DataFrame:
     """(keys, event_index, alert_count) for every event."""
-    fired = windows.join(refractory_alerts(windows, keys, score, threshold, refractory), [*keys, "window_idx"])
+    fired = windows.join(refractory_alerts(windows, keys, score, threshold, refractory).hint("merge"), [*keys, "window_idx"])
     a = fired.select(*keys, F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"))
     e = events.select(*keys, "event_index", "start_s", "end_s")
     met = overlapping_pairs(e, a, keys, True, right_bounds=("w_start", "w_end")).groupBy(*keys, "event_index").agg(F.count(F.lit(1)).alias("alert_count"))
-    return e.select(*keys, "event_index").join(met, [*keys, "event_index"], "left").fillna(0, ["alert_count"])
+    return e.select(*keys, "event_index").join(met.hint("merge"), [*keys, "event_index"], "left").fillna(0, ["alert_count"])
 
 
 def false_alarm_rate(score: str, label: str, threshold: float | Column, hours: Column | float) -> Column:
