@@ -1104,7 +1104,7 @@ FROM cm LEFT JOIN de USING (budget) LEFT JOIN ac USING (budget) LEFT JOIN ah USI
 def _(spark, sf):
     w, ev = scored(spark, sf), merged(spark, sf)
     users = splits.patient_split(w.select("user_id", "label"), "user_id", "label")
-    of = lambda rows, part: rows.join(users.where(F.col("split") == part), KEY, "left_semi")
+    of = lambda rows, part: rows.join(users.where(F.col("split") == part).hint("merge"), KEY, "left_semi")
     r = detection.budget_report(of(w, "val"), of(w, "test"), of(ev, "test"), KEY, refractory_minutes=1.0)
     r = r.select("budget", F.round("threshold", 6).alias("threshold"), "tp", "fp", "tn", "fn", "n", "event_count", "detected_events", F.round("event_sensitivity", 6).alias("event_sensitivity"), F.round("false_alarms_per_hour", 4).alias("false_alarms_per_hour"),
                  "alerts", "true_alerts", "false_alerts", "alert_detected_events", F.round("false_alerts_per_hour", 4).alias("false_alerts_per_hour"))
