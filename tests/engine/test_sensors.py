@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from wavelake.sources import sensors
+from wavelake import queries
+from wavelake.sources import labels, listing, sensors
 
 MISSING = {"", "na", "nan", "n/a", "null"}
 
@@ -88,3 +89,47 @@ def test_no_files_with_samples(spark, tmp_path):
         assert sensors.read_sensors(spark, str(tmp_path), mode).count() == 0
     with pytest.raises(ValueError):
         sensors.read_sensors(spark, str(tmp_path), "loose")
+
+
+def test_a_sensor_file_is_written_whole(spark):
+    # both sides of the union are dealt by user; their parts are put together by size, each side by itself
+    conf = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        folder = queries.sensor_files(spark, "/root/testdata/sf0.001")
+        files = spark.read.text(f"{folder}/*").select("_metadata.file_path").distinct().count()
+        users = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert files == users == 15
+
+
+def test_listing_by_tasks(spark, tmp_path):
+    names = ["a.csv", "b.txt", "one/a.csv", "one/two/three/c.csv", "one/.hidden.csv", "_no/a.csv", "_k=1/a.csv", "one/empty.csv", "one two/d.csv", "one/new\nline.csv"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("" if "empty" in n else "1\n")
+    (tmp_path / "empty").mkdir()
+    got = {r.path for r in listing.list_files(spark, str(tmp_path), "*.csv").collect()}
+    assert got == {f"file:{tmp_path}/{n}" for n in ("a.csv", "one/a.csv", "one/two/three/c.csv", "_k=1/a.csv", "one two/d.csv", "one/new\nline.csv")}
+    assert listing.list_files(spark, f"{tmp_path}/*", "a.csv").count() >= 2  # a pattern goes to Spark
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels" / "x.txt").write_bytes("1\r\n2 3\n\xe9\n4".encode("latin-1"))
+    lines = listing.read_lines(listing.list_files(spark, f"{tmp_path}/labels", "*.txt"))
+    assert sorted(r.value for r in lines.collect()) == ["1", "2 3", "4", "�"]
+
+
+def test_small_files_take_few_tasks(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('d', id % 1000, '/', id, '.txt') AS path", "CAST(id AS string) AS value")
+    listing.write_lines(rows, [], f"file://{tmp_path}")
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("small files", "")
+    try:
+        assert sorted(r.onset_s for r in labels.read_labels(spark, str(tmp_path)).collect()) == list(range(3000))
+        jobs = [before.getJobInfo(j) for j in before.getJobIdsForGroup("small files")]
+        assert sum(before.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if before.getStageInfo(s)) < 200
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()

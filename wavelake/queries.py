@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from .operators.scoring import FeatureScorer, LowRankScorer
 from .plans import detection, figures, prediction
 from .scratch import scratch
 from .sinks import writers
-from .sources import archives, labels, sensors
+from .sources import archives, labels, listing, sensors
 from .streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -853,10 +852,14 @@ def sensor_files(spark: SparkSession, sf: str, spoilt: bool = False) -> str:
     first = s.groupBy("user_id").agg(F.min("t_s").cast("string").alias("start"))
     head = first.select("user_id", F.posexplode(F.array("start", F.lit("4.0"))).alias("at", "value")).select("user_id", (F.col("at") - 2).cast("long").alias("i"), "value")
     folder = scratch(spark, "sensors")
-    rows.unionByName(head).repartition("user_id").sortWithinPartitions("user_id", "i").select("user_id", "value").write.partitionBy("user_id").text(folder)
+    listing.write_lines(rows.unionByName(head).select(_file(), "i", "value"), ["i"], folder)
     return folder
 
 
+def _file():
+    return F.concat(F.lit("user_id="), F.col("user_id"), F.lit("/data.txt")).alias("path")
+
+
 def _user(path: str = "path"):
     return F.regexp_extract(path, r"/user_id=(\d+)/", 1).cast("long").alias("user_id")
 
@@ -892,24 +895,14 @@ def _(spark, sf):
 def _(spark, sf):
     o = onsets(spark, sf).select("user_id", F.concat_ws(", ", F.col("onset_s").cast("string"), F.col("second_s").cast("string")).alias("value"))
     folder = scratch(spark, "label-files")
-    o.unionByName(o.select("user_id", F.lit("# a comment").alias("value")).distinct()).write.partitionBy("user_id").text(folder)
+    listing.write_lines(o.unionByName(o.select("user_id", F.lit("# a comment").alias("value")).distinct()).select(_file(), "value"), ["value"], folder)
     return labels.read_labels(spark, folder).select(_user(), "onset_s", "second_s")
 
 
 def data_folder(spark: SparkSession, files: DataFrame, name: str) -> str:
     """A folder in the shared one with a file of one line for each ``path``; tasks make the files."""
     folder = scratch(spark, name)
-
-    def touch(frames):
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        for f in frames:
-            for path in f["path"]:
-                fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(f"{base}/{path}", compression=None) as out:
-                    out.write(b"0\n")  # Spark passes over files without any bytes
-            yield f
-
-    files.select("path").repartition("path").mapInPandas(touch, "path string").agg(F.count(F.lit(1))).collect()
+    listing.write_lines(files.select("path", F.lit("0").alias("value")), [], folder)  # Spark passes over files without any bytes
     return folder
 
 

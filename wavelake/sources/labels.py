@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patient_id
+from .listing import by_tasks, list_files, read_lines
 
 
 def parse_label_lines(lines: DataFrame) -> DataFrame:
@@ -26,5 +27,8 @@ def find_label_files(spark: SparkSession, path: str, prefix: str = "Mayo_") -> D
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(path, onset_s, second_s) of all label files under ``path``; order by onset_s where order matters."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
-    return parse_label_lines(lines.select(F.input_file_name().alias("path"), "value"))
+    if by_tasks(spark, path):
+        lines = read_lines(list_files(spark, path, "*.txt")).withColumn("path", F.regexp_replace("path", "^file:/(?!/)", "file:///"))
+    else:
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path).select(F.input_file_name().alias("path"), "value")
+    return parse_label_lines(lines)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patient_id
 from ..scratch import materialize
+from .listing import list_files
 
 MODES = ("fast", "tolerant", "strict")
 #: Bytes that hold the two header lines, for `probe_sensors` alone.
@@ -152,5 +153,4 @@ def sessions_from_files(files: DataFrame, required: tuple[str, ...] = ("ACC", "B
 
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Session folders under a data folder, by listing alone: contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
-    return sessions_from_files(files.select("path"))
+    return sessions_from_files(list_files(spark, path, "*.csv"))
