@@ -5,7 +5,10 @@ from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
+from wavelake.config import EngineConfig
+from wavelake.operators import prefix
 from wavelake.operators.prefix import Running, number_rows, running
+from wavelake.scratch import materialize
 
 
 @pytest.fixture
@@ -49,3 +52,20 @@ def test_no_keys_and_no_rows(spark, many_parts):
     assert number_rows(df.where("t = 5"), [], [F.col("t").desc()], "i").collect()[0].i == 0
     with pytest.raises(ValueError):
         running(df, [], ["t"], {"x": Running("min", F.col("t"))})
+
+
+@pytest.mark.parametrize("config", [None, EngineConfig(one_task_bytes=1 << 70)])
+def test_last_and_next_in_one_order(spark, many_parts, monkeypatch, config):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice([None, None, i])) for i in range(2000)]
+    held = F.col("v") + 0
+    written = []
+    monkeypatch.setattr(prefix, "materialize", lambda df, name: written.append(df.columns) or materialize(df, name))
+    got = running(spark.createDataFrame(rows, "k int, t long, v int"), ["k"], ["t"], {"a": Running("last", held), "b": Running("next", held), "c": Running("next", held, False)}, config)
+    want = []
+    for k, t, v in rows:
+        of = [x for kk, _, x in rows if kk == k and x is not None]
+        want.append((k, t, v, max((x for x in of if x <= t), default=None), min((x for x in of if x >= t), default=None), min((x for x in of if x > t), default=None)))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    # one pass, which carries the value once
+    assert written == ([] if config else [["k", "t", "v", "__run_v0", "__run_at"]])

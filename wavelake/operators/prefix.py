@@ -3,7 +3,7 @@
 A window function puts all rows of a key into one task.  Here the rows are dealt out by ranges of
 (keys, order), which Spark cuts from a sample, so that a long key spans many tasks and many short ones
 share a task.  Each part is reduced to a row a key; what the parts before it add up to is its offset.
-Only a key that goes on from the part before needs one, so there are at most as many offsets as parts,
+Only a key that spans parts needs them, so there are at most twice as many offsets as parts,
 and they are broadcast.  Inside a part a window does the rest.
 
 The dealt rows are written to the shared folder first: a part that is computed again after the loss of
@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
@@ -26,7 +26,7 @@ from ..scratch import materialize
 
 
 class Running(NamedTuple):
-    """What to carry along: ``sum``, ``max``, or ``last`` (not null) of a column, with or without the row itself."""
+    """What to carry along: ``sum``, ``max``, ``last`` or, from the other end, ``next`` (not null) of a column, with or without the row itself."""
 
     how: str
     value: Column
@@ -48,6 +48,15 @@ def _carry(how: str, value: Column, window) -> Column:
     return F.max(value).over(window) if how == "max" else F.last(value, ignorenulls=True).over(window)
 
 
+def _frames(by: Sequence[Column | str], place: str) -> dict[tuple[bool, bool], WindowSpec]:
+    """By (backwards, inclusive): the rows up to this one, from either end of ``place``."""
+    out = {}
+    for backwards in (False, True):
+        spec = Window.partitionBy(*by).orderBy(F.desc(place) if backwards else F.asc(place))
+        out |= {(backwards, True): spec.rowsBetween(Window.unboundedPreceding, 0), (backwards, False): spec.rowsBetween(Window.unboundedPreceding, -1)}
+    return out
+
+
 def _merge(how: str, before: Column, here: Column) -> Column:
     """What was carried up to a part and inside it, together."""
     if how == "sum":
@@ -58,10 +67,10 @@ def _merge(how: str, before: Column, here: Column) -> Column:
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], columns: dict[str, Running], config: EngineConfig | None = None) -> DataFrame:
     """``df`` with ``columns`` carried along ``order`` inside each of ``keys``; null keys are a key, nulls come first.
 
-    Sums over no rows are 0, maxima and last values null.  Without a ``config`` the rows are always dealt out.
+    Sums over no rows are 0, maxima, last and next values null.  Columns that carry the same `Column` share it.  Without a ``config`` the rows are always dealt out.
     """
     for c in columns.values():
-        if c.how not in ("sum", "max", "last"):
+        if c.how not in ("sum", "max", "last", "next"):
             raise ValueError(f"cannot carry {c.how}")
     named = [F.col(k) for k in keys]
     by = [*named, *(F.col(o) if isinstance(o, str) else o for o in order)]
@@ -69,26 +78,35 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
     if config and fits_one_task(df, config):
         spec = Window.partitionBy(*keys).orderBy(*by[len(keys):])
         frames = {True: spec.rowsBetween(Window.unboundedPreceding, 0), False: spec.rowsBetween(Window.unboundedPreceding, -1)}
-        return df.withColumns({n: _merge(c.how, nothing, _carry(c.how, c.value, frames[c.inclusive])) for n, c in columns.items()})
-    rows = df.withColumns({f"__run_v{i}": c.value for i, c in enumerate(columns.values())})
+        ahead = {n: c for n, c in columns.items() if c.how == "next"}
+        forward = {n: _merge(c.how, nothing, _carry(c.how, c.value, frames[c.inclusive])) for n, c in columns.items() if n not in ahead}
+        if not ahead:
+            return df.withColumns(forward)
+        # the same order from its other end; a sort by place, no other shuffle
+        if set(columns) & set(df.columns):
+            raise ValueError("next values need names of their own")
+        back = _frames(keys, "__run_at")
+        out = df.withColumns(forward | {"__run_at": F.row_number().over(spec)}).withColumns({n: _carry(c.how, c.value, back[True, c.inclusive]) for n, c in ahead.items()})
+        return out.select(*df.columns, *columns)
+    values = [next(j for j, other in enumerate(columns.values()) if other.value is c.value) for c in columns.values()]
+    rows = df.withColumns({f"__run_v{i}": c.value for i, c in enumerate(columns.values()) if values[i] == i})
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__run_at", F.monotonically_increasing_id())
     dealt = materialize(dealt, "ranges").withColumn("__run_part", F.shiftright("__run_at", _ROW_BITS))
 
     whole = {}
     for i, c in enumerate(columns.values()):
-        v = F.col(f"__run_v{i}")
-        last = F.max(F.when(v.isNotNull(), F.struct(F.col("__run_at"), v.alias("v"))))["v"]
-        whole[f"__run_w{i}"] = F.sum(v) if c.how == "sum" else F.max(v) if c.how == "max" else last
+        v = F.col(f"__run_v{values[i]}")
+        end = (F.min if c.how == "next" else F.max)(F.when(v.isNotNull(), F.struct(F.col("__run_at"), v.alias("v"))))["v"]
+        whole[f"__run_w{i}"] = F.sum(v) if c.how == "sum" else F.max(v) if c.how == "max" else end
     parts = dealt.groupBy(*keys, "__run_part").agg(*(e.alias(n) for n, e in whole.items()))
     in_turn = Window.partitionBy(*keys).orderBy("__run_part")
-    earlier = in_turn.rowsBetween(Window.unboundedPreceding, -1)
+    beyond = _frames(keys, "__run_part")
     offsets = parts.select(
-        *(F.col(k).alias(f"__run_of{j}") for j, k in enumerate(keys)), F.col("__run_part").alias("__run_p"), F.lag(F.lit(True)).over(in_turn).alias("__run_goes_on"),
-        *(_carry(c.how, F.col(f"__run_w{i}"), earlier).alias(f"__run_b{i}") for i, c in enumerate(columns.values()))).where("__run_goes_on").drop("__run_goes_on")
+        *(F.col(k).alias(f"__run_of{j}") for j, k in enumerate(keys)), F.col("__run_part").alias("__run_p"), F.coalesce(F.lag(F.lit(True)).over(in_turn), F.lead(F.lit(True)).over(in_turn)).alias("__run_goes_on"),
+        *(_carry(c.how, F.col(f"__run_w{i}"), beyond[c.how == "next", False]).alias(f"__run_b{i}") for i, c in enumerate(columns.values()))).where("__run_goes_on").drop("__run_goes_on")
 
-    inside = Window.partitionBy("__run_part", *keys).orderBy("__run_at")
-    frames = {True: inside.rowsBetween(Window.unboundedPreceding, 0), False: inside.rowsBetween(Window.unboundedPreceding, -1)}
-    out = dealt.withColumns({f"__run_h{i}": _carry(c.how, F.col(f"__run_v{i}"), frames[c.inclusive]) for i, c in enumerate(columns.values())})
+    inside = _frames(["__run_part", *keys], "__run_at")
+    out = dealt.withColumns({f"__run_h{i}": _carry(c.how, F.col(f"__run_v{values[i]}"), inside[c.how == "next", c.inclusive]) for i, c in enumerate(columns.values())})
     on = F.col("__run_part") == F.col("__run_p")
     for j, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__run_of{j}"))

@@ -64,8 +64,8 @@ def interpolate_at(
 ) -> DataFrame:
     """``points`` (keys, ``at``) with ``value`` linearly interpolated between the samples before and after them, at whatever times those are.
 
-    Samples and points are put in one order; the last sample at or before a point is carried to it, and, from the
-    other end, the first one after it.  A point at a sample takes its value; of samples at one time the last by ``tie``
+    Samples and points are put in one order, once; the last sample at or before a point is carried to it, and, from the
+    other end of the same parts, the first one after it.  A point at a sample takes its value; of samples at one time the last by ``tie``
     counts backwards and the first forwards.  Beyond the ends the nearest sample is held.  Samples further away than
     ``tolerance`` seconds are no neighbours: with one neighbour it is held, without any the value is null.  Null values
     and times of samples are left out; null keys match null keys.
@@ -74,10 +74,10 @@ def interpolate_at(
     order = F.col(tie).cast("double") if tie else F.lit(0.0)
     nothing = F.lit(None)
     own = F.struct(*points.columns)
-    s = samples.where(v.isNotNull() & t.isNotNull()).select(*keys, t.alias("__t"), F.lit(0).alias("__o"), order.alias("__tie"), F.struct(t.alias("t"), v.alias("v")).alias("__s"), nothing.alias("__p"))
-    p = points.select(*keys, t.alias("__t"), F.lit(1).alias("__o"), F.lit(0.0).alias("__tie"), nothing.alias("__s"), own.alias("__p"))
-    rows = running(s.unionByName(p), keys, ["__t", "__o", "__tie"], {"__a": Running("last", F.col("__s"))}, config)
-    rows = running(rows, keys, [F.col(c).desc() for c in ("__t", "__o", "__tie")], {"__b": Running("last", F.col("__s"))}, config).where("__p is not null")
+    s = samples.where(v.isNotNull() & t.isNotNull()).select(*keys, t.alias("__t"), F.lit(0).alias("__o"), order.alias("__tie"), v.alias("__v"), nothing.alias("__p"))
+    p = points.select(*keys, t.alias("__t"), F.lit(1).alias("__o"), F.lit(0.0).alias("__tie"), nothing.alias("__v"), own.alias("__p"))
+    sample = F.when(F.col("__v").isNotNull(), F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
+    rows = running(s.unionByName(p), keys, ["__t", "__o", "__tie"], {"__a": Running("last", sample), "__b": Running("next", sample)}, config).where("__p is not null")
     near = lambda x: F.col(x) if tolerance is None else F.when(F.abs(F.col(x)["t"] - F.col("__t")) <= float(tolerance), F.col(x))
     rows = rows.withColumns({"__a": near("__a"), "__b": near("__b")})
     part = (F.col("__t") - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t"))
