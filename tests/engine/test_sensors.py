@@ -133,3 +133,27 @@ def test_small_files_take_few_tasks(spark, tmp_path):
         assert sum(before.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if before.getStageInfo(s)) < 200
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_sessions_by_listing(spark, tmp_path):
+    names = ["Mayo_1/s/a_dev/ACC.csv", "Mayo_1/s/a_dev/bvp.csv", "Mayo_1/s/a_dev/EDA.csv", "Mayo_1/s/a_dev/TEMP.csv", "Mayo_1/s/a_dev/HR.old.csv", "Mayo_2/new\nline_dev/HR.csv", "Mayo_2/none/ACC.csv"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("1\n")
+    got = {(r.patient_id, r.session_id, tuple(r.sensors), r.has_acc, r.has_hr, r.is_valid) for r in sensors.list_sessions(spark, str(tmp_path)).collect()}
+    assert {x[1:] for x in got} == {("a_dev", ("", "ACC", "BVP", "EDA", "TEMP"), True, False, True), ("new\nline_dev", ("HR",), False, True, False)}
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('d', id div 4, '/', id, '.txt') AS path", "CAST(id AS string) AS value")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("written files", "")
+    try:
+        listing.write_lines(rows, [], f"file://{tmp_path}")
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("written files")]
+        stages = {s: tracker.getStageInfo(s) for j in jobs for s in j.stageIds}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    writing = [s.numCompletedTasks for s in stages.values() if s and s.numTasks == s.numCompletedTasks]
+    assert writing.count(int(spark.conf.get("spark.sql.shuffle.partitions"))) >= 2  # the range and the files
+    assert sorted(int(p.read_text()) for p in tmp_path.glob("*/*.txt")) == list(range(400)) and not list(tmp_path.glob("*/.*"))

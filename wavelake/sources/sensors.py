@@ -139,16 +139,15 @@ def sessions_from_files(files: DataFrame, required: tuple[str, ...] = ("ACC", "B
 
     A session folder is any folder with ``_`` in its name that holds sensor files; a session is valid with all required files.
     """
-    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    name = F.upper(F.regexp_extract("path", r"/([^/.]+)\.[^/.]+$", 1))
-    rows = files.select(folder.alias("folder"), name.alias("sensor")).where(F.regexp_extract("folder", r"([^/]+)$", 1).contains("_"))
-    g = rows.groupBy("folder").agg(F.sort_array(F.collect_set("sensor")).alias("sensors"))
+    last = lambda c: F.substring_index(c, "/", -1)
+    name = F.upper(F.regexp_extract(last("path"), r"^([^.]+)\.[^.]+$", 1))
+    rows = files.select(F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("folder"), name.alias("sensor")).where(last("folder").contains("_"))
+    held = lambda s: F.bool_or(F.col("sensor") == s)
     valid = F.lit(True)
     for s in required:
-        valid = valid & F.array_contains("sensors", s)
-    return g.select(
-        patient_id(F.col("folder"), prefix).alias("patient_id"), F.regexp_extract("folder", r"([^/]+)$", 1).alias("session_id"),
-        "folder", "sensors", *(F.array_contains("sensors", s).alias(f"has_{s.lower()}") for s in ("ACC", "BVP", "EDA", "TEMP", "HR", "IBI")), valid.alias("is_valid"))
+        valid = valid & held(s)
+    g = rows.groupBy("folder").agg(F.sort_array(F.collect_set("sensor")).alias("sensors"), *(held(s).alias(f"has_{s.lower()}") for s in ("ACC", "BVP", "EDA", "TEMP", "HR", "IBI")), valid.alias("is_valid"))
+    return g.select(patient_id(F.col("folder"), prefix).alias("patient_id"), last("folder").alias("session_id"), "folder", "sensors", "has_acc", "has_bvp", "has_eda", "has_temp", "has_hr", "has_ibi", "is_valid")
 
 
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
