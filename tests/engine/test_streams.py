@@ -102,3 +102,27 @@ def test_rings_out_of_order_equal_the_batch(spark, tmp_path):
                 want.append((k, seen, tuple(held)))
     assert got == sorted(want, key=repr) and len(want) > 15
     assert rows_left(rings(f"{tmp_path}/again"), f"{tmp_path}/state") <= 1  # the key that came last
+
+
+def many_keys(spark, folder, kind="long"):
+    """Four files of a hot row for each of 3,000 keys, large numbers and null among them."""
+    k = f"CAST(CASE WHEN id = 7 THEN NULL ELSE 9007199254740993 + id END AS {kind})"
+    for i in range(4):
+        rows = spark.range(3000).selectExpr(f"{k} AS k", f"timestamp_seconds(100000 + {i} * 1000 + id % 10) AS ts", "CAST(id % 7 AS double) AS value", "CAST(id AS int) AS id")
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    return online.read_stream(spark, folder, "*.parquet", rows.schema)
+
+
+def test_keys_share_states(spark, tmp_path):
+    alerts = online.refractory(many_keys(spark, f"{tmp_path}/in"), "k", "ts", "value", 0.0, 5000.0, "60 seconds")
+    assert 500 < rows_left(alerts, f"{tmp_path}/state") <= 1024  # a row for a key took a call of Python for each
+    rings = online.ring_windows(many_keys(spark, f"{tmp_path}/again"), "k", "ts", "value", 2, 1, delay="60 seconds")
+    assert 500 < rows_left(rings, f"{tmp_path}/states") <= 1024
+
+
+def test_keys_keep_their_values(spark, tmp_path):
+    want = {None, *(9007199254740993 + i for i in range(3000) if i != 7)}
+    for kind in ("long", "string", "decimal(20,0)"):
+        rings = online.ring_windows(many_keys(spark, f"{tmp_path}/in-{kind}", kind), "k", "ts", "value", 2, 1, delay="60 seconds")
+        got = online.drain(rings, f"{tmp_path}/out-{kind}").collect()
+        assert {None if r.k is None else int(r.k) for r in got} == want and len(got) == 2 * len(want), kind

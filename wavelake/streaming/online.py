@@ -6,22 +6,30 @@ the watermark are dropped, by all of these.
 The operators that depend on order (refractory alerts, ring windows) hold rows back in an event-time buffer
 per key and take them, in order, when the watermark has passed them; no row that comes later can belong before
 them.  So the result is that of a batch over the rows that were not too late, however they arrived.  Nothing is
-kept for ever: a timer at the first buffered row wakes a key even if it stays silent, and when the buffer is
-empty another one drops the key's state once it can matter no more.
+kept for ever: a timer at the first buffered row wakes a key even if it stays silent, and another one drops the
+key's state once it can matter no more.
+
+A call of Python for each key and trigger costs milliseconds, whatever little it has to do.  So keys are dealt into
+`GROUPS` by their hash, and a call takes all keys of a group.  A group's state is arrays over its keys and held rows.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Groups of keys; each has one state and is one call a trigger.
+GROUPS = 1024
+#: A time before all others, for keys without one.
+_NEVER = -(1 << 62)
+
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files as they arrive."""
@@ -45,56 +53,100 @@ def sessions(df: DataFrame, ts: str, keys: Sequence[str], gap: str, delay: str =
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _state_key(df: DataFrame, key: str) -> T.StructField:
-    return next(f for f in df.schema.fields if f.name == key)
+def _key_text(df: DataFrame, key: str) -> tuple[Column, Callable[[Column], Column]]:
+    """(``key`` as text, null where it is null; the way back), exact for atomic types.  Pandas would turn whole numbers with nulls into floats."""
+    kind, at = df.schema[key].dataType, F.col(key)
+    if isinstance(kind, T.ArrayType | T.MapType | T.StructType | T.VariantType):
+        raise TypeError(f"a key of type {kind.simpleString()}")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(at), F.unhex
+    if isinstance(kind, T.TimestampType):  # its text is ambiguous where clocks are set back
+        return F.unix_micros(at).cast("string"), lambda c: F.timestamp_micros(c.cast("long"))
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        at = at + F.lit(0.0)  # -0.0 and 0.0 are one key
+    return at.cast("string"), lambda c: c.cast(kind)
+
+
+def _by_groups(df: DataFrame, key: str, ts: str, columns: Sequence[Column], run: Callable, out: str, held: str) -> DataFrame:
+    """``columns`` of ``df``, dealt into groups of keys for ``run``; its output with the key itself in place of ``__key``."""
+    text, back = _key_text(df, key)
+    dealt = df.select(text.alias("__key"), ts, *columns).withColumn("__group", F.pmod(F.xxhash64("__key"), F.lit(GROUPS)))
+    found = dealt.groupBy("__group").applyInPandasWithState(run, f"__key string, {out}", held, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(back(F.col("__key")).alias(key), *(c for c in found.columns if c != "__key"))
+
 
+def _packed(*columns: Sequence | np.ndarray, kinds: str) -> list[bytes]:
+    return [np.asarray(c, k).tobytes() for c, k in zip(columns, kinds, strict=True)]
 
-def _ripe(frames: Iterator[pd.DataFrame], held: list[tuple], columns: Sequence[str], watermark: int) -> tuple[list[tuple], list[tuple]]:
-    """(rows that the watermark has passed, rows still held), both in order; the first of ``columns`` is the time in microseconds."""
-    rows = list(held)
-    for f in frames:
-        rows += zip(*(f[c].tolist() for c in columns), strict=True)
-    rows.sort()
-    n = bisect.bisect_right(rows, watermark * 1000, key=lambda r: r[0])
-    return rows[:n], rows[n:]
 
+def _unpacked(columns: Sequence[bytes], kinds: str) -> list[np.ndarray]:
+    return [np.frombuffer(bytes(c), k) for c, k in zip(columns, kinds, strict=True)]
 
-def _wake(state: GroupState, held: list[tuple], end: int | None) -> None:
-    """A timer when the first held row is passed, else when the state ends; no state without rows and without an end."""
-    if not held and end is None:
+
+def _ripe(frames: Iterator[pd.DataFrame], keys: list, held: Sequence[np.ndarray], columns: Sequence[str], watermark: int) -> tuple[list, list[np.ndarray], list[np.ndarray]]:
+    """(keys, rows that the watermark has passed, rows still held), the rows as arrays in order.
+
+    The first array numbers the keys, old ones as before; the others are ``columns``, the first of them the time in microseconds.
+    """
+    frames = [f.dropna(subset=[columns[0]]) for f in frames]
+    codes, names = pd.factorize(np.concatenate([np.array(keys, object), *(f["__key"].to_numpy(object) for f in frames)]), use_na_sentinel=False)
+    rows = [np.concatenate([held[0], codes[len(keys):]]), *(np.concatenate([h, *(f[c].to_numpy(h.dtype) for f in frames)]) for c, h in zip(columns, held[1:], strict=True))]
+    order = np.lexsort(rows[::-1])
+    rows = [r[order] for r in rows]
+    passed = rows[1] <= watermark * 1000
+    return [None if pd.isna(k) else k for k in names], [r[passed] for r in rows], [r[~passed] for r in rows]
+
+
+def _kept(of: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys that have held rows or an end, their numbers for the held rows)."""
+    stay = ends > _NEVER
+    stay[of] = True
+    return np.flatnonzero(stay), (np.cumsum(stay) - 1)[of]
+
+
+def _wake(state: GroupState, at: np.ndarray, ends: np.ndarray) -> None:
+    """A timer when the first held row is passed or the first key's state ends; no state without rows and without an end."""
+    times = [*(-(-at // 1000)), *ends[ends > _NEVER]]
+    if times:
+        state.setTimeoutTimestamp(max(int(min(times)), state.getCurrentWatermarkMs() + 1))
+    else:
         state.remove()
-        return
-    at = -(-held[0][0] // 1000) if held else end
-    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+
+
+def _ends(last: np.ndarray, lasts: int, watermark: int) -> np.ndarray:
+    """The millisecond when each key's state ends, ``lasts`` microseconds after its last time; none where that is over or there was no time."""
+    ends = np.where(last > _NEVER, (last + lasts) // 1000 + 1, _NEVER)
+    return np.where(ends > watermark, ends, _NEVER)
 
 
 def refractory(df: DataFrame, key: str, ts: str, score: str, threshold: float, lock_seconds: float, delay: str = "10 minutes") -> DataFrame:
     """(key, ts) of alerts: a hot row fires unless the key fired at most ``lock_seconds`` before.
 
-    Only hot rows are held.  A key's state ends when its last lock does.
+    Only hot rows are held.  A key's state ends when its last lock does.  The key is of an atomic type.
     """
-    out = T.StructType([_state_key(df, key), T.StructField("at", T.LongType())])
     lock = round(lock_seconds * 1e6)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = (state.get[0], [(t,) for t in state.get[1]]) if state.exists else (None, [])
-        hot = () if state.hasTimedOut else (f[f["hot"]] for f in frames)
-        ripe, held = _ripe(hot, held, ("at",), state.getCurrentWatermarkMs())
+        keys, *arrays = state.get if state.exists else ([], b"", b"", b"")
+        last, *held = _unpacked(arrays, "qqq")
+        watermark = state.getCurrentWatermarkMs()
+        keys, (of, at), (held_of, held_at) = _ripe(() if state.hasTimedOut else (f[f["hot"]] for f in frames), list(keys), held, ("at",), watermark)
+        last = [*last.tolist(), *[_NEVER] * (len(keys) - len(last))]
         fired = []
-        for (t,) in ripe:
-            if last is None or t - last > lock:
-                last = t
-                fired.append(t)
-        end = None if last is None else (last + lock) // 1000 + 1
-        if end is not None and end <= state.getCurrentWatermarkMs():
-            last = end = None  # no row that is still to come can be locked
-        state.update((last, [t for (t,) in held]))
-        _wake(state, held, end)
-        yield pd.DataFrame({key: [k[0]] * len(fired), "at": fired})
+        for i, t in zip(of.tolist(), at.tolist(), strict=True):
+            if t - last[i] > lock:
+                last[i] = t
+                fired.append((keys[i], t))
+        last = np.array(last, np.int64)
+        ends = _ends(last, lock, watermark)  # after it no row that is still to come can be locked
+        stay, number = _kept(held_of, ends)
+        state.update(([keys[i] for i in stay], *_packed(np.where(ends > _NEVER, last, _NEVER)[stay], number, held_at, kinds="qqq")))
+        _wake(state, held_at, ends)
+        yield pd.DataFrame(fired, columns=["__key", "at"])
 
     # rows that are not hot go along, for a filter here would move below the watermark, which then would stand still between alerts
-    rows = event_time(df, ts, delay).select(key, ts, F.unix_micros(ts).alias("at"), F.coalesce(F.col(score) >= threshold, F.lit(False)).alias("hot"))
-    found = rows.groupBy(key).applyInPandasWithState(run, out, "last long, held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    columns = [F.unix_micros(ts).alias("at"), F.coalesce(F.col(score) >= threshold, F.lit(False)).alias("hot")]
+    found = _by_groups(event_time(df, ts, delay), key, ts, columns, run, "at long", "keys array<string>, last binary, number binary, held binary")
     return found.select(key, F.timestamp_micros("at").alias(ts))
 
 
@@ -106,8 +158,8 @@ def ring_windows(
 
     The last ``size`` samples of a key are the state, besides the buffer.  A key that was silent for over ``idle_seconds``
     begins anew, so its state ends then.  Samples of one time go by ``tie``.  The deviation counts as 1 up to 1e-6.
+    The key is of an atomic type.
     """
-    out = T.StructType([_state_key(df, key), T.StructField("seen", T.LongType()), T.StructField("q", T.ArrayType(T.IntegerType()))])
     divide, idle = sd if sd > 1e-6 else 1.0, round(idle_seconds * 1e6)
 
     def windows(x: np.ndarray, held: int, seen: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,31 +171,40 @@ def ring_windows(
         return seen - held + ends, np.clip(whole + zero_point, -128, 127).astype(int)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last, ring, waiting = (state.get[0], state.get[1], state.get[2], list(zip(*state.get[3:], strict=True))) if state.exists else (0, None, [], [])
-        ripe, waiting = _ripe(() if state.hasTimedOut else frames, waiting, ("at", "tie", value), state.getCurrentWatermarkMs())
-        at = np.array([r[0] for r in ripe], np.int64)
-        gaps = np.flatnonzero(np.diff(at, prepend=at[:1] if last is None else [last]) > idle) if len(at) else []
-        numbers, quantised = [], []
-        for part, anew in zip(np.split(np.array([r[2] for r in ripe], float), gaps), [False, *[True] * len(gaps)], strict=True):
-            if anew:
-                seen, ring = 0, []
-            if len(part):
-                x = np.concatenate([np.array(ring, float), part])
-                n, q = windows(x, len(ring), seen)
-                numbers += n.tolist()
-                quantised += list(q)
-                seen, ring = seen + len(part), x[-size:].tolist()
-        last = int(at[-1]) if len(at) else last
-        end = None if last is None else (last + idle) // 1000 + 1
-        if end is not None and end <= state.getCurrentWatermarkMs():
-            seen, last, ring, end = 0, None, [], None
-        state.update((seen, last, ring, *([r[i] for r in waiting] for i in range(3))))
-        _wake(state, waiting, end)
-        yield pd.DataFrame({key: [k[0]] * len(numbers), "seen": numbers, "q": quantised})
-
-    rows = event_time(df, ts, delay).select(key, ts, F.unix_micros(ts).alias("at"), F.col(tie).cast("long").alias("tie") if tie else F.lit(0).cast("long").alias("tie"), F.col(value).cast("double").alias(value))
-    held = "seen long, last long, ring array<double>, times array<long>, ties array<long>, held array<double>"
-    return rows.groupBy(key).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+        keys, *arrays = state.get if state.exists else ([], *[b""] * 7)
+        seen, last, samples, *held = _unpacked(arrays, "qqdqqqd")
+        watermark = state.getCurrentWatermarkMs()
+        rings = np.split(samples, np.cumsum(np.minimum(seen, size))[:-1]) if len(seen) else []
+        keys, (of, at, _, x), waiting = _ripe(() if state.hasTimedOut else frames, list(keys), held, ("at", "tie", "value"), watermark)
+        more = len(keys) - len(seen)
+        seen, last, rings = [*seen.tolist(), *[0] * more], np.append(last, np.full(more, _NEVER)), [*rings, *[np.zeros(0)] * more]
+        # parts of a key without a long silence
+        first = np.diff(of, prepend=-1) != 0
+        before = np.where(first, last[of], np.roll(at, 1))
+        anew = (before > _NEVER) & (at - before > idle)
+        names, numbers, quantised = [], [], []
+        for start, stop in itertools.pairwise([*np.flatnonzero(first | anew), len(at)]):
+            i = of[start]
+            if anew[start]:
+                seen[i], rings[i] = 0, np.zeros(0)
+            part = np.concatenate([rings[i], x[start:stop]])
+            n, q = windows(part, len(rings[i]), seen[i])
+            names += [keys[i]] * len(n)
+            numbers += n.tolist()
+            quantised += list(q)
+            seen[i], rings[i], last[i] = seen[i] + int(stop - start), part[-size:], at[stop - 1]
+        ends = _ends(last, idle, watermark)
+        for i in np.flatnonzero(ends == _NEVER):
+            seen[i], last[i], rings[i] = 0, _NEVER, np.zeros(0)
+        stay, number = _kept(waiting[0], ends)
+        state.update(([keys[i] for i in stay], *_packed([seen[i] for i in stay], last[stay], np.concatenate([np.zeros(0), *(rings[i] for i in stay)]), number, *waiting[1:], kinds="qqdqqqd")))
+        _wake(state, waiting[1], ends)
+        yield pd.DataFrame({"__key": names, "seen": numbers, "q": quantised})
+
+    order = F.coalesce(F.col(tie).cast("long"), F.lit(-(1 << 63))) if tie else F.lit(0).cast("long")
+    columns = [F.unix_micros(ts).alias("at"), order.alias("tie"), F.col(value).cast("double").alias("value")]
+    held = "keys array<string>, seen binary, last binary, rings binary, number binary, times binary, ties binary, held binary"
+    return _by_groups(event_time(df, ts, delay), key, ts, columns, run, "seen long, q array<int>", held)
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
