@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -157,3 +158,14 @@ def test_small_files_are_written_by_many_tasks(spark, tmp_path):
     writing = [s.numCompletedTasks for s in stages.values() if s and s.numTasks == s.numCompletedTasks]
     assert writing.count(int(spark.conf.get("spark.sql.shuffle.partitions"))) >= 2  # the range and the files
     assert sorted(int(p.read_text()) for p in tmp_path.glob("*/*.txt")) == list(range(400)) and not list(tmp_path.glob("*/.*"))
+
+
+@pytest.mark.parametrize("name", ["read_sensors", "read_sensors_strict"])
+def test_unknown_values_are_kept(spark, tmp_path, name):
+    # one user has an unknown value, one no other; values at the ends of what doubles hold
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 7) MINUTE AS ts, i % 5 AS user_id, CASE WHEN i % 2 = 0 THEN 'error' ELSE 'view' END AS event_type,
+        CASE WHEN i % 5 = 0 OR i = 6 THEN NULL WHEN i = 12 THEN CAST('-inf' AS DOUBLE) WHEN i = 13 THEN 4.9e-324 ELSE i * 1e20 / 3 END AS value, '' AS props FROM range(50) t(i)) TO '{tmp_path}/events.parquet'""")
+    got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    want = duckdb.connect().execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'").execute(queries.ORACLE_SQL[name]).df()
+    plain = lambda df: sorted((tuple(None if pd.isna(x) else float(x) for x in r) for r in df[sorted(want.columns)].astype(object).itertuples(index=False)), key=repr)
+    assert plain(got) == plain(want)

@@ -844,11 +844,18 @@ def _(spark, sf):
 # -- sources and sinks: tables written as the files that a source reads -----------------------------
 
 def sensor_files(spark: SparkSession, sf: str, spoilt: bool = False) -> str:
-    """A folder of sensor files, one a user: start, rate, values; a user in three has a blank and a broken value if ``spoilt``."""
+    """A folder of sensor files, one a user: start, rate, then a value and whether it is known; if ``spoilt``, values alone, of which a user in three has blank and broken ones.
+
+    A file that must have numbers only has no word for null, so an unknown value is a NaN marked 0.
+    """
     s = indexed(spark, sf)
     broken = (F.col("user_id") % 3 == 0) & (F.col("i") % 4 == 1)
-    text = F.col("value").cast("string")
-    rows = s.select("user_id", "i", (F.when(broken, F.when(F.col("i") % 8 == 1, "").otherwise("NaN")).otherwise(text) if spoilt else text).alias("value"))
+    text, known = F.col("value").cast("string"), F.col("value").isNotNull().cast("int")
+    if spoilt:
+        line = F.when(broken, F.when(F.col("i") % 8 == 1, "").otherwise("NaN")).otherwise(F.coalesce(text, F.lit("")))
+    else:
+        line = F.concat_ws(",", F.coalesce(text, F.lit("NaN")), known)
+    rows = s.select("user_id", "i", line.alias("value"))
     first = s.groupBy("user_id").agg(F.min("t_s").cast("string").alias("start"))
     head = first.select("user_id", F.posexplode(F.array("start", F.lit("4.0"))).alias("at", "value")).select("user_id", (F.col("at") - 2).cast("long").alias("i"), "value")
     folder = scratch(spark, "sensors")
@@ -870,7 +877,8 @@ SENSORS = sql("s", "x", f"SELECT user_id, i AS sample_idx, value, min(t_s) OVER
 @query("read_sensors", SENSORS)
 def _(spark, sf):
     r = sensors.read_sensors(spark, sensor_files(spark, sf), "fast", "*.txt")
-    return r.select(_user(), "sample_idx", F.get("v", F.lit(0)).alias("value"), "start_s", "rate_hz")
+    value = F.when(F.get("v", F.lit(1)) == 1, F.get("v", F.lit(0)))
+    return r.select(_user(), "sample_idx", value.alias("value"), "start_s", "rate_hz")
 
 
 @query("read_sensors_tolerant", sql("s", "x", f""", y AS (SELECT *, CASE WHEN user_id % 3 = 0 AND i % 4 = 1 THEN NULL ELSE value END AS v FROM x),
