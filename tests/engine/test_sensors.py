@@ -160,12 +160,40 @@ def test_small_files_are_written_by_many_tasks(spark, tmp_path):
     assert sorted(int(p.read_text()) for p in tmp_path.glob("*/*.txt")) == list(range(400)) and not list(tmp_path.glob("*/.*"))
 
 
-@pytest.mark.parametrize("name", ["read_sensors", "read_sensors_strict"])
-def test_unknown_values_are_kept(spark, tmp_path, name):
-    # one user has an unknown value, one no other; values at the ends of what doubles hold
-    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 7) MINUTE AS ts, i % 5 AS user_id, CASE WHEN i % 2 = 0 THEN 'error' ELSE 'view' END AS event_type,
+@pytest.mark.parametrize("name", ["read_sensors", "read_sensors_strict", "read_sensors_tolerant", "probe_sensors", "read_labels"])
+def test_unknown_values_and_users_are_kept(spark, tmp_path, name):
+    # one user has an unknown value, one no other, one is unknown; values at the ends of what doubles hold
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 7) MINUTE AS ts, CASE WHEN i % 5 < 4 THEN i % 5 - 1 END AS user_id, CASE WHEN i % 2 = 0 THEN 'error' ELSE 'view' END AS event_type,
         CASE WHEN i % 5 = 0 OR i = 6 THEN NULL WHEN i = 12 THEN CAST('-inf' AS DOUBLE) WHEN i = 13 THEN 4.9e-324 ELSE i * 1e20 / 3 END AS value, '' AS props FROM range(50) t(i)) TO '{tmp_path}/events.parquet'""")
     got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
     want = duckdb.connect().execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'").execute(queries.ORACLE_SQL[name]).df()
     plain = lambda df: sorted((tuple(None if pd.isna(x) else float(x) for x in r) for r in df[sorted(want.columns)].astype(object).itertuples(index=False)), key=repr)
     assert plain(got) == plain(want)
+
+
+def test_blocks_hold_each_line_once(spark, tmp_path):
+    rng = random.Random(3)
+    want = {}
+    for i in range(6):
+        text = "".join("x" * rng.randrange(9) + rng.choice(["\n", "\r\n", "\n\n"]) for _ in range(rng.randrange(1, 12))) + rng.choice(["", "é", "a\rb\n"])
+        (tmp_path / f"{i} .csv").write_bytes(text.encode())
+        want[f"{i} .csv"] = text.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n")
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbf1\n2")
+    want["bom.csv"] = ["1", "2"]
+    for block in (5, 64, 1 << 20):
+        found = {}
+        for r in listing.read_blocks(listing.list_files(spark, str(tmp_path), "*.csv"), block).withColumn("at", F.monotonically_increasing_id()).orderBy("path", "block", "at").collect():
+            found.setdefault(r.path.rsplit("/", 1)[1], []).append(r.value)
+        assert found == want, block
+
+
+def test_files_of_sensors_are_listed_by_tasks(spark, tmp_path):
+    listing.write_lines(spark.range(600).selectExpr("concat('d', id div 3, '/data.csv') AS path", "CAST(id AS string) AS value"), ["value"], f"file://{tmp_path}")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sensors listed", "")
+    try:
+        assert sensors.read_sensors(spark, str(tmp_path)).count() == 200 == sensors.probe_sensors(spark, str(tmp_path), count_rows=True).where("n = 1").count()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("sensors listed")]
+        assert max(s.numTasks for j in jobs for i in j.stageIds if (s := tracker.getStageInfo(i))) < 100  # Spark's listing takes one a folder
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()

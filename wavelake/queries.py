@@ -864,11 +864,11 @@ def sensor_files(spark: SparkSession, sf: str, spoilt: bool = False) -> str:
 
 
 def _file():
-    return F.concat(F.lit("user_id="), F.col("user_id"), F.lit("/data.txt")).alias("path")
+    return F.concat(F.lit("user_id="), F.coalesce(F.col("user_id").cast("string"), F.lit("null")), F.lit("/data.txt")).alias("path")
 
 
 def _user(path: str = "path"):
-    return F.regexp_extract(path, r"/user_id=(\d+)/", 1).cast("long").alias("user_id")
+    return F.regexp_extract(path, r"/user_id=(-?\d+|null)/", 1).try_cast("long").alias("user_id")
 
 
 SENSORS = sql("s", "x", f"SELECT user_id, i AS sample_idx, value, min(t_s) OVER (PARTITION BY user_id) AS start_s, CAST(4 AS DOUBLE) AS rate_hz FROM x")

@@ -1,6 +1,6 @@
 """Sensor files: line 1 start time, line 2 rate, then one row of values per sample.
 
-A file is one ordered record, but no task reads it whole: Spark splits it by bytes like any text, and each
+A file is one ordered record, but no task reads it whole: it is split by bytes like any text, and each
 line keeps the block it came from and its place there.  The lines are parsed and written once; counts by
 block, added up, then give every line its number in the file, so the two header lines are known wherever
 they lie, and every sample its index.  Only blocks with gaps need a window, of a block's rows at most.
@@ -19,13 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patient_id
 from ..scratch import materialize
-from .listing import list_files
+from .listing import by_tasks, list_files, place, read_blocks
 
 MODES = ("fast", "tolerant", "strict")
 #: Bytes that hold the two header lines, for `probe_sensors` alone.
@@ -36,8 +35,15 @@ _NUMBER = r"(?i)^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$"
 _INFINITE, _NAN = r"(?i)^[+-]?(inf|infinity)$", r"(?i)^[+-]?nan$"
 
 
+def _listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, size) of the files, with paths as other sources give them."""
+    return list_files(spark, path, pattern).withColumn("path", F.regexp_replace("path", "^file:/(?!/)", "file:///"))
+
+
 def _text(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, block, value): the lines of all files under ``path`` and the byte where the block of each begins."""
+    if pattern.endswith((".csv", ".txt")) and by_tasks(spark, path):  # Spark would list the files in the driver, and unpacks others
+        return read_blocks(_listed(spark, path, pattern), spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
@@ -108,12 +114,15 @@ def read_sensors(spark: SparkSession, path: str, mode: str = "fast", pattern: st
 def probe_sensors(spark: SparkSession, path: str, pattern: str = "*.csv", count_rows: bool = False) -> DataFrame:
     """(path, start_s, rate_hz, n): headers; n counts the data rows, or is 1 where they are not counted.
 
-    A file's first `HEAD` bytes are read; rows are counted by blocks, as Spark splits the text.
+    A file's first `HEAD` bytes are read; rows are counted by blocks.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    if by_tasks(spark, path):
+        files = _listed(spark, path, pattern).select(F.col("path").alias("key"), "path")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select(F.col("_metadata.file_path").alias("key"), "path")
 
     def probe(name: str) -> tuple[float, float] | None:
-        fs, at = pyarrow.fs.FileSystem.from_uri(name)
+        fs, at = place(name)
         with fs.open_input_stream(at, compression=None) as stream:
             lines = stream.read(HEAD).split(b"\n")[:2]
         try:
@@ -127,7 +136,7 @@ def probe_sensors(spark: SparkSession, path: str, pattern: str = "*.csv", count_
             found = [(key, *r) for key, name in zip(f["key"], f["path"], strict=True) if (r := probe(name))]
             yield pd.DataFrame(found, columns=["path", "start_s", "rate_hz"])
 
-    heads = files.select(F.col("_metadata.file_path").alias("key"), "path").mapInPandas(run, "path string, start_s double, rate_hz double")
+    heads = files.mapInPandas(run, "path string, start_s double, rate_hz double")
     if not count_rows:
         return heads.withColumn("n", F.lit(1).cast("long"))
     filled = _text(spark, path, pattern).groupBy("path").agg((F.count_if(F.trim("value") != "") - 2).alias("n"))  # but the header's
