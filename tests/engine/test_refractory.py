@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from wavelake.config import EngineConfig
-from wavelake.operators import refractory
+from wavelake.operators import metrics, refractory
 
 
 def loop(positions, r):
@@ -39,3 +39,20 @@ def test_lock_by_row_and_no_rows(spark):
     got = refractory.refractory_alerts(df, ["r"], "p", 0.5, F.col("r"))
     assert sorted(map(tuple, got.collect())) == [(1, i) for i in range(0, 12, 2)] + [(3, i) for i in range(0, 12, 4)]
     assert refractory.refractory_alerts(df.where("false"), ["r"], "p", 0.5, 1).count() == 0
+
+
+def test_windows_are_made_once_for_their_metrics(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    schema = "k int, window_idx long, start_s double, end_s double, p double"
+    windows = spark.createDataFrame([(k, i, 5.0 * i, 5.0 * i + 5.0, (i % 7) / 7) for k in (1, 2) for i in range(50)], schema).mapInPandas(count, schema)
+    events = spark.createDataFrame([(1, 0, 23.0, 24.0), (2, 0, 900.0, 901.0)], "k int, event_index long, start_s double, end_s double")
+    got = metrics.alert_metrics(windows, events, ["k"], "p", 0.5, 2).collect()[0]
+    fired = loop([i for i in range(50) if (i % 7) / 7 >= 0.5], 2)
+    assert (got.windows, got.alerts, got.true_alerts, got.event_count, got.detected_events) == (100, 2 * len(fired), 4 in fired, 2, 4 in fired)
+    assert made.value == 100

@@ -86,7 +86,11 @@ def event_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], sc
 
 def alert_metrics(windows: DataFrame, events: DataFrame, keys: Sequence[str], score: str, threshold: float | Column, refractory: int | Column, stride_seconds: float = 5.0, groups: Sequence[str] = ()) -> DataFrame:
     """One row per group (`event_metrics`): alerts after the refractory rule, events they hit, false alerts per hour."""
-    fired = refractory_alerts(windows, keys, score, threshold, refractory)
+    # written once: alerts, their bounds and the counts read them, and no task holds the making of windows beside these
+    hot = (F.col(score) >= threshold).cast("int").alias("__hot")
+    lock = F.lit(refractory) if isinstance(refractory, int) else refractory
+    windows = materialize(windows.select(*keys, "window_idx", "start_s", "end_s", hot, lock.alias("__lock")), "windows")
+    fired = refractory_alerts(windows, keys, "__hot", 1, F.col("__lock"))
     alerts = materialize(windows.join(fired.hint("merge"), [*keys, "window_idx"]).select(*keys, "window_idx", "start_s", "end_s"), "alerts")
     e = events.select(*keys, "event_index", F.col("start_s").alias("e_start"), F.col("end_s").alias("e_end"))
     met = overlapping_pairs(alerts, e, keys, True, right_bounds=("e_start", "e_end")).groupBy(*groups).agg(
