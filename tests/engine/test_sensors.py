@@ -197,3 +197,18 @@ def test_files_of_sensors_are_listed_by_tasks(spark, tmp_path):
         assert max(s.numTasks for j in jobs for i in j.stageIds if (s := tracker.getStageInfo(i))) < 100  # Spark's listing takes one a folder
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_label_files_are_found_by_tasks(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('Mayo_', id % 100, IF(id < 100, '/', concat('/s', id, '/')), 'times ', id, '.txt') AS path", "CAST(id AS string) AS value")
+    listing.write_lines(rows, [], f"file://{tmp_path}")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("labels found", "")
+    try:
+        found = {r.patient_id: r.path.rsplit("/", 1)[1] for r in labels.find_label_files(spark, str(tmp_path)).collect()}
+        lines = sorted(r.onset_s for r in labels.read_labels(spark, str(tmp_path)).collect())
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("labels found")]
+        assert max(s.numTasks for j in jobs for i in j.stageIds if (s := tracker.getStageInfo(i))) < 100  # Spark's listing takes one a folder
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert found == {f"Mayo_{i}": f"times {i}.txt" for i in range(100)} and lines == list(range(300))

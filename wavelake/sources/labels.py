@@ -18,7 +18,7 @@ def parse_label_lines(lines: DataFrame) -> DataFrame:
 
 def find_label_files(spark: SparkSession, path: str, prefix: str = "Mayo_") -> DataFrame:
     """(patient_id, path): each patient's first text file that is no info or readme, shallow and early names first."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path")
+    files = list_files(spark, path, "*.txt").select("path")
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
     rows = files.where(~name.contains("info") & ~name.contains("readme")).withColumn("patient_id", patient_id(F.col("path"), prefix))
     order = Window.partitionBy("patient_id").orderBy(F.size(F.split("path", "/")), "path")
